@@ -244,3 +244,30 @@ def alerts_e(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("received"),
         F.concat(F.lit("好的，结果如下：\n"), F.to_json(rec), F.lit("\n以上。")).alias("reply"),
     )
+
+
+# ---- scalar-function inputs --------------------------------------------------------
+
+# fixed values: merchant texts exercising the channel split (known / unknown
+# channel, spaces around the dash, empty remainder, no dash)
+MERCHANT_PREFIXES = ("支付宝-", "微信 - ", "银联-", "Apple-", "", "财付通-")
+
+
+def text_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per event: an action word, a raw merchant text and a thousands-separated amount text."""
+    ev = _events_k(spark, sf_dir)
+    actions = list(EVENT_ACTION.values()) + ["消费", "取现", "预借现金", "自助转账", "结息", "分期", "未知"]
+    prefixes = F.array(*[F.lit(p) for p in MERCHANT_PREFIXES])
+    raw = F.when(F.col("k") % 7 == 0, F.lit("支付宝-  ")).otherwise(
+        F.concat(F.element_at(prefixes, (F.col("k") % 6 + 1).cast("int")),
+                 F.lit("Shop "), (F.col("k") % 10).cast("string"), F.lit(" ")))
+    amount_txt = F.when(F.col("k") % 9 == 0, F.lit("n/a")).otherwise(F.concat(
+        F.col("user_id").cast("string"), F.lit(","),
+        F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit("."),
+        F.lpad((F.col("k") % 100).cast("string"), 2, "0")))
+    return ev.select(
+        "event_id", "ts", "k",
+        F.element_at(F.array(*[F.lit(a) for a in actions]),
+                     (F.col("event_id") % len(actions) + 1).cast("int")).alias("action"),
+        raw.alias("merchant_raw"),
+        amount_txt.alias("amount_text"))

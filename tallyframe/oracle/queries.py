@@ -214,3 +214,176 @@ after AS (
 SELECT coalesce(effective_month, {period(15)}) AS m, coalesce(category, '__uncat__') AS c,
        {money('sum(amount)')} AS spend, count(*) AS n
 FROM after WHERE NOT v2 AND direction IN {SPEND} GROUP BY 1, 2""")
+
+# ---- scalar functions ------------------------------------------------------------
+
+from .. import constants as K  # noqa: E402
+from .views import ROUTER_CASE, strip_sql  # noqa: E402
+
+
+def _entities(x: str) -> str:
+    for name, rep, bare in K.HTML_ENTITIES:
+        pat = "&" + name + (";?" if bare else ";")
+        rep_sql = rep.replace("'", "''")
+        x = f"regexp_replace({x}, '{pat}', '{rep_sql}', 'g')"
+    return x
+
+
+_t = "html"
+_t = f"regexp_replace({_t}, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g')"
+_t = f"regexp_replace({_t}, '(?is)<br[\\t\\n\\x0b\\x0c\\r ]*/?>', chr(10), 'g')"
+_t = f"regexp_replace({_t}, '(?is)</(td|tr|div|p|table|li|h[1-6])>', chr(10), 'g')"
+_t = f"regexp_replace({_t}, '(?s)<[^>]+>', ' ', 'g')"
+_t = _entities(_t)
+LINES_SQL = (f"list_transform(list_filter(string_split({_t}, chr(10)), lambda x: {strip_sql('x')} <> ''), "
+             f"lambda x: {strip_sql(chr(114) + 'egexp_replace(x, ' + repr('[ ' + chr(9) + chr(160) + ']+') + ', ' + repr(' ') + ', ' + repr('g') + ')')})")
+
+ORACLE["html_to_lines"] = f"""
+WITH p AS (SELECT page_id, {LINES_SQL} AS lines FROM pages)
+SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, array_to_string(lines, chr(10)) AS text FROM p"""
+
+_flat = "regexp_replace(html, '(?is)<[^>]+>', ' ', 'g')"
+ORACLE["html_flat_text"] = f"""
+SELECT page_id, {strip_sql(f"regexp_replace(coalesce({_flat}, ''), '{__import__('tallyframe.oracle.views', fromlist=['WS']).WS}+', ' ', 'g')")} AS flat
+FROM pages"""
+
+ORACLE["mail_type"] = with_views(["mails_e"], f"SELECT uid, {ROUTER_CASE} AS email_type FROM mails_e")
+
+_dir_case = "CASE action " + " ".join(f"WHEN '{a}' THEN '{d}'" for a, d in K.DIRECTION_BY_ACTION.items()) + \
+    " ELSE 'other' END"
+ORACLE["direction_map"] = with_views(["text_inputs"], f"SELECT event_id, action, {_dir_case} AS direction FROM text_inputs")
+
+_chs = ", ".join(f"'{c}'" for c in K.KNOWN_CHANNELS)
+ORACLE["merchant_split"] = with_views(["text_inputs"], f"""
+WITH s AS (
+  SELECT event_id, merchant_raw,
+    {strip_sql("split_part(merchant_raw, '-', 1)")} AS head,
+    {strip_sql("substr(merchant_raw, strpos(merchant_raw, '-') + 1)")} AS rest,
+    contains(merchant_raw, '-') AS has_dash
+  FROM text_inputs)
+SELECT event_id, merchant_raw,
+  CASE WHEN has_dash AND head IN ({_chs}) AND rest <> '' THEN head END AS channel,
+  CASE WHEN has_dash AND head IN ({_chs}) AND rest <> '' THEN rest ELSE {strip_sql('merchant_raw')} END AS merchant_key
+FROM s""")
+
+ORACLE["fingerprint"] = with_views(["ledger_e"], "SELECT id, fingerprint FROM ledger_e")
+
+ORACLE["parse_amount"] = with_views(["text_inputs"], """
+SELECT event_id, amount_text, CAST(TRY_CAST(replace(amount_text, ',', '') AS DECIMAL(18,2)) AS DOUBLE) AS amount
+FROM text_inputs""")
+
+ORACLE["billing_period"] = with_views(["ledger_o"], f"""
+SELECT id, {period(1)} AS p1, {period(15)} AS p15, {period(28)} AS p28 FROM ledger_o""")
+
+ORACLE["attribution_month"] = with_views(["ledger_o"], f"""
+SELECT id, {month_expr(15)} AS m, substr({month_expr(15)}, 1, 4) AS y FROM ledger_o""")
+
+ORACLE["period_range"] = with_views(["ledger_o"], f"""
+WITH p AS (SELECT DISTINCT {period(15)} AS m FROM ledger_o),
+d AS (SELECT m, make_date(CAST(substr(m, 1, 4) AS INTEGER), CAST(substr(m, 6, 2) AS INTEGER), 15) AS s FROM p)
+SELECT m, s AS start_date, CAST(s + INTERVAL 1 MONTH AS DATE) - 1 AS end_date FROM d""")
+
+ORACLE["json_extract"] = with_views(["alert_src"], """
+SELECT source_msg_id, type, amount, card_last4 FROM alert_src""")
+
+ORACLE["alert_normalise"] = with_views(["alert_kept"], """
+SELECT source_msg_id,
+  CASE WHEN error IS NULL THEN type END AS type,
+  CASE WHEN error IS NULL THEN card_last4 END AS card_last4,
+  CASE WHEN error IS NULL THEN txn_time END AS txn_time,
+  CASE WHEN error IS NULL THEN amount END AS amount,
+  CASE WHEN error IS NULL THEN counterparty END AS counterparty,
+  CASE WHEN error IS NULL THEN channel END AS channel,
+  CASE WHEN error IS NULL THEN kind END AS kind,
+  CASE WHEN error IS NULL THEN note END AS note,
+  error
+FROM alert_kept""")
+
+ORACLE["amount_hint"] = with_views(["ledger_e"], """
+WITH g AS (
+  SELECT merchant_key, count(*) AS n, list_sort(list_distinct(list(amount))) AS ds
+  FROM ledger_e WHERE NOT voided GROUP BY merchant_key)
+SELECT merchant_key, n,
+  CASE WHEN len(ds) = 1 THEN CAST(n AS VARCHAR) || '笔，金额固定' || CAST(ds[1] AS VARCHAR)
+       WHEN len(ds) <= 4 THEN CAST(n AS VARCHAR) || '笔，金额' || array_to_string(list_transform(ds, lambda x: CAST(x AS VARCHAR)), '/')
+       ELSE CAST(n AS VARCHAR) || '笔，金额' || CAST(ds[1] AS VARCHAR) || '~' || CAST(ds[-1] AS VARCHAR) || '不等' END AS hint
+FROM g""")
+
+ORACLE["received_local"] = with_views(["mails_e"], """
+SELECT uid, received + INTERVAL 8 HOUR AS received_local FROM mails_e""")
+
+# ---- mail sources ----------------------------------------------------------------
+
+_senders = ("(contains(lower(sender), 'ccsvc@message.cmbchina.com') OR "
+            "contains(lower(sender), '95555@message.cmbchina.com'))")
+ORACLE["incremental_scan"] = with_views(["mails_e"], "SELECT uid, msg_id FROM mails_e WHERE uid > 500")
+ORACLE["scan_newest_n"] = with_views(["mails_e"], """
+SELECT uid, msg_id FROM mails_e WHERE uid > 500 ORDER BY uid DESC LIMIT 100""")
+ORACLE["mail_search"] = with_views(["mails_e"], f"""
+SELECT DISTINCT uid FROM mails_e WHERE {_senders} AND CAST(received AS DATE) >= DATE '2024-01-10'""")
+ORACLE["sender_union"] = ORACLE["mail_search"]
+ORACLE["recent_mail_count"] = with_views(["mails_e"], """
+SELECT sender, count(*) AS n FROM mails_e
+WHERE received >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY GROUP BY sender""")
+ORACLE["mail_dedup"] = with_views(["mails_e"], """
+WITH lg AS (SELECT * FROM mails_e WHERE received < TIMESTAMP '2024-01-15 00:00:00'),
+nw AS (SELECT * FROM mails_e WHERE received >= TIMESTAMP '2024-01-10 00:00:00')
+SELECT msg_id, min(uid) AS uid FROM nw WHERE msg_id NOT IN (SELECT msg_id FROM lg) GROUP BY msg_id""")
+ORACLE["mail_log_upsert"] = with_views(["mails_e"], """
+WITH lg AS (SELECT msg_id, uid, 'parsed' AS status FROM mails_e WHERE received < TIMESTAMP '2024-01-15 00:00:00'),
+nw AS (SELECT msg_id, max(uid) AS uid, 'reparsed' AS status FROM mails_e
+       WHERE received >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY msg_id)
+SELECT * FROM lg WHERE msg_id NOT IN (SELECT msg_id FROM nw)
+UNION ALL SELECT * FROM nw""")
+
+# ---- extraction ------------------------------------------------------------------
+
+_route_card = ("CASE WHEN email_type = 'credit_daily' THEN 'credit' "
+               "WHEN contains(lower(sender), '95555@message.cmbchina.com') AND trim(subject) = '一卡通账户变动通知' "
+               "THEN 'debit' END")
+_route_out = ("CASE WHEN email_type = 'credit_daily' THEN 'transactions' "
+              "WHEN contains(lower(sender), '95555@message.cmbchina.com') AND trim(subject) = '一卡通账户变动通知' "
+              "THEN 'ai_record' END")
+ORACLE["mail_route"] = with_views(["mails_typed"], f"""
+SELECT uid, msg_id, email_type, {_route_card} AS parser_card_type, {_route_out} AS parser_output FROM mails_typed""")
+
+ORACLE["digest_extract"] = with_views(["digest_src"], """
+WITH d AS (SELECT *, date_trunc('second', txn_time) AS t2 FROM digest_src)
+SELECT 'g' || CAST(user_id AS VARCHAR) || '-' || strftime(digest_date, '%Y%m%d') || '-' || CAST(part AS VARCHAR) AS source_msg_id,
+  card_last4, t2 AS txn_time, CAST(amount AS DOUBLE) AS amount, action, direction, merchant_raw,
+  merchant_key, channel, CAST(user_id * 1000 + 0.5 AS DOUBLE) AS avail_credit, user_id * 37 AS points,
+  sha1(concat_ws('|', card_last4, strftime(t2, '%Y-%m-%d %H:%M:%S'), CAST(amount AS VARCHAR), merchant_raw, action)) AS fingerprint
+FROM d""")
+
+MAIL_STATUS_SQL = f"""
+WITH r AS (SELECT uid, msg_id, email_type, {_route_out} AS parser_output FROM mails_typed),
+ok AS (SELECT event_id FROM alert_kept WHERE error IS NULL)
+SELECT uid, msg_id, email_type,
+  CASE WHEN parser_output IS NULL THEN 'skipped'
+       WHEN parser_output = 'transactions' THEN 'error'
+       WHEN uid IN (SELECT event_id FROM ok) THEN 'parsed' ELSE 'skipped' END AS status,
+  CASE WHEN parser_output = 'transactions' THEN 'digest yielded 0 transactions' END AS error
+FROM r"""
+ORACLE["mail_status"] = with_views(["mails_typed", "alert_kept"], MAIL_STATUS_SQL)
+ORACLE["ingest_stats"] = with_views(["mails_typed", "alert_kept"], f"""
+WITH st AS ({MAIL_STATUS_SQL.strip()})
+SELECT email_type || ':' || status AS type_status, count(*) AS n FROM st GROUP BY 1""")
+
+ORACLE["alert_route"] = with_views(["alert_kept"], f"""
+WITH a AS (
+  SELECT source_msg_id, card_last4, CAST(strptime(txn_time, '%Y-%m-%d %H:%M') AS TIMESTAMP) AS t,
+    CAST(amount AS DECIMAL(18,2)) AS amt,
+    CASE WHEN type = 'transfer_out' THEN '转账' ELSE '消费' END AS action,
+    CASE WHEN type = 'transfer_out' THEN counterparty WHEN channel <> '' THEN channel || '-' || counterparty
+         ELSE counterparty END AS merchant_raw
+  FROM alert_kept WHERE error IS NULL AND type IN ('expense', 'transfer_out')),
+s AS (
+  SELECT *, {strip_sql("split_part(merchant_raw, '-', 1)")} AS head,
+    {strip_sql("substr(merchant_raw, strpos(merchant_raw, '-') + 1)")} AS rest,
+    contains(merchant_raw, '-') AS has_dash FROM a)
+SELECT source_msg_id, card_last4, 'debit' AS card_type, t AS txn_time, CAST(amt AS DOUBLE) AS amount, action,
+  'expense' AS direction, merchant_raw,
+  CASE WHEN has_dash AND head IN ({_chs}) AND rest <> '' THEN rest ELSE {strip_sql('merchant_raw')} END AS merchant_key,
+  CASE WHEN has_dash AND head IN ({_chs}) AND rest <> '' THEN head END AS channel,
+  sha1(concat_ws('|', card_last4, strftime(t, '%Y-%m-%d %H:%M:%S'), CAST(amt AS VARCHAR), merchant_raw, action)) AS fingerprint
+FROM s""")

@@ -142,3 +142,61 @@ def with_views(names: list[str], body: str) -> str:
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"
+
+# White space as Python's str.isspace() sees it (RE2 syntax).
+WS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}"
+      r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+VIEWS["text_inputs"] = (["ev_k"], """
+SELECT event_id, ts, k,
+  (['消费', '退货', '手续费', '还款', '工资', '消费', '取现', '预借现金', '自助转账', '结息', '分期', '未知'])[CAST(event_id % 12 + 1 AS INTEGER)] AS action,
+  CASE WHEN k % 7 = 0 THEN '支付宝-  '
+       ELSE (['支付宝-', '微信 - ', '银联-', 'Apple-', '', '财付通-'])[CAST(k % 6 + 1 AS INTEGER)]
+            || 'Shop ' || CAST(k % 10 AS VARCHAR) || ' ' END AS merchant_raw,
+  CASE WHEN k % 9 = 0 THEN 'n/a'
+       ELSE CAST(user_id AS VARCHAR) || ',' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || '.'
+            || lpad(CAST(k % 100 AS VARCHAR), 2, '0') END AS amount_text
+FROM ev_k
+""")
+
+VIEWS["digest_src"] = (["ledger_e"], """
+SELECT l.*, e.user_id, CAST(l.txn_time AS DATE) AS digest_date,
+  CAST(floor((row_number() OVER (PARTITION BY e.user_id, CAST(l.txn_time AS DATE)
+                                  ORDER BY l.txn_time, l.id) - 1) / 40) AS BIGINT) AS part
+FROM ledger_e l JOIN events e ON e.event_id = l.id
+WHERE l.direction IN ('expense', 'refund')
+""")
+
+VIEWS["alert_src"] = (["ev_k"], """
+SELECT 'a' || CAST(event_id AS VARCHAR) AS source_msg_id, event_id, ts AS received,
+  CASE WHEN event_id % 7 = 3 THEN 'refund_maybe'
+       ELSE CASE event_type WHEN 'purchase' THEN 'expense' WHEN 'view' THEN 'transfer_out'
+            WHEN 'signup' THEN 'income' WHEN 'click' THEN 'ignore' WHEN 'error' THEN 'expense' END END AS type,
+  lpad(CAST(user_id % 50 AS VARCHAR), 4, '0') AS card_last4,
+  CASE WHEN event_type = 'error' THEN NULL WHEN k % 11 = 0 THEN 0.0 ELSE value END AS amount,
+  strftime(ts, '%Y-%m-%d %H:%M') AS time,
+  'cp' || CAST(k % 13 AS VARCHAR) AS counterparty,
+  CASE k % 4 WHEN 0 THEN '支付宝' WHEN 1 THEN '微信' ELSE '' END AS channel,
+  k
+FROM ev_k
+""")
+
+VIEWS["alert_norm"] = (["alert_src"], """
+SELECT source_msg_id, event_id, received,
+  CASE WHEN type NOT IN ('expense', 'transfer_out', 'income', 'ignore') THEN 'invalid type'
+       WHEN type <> 'ignore' AND amount IS NULL THEN 'missing amount' END AS error,
+  type, card_last4, time AS txn_time, round(amount, 2) AS amount, counterparty, channel,
+  CASE WHEN type = 'income' THEN (['工资', '报销', '汇款', '理财赎回', '分红', '利息', '退款', '其他'])[CAST(k % 8 + 1 AS INTEGER)]
+       ELSE '' END AS kind,
+  '' AS note
+FROM alert_src
+""")
+
+VIEWS["alert_kept"] = (["alert_norm"], """
+SELECT * FROM alert_norm WHERE error IS NOT NULL OR (type <> 'ignore' AND amount > 0)
+""")

@@ -173,3 +173,209 @@ def q_category_drilldown(spark, sf):
 def q_netted_monthly_matrix(spark, sf):
     from .flagship import netted_monthly_matrix
     return netted_monthly_matrix(spark, sf, start_day=15)
+
+
+# ---- scalar functions ------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import periods as P  # noqa: E402
+from ..functions import text as TX  # noqa: E402
+from ..operators import extract  # noqa: E402
+from ..sources import mail  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+
+@register("html_to_lines")
+def q_html_to_lines(spark, sf):
+    p = read_table(spark, sf, "pages").select("page_id", TX.html_to_lines("html").alias("lines"))
+    return p.select("page_id", F.size("lines").cast("bigint").alias("n_lines"),
+                    F.array_join("lines", "\n").alias("text"))
+
+
+@register("html_flat_text")
+def q_html_flat_text(spark, sf):
+    p = read_table(spark, sf, "pages")
+    return p.select("page_id", TX.html_flat_text(F.lit(None).cast("string"), F.col("html")).alias("flat"))
+
+
+@register("mail_type")
+def q_mail_type(spark, sf):
+    return fx.mails_e(spark, sf).select("uid", TX.mail_type("sender", "subject").alias("email_type"))
+
+
+@register("direction_map")
+def q_direction_map(spark, sf):
+    t = fx.text_inputs(spark, sf)
+    return t.select("event_id", "action", TX.direction_of("action").alias("direction"))
+
+
+@register("merchant_split")
+def q_merchant_split(spark, sf):
+    t = fx.text_inputs(spark, sf)
+    ch, key = TX.merchant_split("merchant_raw")
+    return t.select("event_id", "merchant_raw", ch.alias("channel"), key.alias("merchant_key"))
+
+
+@register("fingerprint")
+def q_fingerprint(spark, sf):
+    return fx.ledger_e(spark, sf).select("id", "fingerprint")
+
+
+@register("parse_amount")
+def q_parse_amount(spark, sf):
+    t = fx.text_inputs(spark, sf)
+    return t.select("event_id", "amount_text", TX.parse_amount("amount_text").cast("double").alias("amount"))
+
+
+@register("billing_period")
+def q_billing_period(spark, sf):
+    lo = fx.ledger_o(spark, sf)
+    return lo.select("id", P.billing_period("txn_time", 1).alias("p1"),
+                     P.billing_period("txn_time", 15).alias("p15"),
+                     P.billing_period("txn_time", 28).alias("p28"))
+
+
+@register("attribution_month")
+def q_attribution_month(spark, sf):
+    lo = fx.ledger_o(spark, sf)
+    return lo.select("id", P.attribution_month("txn_time", 15).alias("m"),
+                     P.attribution_year("txn_time", 15).alias("y"))
+
+
+@register("period_range")
+def q_period_range(spark, sf):
+    periods = reports.period_list(fx.ledger_o(spark, sf), start_day=15)
+    return periods.select("m", P.period_start("m", 15).alias("start_date"),
+                          P.period_end("m", 15).alias("end_date"))
+
+
+@register("json_extract")
+def q_json_extract(spark, sf):
+    a = fx.alerts_e(spark, sf)
+    j = F.from_json(TX.json_object_text("reply"), "type string, amount double, card_last4 string")
+    return a.select("source_msg_id", j["type"].alias("type"), j["amount"].alias("amount"),
+                    j["card_last4"].alias("card_last4"))
+
+
+@register("alert_normalise")
+def q_alert_normalise(spark, sf):
+    return extract.alert_normalise(fx.alerts_e(spark, sf))
+
+
+@register("amount_hint")
+def q_amount_hint(spark, sf):
+    lv = fx.ledger_e(spark, sf).filter(~F.col("voided"))
+    g = lv.groupBy("merchant_key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_sort(F.collect_set(F.round("amount", 2))).alias("ds"))
+    return g.select("merchant_key", "n", TX.amount_hint_text(F.col("n"), F.col("ds")).alias("hint"))
+
+
+@register("received_local")
+def q_received_local(spark, sf):
+    m = fx.mails_e(spark, sf)
+    return m.select("uid", TX.received_local("received").alias("received_local"))
+
+
+# ---- mail sources ----------------------------------------------------------------
+
+SENDERS = ["ccsvc@message.cmbchina.com", "95555@message.cmbchina.com"]
+
+
+@register("mail_scan")
+def q_mail_scan(spark, sf):
+    return mail.mail_scan(fx.mails_e(spark, sf))
+
+
+@register("incremental_scan")
+def q_incremental_scan(spark, sf):
+    return mail.incremental_scan(fx.mails_e(spark, sf), 500).select("uid", "msg_id")
+
+
+@register("scan_newest_n")
+def q_scan_newest_n(spark, sf):
+    return mail.scan_newest_n(fx.mails_e(spark, sf), 500, 100).select("uid", "msg_id")
+
+
+@register("mail_search")
+def q_mail_search(spark, sf):
+    return mail.mail_search(fx.mails_e(spark, sf), SENDERS, since="2024/01/10")
+
+
+@register("sender_union")
+def q_sender_union(spark, sf):
+    return mail.sender_union(fx.mails_e(spark, sf), SENDERS, since="2024/01/10")
+
+
+@register("recent_mail_count")
+def q_recent_mail_count(spark, sf):
+    return mail.recent_mail_count(fx.mails_e(spark, sf), fx.AS_OF, 7)
+
+
+def _log_and_batch(spark, sf):
+    m = fx.mails_e(spark, sf)
+    log = m.filter(F.col("received") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    new = m.filter(F.col("received") >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+    return log, new
+
+
+@register("mail_dedup")
+def q_mail_dedup(spark, sf):
+    log, new = _log_and_batch(spark, sf)
+    return mail.mail_dedup(new, log).select("msg_id", "uid")
+
+
+@register("mail_log_upsert")
+def q_mail_log_upsert(spark, sf):
+    log, new = _log_and_batch(spark, sf)
+    log = log.select("msg_id", "uid", F.lit("parsed").alias("status"))
+    new = new.select("msg_id", "uid", F.lit("reparsed").alias("status"))
+    return mail.mail_log_upsert(log, new)
+
+
+# ---- extraction ------------------------------------------------------------------
+
+@register("mail_route")
+def q_mail_route(spark, sf):
+    return extract.mail_route(fx.mails_e(spark, sf))
+
+
+@register("digest_extract")
+def q_digest_extract(spark, sf):
+    rows = extract.digest_extract(fx.digests_e(spark, sf))
+    return rows.select("source_msg_id", "card_last4", "txn_time", F.col("amount").cast("double").alias("amount"),
+                       "action", "direction", "merchant_raw", "merchant_key", "channel",
+                       F.col("avail_credit").cast("double").alias("avail_credit"), "points", "fingerprint")
+
+
+def _mail_status(spark, sf):
+    mails = fx.mails_e(spark, sf)
+    routed = extract.mail_route(mails)
+    # mails of the raw log carry no digest body: a claimed digest yields 0 rows
+    counts = extract.digest_extract(mails.select(F.col("msg_id").alias("source_msg_id"),
+                                                 F.lit(None).cast("string").alias("html"))) \
+        .groupBy(F.col("source_msg_id").alias("msg_id")).agg(F.count(F.lit(1)).alias("n"))
+    counts = routed.select("uid", "msg_id").join(counts, "msg_id").select("uid", "n")
+    norm = extract.alert_normalise(fx.alerts_e(spark, sf))
+    ai = norm.select(F.substring("source_msg_id", 2, 20).cast("bigint").alias("uid"),
+                     F.col("error").isNull().alias("kept"))
+    return extract.mail_status(routed, counts, ai)
+
+
+@register("mail_status")
+def q_mail_status(spark, sf):
+    return _mail_status(spark, sf)
+
+
+@register("ingest_stats")
+def q_ingest_stats(spark, sf):
+    return mail.ingest_stats(_mail_status(spark, sf))
+
+
+@register("alert_route")
+def q_alert_route(spark, sf):
+    _, ledger = extract.alert_route(extract.alert_normalise(fx.alerts_e(spark, sf)), "debit")
+    return ledger.select("source_msg_id", "card_last4", "card_type", "txn_time",
+                         F.col("amount").cast("double").alias("amount"), "action", "direction",
+                         "merchant_raw", "merchant_key", "channel", "fingerprint")
