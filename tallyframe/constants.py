@@ -114,3 +114,15 @@ PAGE_DEPOSITS = 500
 PAGE_PENDING = 20
 RECENT_PER_MERCHANT = 20
 CLASSIFY_BATCH = 40
+
+# ---- fixed values: notifier ------------------------------------------------------
+UNCERTAIN_STATUSES = ("pending", "suggested")
+OPERATION_LABELS = {
+    "merge": "合并",
+    "offset": "抵消",
+    "void": "不计入",
+    "split": "拆分",
+}
+NOTIFY_CHANNEL = "weixin"
+CATEGORY_SRC_AI = "hermes"
+CATEGORY_SRC_MANUAL = "manual"

@@ -271,3 +271,147 @@ def text_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("event_id") % len(actions) + 1).cast("int")).alias("action"),
         raw.alias("merchant_raw"),
         amount_txt.alias("amount_text"))
+
+
+# ---- small dimension tables (configuration-sized) -------------------------------------
+
+def categories_v(spark: SparkSession) -> DataFrame:
+    """Category dimension: four in use, one inactive, one never used."""
+    return spark.createDataFrame(
+        [("cat1", "k1", "d1", 1, 0), ("cat2", "k2", "d2", 1, 1), ("cat3", "k3", "d3", 1, 2),
+         ("cat4", "k4", "d4", 0, 3), ("cat9", "k9", "d9", 1, 4)],
+        "name string, key string, descr string, active int, sort int")
+
+
+def knowledge_v(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [(1, "merchant", "shop1", "t1", "cat1"), (2, "global", None, "t2", "cat4"),
+         (3, "merchant", "shop2", "t3", None), (4, "merchant", "shop3", "t4", "cat9")],
+        "id bigint, scope string, merchant_key string, text string, category string")
+
+
+# ---- advice and suggestions derived from the ledger -----------------------------------
+
+OPS4 = ("merge", "offset", "void", "split")
+
+
+def suggestions_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored operation advice for every sixth live row of ``ledger_e``."""
+    le = ledger_e(spark, sf_dir).filter(~F.col("voided") & (F.col("id") % 6 == 0))
+    return le.select(
+        F.col("id").alias("transaction_id"),
+        F.element_at(F.array(*[F.lit(o) for o in OPS4]), (F.col("id") % 4 + 1).cast("int")).alias("operation"),
+        F.concat(F.lit("["), F.col("id").cast("string"), F.lit(", "), (F.col("id") + 1).cast("string"),
+                 F.lit("]")).alias("related_transaction_ids"),
+        F.concat(F.lit("r"), (F.col("id") % 5).cast("string")).alias("reason"))
+
+
+def advice_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open merchants of ``ledger_e`` with their classification batch (40 per batch)."""
+    from .operators.advice import open_merchants
+    m = open_merchants(ledger_e(spark, sf_dir))
+    return m.withColumn("batch_id", F.floor(F.substring("merchant_key", 5, 10).cast("int") / 40).cast("bigint"))
+
+
+def advice_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classifier reply per batch, derived from the ledger (see FIXTURES)."""
+    le = ledger_e(spark, sf_dir)
+    m = advice_merchants(spark, sf_dir)
+    per = (le.join(m, "merchant_key", "left_semi").groupBy("merchant_key")
+           .agg(F.max_by(F.when(~F.col("voided"), F.col("id")), F.when(~F.col("voided"), F.struct("txn_time", "id")))
+                .alias("latest"),
+                F.max(F.when(F.col("voided"), F.col("id"))).alias("dead")))
+    second = (le.filter(~F.col("voided")).join(per.select("merchant_key", "latest"), "merchant_key")
+              .filter(F.col("id") != F.col("latest"))
+              .groupBy("merchant_key").agg(F.max_by("id", F.struct("txn_time", "id")).alias("second")))
+    a = m.join(per, "merchant_key").join(second, "merchant_key", "left")
+    k = F.substring("merchant_key", 5, 10).cast("int")
+    r7 = k % 7
+    key = F.when(r7 == 3, F.concat(F.col("merchant_key"), F.lit(" (3笔)"))).otherwise(F.col("merchant_key"))
+    cat = _map_col(r7, {0: "cat1", 1: "catX", 3: "cat2", 4: "cat3", 5: "cat1", 6: "cat4"})
+    op = _map_col(r7, {0: "none", 1: "void", 3: "merge", 4: "none", 5: "delete", 6: "offset"})
+    ids = (F.when(r7 == 1, F.array(F.col("latest")))
+           .when(r7 == 3, F.array(F.col("latest"), F.col("second")))
+           .when(r7 == 5, F.array(F.col("latest")))
+           .when(r7 == 6, F.array(F.col("dead")))
+           .otherwise(F.array().cast("array<bigint>")))
+    rows = a.filter(r7 != 2).select(
+        "batch_id", key.alias("adv_key"), k.cast("bigint").alias("pos"), cat.alias("category"), op.alias("operation"),
+        ids.alias("related_ids"),
+        F.when(op != "none", F.concat(F.lit(" r"), r7.cast("string"), F.lit(" "))).otherwise(F.lit("")).alias("reason"))
+    generic = m.select("batch_id").distinct().select(
+        "batch_id", F.lit("sho").alias("adv_key"), F.lit(99).cast("bigint").alias("pos"),
+        F.lit("cat9").alias("category"), F.lit("none").alias("operation"),
+        F.array().cast("array<bigint>").alias("related_ids"), F.lit("").alias("reason"))
+    return rows.unionByName(generic)
+
+
+# ---- command tables derived from the ledgers ---------------------------------------------
+
+EDIT_OPS = ("void", "restore", "set_category", "set_note", "confirm")
+
+
+def commands_o(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit commands over ``ledger_o``: one per order, a second and third on some."""
+    o = read_table(spark, sf_dir, "orders")
+    op = F.element_at(F.array(*[F.lit(x) for x in EDIT_OPS]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    payload = (F.when(op == "set_category", F.concat(F.lit("cat"), (F.col("o_custkey") % 3 + 1).cast("string")))
+               .when(op == "set_note", F.concat(F.lit("n"), F.col("o_orderkey").cast("string"))))
+    first = o.select(F.col("o_orderkey").alias("txn_id"), (F.col("o_orderkey") * 3).alias("seq"),
+                     op.alias("op"), payload.alias("payload"))
+    second = o.filter(F.col("o_orderkey") % 7 == 0).select(
+        F.col("o_orderkey").alias("txn_id"), (F.col("o_orderkey") * 3 + 1).alias("seq"),
+        F.lit("set_category").alias("op"), F.lit("2-HIGH").alias("payload"))
+    third = o.filter(F.col("o_orderkey") % 11 == 0).select(
+        F.col("o_orderkey").alias("txn_id"), (F.col("o_orderkey") * 3 + 2).alias("seq"),
+        F.when(F.col("o_orderkey") % 2 == 0, "void").otherwise("restore").alias("op"),
+        F.lit(None).cast("string").alias("payload"))
+    return first.unionByName(second).unionByName(third)
+
+
+def splits_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split request for every expense of ``ledger_e`` (some invalid on purpose)."""
+    le = ledger_e(spark, sf_dir).filter(F.col("direction") == "expense")
+    ten = F.lit(10).cast("decimal(18,2)")
+    amounts = (F.when(F.col("id") % 13 == 0, F.array(F.col("amount")))
+               .when(F.col("id") % 13 == 1, F.array(ten, F.col("amount")))
+               .otherwise(F.array(ten, (F.col("amount") - ten).cast("decimal(18,2)"))))
+    return le.select(F.col("id").alias("request_id"), F.col("id").alias("txn_id"), amounts.alias("amounts"))
+
+
+def merge_ids_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge request members: one request per (card, merchant, ISO week); some ids listed twice."""
+    le = ledger_e(spark, sf_dir)
+    rid = F.concat_ws("-", "card_last4", "merchant_key", F.weekofyear("txn_time").cast("string"))
+    base = le.select(rid.alias("request_id"), (F.col("id") * 2).alias("pos"), "id")
+    dup = le.filter(F.col("id") % 29 == 0).select(rid.alias("request_id"), (F.col("id") * 2 + 1).alias("pos"), "id")
+    return base.unionByName(dup)
+
+
+def merges_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge request attributes, one row per request."""
+    ids = merge_ids_e(spark, sf_dir).select("request_id").distinct()
+    card = F.substring("request_id", 1, 4)
+    week = F.substring_index("request_id", "-", -1).cast("int")
+    return ids.select(
+        "request_id",
+        F.when(week % 2 == 0, F.lit("cat1")).alias("category"),
+        F.concat(F.lit("merge "), F.col("request_id")).alias("note"),
+        F.when(F.contains("request_id", F.lit("shop4")), F.lit("2024-02")).alias("month"),
+        F.when(F.substring(card, 4, 1) == "7", F.lit("offset")).alias("expected_operation"))
+
+
+def op_requests_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operation requests for the pre-checks, one per ``ledger_e`` row."""
+    le = ledger_e(spark, sf_dir)
+    i = F.col("id")
+    op = F.element_at(F.array(*[F.lit(x) for x in ("merge", "offset", "void", "split", "delete")]),
+                      (i % 5 + 1).cast("int"))
+    ids = (F.when(i % 3 == 0, F.array(i)).when(i % 3 == 1, F.array(i, i + 1))
+           .otherwise(F.array().cast("array<bigint>")))
+    amounts = (F.when(i % 4 == 0, F.array(F.lit(10).cast("decimal(18,2)"), F.lit(20).cast("decimal(18,2)")))
+               .when(i % 4 == 1, F.array(F.lit(10).cast("decimal(18,2)"))))
+    cat = F.element_at(F.array(F.lit("cat1"), F.lit("cat4"), F.lit("catX"), F.lit(None).cast("string")),
+                       (i % 4 + 1).cast("int"))
+    return le.select(i.alias("request_id"), op.alias("operation"), ids.alias("ids"), amounts.alias("amounts"),
+                     cat.alias("category"))

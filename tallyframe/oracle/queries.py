@@ -387,3 +387,315 @@ SELECT source_msg_id, card_last4, 'debit' AS card_type, t AS txn_time, CAST(amt
   CASE WHEN has_dash AND head IN ({_chs}) AND rest <> '' THEN head END AS channel,
   sha1(concat_ws('|', card_last4, strftime(t, '%Y-%m-%d %H:%M:%S'), CAST(amt AS VARCHAR), merchant_raw, action)) AS fingerprint
 FROM s""")
+
+# ---- advice ----------------------------------------------------------------------
+
+ORACLE["pending_merchants"] = with_views(["ledger_e", "suggestions_e"], f"""
+SELECT t.merchant_key, count(*) AS n,
+  {money('sum(CASE WHEN t.amount > 0 THEN t.amount ELSE 0 END)')} AS spend,
+  max(t.merchant_raw) AS sample, max(t.card_type) AS card,
+  max(CASE WHEN t.status = 'suggested' THEN t.category END) AS suggested,
+  max(s.operation) AS suggested_operation, max(s.related_transaction_ids) AS suggested_related_ids,
+  max(s.reason) AS suggested_operation_reason
+FROM ledger_e t LEFT JOIN suggestions_e s ON s.transaction_id = t.id
+WHERE t.status IN ('pending', 'suggested') AND NOT t.voided AND t.merchant_key IS NOT NULL
+GROUP BY t.merchant_key""")
+
+ORACLE["pending_header"] = with_views(["ledger_e", "suggestions_e"], """
+WITH pm AS (
+  SELECT t.merchant_key, count(*) AS n, max(CASE WHEN t.status = 'suggested' THEN t.category END) AS suggested
+  FROM ledger_e t LEFT JOIN suggestions_e s ON s.transaction_id = t.id
+  WHERE t.status IN ('pending', 'suggested') AND NOT t.voided AND t.merchant_key IS NOT NULL
+  GROUP BY t.merchant_key)
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_rows,
+  count(*) FILTER (WHERE suggested IS NOT NULL) AS with_ai, count(*) FILTER (WHERE suggested IS NULL) AS without_ai
+FROM pm""")
+
+PICK_COLS = ("merchant_key, adv_key, category, operation, "
+             "array_to_string(list_transform(related_ids, lambda x: CAST(x AS VARCHAR)), ',') AS related_ids")
+ACTIVE = "(SELECT name FROM categories_v WHERE active = 1)"
+ORACLE["advice_prefix_join"] = with_views(["adv_picked"], f"SELECT {PICK_COLS} FROM adv_picked")
+ORACLE["advice_valid"] = with_views(["adv_picked", "categories_v"],
+                                    f"SELECT {PICK_COLS} FROM adv_picked WHERE category IN {ACTIVE}")
+ORACLE["advice_uncertain"] = with_views(
+    ["adv_picked", "categories_v"],
+    f"SELECT {PICK_COLS} FROM adv_picked WHERE category IS NULL OR category NOT IN {ACTIVE}")
+
+ORACLE["merchant_recent20"] = with_views(["ledger_e"], """
+WITH om AS (SELECT DISTINCT merchant_key FROM ledger_e
+            WHERE status IN ('pending', 'suggested') AND NOT voided AND merchant_key IS NOT NULL),
+r AS (SELECT merchant_key, id, CAST(amount AS DOUBLE) AS amount, txn_time, direction, card_last4,
+        row_number() OVER (PARTITION BY merchant_key ORDER BY txn_time DESC, id DESC) AS rn
+      FROM ledger_e WHERE NOT voided AND merchant_key IN (SELECT merchant_key FROM om))
+SELECT merchant_key, id, amount, txn_time, direction, card_last4, CAST(rn AS BIGINT) AS rn FROM r WHERE rn <= 20""")
+
+EDIT_OUT = "id, voided, category, category_src, status, note"
+
+
+def _merchant_update(dec_sql: str, mode: str) -> str:
+    if mode == "suggest":
+        on = "d.merchant_key IS NOT NULL AND l.status IN ('pending', 'suggested')"
+        cat, src, st = "d.category", "'hermes'", "'suggested'"
+    elif mode == "clear":
+        on = "d.merchant_key IS NOT NULL AND l.status = 'suggested'"
+        cat, src, st = "NULL", "NULL", "'pending'"
+    else:
+        on = "d.merchant_key IS NOT NULL AND l.status IN ('pending', 'suggested')"
+        cat, src, st = "d.category", "'manual'", "'confirmed'"
+    return with_views(["ledger_e", "adv_picked", "categories_v"], f"""
+WITH d AS ({dec_sql})
+SELECT l.id, l.voided, CASE WHEN {on} THEN {cat} ELSE l.category END AS category,
+  CASE WHEN {on} THEN {src} ELSE l.category_src END AS category_src,
+  CASE WHEN {on} THEN {st} ELSE l.status END AS status, l.note
+FROM ledger_e l LEFT JOIN d ON d.merchant_key = l.merchant_key""")
+
+
+VALID_DEC = f"SELECT merchant_key, category FROM adv_picked WHERE category IN {ACTIVE}"
+UNSURE_DEC = f"SELECT merchant_key, NULL AS category FROM adv_picked WHERE category IS NULL OR category NOT IN {ACTIVE}"
+ORACLE["merchant_suggest"] = _merchant_update(VALID_DEC, "suggest")
+ORACLE["merchant_clear"] = _merchant_update(UNSURE_DEC, "clear")
+ORACLE["merchant_confirm"] = _merchant_update(VALID_DEC, "confirm")
+
+ORACLE["classify_apply"] = with_views(["ledger_e", "adv_picked", "categories_v"], f"""
+WITH d AS (SELECT merchant_key, category, 'suggest' AS act FROM ({VALID_DEC})
+           UNION ALL SELECT merchant_key, category, 'clear' AS act FROM ({UNSURE_DEC})),
+j AS (SELECT l.*, d.act, d.category AS dcat,
+        (d.act = 'suggest' AND l.status IN ('pending', 'suggested')) AS sug,
+        (d.act = 'clear' AND l.status = 'suggested') AS clr
+      FROM ledger_e l LEFT JOIN d ON d.merchant_key = l.merchant_key)
+SELECT id, voided,
+  CASE WHEN sug THEN dcat WHEN clr THEN NULL ELSE category END AS category,
+  CASE WHEN sug THEN 'hermes' WHEN clr THEN NULL ELSE category_src END AS category_src,
+  CASE WHEN sug THEN 'suggested' WHEN clr THEN 'pending' ELSE status END AS status, note
+FROM j""")
+
+SUGG_SQL = f"""
+WITH reqs AS (
+  SELECT unnest(related_ids) AS transaction_id, operation, related_ids, reason FROM adv_picked
+  WHERE operation IN ('merge', 'offset', 'void', 'split') AND related_ids IS NOT NULL
+  UNION ALL
+  SELECT l.id, 'none', CAST([] AS BIGINT[]), '' FROM ledger_e l
+  WHERE l.status IN ('pending', 'suggested') AND NOT l.voided
+    AND l.merchant_key IN (SELECT merchant_key FROM adv_picked WHERE operation = 'none')),
+norm0 AS (
+  SELECT *, CASE WHEN list_contains(related_ids, transaction_id) THEN related_ids
+                 ELSE list_prepend(transaction_id, related_ids) END AS l0 FROM reqs),
+norm AS (SELECT *, list_filter(l0, lambda x, i: list_position(l0, x) = i) AS ids FROM norm0),
+ups AS (
+  SELECT transaction_id, arg_max({{'operation': operation, 'ids': ids, 'reason': reason}},
+                                 {{'operation': operation, 'ids': ids}}) AS u
+  FROM norm WHERE operation <> 'none' GROUP BY transaction_id),
+up AS (SELECT transaction_id, u.operation AS operation, u.ids AS ids, u.reason AS reason FROM ups),
+chk AS (
+  SELECT x.transaction_id, bool_and(coalesce(NOT lv.voided, false)) AS all_live
+  FROM (SELECT transaction_id, unnest(ids) AS ref FROM up) x
+  LEFT JOIN ledger_e lv ON lv.id = x.ref AND NOT lv.voided
+  GROUP BY x.transaction_id),
+good AS (SELECT up.* FROM up JOIN chk USING (transaction_id) WHERE all_live),
+bad AS (SELECT up.transaction_id, up.operation, 'transaction not found or voided' AS error
+        FROM up JOIN chk USING (transaction_id) WHERE NOT all_live),
+newrows AS (
+  SELECT transaction_id, operation,
+    '[' || array_to_string(list_transform(ids, lambda x: CAST(x AS VARCHAR)), ', ') || ']' AS related_transaction_ids,
+    {strip_sql("coalesce(reason, '')")} AS reason
+  FROM good),
+kept AS (
+  SELECT * FROM suggestions_e
+  WHERE transaction_id NOT IN (SELECT transaction_id FROM norm WHERE operation = 'none')
+    AND transaction_id NOT IN (SELECT transaction_id FROM newrows))"""
+ORACLE["suggestion_upsert"] = with_views(["ledger_e", "adv_picked", "suggestions_e"],
+                                         SUGG_SQL + "\nSELECT * FROM kept UNION ALL SELECT * FROM newrows")
+ORACLE["suggestion_invalid"] = with_views(["ledger_e", "adv_picked", "suggestions_e"], SUGG_SQL + "\nSELECT * FROM bad")
+
+# ---- notify ----------------------------------------------------------------------
+
+QUEUE_SQL = """
+SELECT l.id, l.card_type, l.card_last4, l.txn_time, l.status, l.category, l.merchant_raw, l.amount,
+  s.operation AS suggested_operation, s.related_transaction_ids AS suggested_related_ids, s.reason AS suggested_reason
+FROM ledger_e l LEFT JOIN suggestions_e s ON s.transaction_id = l.id
+WHERE l.notify_status IS NULL AND NOT l.voided"""
+ORACLE["notify_queue"] = with_views(["ledger_e", "suggestions_e"], f"""
+WITH q AS ({QUEUE_SQL})
+SELECT id, card_type, card_last4, txn_time, status, category, merchant_raw, CAST(amount AS DOUBLE) AS amount,
+  suggested_operation, suggested_related_ids, suggested_reason FROM q""")
+
+_labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.OPERATION_LABELS.items())
+ORACLE["notify_digest"] = with_views(["ledger_e", "suggestions_e"], f"""
+WITH q AS ({QUEUE_SQL}),
+rows AS (
+  SELECT card_type, card_last4, txn_time, id, 0 AS sub,
+    ' #' || CAST(id AS VARCHAR) || ' ¥' || CAST(amount AS VARCHAR) || ' ' || substr(coalesce(merchant_raw, ''), 1, 18) || ' ' ||
+    CASE WHEN category IS NOT NULL AND category <> '' THEN '→ ' || category ||
+              CASE WHEN status IN ('pending', 'suggested') THEN '（AI建议，请确认）' ELSE '' END
+         ELSE '→ ❓待分类' END AS line,
+    status IN ('pending', 'suggested') AS need_confirm
+  FROM q),
+g AS (SELECT card_type, card_last4, min({{'t': txn_time, 'i': id}}) AS g FROM q GROUP BY 1, 2),
+adv AS (
+  SELECT q.*, g.g, CAST(suggested_related_ids AS BIGINT[]) AS ids FROM q JOIN g USING (card_type, card_last4)
+  WHERE suggested_operation IN ('merge', 'offset', 'void', 'split')),
+adv2 AS (SELECT * FROM adv WHERE len(ids) > 0),
+once AS (
+  SELECT suggested_operation, ids,
+    arg_min({{'card_type': card_type, 'card_last4': card_last4, 'txn_time': txn_time, 'id': id, 'reason': suggested_reason}},
+            {{'a': card_type, 'b': g, 'c': txn_time, 'd': id}}) AS r
+  FROM adv2 GROUP BY suggested_operation, ids),
+o2 AS (
+  SELECT r.card_type AS card_type, r.card_last4 AS card_last4, r.txn_time AS txn_time, r.id AS id,
+    CASE suggested_operation {_labels} END AS label,
+    array_to_string(list_transform(ids, lambda v: '#' || CAST(v AS VARCHAR)), ' ') AS id_text,
+    coalesce(nullif(r.reason, ''), '识别到可能的账务操作') AS reason
+  FROM once)
+SELECT * FROM rows
+UNION ALL SELECT card_type, card_last4, txn_time, id, 1, '   💡 建议' || label || ' ' || id_text || '：' || reason, false FROM o2
+UNION ALL SELECT card_type, card_last4, txn_time, id, 2, '   如需执行，请回复“确认' || label || ' ' || id_text || '”', false FROM o2""")
+
+ORACLE["ledger_after_notify"] = with_views(["ledger_e", "suggestions_e"], f"""
+WITH q AS ({QUEUE_SQL})
+SELECT l.id, CASE WHEN q.id IS NOT NULL THEN 'sent' ELSE l.notify_status END AS notify_status,
+  CASE WHEN q.id IS NOT NULL THEN TIMESTAMP '2024-01-31 00:00:00' ELSE l.notified_at END AS notified_at
+FROM ledger_e l LEFT JOIN q ON q.id = l.id""")
+
+ORACLE["freshness"] = with_views(["ledger_e", "deposits_e", "mails_typed", "categories_v", "knowledge_v"], """
+SELECT
+  (SELECT max(txn_time) FROM ledger_e WHERE NOT voided AND card_type = 'credit') AS last_credit_txn,
+  (SELECT max(txn_time) FROM ledger_e WHERE NOT voided AND card_type = 'debit') AS last_debit_txn,
+  (SELECT count(*) FROM ledger_e WHERE notify_status = 'sent') AS notify_sent,
+  (SELECT max(notified_at) FROM ledger_e WHERE notify_status = 'sent') AS notify_last,
+  (SELECT count(*) FROM deposits_e) AS deposits_n,
+  (SELECT max(txn_time) FROM deposits_e) AS deposits_last,
+  (SELECT max(received) FROM mails_typed WHERE email_type = 'credit_daily') AS last_credit_email,
+  (SELECT count(*) FROM categories_v WHERE active = 1) AS categories_n,
+  (SELECT count(*) FROM knowledge_v) AS knowledge_n""")
+
+# ---- ingest upserts ----------------------------------------------------------------
+
+ORACLE["txn_insert_ignore"] = with_views(["ledger_e"], """
+WITH b AS (
+  SELECT *, id AS arrival FROM ledger_e WHERE txn_time >= TIMESTAMP '2024-01-15 00:00:00'
+  UNION ALL SELECT *, id + 1000000000 FROM ledger_e WHERE txn_time >= TIMESTAMP '2024-01-25 00:00:00'),
+f AS (SELECT fingerprint, arg_min(id, arrival) AS id FROM b GROUP BY fingerprint)
+SELECT id, fingerprint, 'pending' AS status, CAST(NULL AS VARCHAR) AS category FROM f
+WHERE fingerprint NOT IN (SELECT fingerprint FROM ledger_e WHERE txn_time < TIMESTAMP '2024-01-20 00:00:00')""")
+
+ORACLE["deposit_insert_ignore"] = with_views(["deposits_e"], """
+WITH b AS (
+  SELECT *, id AS arrival FROM deposits_e WHERE txn_time >= TIMESTAMP '2024-01-15 00:00:00'
+  UNION ALL SELECT *, id + 1000000000 FROM deposits_e WHERE txn_time >= TIMESTAMP '2024-01-25 00:00:00'),
+f AS (SELECT source_msg_id, arg_min({'id': id, 'amount': amount}, arrival) AS r FROM b GROUP BY source_msg_id)
+SELECT r.id AS id, source_msg_id, CAST(r.amount AS DOUBLE) AS amount FROM f
+WHERE source_msg_id NOT IN (SELECT source_msg_id FROM deposits_e WHERE txn_time < TIMESTAMP '2024-01-20 00:00:00')""")
+
+ORACLE["category_seed_upsert"] = """
+WITH pr AS (SELECT DISTINCT o_orderpriority AS p, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS num FROM orders),
+ex AS (SELECT 'p' || CAST(num AS VARCHAR) AS key, p AS name, 'old' AS descr, num % 2 AS active, 10 - num AS sort
+       FROM pr WHERE p <> '4-NOT SPECIFIED'),
+sd AS (SELECT 'p' || CAST(num AS VARCHAR) AS key, lower(p) AS name, 'seed ' || p AS descr, num - 1 AS position FROM pr)
+SELECT coalesce(ex.key, sd.key) AS key, coalesce(sd.name, ex.name) AS name, coalesce(sd.descr, ex.descr) AS descr,
+  coalesce(ex.active, 1) AS active, CAST(coalesce(sd.position, ex.sort) AS BIGINT) AS sort
+FROM ex FULL OUTER JOIN sd ON ex.key = sd.key"""
+
+ORACLE["orphan_check"] = with_views(["ledger_e", "mails_e"], """
+SELECT id, source_msg_id FROM ledger_e
+WHERE source_msg_id IS NOT NULL AND source_msg_id NOT IN (SELECT msg_id FROM mails_e)""")
+
+# ---- commands ----------------------------------------------------------------------
+
+
+def _edits(where: str) -> str:
+    return with_views(["ledger_o", "commands_o"], f"""
+WITH c AS (SELECT * FROM commands_o WHERE {where}),
+pr AS (
+  SELECT txn_id AS id,
+    arg_max(op = 'void', seq) FILTER (WHERE op IN ('void', 'restore')) AS v,
+    arg_max(payload, seq) FILTER (WHERE op = 'set_category') AS cat,
+    arg_max(payload, seq) FILTER (WHERE op = 'set_note') AS nt,
+    bool_or(op IN ('set_category', 'confirm')) AS conf,
+    bool_or(op = 'set_category') AS man
+  FROM c GROUP BY txn_id)
+SELECT l.id, coalesce(pr.v, l.voided) AS voided, coalesce(pr.cat, l.category) AS category,
+  CASE WHEN coalesce(pr.man, false) THEN 'manual' ELSE l.category_src END AS category_src,
+  CASE WHEN coalesce(pr.conf, false) THEN 'confirmed' ELSE l.status END AS status,
+  coalesce(pr.nt, l.note) AS note
+FROM ledger_o l LEFT JOIN pr ON pr.id = l.id""")
+
+
+ORACLE["ledger_after_void"] = _edits("op IN ('void', 'restore')")
+ORACLE["ledger_after_edit"] = _edits("true")
+
+ORACLE["command_validate"] = with_views(["op_requests_e", "categories_v"], f"""
+SELECT request_id, operation,
+  CASE WHEN operation IN ('merge', 'offset') AND coalesce(len(ids), 0) < 2 THEN 'need at least two transactions'
+       WHEN operation = 'void' AND coalesce(len(ids), 0) <> 1 THEN 'void takes exactly one transaction'
+       WHEN operation = 'split' AND coalesce(len(ids), 0) <> 1 THEN 'split takes exactly one transaction'
+       WHEN operation = 'split' AND coalesce(len(amounts), 0) < 2 THEN 'split needs at least two amounts'
+       WHEN operation NOT IN ('merge', 'offset', 'void', 'split') THEN 'unsupported operation'
+       WHEN category IS NOT NULL AND category NOT IN {ACTIVE} THEN 'unknown category' END AS error
+FROM op_requests_e""").replace("SELECT request_id, operation,\n  CASE", "SELECT request_id, operation, err IS NULL AS ok, err AS error FROM (SELECT request_id, operation,\n  CASE", 1).replace(
+    "END AS error\nFROM op_requests_e", "END AS err\nFROM op_requests_e)")
+
+SPLIT_SQL = """
+sp AS (
+  SELECT s.request_id, s.txn_id, s.amounts, p.amount AS parent_amount, p.voided,
+    CASE WHEN p.id IS NULL THEN 'not found' WHEN p.voided THEN 'voided'
+         WHEN len(s.amounts) < 2 THEN 'need at least two parts'
+         WHEN abs(list_sum(s.amounts) - p.amount) > 0.01 THEN 'parts do not sum' END AS err
+  FROM splits_e s LEFT JOIN ledger_e p ON p.id = s.txn_id),
+good AS (SELECT * FROM sp WHERE err IS NULL),
+kids AS (
+  SELECT g.txn_id, unnest(g.amounts) AS part, generate_subscripts(g.amounts, 1) - 1 AS pos FROM good g),
+children AS (
+  SELECT 1000000000000 + k.txn_id * 100 + k.pos AS id, l.fingerprint || '#s' || CAST(k.pos AS VARCHAR) AS fingerprint,
+    l.card_last4, l.card_type, l.txn_time, CAST(k.part AS DECIMAL(18,2)) AS amount, l.direction, l.action,
+    l.merchant_raw, l.merchant_key, false AS voided, 'pending' AS status, '拆自 #' || CAST(k.txn_id AS VARCHAR) AS note
+  FROM kids k JOIN ledger_e l ON l.id = k.txn_id)"""
+ORACLE["split_children"] = with_views(["ledger_e", "splits_e"], "WITH " + SPLIT_SQL + """
+SELECT id, fingerprint, txn_time, CAST(amount AS DOUBLE) AS amount, merchant_key, status, note FROM children""")
+ORACLE["split_then_pair"] = with_views(["ledger_e", "splits_e"], "WITH " + SPLIT_SQL + """,
+split_ledger AS (
+  SELECT l.id, l.card_last4, l.txn_time, l.amount, l.direction, l.merchant_key,
+    (l.voided OR l.id IN (SELECT txn_id FROM good)) AS voided FROM ledger_e l
+  UNION ALL SELECT id, card_last4, txn_time, amount, direction, merchant_key, voided FROM children),""" +
+    PAIRS_SQL.format(view="split_ledger") + """
+SELECT id AS refund_id, pair_id AS expense_id, card_last4, merchant_key,
+       CAST(abs(amount) AS DOUBLE) AS amount, txn_time AS refund_time
+FROM ann WHERE direction = 'refund' AND pair_id IS NOT NULL""")
+
+MERGE_SQL = f"""
+rows AS (SELECT i.request_id, i.pos, l.* FROM merge_ids_e i JOIN ledger_e l ON l.id = i.id AND NOT l.voided),
+agg AS (
+  SELECT request_id, count(*) AS n, round(sum(amount), 2) AS net,
+    arg_min({{'id': id, 'card_last4': card_last4, 'txn_time': txn_time, 'merchant_key': merchant_key}},
+            {{'t': txn_time, 'p': pos}}) AS first,
+    min({period(15)}) AS first_period
+  FROM rows GROUP BY request_id),
+res AS (
+  SELECT m.*, coalesce(a.n, 0) AS n, a.net, a.first, a.first_period,
+    CASE WHEN coalesce(a.n, 0) < 2 THEN 'need at least two live transactions'
+         WHEN m.expected_operation = 'offset' AND abs(a.net) >= 0.01 THEN 'net is not zero: cannot offset' END AS err
+  FROM merges_e m LEFT JOIN agg a ON a.request_id = m.request_id)"""
+ORACLE["merge_net"] = with_views(["ledger_e", "merge_ids_e", "merges_e"], "WITH " + MERGE_SQL + """
+SELECT 2000000000000 + first.id AS id, first.txn_time AS txn_time, CAST(net AS DOUBLE) AS amount,
+  CASE WHEN net < 0 THEN 'refund' ELSE 'expense' END AS direction,
+  coalesce(month, first_period) AS effective_month,
+  CASE WHEN category IS NOT NULL THEN 'confirmed' ELSE 'pending' END AS status, category,
+  first.merchant_key AS merchant_key, first.card_last4 AS card_last4
+FROM res WHERE err IS NULL AND abs(net) >= 0.01""")
+ORACLE["merge_offset"] = with_views(["ledger_e", "merge_ids_e", "merges_e"], "WITH " + MERGE_SQL + """
+SELECT request_id, CAST(n AS BIGINT) AS count FROM res WHERE err IS NULL AND abs(net) < 0.01""")
+ORACLE["offset_rejected"] = with_views(["ledger_e", "merge_ids_e", "merges_e"], "WITH " + MERGE_SQL + """
+SELECT request_id, err AS error, CAST(n AS BIGINT) AS count FROM res WHERE err IS NOT NULL""")
+
+ORACLE["category_rename"] = with_views(["ledger_e"], """
+SELECT id, CASE WHEN category = 'cat1' THEN '餐饮' ELSE category END AS category FROM ledger_e""")
+
+ORACLE["category_delete"] = with_views(["ledger_e", "categories_v"], """
+WITH k AS (SELECT * FROM (VALUES ('k1'), ('k4'), ('k9'), ('kX')) t(key)),
+r AS (SELECT k.key, c.name FROM k LEFT JOIN categories_v c ON c.key = k.key),
+u AS (SELECT category AS name, count(*) AS live_n FROM ledger_e WHERE NOT voided AND category IS NOT NULL GROUP BY 1),
+j AS (SELECT r.key, r.name, coalesce(u.live_n, 0) AS live_n FROM r LEFT JOIN u ON u.name = r.name)
+SELECT key, name,
+  CASE WHEN name IS NULL THEN 'category not found' WHEN live_n > 0 THEN 'category still in use' END IS NULL AS ok,
+  CASE WHEN name IS NULL THEN 'category not found' WHEN live_n > 0 THEN 'category still in use' END AS error,
+  CAST(live_n AS BIGINT) AS live_n
+FROM j""")

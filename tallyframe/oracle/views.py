@@ -200,3 +200,118 @@ FROM alert_src
 VIEWS["alert_kept"] = (["alert_norm"], """
 SELECT * FROM alert_norm WHERE error IS NOT NULL OR (type <> 'ignore' AND amount > 0)
 """)
+
+VIEWS["categories_v"] = ([], """
+SELECT * FROM (VALUES ('cat1', 'k1', 'd1', 1, 0), ('cat2', 'k2', 'd2', 1, 1), ('cat3', 'k3', 'd3', 1, 2),
+  ('cat4', 'k4', 'd4', 0, 3), ('cat9', 'k9', 'd9', 1, 4)) t(name, key, descr, active, sort)
+""")
+
+VIEWS["knowledge_v"] = ([], """
+SELECT * FROM (VALUES (1, 'merchant', 'shop1', 't1', 'cat1'), (2, 'global', NULL, 't2', 'cat4'),
+  (3, 'merchant', 'shop2', 't3', NULL), (4, 'merchant', 'shop3', 't4', 'cat9')) t(id, scope, merchant_key, text, category)
+""")
+
+VIEWS["suggestions_e"] = (["ledger_e"], """
+SELECT id AS transaction_id, (['merge', 'offset', 'void', 'split'])[CAST(id % 4 + 1 AS INTEGER)] AS operation,
+  '[' || CAST(id AS VARCHAR) || ', ' || CAST(id + 1 AS VARCHAR) || ']' AS related_transaction_ids,
+  'r' || CAST(id % 5 AS VARCHAR) AS reason
+FROM ledger_e WHERE NOT voided AND id % 6 = 0
+""")
+
+VIEWS["advice_merchants"] = (["ledger_e"], """
+SELECT DISTINCT merchant_key, CAST(floor(CAST(substr(merchant_key, 5, 10) AS INTEGER) / 40) AS BIGINT) AS batch_id
+FROM ledger_e WHERE status IN ('pending', 'suggested') AND NOT voided AND merchant_key IS NOT NULL
+""")
+
+VIEWS["adv_per"] = (["advice_merchants"], """
+SELECT merchant_key, arg_max(id, (txn_time, id)) FILTER (WHERE NOT voided) AS latest,
+  max(id) FILTER (WHERE voided) AS dead
+FROM ledger_e WHERE merchant_key IN (SELECT merchant_key FROM advice_merchants) GROUP BY merchant_key
+""")
+
+VIEWS["adv_second"] = (["adv_per"], """
+SELECT l.merchant_key, arg_max(l.id, (l.txn_time, l.id)) AS second
+FROM ledger_e l JOIN adv_per p ON p.merchant_key = l.merchant_key
+WHERE NOT l.voided AND l.id <> p.latest GROUP BY l.merchant_key
+""")
+
+VIEWS["advice_e"] = (["adv_second"], """
+SELECT m.batch_id,
+  CASE WHEN k % 7 = 3 THEN m.merchant_key || ' (3笔)' ELSE m.merchant_key END AS adv_key,
+  CAST(k AS BIGINT) AS pos,
+  CASE k % 7 WHEN 0 THEN 'cat1' WHEN 1 THEN 'catX' WHEN 3 THEN 'cat2' WHEN 4 THEN 'cat3' WHEN 5 THEN 'cat1'
+       WHEN 6 THEN 'cat4' END AS category,
+  CASE k % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'void' WHEN 3 THEN 'merge' WHEN 4 THEN 'none' WHEN 5 THEN 'delete'
+       WHEN 6 THEN 'offset' END AS operation,
+  CASE k % 7 WHEN 1 THEN [p.latest] WHEN 3 THEN [p.latest, s.second] WHEN 5 THEN [p.latest] WHEN 6 THEN [p.dead]
+       ELSE CAST([] AS BIGINT[]) END AS related_ids,
+  CASE WHEN k % 7 IN (0, 4) THEN '' ELSE ' r' || CAST(k % 7 AS VARCHAR) || ' ' END AS reason
+FROM (SELECT *, CAST(substr(merchant_key, 5, 10) AS INTEGER) AS k FROM advice_merchants) m
+JOIN adv_per p ON p.merchant_key = m.merchant_key
+LEFT JOIN adv_second s ON s.merchant_key = m.merchant_key
+WHERE k % 7 <> 2
+UNION ALL
+SELECT DISTINCT batch_id, 'sho', CAST(99 AS BIGINT), 'cat9', 'none', CAST([] AS BIGINT[]), '' FROM advice_merchants
+""")
+
+VIEWS["adv_picked"] = (["advice_e"], """
+WITH ex AS (
+  SELECT m.merchant_key, a.adv_key, a.category, a.operation, a.related_ids, a.reason
+  FROM advice_merchants m JOIN advice_e a ON a.batch_id = m.batch_id AND a.adv_key = m.merchant_key),
+fz AS (
+  SELECT m.merchant_key,
+    arg_min({'adv_key': a.adv_key, 'category': a.category, 'operation': a.operation,
+             'related_ids': a.related_ids, 'reason': a.reason}, a.pos) AS x
+  FROM advice_merchants m JOIN advice_e a ON a.batch_id = m.batch_id
+    AND (starts_with(a.adv_key, m.merchant_key) OR starts_with(m.merchant_key, a.adv_key))
+  WHERE m.merchant_key NOT IN (SELECT merchant_key FROM ex)
+  GROUP BY m.merchant_key),
+p AS (
+  SELECT * FROM ex
+  UNION ALL SELECT merchant_key, x.adv_key, x.category, x.operation, x.related_ids, x.reason FROM fz)
+SELECT m.merchant_key, m.batch_id, p.adv_key, p.category, p.operation, p.related_ids, p.reason
+FROM advice_merchants m LEFT JOIN p ON p.merchant_key = m.merchant_key
+""")
+
+VIEWS["commands_o"] = ([], """
+SELECT o_orderkey AS txn_id, o_orderkey * 3 AS seq,
+  (['void', 'restore', 'set_category', 'set_note', 'confirm'])[CAST(o_orderkey % 5 + 1 AS INTEGER)] AS op,
+  CASE o_orderkey % 5 WHEN 2 THEN 'cat' || CAST(o_custkey % 3 + 1 AS VARCHAR)
+       WHEN 3 THEN 'n' || CAST(o_orderkey AS VARCHAR) END AS payload
+FROM orders
+UNION ALL SELECT o_orderkey, o_orderkey * 3 + 1, 'set_category', '2-HIGH' FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT o_orderkey, o_orderkey * 3 + 2, CASE WHEN o_orderkey % 2 = 0 THEN 'void' ELSE 'restore' END, NULL
+FROM orders WHERE o_orderkey % 11 = 0
+""")
+
+VIEWS["splits_e"] = (["ledger_e"], """
+SELECT id AS request_id, id AS txn_id,
+  CASE WHEN id % 13 = 0 THEN [amount] WHEN id % 13 = 1 THEN [CAST(10 AS DECIMAL(18,2)), amount]
+       ELSE [CAST(10 AS DECIMAL(18,2)), CAST(amount - 10 AS DECIMAL(18,2))] END AS amounts
+FROM ledger_e WHERE direction = 'expense'
+""")
+
+VIEWS["merge_ids_e"] = (["ledger_e"], """
+SELECT card_last4 || '-' || merchant_key || '-' || CAST(weekofyear(txn_time) AS VARCHAR) AS request_id, id * 2 AS pos, id
+FROM ledger_e
+UNION ALL
+SELECT card_last4 || '-' || merchant_key || '-' || CAST(weekofyear(txn_time) AS VARCHAR), id * 2 + 1, id
+FROM ledger_e WHERE id % 29 = 0
+""")
+
+VIEWS["merges_e"] = (["merge_ids_e"], """
+SELECT request_id,
+  CASE WHEN CAST(split_part(request_id, '-', 3) AS INTEGER) % 2 = 0 THEN 'cat1' END AS category,
+  'merge ' || request_id AS note,
+  CASE WHEN contains(request_id, 'shop4') THEN '2024-02' END AS month,
+  CASE WHEN substr(request_id, 4, 1) = '7' THEN 'offset' END AS expected_operation
+FROM (SELECT DISTINCT request_id FROM merge_ids_e)
+""")
+
+VIEWS["op_requests_e"] = (["ledger_e"], """
+SELECT id AS request_id, (['merge', 'offset', 'void', 'split', 'delete'])[CAST(id % 5 + 1 AS INTEGER)] AS operation,
+  CASE id % 3 WHEN 0 THEN [id] WHEN 1 THEN [id, id + 1] ELSE CAST([] AS BIGINT[]) END AS ids,
+  CASE id % 4 WHEN 0 THEN [CAST(10 AS DECIMAL(18,2)), CAST(20 AS DECIMAL(18,2))] WHEN 1 THEN [CAST(10 AS DECIMAL(18,2))] END AS amounts,
+  (['cat1', 'cat4', 'catX', NULL])[CAST(id % 4 + 1 AS INTEGER)] AS category
+FROM ledger_e
+""")

@@ -379,3 +379,252 @@ def q_alert_route(spark, sf):
     return ledger.select("source_msg_id", "card_last4", "card_type", "txn_time",
                          F.col("amount").cast("double").alias("amount"), "action", "direction",
                          "merchant_raw", "merchant_key", "channel", "fingerprint")
+
+
+# ---- advice ----------------------------------------------------------------------
+
+from ..operators import advice as ADV  # noqa: E402
+from ..operators import commands as CMD  # noqa: E402
+from ..operators import notify as NT  # noqa: E402
+from ..sources import ingest as ING  # noqa: E402
+from ..sources import sinks  # noqa: E402
+
+EDIT_COLS = ["id", "voided", "category", "category_src", "status", "note"]
+
+
+def _picked(spark, sf):
+    return ADV.advice_pick(fx.advice_merchants(spark, sf), fx.advice_e(spark, sf))
+
+
+def _pick_cols(df):
+    return df.select("merchant_key", "adv_key", "category", "operation",
+                     F.array_join(F.transform("related_ids", lambda x: x.cast("string")), ",").alias("related_ids"))
+
+
+@register("pending_merchants")
+def q_pending_merchants(spark, sf):
+    return reports.pending_merchants(fx.ledger_e(spark, sf), fx.suggestions_e(spark, sf))
+
+
+@register("pending_header")
+def q_pending_header(spark, sf):
+    return reports.pending_header(reports.pending_merchants(fx.ledger_e(spark, sf), fx.suggestions_e(spark, sf)))
+
+
+@register("advice_prefix_join")
+def q_advice_prefix_join(spark, sf):
+    return _pick_cols(_picked(spark, sf))
+
+
+@register("advice_valid")
+def q_advice_valid(spark, sf):
+    return _pick_cols(ADV.advice_valid(_picked(spark, sf), fx.categories_v(spark)))
+
+
+@register("advice_uncertain")
+def q_advice_uncertain(spark, sf):
+    return _pick_cols(ADV.advice_uncertain(_picked(spark, sf), fx.categories_v(spark)))
+
+
+@register("merchant_recent20")
+def q_merchant_recent20(spark, sf):
+    le = fx.ledger_e(spark, sf)
+    return ADV.merchant_recent(le, ADV.open_merchants(le), 20)
+
+
+@register("merchant_suggest")
+def q_merchant_suggest(spark, sf):
+    dec = ADV.advice_valid(_picked(spark, sf), fx.categories_v(spark)).select("merchant_key", "category")
+    return ADV.merchant_suggest(fx.ledger_e(spark, sf), dec).select(*EDIT_COLS)
+
+
+@register("merchant_clear")
+def q_merchant_clear(spark, sf):
+    unsure = ADV.advice_uncertain(_picked(spark, sf), fx.categories_v(spark)).select("merchant_key")
+    return ADV.merchant_clear(fx.ledger_e(spark, sf), unsure).select(*EDIT_COLS)
+
+
+@register("merchant_confirm")
+def q_merchant_confirm(spark, sf):
+    dec = ADV.advice_valid(_picked(spark, sf), fx.categories_v(spark)).select("merchant_key", "category")
+    return ADV.merchant_confirm(fx.ledger_e(spark, sf), dec).select(*EDIT_COLS)
+
+
+@register("classify_apply")
+def q_classify_apply(spark, sf):
+    out, _ = ADV.classify_apply(fx.ledger_e(spark, sf), fx.advice_merchants(spark, sf), fx.advice_e(spark, sf),
+                                fx.categories_v(spark))
+    return out.select(*EDIT_COLS)
+
+
+def _suggestions(spark, sf):
+    le = fx.ledger_e(spark, sf)
+    reqs = ADV.suggestion_requests(_picked(spark, sf), le)
+    return ADV.suggestion_upsert(fx.suggestions_e(spark, sf), reqs, le)
+
+
+@register("suggestion_upsert")
+def q_suggestion_upsert(spark, sf):
+    return _suggestions(spark, sf)[0]
+
+
+@register("suggestion_invalid")
+def q_suggestion_invalid(spark, sf):
+    return _suggestions(spark, sf)[1]
+
+
+# ---- notify ----------------------------------------------------------------------
+
+@register("notify_queue")
+def q_notify_queue(spark, sf):
+    q = NT.notify_queue(fx.ledger_e(spark, sf), fx.suggestions_e(spark, sf))
+    return q.withColumn("amount", F.col("amount").cast("double"))
+
+
+@register("notify_digest")
+def q_notify_digest(spark, sf):
+    return NT.notify_digest(NT.notify_queue(fx.ledger_e(spark, sf), fx.suggestions_e(spark, sf)))
+
+
+@register("ledger_after_notify")
+def q_ledger_after_notify(spark, sf):
+    le = fx.ledger_e(spark, sf)
+    sent = NT.notify_queue(le, fx.suggestions_e(spark, sf)).select("id")
+    return CMD.mark_notified(le, sent, fx.AS_OF).select("id", "notify_status", "notified_at")
+
+
+@register("freshness")
+def q_freshness(spark, sf):
+    mails = mail.mail_scan(fx.mails_e(spark, sf)).withColumnRenamed("received", "fetched_at")
+    return reports.freshness(fx.ledger_e(spark, sf), fx.deposits_e(spark, sf), mails,
+                             fx.categories_v(spark), fx.knowledge_v(spark))
+
+
+# ---- ingest upserts ----------------------------------------------------------------
+
+def _cut(df, lo=None, hi=None):
+    if lo:
+        df = df.filter(F.col("txn_time") >= F.lit(lo).cast("timestamp_ntz"))
+    if hi:
+        df = df.filter(F.col("txn_time") < F.lit(hi).cast("timestamp_ntz"))
+    return df
+
+
+def _redelivered(df):
+    first = _cut(df, lo="2024-01-15 00:00:00").withColumn("arrival", F.col("id"))
+    again = _cut(df, lo="2024-01-25 00:00:00").withColumn("arrival", F.col("id") + 10 ** 9)
+    return first.unionByName(again)
+
+
+@register("txn_insert_ignore")
+def q_txn_insert_ignore(spark, sf):
+    le = fx.ledger_e(spark, sf)
+    ins = ING.txn_insert_ignore(_cut(le, hi="2024-01-20 00:00:00"), _redelivered(le))
+    return ins.select("id", "fingerprint", "status", "category")
+
+
+@register("deposit_insert_ignore")
+def q_deposit_insert_ignore(spark, sf):
+    d = fx.deposits_e(spark, sf)
+    ins = ING.deposit_insert_ignore(_cut(d, hi="2024-01-20 00:00:00"), _redelivered(d))
+    return ins.select("id", "source_msg_id", F.col("amount").cast("double").alias("amount"))
+
+
+def _orders_categories(spark, sf):
+    pr = read_table(spark, sf, "orders").select("o_orderpriority").distinct()
+    num = F.substring("o_orderpriority", 1, 1).cast("int")
+    existing = (pr.filter(F.col("o_orderpriority") != "4-NOT SPECIFIED")
+                .select(F.concat(F.lit("p"), num.cast("string")).alias("key"), F.col("o_orderpriority").alias("name"),
+                        F.lit("old").alias("descr"), (num % 2).alias("active"), (10 - num).alias("sort")))
+    seed = pr.select(F.concat(F.lit("p"), num.cast("string")).alias("key"),
+                     F.lower("o_orderpriority").alias("name"),
+                     F.concat(F.lit("seed "), F.col("o_orderpriority")).alias("descr"), (num - 1).alias("position"))
+    return existing, seed
+
+
+@register("category_seed_upsert")
+def q_category_seed_upsert(spark, sf):
+    existing, seed = _orders_categories(spark, sf)
+    return ING.category_seed_upsert(existing, seed)
+
+
+@register("orphan_check")
+def q_orphan_check(spark, sf):
+    return ING.orphan_check(fx.ledger_e(spark, sf), fx.mails_e(spark, sf))
+
+
+@register("ledger_json_export")
+def q_ledger_json_export(spark, sf):
+    return sinks.as_json_rows(listing.listing_columns(fx.ledger_e(spark, sf)))
+
+
+# ---- commands ----------------------------------------------------------------------
+
+@register("ledger_after_void")
+def q_ledger_after_void(spark, sf):
+    c = fx.commands_o(spark, sf).filter(F.col("op").isin("void", "restore"))
+    return CMD.apply_edits(fx.ledger_o(spark, sf), c).select(*EDIT_COLS)
+
+
+@register("ledger_after_edit")
+def q_ledger_after_edit(spark, sf):
+    return CMD.apply_edits(fx.ledger_o(spark, sf), fx.commands_o(spark, sf)).select(*EDIT_COLS)
+
+
+@register("command_validate")
+def q_command_validate(spark, sf):
+    return CMD.command_validate(fx.op_requests_e(spark, sf), fx.categories_v(spark))
+
+
+def _split(spark, sf):
+    return CMD.split_apply(fx.ledger_e(spark, sf), fx.splits_e(spark, sf))
+
+
+@register("split_children")
+def q_split_children(spark, sf):
+    _, kids, _ = _split(spark, sf)
+    return kids.select("id", "fingerprint", "txn_time", F.col("amount").cast("double").alias("amount"),
+                       "merchant_key", "status", "note")
+
+
+@register("split_then_pair")
+def q_split_then_pair(spark, sf):
+    _, _, led = _split(spark, sf)
+    return matching.refund_pairs(led)
+
+
+def _merge(spark, sf):
+    return CMD.merge_apply(fx.ledger_e(spark, sf), fx.merge_ids_e(spark, sf), fx.merges_e(spark, sf), start_day=15)
+
+
+@register("merge_net")
+def q_merge_net(spark, sf):
+    res, rows, _ = _merge(spark, sf)
+    return rows.select("id", "txn_time", F.col("amount").cast("double").alias("amount"), "direction",
+                       "effective_month", "status", "category", "merchant_key", "card_last4")
+
+
+@register("merge_offset")
+def q_merge_offset(spark, sf):
+    res, _, led = _merge(spark, sf)
+    return res.filter("offset").select("request_id", "count")
+
+
+@register("offset_rejected")
+def q_offset_rejected(spark, sf):
+    res, _, _ = _merge(spark, sf)
+    return res.filter(~F.col("ok")).select("request_id", "error", "count")
+
+
+@register("category_rename")
+def q_category_rename(spark, sf):
+    ren = spark.createDataFrame([("cat1", "餐饮"), ("cat3", "cat3")], "old_name string, new_name string")
+    led, _ = CMD.category_rename(fx.ledger_e(spark, sf), fx.knowledge_v(spark), ren)
+    return led.select("id", "category")
+
+
+@register("category_delete")
+def q_category_delete(spark, sf):
+    keys = spark.createDataFrame([("k1",), ("k4",), ("k9",), ("kX",)], "key string")
+    res, _, _, _ = CMD.category_delete(fx.ledger_e(spark, sf), fx.knowledge_v(spark), fx.categories_v(spark), keys)
+    return res
