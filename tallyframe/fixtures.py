@@ -44,20 +44,17 @@ LEDGER_COLUMNS = [
 
 
 def _finish_ledger(df: DataFrame) -> DataFrame:
-    """Fill the ledger columns the fixtures do not vary and fix the column order."""
+    """Fill the ledger columns the fixtures do not vary and fix the column order (one projection)."""
     base = {
         "currency": F.lit("CNY"), "balance": F.lit(None).cast("decimal(18,2)"),
         "avail_credit": F.lit(None).cast("decimal(18,2)"), "points": F.lit(None).cast("bigint"),
         "category_src": F.lit(None).cast("string"), "notified_at": F.lit(None).cast("timestamp_ntz"),
         "offset_of": F.lit(None).cast("bigint"), "merged_into": F.lit(None).cast("bigint"),
         "note": F.lit(None).cast("string"),
+        "fingerprint": fingerprint("card_last4", "txn_time", "amount", "merchant_raw", "action"),
     }
-    for name, c in base.items():
-        if name not in df.columns:
-            df = df.withColumn(name, c)
-    df = df.withColumn("fingerprint", fingerprint("card_last4", "txn_time", "amount",
-                                                  "merchant_raw", "action"))
-    return df.select(*LEDGER_COLUMNS)
+    cols = [F.col(c) if c in df.columns else base[c].alias(c) for c in LEDGER_COLUMNS]
+    return df.select(*cols)
 
 
 def _events_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,24 +311,22 @@ def advice_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def advice_e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A classifier reply per batch, derived from the ledger (see FIXTURES)."""
+    """A classifier reply per batch, derived from the ledger in one aggregate pass."""
     le = ledger_e(spark, sf_dir)
     m = advice_merchants(spark, sf_dir)
+    live = ~F.col("voided")
     per = (le.join(m, "merchant_key", "left_semi").groupBy("merchant_key")
-           .agg(F.max_by(F.when(~F.col("voided"), F.col("id")), F.when(~F.col("voided"), F.struct("txn_time", "id")))
-                .alias("latest"),
+           .agg(F.max_by(F.when(live, F.col("id")), F.when(live, F.struct("txn_time", "id"))).alias("latest"),
+                F.min_by(F.when(live, F.col("id")), F.when(live, F.struct("txn_time", "id"))).alias("earliest"),
                 F.max(F.when(F.col("voided"), F.col("id"))).alias("dead")))
-    second = (le.filter(~F.col("voided")).join(per.select("merchant_key", "latest"), "merchant_key")
-              .filter(F.col("id") != F.col("latest"))
-              .groupBy("merchant_key").agg(F.max_by("id", F.struct("txn_time", "id")).alias("second")))
-    a = m.join(per, "merchant_key").join(second, "merchant_key", "left")
+    a = m.join(per, "merchant_key")
     k = F.substring("merchant_key", 5, 10).cast("int")
     r7 = k % 7
     key = F.when(r7 == 3, F.concat(F.col("merchant_key"), F.lit(" (3笔)"))).otherwise(F.col("merchant_key"))
     cat = _map_col(r7, {0: "cat1", 1: "catX", 3: "cat2", 4: "cat3", 5: "cat1", 6: "cat4"})
     op = _map_col(r7, {0: "none", 1: "void", 3: "merge", 4: "none", 5: "delete", 6: "offset"})
     ids = (F.when(r7 == 1, F.array(F.col("latest")))
-           .when(r7 == 3, F.array(F.col("latest"), F.col("second")))
+           .when(r7 == 3, F.array(F.col("latest"), F.col("earliest")))
            .when(r7 == 5, F.array(F.col("latest")))
            .when(r7 == 6, F.array(F.col("dead")))
            .otherwise(F.array().cast("array<bigint>")))

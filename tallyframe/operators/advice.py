@@ -44,24 +44,22 @@ def advice_pick(merchants: DataFrame, advice: DataFrame) -> DataFrame:
 
     Exact key first; otherwise the first key (by reply position) where either
     string is a prefix of the other. ``merchants``: (merchant_key, batch_id).
+    One equi-join on the batch (bounded: a batch holds at most the batch size
+    of merchants and keys) and one ``min_by`` per merchant ranking an exact
+    match before any prefix match.
     """
-    exact = merchants.join(advice.withColumnRenamed("adv_key", "merchant_key"), ["batch_id", "merchant_key"])
-    exact = exact.withColumn("adv_key", F.col("merchant_key"))
-    rest = merchants.join(exact.select("merchant_key"), "merchant_key", "left_anti")
-    a = advice.alias("a")
-    m = rest.alias("m")
-    cond = ((F.col("m.batch_id") == F.col("a.batch_id"))
-            & (F.startswith(F.col("a.adv_key"), F.col("m.merchant_key"))
-               | F.startswith(F.col("m.merchant_key"), F.col("a.adv_key"))))
-    fuzzy = (m.join(a, cond)
-             .groupBy(F.col("m.merchant_key").alias("merchant_key"), F.col("m.batch_id").alias("batch_id"))
-             .agg(F.min_by(F.struct("a.adv_key", "a.category", "a.operation", "a.related_ids", "a.reason"),
-                           F.col("a.pos")).alias("x"))
-             .select("merchant_key", "batch_id", "x.*"))
-    cols = ["merchant_key", "batch_id", "adv_key", "category", "operation", "related_ids", "reason"]
-    picked = exact.select(*cols).unionByName(fuzzy.select(*cols))
-    # merchants without any matching key get an empty advice row
-    return merchants.join(picked.drop("batch_id"), "merchant_key", "left")
+    a = advice.select("batch_id", "adv_key", "pos", "category", "operation", "related_ids", "reason")
+    m = merchants.select("merchant_key", "batch_id")
+    exact = F.col("adv_key") == F.col("merchant_key")
+    prefix = F.startswith(F.col("adv_key"), F.col("merchant_key")) | F.startswith(F.col("merchant_key"),
+                                                                                  F.col("adv_key"))
+    cand = m.join(a, "batch_id").filter(exact | prefix)
+    best = (cand.groupBy("merchant_key")
+            .agg(F.min_by(F.struct("adv_key", "category", "operation", "related_ids", "reason"),
+                          F.struct((~exact).alias("fuzzy"), F.col("pos"))).alias("x"))
+            .select("merchant_key", "x.*"))
+    # merchants without any matching key keep an empty advice row
+    return m.join(best, "merchant_key", "left")
 
 
 def advice_valid(picked: DataFrame, categories: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.fence import fence
 from ..functions.text import (direction_of, fingerprint, html_to_lines, json_object_text, mail_type,
                               merchant_split, parse_amount, parse_int, strip_ws)
 
@@ -27,42 +28,38 @@ def _first_index_or_null(seq: Column, pred) -> Column:
     return F.when(F.size(hits) > 0, F.element_at(hits, 1))
 
 
-def digest_header(lines: Column) -> Column:
-    """(avail_credit, points, date_iso) of a digest's header; all null without a date line."""
-    n = F.size(lines)
-    idx = F.sequence(F.lit(0), n - 1)
-    at = lambda i: F.element_at(lines, i + 1)
-    date_i = _first_index_or_null(idx, lambda i: at(i).rlike(K.RE_DATE))
-    avail_i = _first_index_or_null(idx, lambda i: (i < date_i) & at(i).rlike(K.RE_AVAIL))
-    points_i = _first_index_or_null(idx, lambda i: (i > avail_i) & (i < date_i) & at(i).rlike(K.RE_POINTS))
-    date_line = at(date_i)
-    date_iso = F.concat_ws("-", F.regexp_extract(date_line, K.RE_DATE, 1),
-                           F.regexp_extract(date_line, K.RE_DATE, 2),
-                           F.regexp_extract(date_line, K.RE_DATE, 3))
-    return F.struct(
-        F.when(date_i.isNotNull(), parse_amount(F.regexp_extract(at(avail_i), K.RE_AVAIL, 1))).alias("avail_credit"),
-        F.when(date_i.isNotNull(), parse_int(F.regexp_extract(at(points_i), K.RE_POINTS, 1))).alias("points"),
-        F.when(date_i.isNotNull(), date_iso).alias("date_iso"),
-    )
+def line_kinds(lines: Column) -> Column:
+    """Classify every line once against each digest pattern (array of flag structs)."""
+    return F.transform(lines, lambda ln: F.struct(
+        ln.rlike(K.RE_TIME).alias("time"), ln.rlike(K.RE_AMOUNT).alias("amount"),
+        ln.rlike(K.RE_DETAIL).alias("detail"), ln.rlike(K.RE_DATE).alias("date"),
+        ln.rlike(K.RE_AVAIL).alias("avail"), ln.rlike(K.RE_POINTS).alias("points")))
+
+
+def _kind(kinds: Column, i, flag: str) -> Column:
+    return F.element_at(kinds, i + 1)[flag]
 
 
-def digest_triples(lines: Column) -> Column:
-    """Accepted (time, amount, detail) line-index triples of a digest body."""
-    n = F.size(lines)
+def digest_triples(kinds: Column) -> Column:
+    """Accepted (time, amount, detail) line-index triples of a digest body.
+
+    Works on the per-line flags, so each look-up inside the look-ahead window is
+    an array access, not a regex evaluation.
+    """
+    n = F.size(kinds)
     idx = F.sequence(F.lit(0), n - 1)
-    at = lambda i: F.element_at(lines, i + 1)
     look = K.DIGEST_LOOKAHEAD
+    empty = F.array().cast("array<int>")
 
     def candidate(i):
-        window = F.sequence(i + 1, F.least(i + look, n - 1))
-        ja = _first_index_or_null(F.when(i + 1 <= n - 1, window).otherwise(F.array().cast("array<int>")),
-                                  lambda j: at(j).rlike(K.RE_AMOUNT))
-        jd = _first_index_or_null(F.when(i + 1 <= n - 1, window).otherwise(F.array().cast("array<int>")),
-                                  lambda j: (j > ja) & at(j).rlike(K.RE_DETAIL))
+        window = F.when(i + 1 <= n - 1, F.sequence(i + 1, F.least(i + look, n - 1))).otherwise(empty)
+        ja = _first_index_or_null(window, lambda j: _kind(kinds, j, "amount"))
+        # the detail must follow the amount inside the same window
+        jd = F.element_at(F.filter(window, lambda j: (j > ja) & _kind(kinds, j, "detail")), 1)
         return F.struct(i.alias("i"), ja.alias("ja"), jd.alias("jd"))
 
-    times = F.filter(idx, lambda i: at(i).rlike(K.RE_TIME))
-    cands = F.filter(F.transform(times, candidate), lambda c: c["jd"].isNotNull())
+    times = F.filter(idx, lambda i: _kind(kinds, i, "time"))
+    cands = F.filter(F.transform(times, candidate), lambda c: c["ja"].isNotNull() & c["jd"].isNotNull())
     init = F.struct(F.lit(0).alias("free"),
                     F.array().cast("array<struct<i:int,ja:int,jd:int>>").alias("out"))
     folded = F.aggregate(
@@ -75,12 +72,30 @@ def digest_triples(lines: Column) -> Column:
 
 
 def digest_extract(mails: DataFrame, html_col: str = "html", id_col: str = "source_msg_id") -> DataFrame:
-    """Digest mails -> transaction rows (C4). Mails without a date line give no rows."""
-    m = mails.select(F.col(id_col).alias("source_msg_id"), html_to_lines(F.col(html_col)).alias("lines"))
-    m = m.select("source_msg_id", "lines", digest_header(F.col("lines")).alias("h"))
-    m = m.filter(F.col("h.date_iso").isNotNull())
-    t = m.select("source_msg_id", "lines", "h", F.explode(digest_triples(F.col("lines"))).alias("t"))
+    """Digest mails -> transaction rows (C4). Mails without a date line give no rows.
+
+    Steps are separate projections so that every per-mail value (lines, line
+    flags, header indexes) is computed once and then referenced.
+    """
+    m = fence(mails.select(F.col(id_col).alias("source_msg_id"), html_to_lines(F.col(html_col)).alias("lines")))
+    m = fence(m.withColumn("kinds", line_kinds(F.col("lines"))))
+    idx = F.sequence(F.lit(0), F.size("kinds") - 1)
+    kinds = F.col("kinds")
+    m = fence(m.withColumn("date_i", _first_index_or_null(idx, lambda i: _kind(kinds, i, "date"))))
+    m = m.filter(F.col("date_i").isNotNull())
+    m = m.withColumn("avail_i", _first_index_or_null(
+        idx, lambda i: (i < F.col("date_i")) & _kind(kinds, i, "avail")))
+    m = fence(m.withColumn("points_i", _first_index_or_null(
+        idx, lambda i: (i > F.col("avail_i")) & (i < F.col("date_i")) & _kind(kinds, i, "points"))))
     at = lambda c: F.element_at(F.col("lines"), F.col(c) + 1)
+    date_line = at("date_i")
+    m = m.withColumn("h", F.struct(
+        parse_amount(F.regexp_extract(at("avail_i"), K.RE_AVAIL, 1)).alias("avail_credit"),
+        parse_int(F.regexp_extract(at("points_i"), K.RE_POINTS, 1)).alias("points"),
+        F.concat_ws("-", F.regexp_extract(date_line, K.RE_DATE, 1), F.regexp_extract(date_line, K.RE_DATE, 2),
+                    F.regexp_extract(date_line, K.RE_DATE, 3)).alias("date_iso")))
+    m = fence(m)
+    t = m.select("source_msg_id", "lines", "h", F.explode(digest_triples(F.col("kinds"))).alias("t"))
     detail = at("t.jd")
     raw = strip_ws(F.regexp_extract(detail, K.RE_DETAIL, 3))
     action = F.regexp_extract(detail, K.RE_DETAIL, 2)
@@ -119,7 +134,7 @@ def alert_normalise(replies: DataFrame, received_col: str = "received", reply_co
     back to the received minute; strings are trimmed with null -> ''.
     """
     j = F.from_json(json_object_text(F.col(reply_col)), ALERT_JSON)
-    r = replies.withColumn("j", j)
+    r = fence(replies.withColumn("j", j))
     typ = F.col("j.type")
     amount = F.round(F.col("j.amount").try_cast("double"), 2)
     err = (F.when(~F.coalesce(typ.isin(*K.ALERT_TYPES), F.lit(False)), F.lit("invalid type"))

@@ -225,17 +225,12 @@ FROM ledger_e WHERE status IN ('pending', 'suggested') AND NOT voided AND mercha
 
 VIEWS["adv_per"] = (["advice_merchants"], """
 SELECT merchant_key, arg_max(id, (txn_time, id)) FILTER (WHERE NOT voided) AS latest,
+  arg_min(id, (txn_time, id)) FILTER (WHERE NOT voided) AS earliest,
   max(id) FILTER (WHERE voided) AS dead
 FROM ledger_e WHERE merchant_key IN (SELECT merchant_key FROM advice_merchants) GROUP BY merchant_key
 """)
 
-VIEWS["adv_second"] = (["adv_per"], """
-SELECT l.merchant_key, arg_max(l.id, (l.txn_time, l.id)) AS second
-FROM ledger_e l JOIN adv_per p ON p.merchant_key = l.merchant_key
-WHERE NOT l.voided AND l.id <> p.latest GROUP BY l.merchant_key
-""")
-
-VIEWS["advice_e"] = (["adv_second"], """
+VIEWS["advice_e"] = (["adv_per"], """
 SELECT m.batch_id,
   CASE WHEN k % 7 = 3 THEN m.merchant_key || ' (3笔)' ELSE m.merchant_key END AS adv_key,
   CAST(k AS BIGINT) AS pos,
@@ -243,12 +238,11 @@ SELECT m.batch_id,
        WHEN 6 THEN 'cat4' END AS category,
   CASE k % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'void' WHEN 3 THEN 'merge' WHEN 4 THEN 'none' WHEN 5 THEN 'delete'
        WHEN 6 THEN 'offset' END AS operation,
-  CASE k % 7 WHEN 1 THEN [p.latest] WHEN 3 THEN [p.latest, s.second] WHEN 5 THEN [p.latest] WHEN 6 THEN [p.dead]
+  CASE k % 7 WHEN 1 THEN [p.latest] WHEN 3 THEN [p.latest, p.earliest] WHEN 5 THEN [p.latest] WHEN 6 THEN [p.dead]
        ELSE CAST([] AS BIGINT[]) END AS related_ids,
   CASE WHEN k % 7 IN (0, 4) THEN '' ELSE ' r' || CAST(k % 7 AS VARCHAR) || ' ' END AS reason
 FROM (SELECT *, CAST(substr(merchant_key, 5, 10) AS INTEGER) AS k FROM advice_merchants) m
 JOIN adv_per p ON p.merchant_key = m.merchant_key
-LEFT JOIN adv_second s ON s.merchant_key = m.merchant_key
 WHERE k % 7 <> 2
 UNION ALL
 SELECT DISTINCT batch_id, 'sho', CAST(99 AS BIGINT), 'cat9', 'none', CAST([] AS BIGINT[]), '' FROM advice_merchants

@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     # Driver tables hold timestamps without zone; keep them NTZ throughout.
     "spark.sql.timestampType": "TIMESTAMP_NTZ",
     "spark.ui.enabled": "false",
+    # Column call-site capture costs a Python stack walk per expression at build time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
