@@ -37,7 +37,13 @@ def line_kinds(lines: Column) -> Column:
 
 
 def _kind(kinds: Column, i, flag: str) -> Column:
-    return F.element_at(kinds, i + 1)[flag]
+    return F.try_element_at(kinds, i + 1)[flag]
+
+
+def _indices(arr: Column) -> Column:
+    """0 .. size-1 (empty for an empty array; ``sequence(0, -1)`` would count down)."""
+    n = F.size(arr)
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def digest_triples(kinds: Column) -> Column:
@@ -47,7 +53,7 @@ def digest_triples(kinds: Column) -> Column:
     an array access, not a regex evaluation.
     """
     n = F.size(kinds)
-    idx = F.sequence(F.lit(0), n - 1)
+    idx = _indices(kinds)
     look = K.DIGEST_LOOKAHEAD
     empty = F.array().cast("array<int>")
 
@@ -55,7 +61,7 @@ def digest_triples(kinds: Column) -> Column:
         window = F.when(i + 1 <= n - 1, F.sequence(i + 1, F.least(i + look, n - 1))).otherwise(empty)
         ja = _first_index_or_null(window, lambda j: _kind(kinds, j, "amount"))
         # the detail must follow the amount inside the same window
-        jd = F.element_at(F.filter(window, lambda j: (j > ja) & _kind(kinds, j, "detail")), 1)
+        jd = F.try_element_at(F.filter(window, lambda j: (j > ja) & _kind(kinds, j, "detail")), F.lit(1))
         return F.struct(i.alias("i"), ja.alias("ja"), jd.alias("jd"))
 
     times = F.filter(idx, lambda i: _kind(kinds, i, "time"))
@@ -79,7 +85,7 @@ def digest_extract(mails: DataFrame, html_col: str = "html", id_col: str = "sour
     """
     m = fence(mails.select(F.col(id_col).alias("source_msg_id"), html_to_lines(F.col(html_col)).alias("lines")))
     m = fence(m.withColumn("kinds", line_kinds(F.col("lines"))))
-    idx = F.sequence(F.lit(0), F.size("kinds") - 1)
+    idx = _indices(F.col("kinds"))
     kinds = F.col("kinds")
     m = fence(m.withColumn("date_i", _first_index_or_null(idx, lambda i: _kind(kinds, i, "date"))))
     m = m.filter(F.col("date_i").isNotNull())
