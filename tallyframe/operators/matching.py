@@ -79,7 +79,68 @@ def apply_pairing(ledger: DataFrame) -> DataFrame:
     return rest.unionByName(paired)
 
 
-def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float = 10.0) -> DataFrame:
+SWEEP_SCHEMA = ("kind string, refund_id bigint, expense_id bigint, card_last4 string, merchant_key string, "
+                "pid int, x long, t long")
+
+
+def _stack_sweep(batches):
+    """Per range partition: latest earlier expense with amount >= refund amount.
+
+    Rows arrive sorted by (card, merchant, time, kind, id) with expenses
+    (kind 0) before refunds (kind 1) at equal times. Per key a monotonic stack
+    keeps the expenses that can still be someone's answer (amounts strictly
+    decreasing from bottom to top, times increasing): an older expense whose
+    amount is not larger than a newer one can never be "the latest with
+    amount >= X". A refund's answer is the topmost entry with amount >= X,
+    found by bisection. Emits resolved pairs ('R'), refunds with no local
+    answer ('U'), and each key's final stack ('S') for the cross-partition
+    step. Linear in the rows of the partition; the stack is the only state.
+    """
+    import bisect
+
+    import pandas as pd
+
+    cur, neg, ids, ts, pid = None, [], [], [], None
+    out: list[tuple] = []
+
+    def flush():
+        if cur is not None:
+            for a, i_, t_ in zip(neg, ids, ts):
+                out.append(("S", None, i_, cur[0], cur[1], pid, -a, t_))
+
+    for pdf in batches:
+        cols = [pdf[c].tolist() for c in ("card_last4", "merchant_key", "kind", "id", "x", "t", "pid")]
+        for card, merch, kind, id_, x, t, p in zip(*cols):
+            pid = p
+            if (card, merch) != cur:
+                flush()
+                cur, neg, ids, ts = (card, merch), [], [], []
+            if kind == 0:
+                while neg and -neg[-1] <= x:
+                    neg.pop()
+                    ids.pop()
+                    ts.pop()
+                neg.append(-x)
+                ids.append(id_)
+                ts.append(t)
+            else:
+                k = bisect.bisect_right(neg, -x) - 1
+                if k >= 0:
+                    out.append(("R", id_, ids[k], card, merch, p, x, t))
+                else:
+                    out.append(("U", id_, None, card, merch, p, x, t))
+        if len(out) > 10000:
+            yield pd.DataFrame(out, columns=["kind", "refund_id", "expense_id", "card_last4", "merchant_key",
+                                             "pid", "x", "t"])
+            out = []
+    flush()
+    if out:
+        yield pd.DataFrame(out, columns=["kind", "refund_id", "expense_id", "card_last4", "merchant_key",
+                                         "pid", "x", "t"])
+
+
+def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float = 10.0,
+                     partitions: int | None = None) -> DataFrame:
     """Cross-period (expense, later refund) merge suggestions.
 
     Each live refund with |amount| >= ``min_refund`` takes the latest live
@@ -87,28 +148,42 @@ def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float =
     the refund (ties: larger id). The pick comes first; the result is kept only
     when the two raw billing periods differ. An expense may serve many refunds.
 
-    Plan: equi-join on (card, merchant) with the time/amount range as a join
-    condition, then one ``max_by`` per refund (partial aggregation before the
-    shuffle on refund id).
+    Plan (exact, no pair emission inside a group): expenses and qualifying
+    refunds are range-partitioned and sorted by (card, merchant, time), so a
+    hot (card, merchant) spans several tasks; each task runs a monotonic-stack
+    sweep (``_stack_sweep``). Refunds without a local answer are joined with
+    the final stacks of earlier partitions of the same key, the only place
+    their answer can be, and resolved with one ``max_by``.
     """
-    live = ledger.filter(~F.col("voided"))
-    r = (live.filter(_is_refund() & (F.abs(F.col("amount")) >= F.lit(min_refund)))
-         .select(F.col("id").alias("refund_id"), "card_last4", "merchant_key",
-                 F.col("txn_time").alias("refund_time"), F.col("amount").alias("refund_amount")))
-    e = (live.filter(F.col("direction") == "expense")
-         .select(F.col("id").alias("expense_id"), "card_last4", "merchant_key",
-                 F.col("txn_time").alias("expense_time"), F.col("amount").alias("expense_amount")))
-    cond = [r.card_last4 == e.card_last4, r.merchant_key == e.merchant_key,
-            e.expense_time <= r.refund_time, e.expense_id != r.refund_id,
-            e.expense_amount >= F.abs(r.refund_amount)]
-    j = r.join(e, cond, "inner")
-    best = (j.groupBy("refund_id")
-            .agg(F.max_by(F.struct("expense_id", "expense_time", "expense_amount"),
-                          F.struct("expense_time", "expense_id")).alias("e")))
-    out = (r.join(best, "refund_id")
-           .select("refund_id", r.merchant_key, "refund_time", "refund_amount",
-                   F.col("e.expense_id").alias("expense_id"), F.col("e.expense_time").alias("expense_time"),
-                   F.col("e.expense_amount").alias("expense_amount")))
+    live = ledger.filter(~F.col("voided") & F.col("card_last4").isNotNull() & F.col("merchant_key").isNotNull())
+    cents = lambda c: (c * 100).cast("bigint")
+    micros = F.unix_micros(F.col("txn_time").cast("timestamp_ltz"))  # order key only
+    e = live.filter(F.col("direction") == "expense").select(
+        "card_last4", "merchant_key", F.lit(0).alias("kind"), "id", cents(F.col("amount")).alias("x"),
+        micros.alias("t"))
+    r = live.filter((F.col("direction") == "refund") & (F.abs(F.col("amount")) >= F.lit(min_refund))).select(
+        "card_last4", "merchant_key", F.lit(1).alias("kind"), "id", cents(F.abs(F.col("amount"))).alias("x"),
+        micros.alias("t"))
+    order = ["card_last4", "merchant_key", "t", "kind", "id"]
+    u = e.unionByName(r)
+    u = (u.repartitionByRange(partitions, *order) if partitions else u.repartitionByRange(*order))
+    u = u.sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
+    swept = u.mapInPandas(_stack_sweep, SWEEP_SCHEMA)
+    local = swept.filter(F.col("kind") == "R").select("refund_id", "expense_id")
+    unres = swept.filter(F.col("kind") == "U").select("refund_id", "card_last4", "merchant_key", "pid", "x")
+    summ = swept.filter(F.col("kind") == "S").select(
+        "card_last4", "merchant_key", F.col("pid").alias("s_pid"), F.col("expense_id"), F.col("x").alias("s_x"),
+        F.col("t").alias("s_t"))
+    far = (unres.join(summ, ["card_last4", "merchant_key"])
+           .filter((F.col("s_pid") < F.col("pid")) & (F.col("s_x") >= F.col("x")))
+           .groupBy("refund_id")
+           .agg(F.max_by("expense_id", F.struct("s_t", "expense_id")).alias("expense_id")))
+    picks = local.unionByName(far)
+    rr = ledger.select(F.col("id").alias("refund_id"), "merchant_key", F.col("txn_time").alias("refund_time"),
+                       F.col("amount").alias("refund_amount"))
+    ee = ledger.select(F.col("id").alias("expense_id"), F.col("txn_time").alias("expense_time"),
+                       F.col("amount").alias("expense_amount"))
+    out = picks.join(rr, "refund_id").join(ee, "expense_id")
     out = out.filter(billing_period("expense_time", start_day) != billing_period("refund_time", start_day))
     return out.select(
         "merchant_key", "expense_id", F.col("expense_amount").cast("double").alias("expense_amount"),

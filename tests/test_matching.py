@@ -91,3 +91,46 @@ def test_reimbursement_window(spark):
         "id", F.col("t").cast("timestamp_ntz").alias("txn_time"), F.col("amount").cast("decimal(18,2)").alias("amount"))
     got = {r["expense_id"]: r["deposit_id"] for r in matching.reimbursement_match(df, dep, 30).collect()}
     assert got == {1: 1, 2: None}
+
+
+def brute_candidates(rows, min_refund=10.0, start_day=1):
+    def period(t):
+        import datetime as dt
+        d = t - dt.timedelta(days=start_day - 1)
+        return d.strftime("%Y-%m")
+    live = [r for r in rows if not r["voided"] and r["card_last4"] and r["merchant_key"]]
+    out = set()
+    for r in live:
+        if r["direction"] != "refund" or abs(r["amount"]) < min_refund:
+            continue
+        best = None
+        for e in live:
+            if (e["direction"] == "expense" and e["card_last4"] == r["card_last4"]
+                    and e["merchant_key"] == r["merchant_key"] and e["txn_time"] <= r["txn_time"]
+                    and e["id"] != r["id"] and e["amount"] >= abs(r["amount"])):
+                if best is None or (e["txn_time"], e["id"]) > (best["txn_time"], best["id"]):
+                    best = e
+        if best is not None and period(best["txn_time"]) != period(r["txn_time"]):
+            out.add((r["id"], best["id"]))
+    return out
+
+
+def test_merge_candidates_hot_key_split_across_partitions(spark):
+    rnd = random.Random(11)
+    rows = []
+    for j in range(1500):
+        is_refund = rnd.random() < 0.3
+        amt = rnd.choice([5.0, 12.0, 30.0, 50.0, 80.0, 120.0, 300.0])
+        rows.append({"card_last4": "0001" if rnd.random() < 0.8 else "0002",
+                     "merchant_key": "hot" if rnd.random() < 0.8 else "cold",
+                     "direction": "refund" if is_refund else "expense",
+                     "amount": -amt if is_refund else amt,
+                     "txn_time": f"2026-{rnd.randint(1, 6):02d}-{rnd.randint(1, 28):02d} {rnd.randint(0, 2):02d}:00:00",
+                     "voided": rnd.random() < 0.05})
+    df = ledger(spark, rows)
+    native = [dict(x.asDict(), amount=float(x["amount"])) for x in df.collect()]
+    want = brute_candidates(native)
+    for parts in (1, 7, 32):
+        got = {(r["refund_id"], r["expense_id"]) for r in matching.merge_candidates(df, 1, partitions=parts).collect()}
+        assert got == want, parts
+    assert len(want) >= 10
