@@ -56,22 +56,86 @@ def pairing_annotated(ledger: DataFrame) -> DataFrame:
     return cand.withColumn("pair_id", pair).drop("_bal", "_lvl", "amt_key")
 
 
-def refund_pairs(ledger: DataFrame) -> DataFrame:
-    """Exact offsetting (refund, expense) pairs."""
-    a = pairing_annotated(ledger).filter(_is_refund() & F.col("pair_id").isNotNull())
+def pairing_annotated_chunked(ledger: DataFrame, chunk_hours: int = 24) -> DataFrame:
+    """Same result as :func:`pairing_annotated`, with hot keys split into chunks.
+
+    A chunk is a fixed time bucket of ``chunk_hours`` (deterministic, so every
+    branch of the plan and every retried task sees the same chunk of a row),
+    so one (card, merchant, amount) key spans as many chunks as it has busy
+    buckets. Both windows run per (key, chunk); the chunks are stitched with
+    small per-chunk summaries:
+
+    * balance: local running sum + the sum of all earlier chunks of the key
+      (a window over one row per (key, chunk));
+    * lag/lead at a level: the first row of a (key, level, chunk) run takes the
+      last row of the same (key, level) in the nearest earlier chunk, and the
+      last row takes the first row in the nearest later chunk (windows over
+      one row per (key, level, chunk)).
+
+    No window partition holds more than one chunk of raw rows.
+    """
+    cand = (ledger.filter(_pair_candidate())
+            .withColumn("amt_key", F.when(_is_refund(), F.abs(F.col("amount"))).otherwise(F.col("amount"))))
+    order_cols = ["txn_time", "direction", "id"]
+    bucket = F.lit(int(chunk_hours) * 3600 * 1_000_000)
+    u = cand.withColumn("_c", F.floor(F.unix_micros(F.col("txn_time").cast("timestamp_ltz")) / bucket))
+    step = F.when(_is_refund(), F.lit(-1)).otherwise(F.lit(1))
+    u = u.withColumn("_s", step)
+    order = [F.col(c) for c in order_cols]
+    kc = [*PAIR_KEY, "_c"]
+    w_local = Window.partitionBy(*kc).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = u.withColumn("_lb", F.sum("_s").over(w_local))
+    sums = u.groupBy(*kc).agg(F.sum("_s").alias("_cs"))
+    w_prev = Window.partitionBy(*PAIR_KEY).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sums.withColumn("_off", F.coalesce(F.sum("_cs").over(w_prev), F.lit(0))).drop("_cs")
+    u = u.join(offs, kc).withColumn("_bal", F.col("_lb") + F.col("_off"))
+    u = u.withColumn("_lvl", F.when(_is_refund(), F.col("_bal") + 1).otherwise(F.col("_bal")))
+    kl = [*PAIR_KEY, "_lvl"]
+    w_lvl = Window.partitionBy(*kl, "_c").orderBy(*order)
+    u = (u.withColumn("_pid", F.lag("id").over(w_lvl)).withColumn("_pdir", F.lag("direction").over(w_lvl))
+         .withColumn("_nid", F.lead("id").over(w_lvl)).withColumn("_ndir", F.lead("direction").over(w_lvl)))
+    ends = (u.groupBy(*kl, "_c")
+            .agg(F.max_by(F.struct(F.col("id").alias("i"), F.col("direction").alias("d")),
+                          F.struct(*order)).alias("_last"),
+                 F.min_by(F.struct(F.col("id").alias("i"), F.col("direction").alias("d")),
+                          F.struct(*order)).alias("_first")))
+    w_c = Window.partitionBy(*kl).orderBy("_c")
+    ends = (ends.withColumn("_before", F.lag("_last").over(w_c))
+            .withColumn("_after", F.lead("_first").over(w_c)).select(*kl, "_c", "_before", "_after"))
+    u = u.join(ends, [*kl, "_c"])
+    prev_id = F.coalesce(F.col("_pid"), F.col("_before.i"))
+    prev_dir = F.when(F.col("_pid").isNotNull(), F.col("_pdir")).otherwise(F.col("_before.d"))
+    next_id = F.coalesce(F.col("_nid"), F.col("_after.i"))
+    next_dir = F.when(F.col("_nid").isNotNull(), F.col("_ndir")).otherwise(F.col("_after.d"))
+    pair = (F.when(_is_refund() & (prev_dir == "expense"), prev_id)
+            .when(~_is_refund() & (next_dir == "refund"), next_id))
+    return u.withColumn("pair_id", pair).select(*ledger.columns, "pair_id")
+
+
+def _annotate(ledger: DataFrame, chunk_hours: int | None) -> DataFrame:
+    return pairing_annotated_chunked(ledger, chunk_hours) if chunk_hours else pairing_annotated(ledger)
+
+
+def refund_pairs(ledger: DataFrame, chunk_hours: int | None = 24) -> DataFrame:
+    """Exact offsetting (refund, expense) pairs.
+
+    ``chunk_hours`` bounds every window partition to one key-bucket (default a
+    day); ``None`` uses the single-pass two-window plan.
+    """
+    a = _annotate(ledger, chunk_hours).filter(_is_refund() & F.col("pair_id").isNotNull())
     return a.select(F.col("id").alias("refund_id"), F.col("pair_id").alias("expense_id"),
                     "card_last4", "merchant_key", F.abs(F.col("amount")).cast("double").alias("amount"),
                     F.col("txn_time").alias("refund_time"))
 
 
-def apply_pairing(ledger: DataFrame) -> DataFrame:
+def apply_pairing(ledger: DataFrame, chunk_hours: int | None = 24) -> DataFrame:
     """Ledger after pairing (G1): both sides voided and pointing at each other.
 
     Sticky semantics (Q4): only rows live at the time take part, and earlier
     links are kept.
     """
     cols = ledger.columns
-    cand = pairing_annotated(ledger)
+    cand = _annotate(ledger, chunk_hours)
     paired = (cand.withColumn("voided", F.col("voided") | F.col("pair_id").isNotNull())
               .withColumn("offset_of", F.coalesce(F.col("pair_id"), F.col("offset_of")))
               .select(*cols))
@@ -168,7 +232,10 @@ def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float =
     u = e.unionByName(r)
     u = (u.repartitionByRange(partitions, *order) if partitions else u.repartitionByRange(*order))
     u = u.sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
-    swept = u.mapInPandas(_stack_sweep, SWEEP_SCHEMA)
+    # The sweep output (one row per refund plus the per-key stack summaries) is
+    # checkpointed once: its branches must all see the same range bounds, and a
+    # re-sampled range partitioner would assign different partition ids.
+    swept = u.mapInPandas(_stack_sweep, SWEEP_SCHEMA).checkpoint(eager=True)
     local = swept.filter(F.col("kind") == "R").select("refund_id", "expense_id")
     unres = swept.filter(F.col("kind") == "U").select("refund_id", "card_last4", "merchant_key", "pid", "x")
     summ = swept.filter(F.col("kind") == "S").select(

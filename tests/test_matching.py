@@ -134,3 +134,23 @@ def test_merge_candidates_hot_key_split_across_partitions(spark):
         got = {(r["refund_id"], r["expense_id"]) for r in matching.merge_candidates(df, 1, partitions=parts).collect()}
         assert got == want, parts
     assert len(want) >= 10
+
+
+def test_chunked_pairing_equals_plain_on_hot_keys(spark):
+    rnd = random.Random(5)
+    rows = []
+    for j in range(2000):
+        is_refund = rnd.random() < 0.45
+        amt = rnd.choice([10.0, 10.0, 20.0])
+        rows.append({"card_last4": "0001", "merchant_key": "hot" if rnd.random() < 0.9 else "cold",
+                     "direction": "refund" if is_refund else "expense", "amount": -amt if is_refund else amt,
+                     "txn_time": f"2026-01-{rnd.randint(1, 28):02d} {rnd.randint(0, 3):02d}:00:00",
+                     "voided": rnd.random() < 0.05})
+    df = ledger(spark, rows)
+    plain = {(r["id"], r["pair_id"]) for r in matching.pairing_annotated(df).collect()}
+    native = [dict(x.asDict(), amount=float(x["amount"])) for x in df.collect()]
+    want = greedy_pairs(native)
+    assert {(i, p) for i, p in plain if p is not None and i in {a for a, _ in want}} == want
+    for hours in (1, 5, 24, 24 * 40):
+        got = {(r["id"], r["pair_id"]) for r in matching.pairing_annotated_chunked(df, hours).collect()}
+        assert got == plain, hours
