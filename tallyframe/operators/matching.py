@@ -261,11 +261,19 @@ def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float =
 def reimbursement_match(ledger: DataFrame, deposits: DataFrame, window_days: int = 30) -> DataFrame:
     """Expense -> first deposit of the same amount within ``window_days`` after it.
 
-    An as-of join written as one window: expenses and deposits are unioned,
-    partitioned by amount in cents, ordered by time (deposit after expense on
-    ties), and each expense reads the next deposit with ``first(ignorenulls)``
-    over the following rows. No pairs are materialised.
+    An as-of join without materialised pairs, bucketed so that no window
+    partition is larger than one amount in one look-ahead period:
+
+    * time is cut into buckets ``window_days`` wide; an answer at most
+      ``window_days`` after the expense lies in the expense's bucket or the next;
+    * inside (amount, bucket), the first later deposit comes from a window
+      ``first(ignorenulls)`` over the following rows (deposit after expense at
+      equal times);
+    * otherwise the next bucket's first deposit of that amount (one row per
+      (amount, bucket), a plain equi-join).
     """
+    width = F.lit(int(window_days) * 86400 * 1_000_000)
+    bucket = F.floor(F.unix_micros(F.col("t").cast("timestamp_ltz")) / width)
     e = (ledger.filter(~F.col("voided") & (F.col("direction") == "expense") & (F.col("amount") > 0))
          .select(F.col("id").alias("expense_id"), F.col("txn_time").alias("t"),
                  F.col("amount").alias("amount"), F.lit(0).alias("side"),
@@ -273,12 +281,16 @@ def reimbursement_match(ledger: DataFrame, deposits: DataFrame, window_days: int
     d = deposits.select(F.lit(None).cast("bigint").alias("expense_id"), F.col("txn_time").alias("t"),
                         F.col("amount").cast("decimal(18,2)").alias("amount"), F.lit(1).alias("side"),
                         F.col("id").alias("deposit_id"))
-    u = e.unionByName(d)
-    w = (Window.partitionBy("amount").orderBy("t", "side", "deposit_id")
+    u = e.unionByName(d).withColumn("b", bucket)
+    w = (Window.partitionBy("amount", "b").orderBy("t", "side", "deposit_id")
          .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    nxt = F.first(F.when(F.col("side") == 1, F.struct(F.col("t").alias("dt"), F.col("deposit_id").alias("did"))),
-                  ignorenulls=True).over(w)
-    m = u.withColumn("nx", nxt).filter(F.col("side") == 0)
+    dep = F.struct(F.col("t").alias("dt"), F.col("deposit_id").alias("did"))
+    local = u.withColumn("nx", F.first(F.when(F.col("side") == 1, dep), ignorenulls=True).over(w)) \
+        .filter(F.col("side") == 0)
+    nxt = (d.withColumn("b", bucket - 1)
+           .groupBy("amount", "b").agg(F.min(F.struct(F.col("t").alias("dt"), F.col("deposit_id").alias("did")))
+                                       .alias("nb")))
+    m = local.join(nxt, ["amount", "b"], "left").withColumn("nx", F.coalesce(F.col("nx"), F.col("nb")))
     limit = F.col("t") + F.make_dt_interval(F.lit(window_days))
     return m.select(
         "expense_id", F.col("t").alias("expense_time"), F.col("amount").cast("double").alias("amount"),

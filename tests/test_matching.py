@@ -154,3 +154,27 @@ def test_chunked_pairing_equals_plain_on_hot_keys(spark):
     for hours in (1, 5, 24, 24 * 40):
         got = {(r["id"], r["pair_id"]) for r in matching.pairing_annotated_chunked(df, hours).collect()}
         assert got == plain, hours
+
+
+def test_reimbursement_matches_brute_force_across_buckets(spark):
+    rnd = random.Random(9)
+    rows = [{"txn_time": f"2026-0{rnd.randint(1, 3)}-{rnd.randint(1, 28):02d} 10:00:00",
+             "amount": rnd.choice([20.0, 30.0]), "voided": rnd.random() < 0.05} for _ in range(120)]
+    df = ledger(spark, rows)
+    deps = [(i, f"2026-0{rnd.randint(1, 3)}-{rnd.randint(1, 28):02d} {rnd.randint(9, 11):02d}:00:00",
+             rnd.choice([20.0, 30.0])) for i in range(60)]
+    dep = spark.createDataFrame(deps, "id bigint, t string, amount double").select(
+        "id", F.col("t").cast("timestamp_ntz").alias("txn_time"), F.col("amount").cast("decimal(18,2)").alias("amount"))
+    import datetime as dt
+    native = [x.asDict() for x in df.collect()]
+    want = {}
+    for e in native:
+        if e["voided"]:
+            continue
+        c = sorted((d[1], d[0]) for d in deps if d[2] == float(e["amount"])
+                   and dt.datetime.strptime(d[1], "%Y-%m-%d %H:%M:%S") >= e["txn_time"])
+        first = c[0] if c else None
+        ok = first and dt.datetime.strptime(first[0], "%Y-%m-%d %H:%M:%S") <= e["txn_time"] + dt.timedelta(days=7)
+        want[e["id"]] = first[1] if ok else None
+    got = {r["expense_id"]: r["deposit_id"] for r in matching.reimbursement_match(df, dep, 7).collect()}
+    assert got == want
