@@ -27,6 +27,23 @@ ORDER_STATUS = {"P": "pending", "O": "suggested", "F": "confirmed"}
 DEPOSIT_KINDS = ("工资", "报销", "汇款", "理财赎回", "分红", "利息", "退款", "其他")
 
 
+_MEMO: dict = {}
+
+
+def memo(fn):
+    """Build a fixture DataFrame once per (session, folder): only the (lazy) plan is
+    shared, no data is cached. Saves re-analysing the same derivation in every query."""
+    import functools
+
+    @functools.wraps(fn)
+    def wrapper(spark, *args):
+        key = (fn.__name__, id(spark), args)
+        if key not in _MEMO:
+            _MEMO[key] = fn(spark, *args)
+        return _MEMO[key]
+    return wrapper
+
+
 def _map_col(c: Column, mapping: dict, default=None) -> Column:
     out = None
     for k, v in mapping.items():
@@ -62,6 +79,7 @@ def _events_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
+@memo
 def ledger_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger from ``events`` (pairing, candidates, listings, advice)."""
     ev = _events_k(spark, sf_dir)
@@ -91,6 +109,7 @@ def ledger_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finish_ledger(df)
 
 
+@memo
 def ledger_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger from ``orders`` (period reports over six and a half years)."""
     o = read_table(spark, sf_dir, "orders")
@@ -120,6 +139,7 @@ def ledger_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finish_ledger(df)
 
 
+@memo
 def deposits_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deposits from ``signup`` events (income side)."""
     ev = _events_k(spark, sf_dir).filter(F.col("event_type") == "signup")
@@ -149,6 +169,7 @@ MAIL_SENDER_SUBJECT = {
 }
 
 
+@memo
 def mails_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw-mail log rows from ``events``: uid, message id (with duplicates), sender, subject."""
     ev = _events_k(spark, sf_dir)
@@ -184,6 +205,7 @@ def digest_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("points", F.col("user_id") * 37))
 
 
+@memo
 def digests_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One digest HTML per (user, day, part) rendered from ``ledger_e`` rows."""
     src = digest_source_rows(spark, sf_dir)
@@ -213,6 +235,7 @@ def digests_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def alerts_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AI replies for debit alerts: JSON with noise around it, one per event."""
     ev = _events_k(spark, sf_dir)
@@ -250,6 +273,7 @@ def alerts_e(spark: SparkSession, sf_dir: str) -> DataFrame:
 MERCHANT_PREFIXES = ("支付宝-", "微信 - ", "银联-", "Apple-", "", "财付通-")
 
 
+@memo
 def text_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per event: an action word, a raw merchant text and a thousands-separated amount text."""
     ev = _events_k(spark, sf_dir)
@@ -272,6 +296,7 @@ def text_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- small dimension tables (configuration-sized) -------------------------------------
 
+@memo
 def categories_v(spark: SparkSession) -> DataFrame:
     """Category dimension: four in use, one inactive, one never used."""
     return spark.createDataFrame(
@@ -280,6 +305,7 @@ def categories_v(spark: SparkSession) -> DataFrame:
         "name string, key string, descr string, active int, sort int")
 
 
+@memo
 def knowledge_v(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(1, "merchant", "shop1", "t1", "cat1"), (2, "global", None, "t2", "cat4"),
@@ -292,6 +318,7 @@ def knowledge_v(spark: SparkSession) -> DataFrame:
 OPS4 = ("merge", "offset", "void", "split")
 
 
+@memo
 def suggestions_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored operation advice for every sixth live row of ``ledger_e``."""
     le = ledger_e(spark, sf_dir).filter(~F.col("voided") & (F.col("id") % 6 == 0))
@@ -303,6 +330,7 @@ def suggestions_e(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("r"), (F.col("id") % 5).cast("string")).alias("reason"))
 
 
+@memo
 def advice_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open merchants of ``ledger_e`` with their classification batch (40 per batch)."""
     from .operators.advice import open_merchants
@@ -310,6 +338,7 @@ def advice_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("batch_id", F.floor(F.substring("merchant_key", 5, 10).cast("int") / 40).cast("bigint"))
 
 
+@memo
 def advice_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A classifier reply per batch, derived from the ledger in one aggregate pass."""
     le = ledger_e(spark, sf_dir)
@@ -346,6 +375,7 @@ def advice_e(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDIT_OPS = ("void", "restore", "set_category", "set_note", "confirm")
 
 
+@memo
 def commands_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit commands over ``ledger_o``: one per order, a second and third on some."""
     o = read_table(spark, sf_dir, "orders")
@@ -364,6 +394,7 @@ def commands_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second).unionByName(third)
 
 
+@memo
 def splits_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A split request for every expense of ``ledger_e`` (some invalid on purpose)."""
     le = ledger_e(spark, sf_dir).filter(F.col("direction") == "expense")
@@ -374,6 +405,7 @@ def splits_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return le.select(F.col("id").alias("request_id"), F.col("id").alias("txn_id"), amounts.alias("amounts"))
 
 
+@memo
 def merge_ids_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge request members: one request per (card, merchant, ISO week); some ids listed twice."""
     le = ledger_e(spark, sf_dir)
@@ -383,6 +415,7 @@ def merge_ids_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(dup)
 
 
+@memo
 def merges_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge request attributes, one row per request."""
     ids = merge_ids_e(spark, sf_dir).select("request_id").distinct()
@@ -396,6 +429,7 @@ def merges_e(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.substring(card, 4, 1) == "7", F.lit("offset")).alias("expected_operation"))
 
 
+@memo
 def op_requests_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operation requests for the pre-checks, one per ``ledger_e`` row."""
     le = ledger_e(spark, sf_dir)
