@@ -106,3 +106,9 @@ def in_attribution_year(year: str, start_day: int = 1, ts: str = "txn_time",
     eff = F.col(effective)
     return (F.substring(eff, 1, 4) == F.lit(year)) | (
         eff.isNull() & (t >= ts_lit(lo)) & (t < ts_lit(hi)))
+
+
+def epoch_micros(ts: Column | str) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, independent of the session time zone."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)

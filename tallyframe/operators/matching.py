@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.periods import billing_period
+from ..functions.periods import billing_period, epoch_micros
+from ..session import ensure_checkpoint_dir
 
 PAIR_KEY = ["card_last4", "merchant_key", "amt_key"]
 
@@ -78,7 +79,7 @@ def pairing_annotated_chunked(ledger: DataFrame, chunk_hours: int = 24) -> DataF
             .withColumn("amt_key", F.when(_is_refund(), F.abs(F.col("amount"))).otherwise(F.col("amount"))))
     order_cols = ["txn_time", "direction", "id"]
     bucket = F.lit(int(chunk_hours) * 3600 * 1_000_000)
-    u = cand.withColumn("_c", F.floor(F.unix_micros(F.col("txn_time").cast("timestamp_ltz")) / bucket))
+    u = cand.withColumn("_c", F.floor(epoch_micros("txn_time") / bucket))
     step = F.when(_is_refund(), F.lit(-1)).otherwise(F.lit(1))
     u = u.withColumn("_s", step)
     order = [F.col(c) for c in order_cols]
@@ -221,7 +222,7 @@ def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float =
     """
     live = ledger.filter(~F.col("voided") & F.col("card_last4").isNotNull() & F.col("merchant_key").isNotNull())
     cents = lambda c: (c * 100).cast("bigint")
-    micros = F.unix_micros(F.col("txn_time").cast("timestamp_ltz"))  # order key only
+    micros = epoch_micros("txn_time")
     e = live.filter(F.col("direction") == "expense").select(
         "card_last4", "merchant_key", F.lit(0).alias("kind"), "id", cents(F.col("amount")).alias("x"),
         micros.alias("t"))
@@ -235,6 +236,7 @@ def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float =
     # The sweep output (one row per refund plus the per-key stack summaries) is
     # checkpointed once: its branches must all see the same range bounds, and a
     # re-sampled range partitioner would assign different partition ids.
+    ensure_checkpoint_dir(ledger.sparkSession)
     swept = u.mapInPandas(_stack_sweep, SWEEP_SCHEMA).checkpoint(eager=True)
     local = swept.filter(F.col("kind") == "R").select("refund_id", "expense_id")
     unres = swept.filter(F.col("kind") == "U").select("refund_id", "card_last4", "merchant_key", "pid", "x")
@@ -273,7 +275,7 @@ def reimbursement_match(ledger: DataFrame, deposits: DataFrame, window_days: int
       (amount, bucket), a plain equi-join).
     """
     width = F.lit(int(window_days) * 86400 * 1_000_000)
-    bucket = F.floor(F.unix_micros(F.col("t").cast("timestamp_ltz")) / width)
+    bucket = F.floor(epoch_micros("t") / width)
     e = (ledger.filter(~F.col("voided") & (F.col("direction") == "expense") & (F.col("amount") > 0))
          .select(F.col("id").alias("expense_id"), F.col("txn_time").alias("t"),
                  F.col("amount").alias("amount"), F.lit(0).alias("side"),
