@@ -40,6 +40,7 @@ LEDGER_DDL = (
     "effective_month string, merged_into bigint, note string")
 LOG_DDL = "msg_id string, uid bigint, email_type string, status string"
 LINK_DDL = "id bigint, pair_id bigint"
+SENT_DDL = "id bigint, notified_at timestamp_ntz"
 
 
 def _read_or_empty(spark: SparkSession, path: str, ddl: str, upto: int | None = None) -> DataFrame:
@@ -64,9 +65,14 @@ def current_ledger(spark: SparkSession, state_dir: str, rows_upto: int | None =
     rows = _read_or_empty(spark, f"{state_dir}/rows", LEDGER_DDL, rows_upto)
     links = _read_or_empty(spark, f"{state_dir}/links", LINK_DDL, links_upto)
     links = links.groupBy("id").agg(F.max("pair_id").alias("_pair"))
-    j = rows.join(links, "id", "left")
+    sent = _read_or_empty(spark, f"{state_dir}/notified", SENT_DDL).groupBy("id").agg(
+        F.min("notified_at").alias("_sent_at"))
+    j = rows.join(links, "id", "left").join(sent, "id", "left")
     return (j.withColumn("voided", F.col("voided") | F.col("_pair").isNotNull())
             .withColumn("offset_of", F.coalesce(F.col("_pair"), F.col("offset_of")))
+            .withColumn("notify_status", F.when(F.col("_sent_at").isNotNull(), F.lit("sent"))
+                        .otherwise(F.col("notify_status")))
+            .withColumn("notified_at", F.coalesce(F.col("_sent_at"), F.col("notified_at")))
             .select(*LEDGER_COLUMNS))
 
 
@@ -116,6 +122,29 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_di
     links.write.mode("overwrite").parquet(f"{state_dir}/links/{out}")
 
 
+def notify_step(spark: SparkSession, state_dir: str, batch_id: int, send, now: str,
+                suggestions: DataFrame | None = None) -> bool:
+    """Notifier stage (A15, D14, G16, R7, R8): build the digest of un-notified live
+    rows, hand it to ``send`` (the caller's delivery function, DataFrame of lines
+    -> bool), and only after a successful send record the sent ids under
+    ``notified/batch=<id>``. A failed send records nothing (at-least-once), and a
+    failure here never blocks the ingest query, which runs separately.
+    """
+    from ..operators.notify import notify_digest, notify_queue
+    led = current_ledger(spark, state_dir)
+    sug = suggestions if suggestions is not None else spark.createDataFrame(
+        [], "transaction_id bigint, operation string, related_transaction_ids string, reason string")
+    queue = notify_queue(led, sug)
+    try:
+        ok = bool(send(notify_digest(queue)))
+    except Exception:  # noqa: BLE001 - delivery failures are retried next cycle
+        ok = False
+    if ok:
+        (queue.select("id", F.lit(now).cast("timestamp_ntz").alias("notified_at"))
+         .write.mode("overwrite").parquet(f"{state_dir}/notified/batch={batch_id}"))
+    return ok
+
+
 def start_ingest(spark: SparkSession, mail_dir: str, state_dir: str, checkpoint_dir: str,
                  trigger: dict | None = None, max_files_per_trigger: int | None = None):
     """Start the streaming ingest; ``trigger`` defaults to a 90-second processing-time poll."""

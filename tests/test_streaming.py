@@ -69,3 +69,19 @@ def test_replayed_batch_is_idempotent(spark):
     ST.process_batch(spark, mails, 0, f"{root}/state")  # the same batch again after a failure
     again = sorted(r[0] for r in ST.current_ledger(spark, f"{root}/state").select("fingerprint").collect())
     assert first == again and len(first) > 0
+
+
+def test_notify_step_marks_only_after_successful_send(spark):
+    root = tempfile.mkdtemp(prefix="tf-notify-")
+    mails = _mails(spark).drop("d")
+    ST.process_batch(spark, mails, 0, f"{root}/state")
+    n_live = ST.current_ledger(spark, f"{root}/state").filter(~F.col("voided")).count()
+    assert not ST.notify_step(spark, f"{root}/state", 0, lambda lines: False, "2024-02-01 00:00:00")
+    assert ST.current_ledger(spark, f"{root}/state").filter(F.col("notify_status") == "sent").count() == 0
+    seen = {}
+    assert ST.notify_step(spark, f"{root}/state", 1, lambda lines: seen.setdefault("n", lines.count()) >= 0,
+                          "2024-02-01 00:00:00")
+    led = ST.current_ledger(spark, f"{root}/state")
+    assert led.filter(F.col("notify_status") == "sent").count() == n_live and seen["n"] >= n_live
+    # nothing left to send in the next cycle
+    assert ST.notify_step(spark, f"{root}/state", 2, lambda lines: lines.count() == 0, "2024-02-02 00:00:00")
