@@ -254,16 +254,53 @@ def mark_notified(ledger: DataFrame, sent_ids: DataFrame, now: str) -> DataFrame
 
 # ---- command rounds ----------------------------------------------------------------------
 
-def command_rounds(requests: DataFrame) -> DataFrame:
-    """Round number per request so that a round touches each row at most once.
-
-    ``requests``: (request_id, seq, ids). A request's round is its rank among
-    the requests touching its busiest row, ordered by seq; applying rounds in
-    order keeps per-row seq order. Computed with one rank window per row id
-    and a max per request (no collect, no driver loop).
+def command_rounds(requests: DataFrame, max_iter: int = 64) -> DataFrame:
+    """Round per request so that a round touches each row at most once and
+    requests sharing a row run in ``seq`` order (SURVEY 7.4, hard part 2).
+
+    ``requests``: (request_id, seq, row_id) in long form. The round of a
+    request is the length of the longest chain of earlier-``seq`` requests
+    connected through shared rows. It is reached by a fix-point: every
+    iteration raises each request to 1 + the round of its predecessor on each
+    of its rows (a ``lag`` per row, then a ``max`` per request). Rounds along a
+    row become strictly increasing, so the immediate predecessor is enough. The
+    loop runs as many distributed iterations as the longest chain (a handful in
+    practice); each iteration is checkpointed to cut the lineage, and the only
+    value brought to the driver is the count of requests that changed.
     """
     from pyspark.sql import Window
-    ex = requests.select("request_id", "seq", F.explode_outer("ids").alias("row_id"))
+
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(requests.sparkSession)
+    ex = requests.select("request_id", "seq", "row_id").dropDuplicates(["request_id", "row_id"])
+    rounds = ex.select("request_id").distinct().withColumn("round", F.lit(1))
     w = Window.partitionBy("row_id").orderBy("seq", "request_id")
-    ranked = ex.withColumn("r", F.dense_rank().over(w))
-    return ranked.groupBy("request_id").agg(F.max("r").alias("round"))
+    for _ in range(max_iter):
+        j = ex.join(rounds, "request_id")
+        prev = j.withColumn("_need", F.coalesce(F.lag("round").over(w) + 1, F.lit(1)))
+        new = (prev.groupBy("request_id").agg(F.max("_need").alias("_need"))
+               .join(rounds, "request_id")
+               .select("request_id", F.greatest("round", "_need").alias("round"), (F.col("_need") > F.col("round"))
+                       .alias("_changed"))
+               .checkpoint(eager=True))
+        changed = new.filter("_changed").count()
+        rounds = new.drop("_changed")
+        if changed == 0:
+            return rounds
+    raise RuntimeError("command rounds did not converge")
+
+
+def apply_in_rounds(ledger: DataFrame, requests: DataFrame, rounds: DataFrame, apply_fn) -> DataFrame:
+    """Apply ``apply_fn(ledger, requests_of_round)`` round after round.
+
+    Each round is one distributed job over the whole ledger; the ledger is
+    checkpointed between rounds so that lineage does not grow with the number
+    of rounds. ``requests`` must carry ``request_id``.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(ledger.sparkSession)
+    last = rounds.agg(F.max("round")).first()[0] or 0
+    tagged = requests.join(rounds, "request_id")
+    for r in range(1, last + 1):
+        ledger = apply_fn(ledger, tagged.filter(F.col("round") == r).drop("round")).checkpoint(eager=True)
+    return ledger

@@ -113,3 +113,20 @@ def test_category_delete_blocked_by_live_rows(spark):
     assert led.filter(F.col("category") == "b").count() == 0
     assert kn2.first()["category"] is None
     assert [r["key"] for r in cats2.collect()] == ["ka"]
+
+
+def test_command_rounds_are_transitive(spark):
+    # A(seq1) touches x; B(seq2) touches x,y; C(seq3) touches y; D(seq4) touches z
+    req = spark.createDataFrame([("A", 1, 10), ("B", 2, 10), ("B", 2, 20), ("C", 3, 20), ("D", 4, 30)],
+                                "request_id string, seq int, row_id bigint")
+    got = {r["request_id"]: r["round"] for r in CMD.command_rounds(req).collect()}
+    assert got == {"A": 1, "B": 2, "C": 3, "D": 1}
+
+
+def test_apply_in_rounds_respects_seq(spark):
+    df = ledger(spark, [{"txn_time": "2026-07-01 10:00:00", "amount": 1.0}])
+    cmds = spark.createDataFrame([("r1", 1, 1, "set_category", "a"), ("r2", 2, 1, "set_category", "b")],
+                                 "request_id string, seq int, txn_id bigint, op string, payload string")
+    rounds = CMD.command_rounds(cmds.withColumnRenamed("txn_id", "row_id"))
+    out = CMD.apply_in_rounds(df, cmds, rounds, lambda led, c: CMD.apply_edits(led, c.drop("request_id")))
+    assert out.first()["category"] == "b"
