@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.text import direction_of, fingerprint
+from .functions.text import fingerprint
 from .sources.tables import read_table
 
 AS_OF = "2024-01-31 00:00:00"
@@ -37,7 +37,9 @@ def memo(fn):
 
     @functools.wraps(fn)
     def wrapper(spark, *args):
-        key = (fn.__name__, id(spark), args)
+        # the application id and the JVM session's identity survive Python object
+        # id reuse, so a stopped session's plans are never handed to a new one
+        key = (fn.__name__, spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), args)
         if key not in _MEMO:
             _MEMO[key] = fn(spark, *args)
         return _MEMO[key]

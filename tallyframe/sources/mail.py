@@ -4,7 +4,7 @@
 The mailbox is re-aimed as a table of raw mails (uid, msg_id, received, sender,
 subject, html, text). Pruning by UID watermark or received date is a plain
 filter that reaches the Parquet scan; dedup and upserts are anti-joins and
-unions keyed by message id; "first/last wins" is a ``row_number`` over the key.
+unions keyed by message id; "first/last wins" is a ``min_by``/``max_by`` aggregate per key.
 """
 from __future__ import annotations
 
