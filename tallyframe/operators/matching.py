@@ -80,21 +80,27 @@ def pairing_annotated_chunked(ledger: DataFrame, chunk_hours: int = 24) -> DataF
     order_cols = ["txn_time", "direction", "id"]
     bucket = F.lit(int(chunk_hours) * 3600 * 1_000_000)
     u = cand.withColumn("_c", F.floor(epoch_micros("txn_time") / bucket))
-    step = F.when(_is_refund(), F.lit(-1)).otherwise(F.lit(1))
-    u = u.withColumn("_s", step)
+    u = u.withColumn("_s", F.when(_is_refund(), F.lit(-1)).otherwise(F.lit(1)))
     order = [F.col(c) for c in order_cols]
     kc = [*PAIR_KEY, "_c"]
+    # every large-data window below is partitioned by (key, chunk): one exchange, reused
     w_local = Window.partitionBy(*kc).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = u.withColumn("_lb", F.sum("_s").over(w_local))
+    # chunk totals by partial aggregation: one row per (key, chunk, map task) crosses the shuffle
     sums = u.groupBy(*kc).agg(F.sum("_s").alias("_cs"))
+    u = u.withColumn("_lb", F.sum("_s").over(w_local))
     w_prev = Window.partitionBy(*PAIR_KEY).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     offs = sums.withColumn("_off", F.coalesce(F.sum("_cs").over(w_prev), F.lit(0))).drop("_cs")
     u = u.join(offs, kc).withColumn("_bal", F.col("_lb") + F.col("_off"))
     u = u.withColumn("_lvl", F.when(_is_refund(), F.col("_bal") + 1).otherwise(F.col("_bal")))
     kl = [*PAIR_KEY, "_lvl"]
-    w_lvl = Window.partitionBy(*kl, "_c").orderBy(*order)
-    u = (u.withColumn("_pid", F.lag("id").over(w_lvl)).withColumn("_pdir", F.lag("direction").over(w_lvl))
-         .withColumn("_nid", F.lead("id").over(w_lvl)).withColumn("_ndir", F.lead("direction").over(w_lvl)))
+    # neighbours at the same level inside the chunk: order the chunk by (level, time)
+    w_lvl = Window.partitionBy(*kc).orderBy("_lvl", *order)
+    same_prev = F.lag("_lvl").over(w_lvl) == F.col("_lvl")
+    same_next = F.lead("_lvl").over(w_lvl) == F.col("_lvl")
+    u = (u.withColumn("_pid", F.when(same_prev, F.lag("id").over(w_lvl)))
+         .withColumn("_pdir", F.when(same_prev, F.lag("direction").over(w_lvl)))
+         .withColumn("_nid", F.when(same_next, F.lead("id").over(w_lvl)))
+         .withColumn("_ndir", F.when(same_next, F.lead("direction").over(w_lvl))))
     ends = (u.groupBy(*kl, "_c")
             .agg(F.max_by(F.struct(F.col("id").alias("i"), F.col("direction").alias("d")),
                           F.struct(*order)).alias("_last"),
