@@ -222,9 +222,9 @@ def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float =
     Plan (exact, no pair emission inside a group): expenses and qualifying
     refunds are range-partitioned and sorted by (card, merchant, time), so a
     hot (card, merchant) spans several tasks; each task runs a monotonic-stack
-    sweep (``_stack_sweep``). Refunds without a local answer are joined with
-    the final stacks of earlier partitions of the same key, the only place
-    their answer can be, and resolved with one ``max_by``.
+    sweep (``_stack_sweep``). A refund without a local answer looks up the
+    latest earlier partition of its key whose stack maximum covers it (one
+    row per partition), then only that partition's stack.
     """
     live = ledger.filter(~F.col("voided") & F.col("card_last4").isNotNull() & F.col("merchant_key").isNotNull())
     cents = lambda c: (c * 100).cast("bigint")
@@ -249,8 +249,17 @@ def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float =
     summ = swept.filter(F.col("kind") == "S").select(
         "card_last4", "merchant_key", F.col("pid").alias("s_pid"), F.col("expense_id"), F.col("x").alias("s_x"),
         F.col("t").alias("s_t"))
-    far = (unres.join(summ, ["card_last4", "merchant_key"])
-           .filter((F.col("s_pid") < F.col("pid")) & (F.col("s_x") >= F.col("x")))
+    # The answer of an unresolved refund lies in the latest earlier partition of
+    # its key whose stack maximum (the stack's bottom) covers it: later stacks
+    # hold nothing that large, and what that partition holds above the refund's
+    # amount is never popped by later, smaller expenses. So: find that partition
+    # from one row per (key, partition), then search only its stack.
+    tops = summ.groupBy("card_last4", "merchant_key", "s_pid").agg(F.max("s_x").alias("s_max"))
+    q = (unres.join(tops, ["card_last4", "merchant_key"])
+         .filter((F.col("s_pid") < F.col("pid")) & (F.col("s_max") >= F.col("x")))
+         .groupBy("refund_id", "card_last4", "merchant_key", "x").agg(F.max("s_pid").alias("s_pid")))
+    far = (q.join(summ, ["card_last4", "merchant_key", "s_pid"])
+           .filter(F.col("s_x") >= F.col("x"))
            .groupBy("refund_id")
            .agg(F.max_by("expense_id", F.struct("s_t", "expense_id")).alias("expense_id")))
     picks = local.unionByName(far)

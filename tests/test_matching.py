@@ -130,7 +130,7 @@ def test_merge_candidates_hot_key_split_across_partitions(spark):
     df = ledger(spark, rows)
     native = [dict(x.asDict(), amount=float(x["amount"])) for x in df.collect()]
     want = brute_candidates(native)
-    for parts in (1, 7, 32):
+    for parts in (1, 7, 32, 400):
         got = {(r["refund_id"], r["expense_id"]) for r in matching.merge_candidates(df, 1, partitions=parts).collect()}
         assert got == want, parts
     assert len(want) >= 10
