@@ -71,3 +71,9 @@ def notify_digest(queue: DataFrame) -> DataFrame:
                      F.concat(F.lit("   如需执行，请回复“确认"), label, F.lit(" "), id_text, F.lit("”")).alias("line"),
                      F.lit(False).alias("need_confirm"))
     return rows.unionByName(a1).unionByName(a2)
+
+
+def digest_summary(queue: DataFrame) -> DataFrame:
+    """Header figures of one digest (D14): rows in the message and rows needing confirmation."""
+    return queue.agg(F.count(F.lit(1)).alias("n_rows"),
+                     F.count_if(F.col("status").isin(*K.UNCERTAIN_STATUSES)).alias("need_confirm"))
