@@ -62,7 +62,7 @@ LEDGER_COLUMNS = [
 ]
 
 
-def _finish_ledger(df: DataFrame) -> DataFrame:
+def _finish_ledger(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Fill the ledger columns the fixtures do not vary and fix the column order (one projection)."""
     base = {
         "currency": F.lit("CNY"), "balance": F.lit(None).cast("decimal(18,2)"),
@@ -73,7 +73,7 @@ def _finish_ledger(df: DataFrame) -> DataFrame:
         "fingerprint": fingerprint("card_last4", "txn_time", "amount", "merchant_raw", "action"),
     }
     cols = [F.col(c) if c in df.columns else base[c].alias(c) for c in LEDGER_COLUMNS]
-    return df.select(*cols)
+    return df.select(*cols, *(extra or []))
 
 
 def _events_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,12 @@ def _events_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @memo
 def ledger_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger from ``events`` (pairing, candidates, listings, advice)."""
+    return _ledger_e_base(spark, sf_dir).select(*LEDGER_COLUMNS)
+
+
+@memo
+def _ledger_e_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ledger_e`` plus the event's user id (digest rendering groups by it)."""
     ev = _events_k(spark, sf_dir)
     et = F.col("event_type")
     magnitude = ((F.floor(F.col("value") / 10).cast("int") + 1) * 10).cast("decimal(18,2)")
@@ -107,8 +113,9 @@ def ledger_e(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("string")).otherwise(F.lit("sent")).alias("notify_status"),
         (F.col("event_id") % 17 == 0).alias("voided"),
         F.when(F.col("event_id") % 23 == 0, F.lit("2023-12")).alias("effective_month"),
+        F.col("user_id"),
     )
-    return _finish_ledger(df)
+    return _finish_ledger(df, extra=["user_id"])
 
 
 @memo
@@ -194,9 +201,7 @@ def mails_e(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credit digest rows (purchase + error events) with their digest key and header."""
-    led = ledger_e(spark, sf_dir).filter(F.col("direction").isin("expense", "refund"))
-    ev = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id")
-    led = led.join(ev, "id")
+    led = _ledger_e_base(spark, sf_dir).filter(F.col("direction").isin("expense", "refund"))
     w = Window.partitionBy("user_id", F.to_date("txn_time")).orderBy("txn_time", "id")
     return (led
             .withColumn("digest_date", F.to_date("txn_time"))

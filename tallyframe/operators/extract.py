@@ -52,17 +52,18 @@ def digest_triples(kinds: Column) -> Column:
     Works on the per-line flags, so each look-up inside the look-ahead window is
     an array access, not a regex evaluation.
     """
-    n = F.size(kinds)
     idx = _indices(kinds)
-    look = K.DIGEST_LOOKAHEAD
-    empty = F.array().cast("array<int>")
+    if K.DIGEST_LOOKAHEAD != 3:
+        raise ValueError("the unrolled look-ahead below is written for three lines")
 
     def candidate(i):
-        window = F.when(i + 1 <= n - 1, F.sequence(i + 1, F.least(i + look, n - 1))).otherwise(empty)
-        ja = _first_index_or_null(window, lambda j: _kind(kinds, j, "amount"))
-        # the detail must follow the amount inside the same window
-        jd = F.try_element_at(F.filter(window, lambda j: (j > ja) & _kind(kinds, j, "detail")), F.lit(1))
-        return F.struct(i.alias("i"), ja.alias("ja"), jd.alias("jd"))
+        # the look-ahead window is lines i+1 .. i+3: unrolled into plain lookups
+        a = [_kind(kinds, i + d, "amount") for d in (1, 2, 3)]
+        dt = [_kind(kinds, i + d, "detail") for d in (1, 2, 3)]
+        ja = F.when(a[0], i + 1).when(a[1], i + 2).when(a[2], i + 3)
+        jd = (F.when(ja == i + 1, F.when(dt[1], i + 2).when(dt[2], i + 3))
+              .when(ja == i + 2, F.when(dt[2], i + 3)))
+        return F.struct(i.alias("i"), ja.cast("int").alias("ja"), jd.cast("int").alias("jd"))
 
     times = F.filter(idx, lambda i: _kind(kinds, i, "time"))
     cands = F.filter(F.transform(times, candidate), lambda c: c["ja"].isNotNull() & c["jd"].isNotNull())
