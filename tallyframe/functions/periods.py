@@ -112,3 +112,43 @@ def epoch_micros(ts: Column | str) -> Column:
     """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, independent of the session time zone."""
     ts = F.col(ts) if isinstance(ts, str) else ts
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
+PARTITION_COL = "attr_month"
+
+
+def next_month(label: str) -> str:
+    y, m = int(label[:4]), int(label[5:7])
+    return f"{y + 1}-01" if m == 12 else f"{y}-{m + 1:02d}"
+
+
+def partition_month(ts: Column | str = "txn_time", effective: Column | str = "effective_month") -> Column:
+    """Partition value of a ledger row: its override month, else its calendar month."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    eff = F.col(effective) if isinstance(effective, str) else effective
+    return F.coalesce(eff, F.date_format(ts, "yyyy-MM"))
+
+
+def partition_months_for(month: str, start_day: int = 1) -> list[str]:
+    """Partitions that can hold rows attributed to billing period ``month``.
+
+    A row without override has calendar month ``month`` or the next one (the
+    period runs from day d of ``month`` to day d-1 of the next); a row with
+    override ``month`` is stored in partition ``month``.
+    """
+    return [month] if clamp_start_day(start_day) <= 1 else [month, next_month(month)]
+
+
+def partition_filter(df_columns: list[str], month: str | None = None, year: str | None = None,
+                     start_day: int = 1) -> Column | None:
+    """Partition-only conjunct for a month/year predicate on a snapshot partitioned
+    by :data:`PARTITION_COL`; None when the frame has no such column."""
+    if PARTITION_COL not in df_columns:
+        return None
+    c = F.col(PARTITION_COL)
+    if month:
+        return c.isin(*partition_months_for(month, start_day))
+    if year:
+        last = partition_months_for(f"{year}-12", start_day)[-1]
+        return (c >= F.lit(f"{year}-01")) & (c <= F.lit(last))
+    return None

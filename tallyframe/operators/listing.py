@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.periods import attribution_month, in_attribution_month, in_attribution_year
+from ..functions.periods import (attribution_month, in_attribution_month, in_attribution_year,
+                                 partition_filter)
 
 LIST_COLUMNS = ["id", "card_last4", "card_type", "txn_time", "amount", "direction", "merchant_raw",
                 "merchant_key", "category", "status", "voided", "offset_of", "merged_into",
@@ -52,6 +53,9 @@ def ledger_filter(df: DataFrame, *, month: str | None = None, year: str | None =
             df = df.filter(F.col("status") == status)
     if merchant_key:
         df = df.filter(F.col("merchant_key") == merchant_key)
+    part = partition_filter(df.columns, month=month, year=year, start_day=start_day)
+    if part is not None:
+        df = df.filter(part)
     if month:
         df = df.filter(in_attribution_month(month, start_day))
     if year:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.periods import (attribution_month, billing_period, in_attribution_month)
+from ..functions.periods import (attribution_month, billing_period, in_attribution_month,
+                                 partition_filter)
 
 
 def money(c: Column) -> Column:
@@ -40,6 +41,9 @@ def summary(df: DataFrame, month: str | None = None, start_day: int = 1) -> Data
     """
     rows = live(df)
     if month:
+        part = partition_filter(df.columns, month=month, start_day=start_day)
+        if part is not None:
+            rows = rows.filter(part)
         rows = rows.filter(in_attribution_month(month, start_day))
     return rows.agg(
         F.count(F.lit(1)).alias("total"),

@@ -29,5 +29,17 @@ def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = No
 
 
 def with_month_partition(ledger: DataFrame) -> DataFrame:
-    """Add the calendar-month partition column used for period pruning."""
-    return ledger.withColumn("txn_month", F.date_format("txn_time", "yyyy-MM"))
+    """Add the partition column used for period pruning: override month, else calendar month.
+
+    Billing period m (any start day) then lives in partitions m and m+1 only,
+    so month and year filters become partition filters
+    (:func:`tallyframe.functions.periods.partition_filter`).
+    """
+    from ..functions.periods import PARTITION_COL, partition_month
+    return ledger.withColumn(PARTITION_COL, partition_month())
+
+
+def write_ledger_snapshot(ledger: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write a ledger snapshot partitioned for period pruning."""
+    from ..functions.periods import PARTITION_COL
+    write_snapshot(with_month_partition(ledger), path, partition_by=[PARTITION_COL], mode=mode)

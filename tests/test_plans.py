@@ -32,3 +32,23 @@ def test_top20_per_merchant_limits_before_shuffle(spark):
     le = fx.ledger_e(spark, SF)
     plan = _plan(ADV.merchant_recent(le, ADV.open_merchants(le), 20))
     assert "WindowGroupLimit" in plan
+
+
+def test_partitioned_snapshot_prunes_months_and_keeps_results(spark):
+    from pyspark.sql import functions as F
+
+    from tallyframe.sources import sinks
+    path = tempfile.mkdtemp(prefix="tf-part-") + "/ledger"
+    led = fx.ledger_o(spark, "/root/testdata/sf0.01")
+    sinks.write_ledger_snapshot(led, path)
+    snap = spark.read.parquet(path)
+    for month, day in [("1999-06", 1), ("1997-12", 15), ("1996-02", 28)]:
+        a = listing.ledger_page(snap, month=month, start_day=day, limit=10 ** 6).drop("attr_month")
+        b = listing.ledger_page(led, month=month, start_day=day, limit=10 ** 6)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+        assert reports.summary(snap, month, day).first() == reports.summary(led, month, day).first()
+    plan = _plan(listing.ledger_page(snap, month="1997-12", start_day=15))
+    pf = plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert "attr_month" in pf and "1997-12" in pf and "1998-01" in pf
+    y = listing.ledger_page(snap, year="1998", start_day=15, limit=10 ** 6).drop("attr_month")
+    assert y.count() == listing.ledger_page(led, year="1998", start_day=15, limit=10 ** 6).count()
