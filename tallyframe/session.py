@@ -48,6 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch folder so that ``DataFrame.checkpoint()`` works.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        existing = spark.sparkContext.getCheckpointDir()
+        if existing:
+            return existing
     if not d:
         master = spark.sparkContext.master or ""
         if not master.startswith("local"):
