@@ -1,4 +1,6 @@
 """One test per semantic quirk not covered elsewhere."""
+import re
+
 from pyspark.sql import functions as F
 
 from conftest import ledger
@@ -55,3 +57,18 @@ def test_q18_split_children_do_not_inherit_category_or_month(spark):
     _, kids, _ = CMD.split_apply(df, sp)
     for r in kids.collect():
         assert (r["category"], r["effective_month"], r["points"], r["status"]) == (None, None, None, "pending")
+
+
+def test_q15_unicode_white_space_like_python(spark):
+    from tallyframe.functions import text as TX
+    html = "<div>　 a  b 　</div><div>　</div><div>尾号1234　消费　店 名</div>"
+    df = spark.createDataFrame([(html,)], "h string")
+    lines = df.select(TX.html_to_lines("h").alias("l")).first()["l"]
+    # Python's own reading: str.strip() is Unicode-aware, the inner collapse is [ \t\xa0]+
+    py = [re.sub(r"[ \t\xa0]+", " ", ln).strip()
+          for ln in html.replace("</div>", "\n").replace("<div>", " ").split("\n") if ln.strip()]
+    assert lines == py
+    from tallyframe import constants as K
+    got = spark.createDataFrame([(lines[1],)], "s string").select(
+        F.regexp_extract("s", K.RE_DETAIL, 3).alias("m")).first()["m"]
+    assert got == "店 名"
