@@ -45,3 +45,22 @@ def test_dedup_first_and_upsert_last(spark):
 def test_digest_summary(spark):
     q = spark.createDataFrame([(1, "pending"), (2, "confirmed"), (3, "suggested")], "id bigint, status string")
     assert tuple(notify.digest_summary(q).first()) == (3, 2)
+
+
+def test_insert_ignore_stats(spark):
+    from tallyframe.sources import ingest
+    led = spark.createDataFrame([("f1",)], "fingerprint string")
+    batch = spark.createDataFrame([("f1", 1), ("f2", 2), ("f2", 3), ("f3", 4)], "fingerprint string, arrival int")
+    ins = ingest.txn_insert_ignore(led, batch)
+    assert sorted(r["fingerprint"] for r in ins.collect()) == ["f2", "f3"]
+    assert [r["arrival"] for r in ins.filter("fingerprint = 'f2'").collect()] == [2]
+    assert tuple(ingest.batch_stats(batch, ins).first()) == (2, 2, 2)
+
+
+def test_received_local_and_fallback(spark):
+    from tallyframe.functions import text as TX
+    df = spark.createDataFrame([("2026-06-19 00:30:00",), (None,)], "r string") \
+        .select(F.col("r").cast("timestamp_ntz").alias("r"))
+    got = [str(x["t"]) for x in df.select(
+        TX.received_local("r", F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")).alias("t")).collect()]
+    assert got == ["2026-06-19 08:30:00", "2026-01-01 00:00:00"]
