@@ -304,3 +304,67 @@ def apply_in_rounds(ledger: DataFrame, requests: DataFrame, rounds: DataFrame, a
     for r in range(1, last + 1):
         ledger = apply_fn(ledger, tagged.filter(F.col("round") == r).drop("round")).checkpoint(eager=True)
     return ledger
+
+
+# ---- one command table, applied in rounds -------------------------------------------------
+
+def origin_row(row_id: Column, depth: int = 8) -> Column:
+    """The original row a (possibly derived) id descends from.
+
+    Split children are ``CHILD_ID_BASE + parent * 100 + pos`` and merged rows
+    ``2 * CHILD_ID_BASE + first original``; unwinding those rules maps every id
+    to a row that existed before any command. Two commands whose rows share an
+    origin are ordered, so a command on a row created by an earlier split or
+    merge always runs after it (conservative for siblings, never wrong).
+    """
+    def unwind(acc, _):
+        return (F.when(acc >= F.lit(2 * CHILD_ID_BASE), acc - F.lit(2 * CHILD_ID_BASE))
+                .when(acc >= F.lit(CHILD_ID_BASE), F.floor((acc - F.lit(CHILD_ID_BASE)) / 100))
+                .otherwise(acc).cast("bigint"))
+    # a fold keeps the expression linear in depth (the accumulator is a lambda variable)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), row_id.cast("bigint"), unwind)
+
+
+EDIT_OPS = ("void", "restore", "set_category", "set_note", "confirm")
+
+
+def apply_command_table(ledger: DataFrame, commands: DataFrame, start_day: int = 1):
+    """Apply a mixed command table in ``seq`` order.
+
+    ``commands`` (long form, one row per touched id): request_id, seq, op, row_id,
+    pos, payload, amounts array<decimal(18,2)>, category, note, month,
+    expected_operation. ``op`` is an edit (void, restore, set_category,
+    set_note, confirm), ``split`` or ``merge``. Rounds come from
+    :func:`command_rounds` over the rows' origins; inside one round every row
+    is touched by at most one request, so the edit, split and merge kinds of
+    that round are applied one after the other on disjoint rows. Returns
+    (ledger, split results, merge results).
+    """
+    from ..session import ensure_checkpoint_dir
+    spark = ledger.sparkSession
+    ensure_checkpoint_dir(spark)
+    keyed = commands.withColumn("_origin", origin_row(F.col("row_id")))
+    rounds = command_rounds(keyed.select("request_id", "seq", F.col("_origin").alias("row_id")))
+    tagged = keyed.join(rounds, "request_id").checkpoint(eager=True)
+    last = rounds.agg(F.max("round")).first()[0] or 0
+    split_res, merge_res = [], []
+    for r in range(1, last + 1):
+        c = tagged.filter(F.col("round") == r)
+        edits = c.filter(F.col("op").isin(*EDIT_OPS)).select(F.col("row_id").alias("txn_id"), "seq", "op", "payload")
+        ledger = apply_edits(ledger, edits)
+        splits = (c.filter(F.col("op") == "split")
+                  .select("request_id", F.col("row_id").alias("txn_id"), "amounts"))
+        res, _, ledger = split_apply(ledger, splits)
+        split_res.append(res)
+        m = c.filter(F.col("op") == "merge")
+        mres, _, ledger = merge_apply(
+            ledger, m.select("request_id", "pos", F.col("row_id").alias("id")),
+            m.groupBy("request_id").agg(F.first("category").alias("category"), F.first("note").alias("note"),
+                                        F.first("month").alias("month"),
+                                        F.first("expected_operation").alias("expected_operation")),
+            start_day)
+        merge_res.append(mres)
+        ledger = ledger.checkpoint(eager=True)
+    from functools import reduce
+    union = lambda xs: reduce(lambda a, b: a.unionByName(b), xs) if xs else None
+    return ledger, union(split_res), union(merge_res)

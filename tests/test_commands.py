@@ -130,3 +130,32 @@ def test_apply_in_rounds_respects_seq(spark):
     rounds = CMD.command_rounds(cmds.withColumnRenamed("txn_id", "row_id"))
     out = CMD.apply_in_rounds(df, cmds, rounds, lambda led, c: CMD.apply_edits(led, c.drop("request_id")))
     assert out.first()["category"] == "b"
+
+
+CMD_SCHEMA = ("request_id string, seq int, op string, row_id bigint, pos bigint, payload string, "
+              "amounts array<decimal(18,2)>, category string, note string, month string, expected_operation string")
+
+
+def test_command_table_orders_derived_rows_after_their_creation(spark):
+    from decimal import Decimal as D
+    df = ledger(spark, [{"txn_time": "2026-07-01 10:00:00", "amount": 100.0},
+                        {"txn_time": "2026-07-02 10:00:00", "amount": 50.0},
+                        {"txn_time": "2026-07-03 10:00:00", "amount": 30.0}])
+    child = CMD.CHILD_ID_BASE + 1 * 100 + 1          # second child of row 1
+    merged = 2 * CMD.CHILD_ID_BASE + 2               # merge of rows 2 and 3 (row 2 is earliest)
+    rows = [("c", 3, "set_category", child, 0, "kid", None, None, None, None, None),
+            ("a", 1, "split", 1, 0, None, [D("40.00"), D("60.00")], None, None, None, None),
+            ("b", 2, "merge", 2, 0, None, None, "x", None, None, None),
+            ("b", 2, "merge", 3, 1, None, None, "x", None, None, None),
+            ("d", 4, "void", merged, 0, None, None, None, None, None, None),
+            ("e", 5, "set_note", 1, 0, "parent note", None, None, None, None, None)]
+    cmds = spark.createDataFrame(rows, CMD_SCHEMA)
+    out, sres, mres = CMD.apply_command_table(df, cmds)
+    got = {r["id"]: r for r in out.collect()}
+    assert got[child]["category"] == "kid" and float(got[child]["amount"]) == 60.0
+    assert got[merged]["voided"] is True and float(got[merged]["amount"]) == 80.0
+    assert got[1]["voided"] is True and got[1]["note"] == "parent note"
+    assert [r["ok"] for r in sres.collect()] == [True] and [r["ok"] for r in mres.collect()] == [True]
+    rounds = {r["request_id"]: r["round"] for r in CMD.command_rounds(
+        cmds.select("request_id", "seq", CMD.origin_row(F.col("row_id")).alias("row_id"))).collect()}
+    assert rounds["a"] < rounds["c"] and rounds["b"] < rounds["d"] and rounds["a"] < rounds["e"]
