@@ -52,3 +52,21 @@ def run_classifier(ledger: DataFrame, batches: DataFrame, fn: Callable[[pd.DataF
         return out[["batch_id", "adv_key", "pos", "category", "operation", "related_ids", "reason"]]
 
     return hist.groupBy("batch_id").applyInPandas(per_batch, ADVICE_SCHEMA)
+
+
+def interpret_alerts(mails: DataFrame, fn: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """Run the caller's alert interpreter over debit-alert mails (UDF surface, C6 input).
+
+    ``fn`` maps a batch (columns source_msg_id, text, received) to the reply
+    texts, one per row; the result feeds :func:`extract.alert_normalise`. It is
+    called per Arrow batch through ``mapInPandas``: no grouping, no shuffle.
+    """
+    src = mails.select("source_msg_id", "text", "received")
+
+    def per_batch(batches):
+        for pdf in batches:
+            out = pdf[["source_msg_id", "received"]].copy()
+            out["reply"] = list(fn(pdf.reset_index(drop=True)))
+            yield out
+
+    return src.mapInPandas(per_batch, "source_msg_id string, received timestamp_ntz, reply string")

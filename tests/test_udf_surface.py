@@ -35,3 +35,18 @@ def test_classifier_batches_and_apply(spark):
     out, counters = ADV.classify_apply(df, batches, adv, cats)
     assert tuple(counters.first()) == (7, 6, 1)
     assert out.filter(F.col("status") == "suggested").count() == 24
+
+
+def test_alert_interpreter_feeds_normaliser(spark):
+    from tallyframe.operators import extract
+    mails = spark.createDataFrame([("a1", "工资到账 8000.00 元"), ("a2", "验证码 1234")],
+                                  "source_msg_id string, text string") \
+        .withColumn("received", F.lit("2026-06-19 08:07:06").cast("timestamp_ntz"))
+
+    def fn(pdf: pd.DataFrame) -> pd.Series:
+        return pdf["text"].map(lambda t: '{"type": "income", "amount": 8000}' if "工资" in t
+                               else 'noise {"type": "ignore"} noise')
+
+    replies = classify.interpret_alerts(mails, fn)
+    norm = extract.alert_normalise(replies).collect()
+    assert [(r["source_msg_id"], r["type"], r["amount"]) for r in norm] == [("a1", "income", 8000.0)]
