@@ -202,9 +202,12 @@ def alert_route(normalised: DataFrame, card_type: str | None = "debit") -> tuple
 
 # Configured email parsers in priority order (C1): which card type each feeds,
 # what it outputs, and its match gate (C3). This is configuration, not data.
+# A route may also carry ``match`` (a function returning a Column over the mail
+# columns) and ``parse`` (a function DataFrame -> DataFrame of transactions):
+# that is how a new bank's parser is plugged in.
 DEFAULT_ROUTES = (
-    {"card_type": "credit", "output": "transactions", "rule": "credit_daily"},
-    {"card_type": "debit", "output": "ai_record", "rule": "debit_alert"},
+    {"card_type": "credit", "output": "transactions", "rule": "credit_daily", "name": "credit_daily"},
+    {"card_type": "debit", "output": "ai_record", "rule": "debit_alert", "name": "debit_alert"},
 )
 
 
@@ -224,13 +227,15 @@ def mail_route(mails: DataFrame, routes=DEFAULT_ROUTES) -> DataFrame:
     The configured routes compile into one ordered CASE expression, so the
     first match wins without a join or a window: a map-only projection.
     """
-    card = out = None
+    card = out = name = None
     for r in routes:
-        m = _route_match(r["rule"])
+        m = r["match"]() if callable(r.get("match")) else _route_match(r["rule"])
+        nm = r.get("name", r.get("rule"))
         card = F.when(m, F.lit(r["card_type"])) if card is None else card.when(m, F.lit(r["card_type"]))
         out = F.when(m, F.lit(r["output"])) if out is None else out.when(m, F.lit(r["output"]))
+        name = F.when(m, F.lit(nm)) if name is None else name.when(m, F.lit(nm))
     return mails.select("uid", "msg_id", mail_type("sender", "subject").alias("email_type"),
-                        card.alias("parser_card_type"), out.alias("parser_output"))
+                        card.alias("parser_card_type"), out.alias("parser_output"), name.alias("parser_name"))
 
 
 def mail_status(routed: DataFrame, txn_counts: DataFrame, ai_results: DataFrame) -> DataFrame:

@@ -338,7 +338,8 @@ def q_mail_log_upsert(spark, sf):
 
 @register("mail_route")
 def q_mail_route(spark, sf):
-    return extract.mail_route(fx.mails_e(spark, sf))
+    return extract.mail_route(fx.mails_e(spark, sf)).select(
+        "uid", "msg_id", "email_type", "parser_card_type", "parser_output")
 
 
 @register("digest_extract")

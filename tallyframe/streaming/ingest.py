@@ -88,15 +88,30 @@ def _ledger_rows(txns: DataFrame) -> DataFrame:
                           else base[c]).cast(types[c]).alias(c) for c in LEDGER_COLUMNS])
 
 
-def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_dir: str) -> None:
-    """One micro-batch of the ingest (callable from ``foreachBatch`` or directly)."""
+def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_dir: str,
+                  routes=extract.DEFAULT_ROUTES) -> None:
+    """One micro-batch of the ingest (callable from ``foreachBatch`` or directly).
+
+    Mails routed to a transaction parser go through that route's ``parse``
+    function (the built-in digest parser by default); parsers' outputs are
+    unioned before the fingerprint dedup.
+    """
     log = _read_or_empty(spark, f"{state_dir}/mail_log", LOG_DDL, batch_id)
     mails = first_per_key(batch.join(log.select("msg_id"), "msg_id", "left_anti"), "msg_id", [F.col("uid")])
-    routed = extract.mail_route(mails)
-    digests = (mails.join(routed.filter(F.col("parser_output") == "transactions").select("uid"), "uid", "left_semi")
-               .select(F.col("msg_id").alias("source_msg_id"), "html", "uid"))
-    txns = extract.digest_extract(digests.select("source_msg_id", "html"))
-    txns = txns.join(digests.select("source_msg_id", F.col("uid").alias("arrival")), "source_msg_id")
+    routed = extract.mail_route(mails, routes)
+    parsed = []
+    for r in routes:
+        if r["output"] != "transactions":
+            continue
+        nm = r.get("name", r.get("rule"))
+        mine = (mails.join(routed.filter(F.col("parser_name") == nm).select("uid"), "uid", "left_semi")
+                .select(F.col("msg_id").alias("source_msg_id"), "html", "text", "uid"))
+        parse = r.get("parse") or (lambda m: extract.digest_extract(m.select("source_msg_id", "html")))
+        rows = parse(mine)
+        parsed.append(rows.join(mine.select("source_msg_id", F.col("uid").alias("arrival")), "source_msg_id"))
+    txns = parsed[0]
+    for p in parsed[1:]:
+        txns = txns.unionByName(p, allowMissingColumns=True)
     # insert-or-ignore on fingerprint: first arrival in the batch, then drop fingerprints already stored
     rows = _read_or_empty(spark, f"{state_dir}/rows", LEDGER_DDL, batch_id)
     new = first_per_key(txns, "fingerprint", [F.col("arrival")]).join(

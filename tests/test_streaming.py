@@ -85,3 +85,29 @@ def test_notify_step_marks_only_after_successful_send(spark):
     assert led.filter(F.col("notify_status") == "sent").count() == n_live and seen["n"] >= n_live
     # nothing left to send in the next cycle
     assert ST.notify_step(spark, f"{root}/state", 2, lambda lines: lines.count() == 0, "2024-02-02 00:00:00")
+
+
+def test_plugged_parser_route(spark):
+    from tallyframe import constants as K
+    from tallyframe.functions.text import fingerprint
+    from tallyframe.operators import extract as EX
+    root = tempfile.mkdtemp(prefix="tf-route-")
+    mails = spark.createDataFrame(
+        [(1, "x1", "bank@other.example", "card alert", "2026-01-01 10:00:00|12.50|Shop A")],
+        "uid bigint, msg_id string, sender string, subject string, text string") \
+        .withColumn("received", F.lit(None).cast("timestamp_ntz")).withColumn("html", F.lit(None).cast("string"))
+
+    def parse(m):
+        parts = F.split("text", r"\|")
+        rows = m.select("source_msg_id", F.lit("9999").alias("card_last4"), F.lit("credit").alias("card_type"),
+                        parts[0].cast("timestamp_ntz").alias("txn_time"),
+                        parts[1].cast("decimal(18,2)").alias("amount"), F.lit(K.EXPENSE_ACTION).alias("action"),
+                        F.lit("expense").alias("direction"), parts[2].alias("merchant_raw"),
+                        parts[2].alias("merchant_key"))
+        return rows.withColumn("fingerprint", fingerprint("card_last4", "txn_time", "amount", "merchant_raw", "action"))
+
+    routes = EX.DEFAULT_ROUTES + ({"card_type": "credit", "output": "transactions", "name": "other_bank",
+                                    "match": lambda: F.col("sender").contains("other.example"), "parse": parse},)
+    ST.process_batch(spark, mails, 0, f"{root}/state", routes)
+    led = ST.current_ledger(spark, f"{root}/state").collect()
+    assert [(r["merchant_key"], float(r["amount"])) for r in led] == [("Shop A", 12.5)]
