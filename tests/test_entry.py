@@ -54,3 +54,16 @@ def test_oracle_agrees_on_smoke_data(spark):
         dcols = [d[0] for d in cur.description]
         assert sorted(df.columns) == sorted(dcols), k
         assert _bag(df.columns, [tuple(r) for r in df.collect()]) == _bag(dcols, cur.fetchall()), k
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_survey_check_values(spark):
+    from tallyframe import fixtures as fx
+    from tallyframe.operators import matching, reports
+    le, lo = fx.ledger_e(spark, SF), fx.ledger_o(spark, SF)
+    assert (le.count(), lo.count()) == (1000, 1500)
+    assert matching.refund_pairs(le).count() == 7
+    assert matching.merge_candidates(lo, 15).count() == 71
+    assert reports.monthly_matrix(lo, 15).count() == 372
+    assert reports.monthly_matrix(le, 15).count() == 10
+    assert matching.refund_pairs(lo).count() == 0
