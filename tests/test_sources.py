@@ -64,3 +64,17 @@ def test_received_local_and_fallback(spark):
     got = [str(x["t"]) for x in df.select(
         TX.received_local("r", F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")).alias("t")).collect()]
     assert got == ["2026-06-19 08:30:00", "2026-01-01 00:00:00"]
+
+
+def test_json_export_round_trip(spark):
+    import json
+    import tempfile
+
+    from tallyframe.sources import sinks
+    df = spark.createDataFrame([(1, "a", 1.5), (2, None, -2.0)], "id bigint, c string, amount double")
+    rows = [json.loads(r["json"]) for r in sinks.as_json_rows(df).collect()]
+    assert rows == [{"id": 1, "c": "a", "amount": 1.5}, {"id": 2, "amount": -2.0}]
+    path = tempfile.mkdtemp(prefix="tf-json-") + "/out"
+    sinks.write_json(df, path)
+    back = spark.read.schema("id bigint, c string, amount double").json(path)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
