@@ -38,7 +38,7 @@ def test_entry_runs(spark):
 
 
 def test_every_key_has_oracle_or_is_rows_only():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(entry.REGISTRY) - set(entry.oracle_sql()) == ROWS_ONLY
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
