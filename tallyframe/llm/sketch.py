@@ -28,6 +28,14 @@ def bits_for(n_keys: float, load: float = 4.0) -> int:
     return max(SHARD_BITS, int(np.ceil(np.log2(max(1.0, n_keys * load)))))
 
 
+def pack(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack(body: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(body)
+
+
 def squeeze(a: np.ndarray) -> bytes:
     """An integer array by byte planes, compressed."""
     a = np.ascontiguousarray(a)
