@@ -1,11 +1,12 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import simhash_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
 
 SQL = {
