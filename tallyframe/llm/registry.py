@@ -1,11 +1,13 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from . import simhash_dedup, substring_dedup, suffix_dedup
+from . import packing, simhash_dedup, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
 
