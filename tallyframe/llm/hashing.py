@@ -70,7 +70,7 @@ def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
-def word_hashes(blobs: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(blobs: list[bytes], most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of every text in order, and the number of words of each text."""
     hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, b in chunks([len(x) for x in blobs], most):

@@ -38,7 +38,7 @@ HOT = 128
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 1 << 20
 BATCH_BYTES = 1 << 17
-CHUNK = 1 << 19
+CHUNK = 1 << 16
 PART_SCHEMA = "block long, shard long, text binary, sizes binary, ids binary, starts binary"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, spans binary, n_spans long, kept binary"
 
@@ -86,7 +86,7 @@ class _Chunk:
         around = np.arange(self.width)
         for a in range(0, len(at), 4096):
             g = self.grams[at[a:a + 4096, None] + around]
-            out[a:a + 4096] = mix(g.max(axis=1) + mix(mix(g ^ U(0x5851F42D4C957F2D)).min(axis=1)))
+            out[a:a + 4096] = mix(g.max(axis=1) + mix((g * U(0x5851F42D4C957F2D)).min(axis=1)))
         return out
 
 
@@ -148,14 +148,23 @@ def _match(table: pa.Table, length: int) -> pa.Table:
                           for c in ("sizes", "ids", "starts"))
     from_block = [len(x) for x in sizes]
     sizes, ids, starts = np.concatenate(sizes), np.concatenate(ids), np.concatenate(starts)
-    raw = np.frombuffer(b"".join(map(sketch.unpack, texts)), np.uint8)
+    joined = b"".join(map(sketch.unpack, texts))
+    raw = np.frombuffer(joined, np.uint8)
     spans = sizes + (length - 1)
     begin = np.cumsum(spans) - spans
     order = np.lexsort((starts, ids))
+    # of equal segments from several blocks the first is indexed; the later ones repeat it throughout
+    seen: dict[bytes, int] = {}
+    like = np.empty(len(order), np.int64)
+    for i in order.tolist():
+        a = int(begin[i])
+        like[i] = seen.setdefault(joined[a:a + int(spans[i])], i)
+    later = (ids != ids[like]) | (starts != starts[like])
+    order = order[like[order] == order]
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(ids[order]) != 0) | (np.diff(starts[order]) != 0)
     family = SuffixFamily(length)
-    repeated = [np.zeros(0, bool)] * len(order)
+    repeated = [np.zeros(0, bool)] * len(sizes)
     total = np.cumsum(spans[order])
     at = 0
     while at < len(order):
@@ -174,6 +183,8 @@ def _match(table: pa.Table, length: int) -> pa.Table:
         for i, part in zip(own.tolist(), np.split(known, np.cumsum(size)[:-1])):
             repeated[i] = part
         at = to
+    for i in np.flatnonzero(like != np.arange(len(like))).tolist():
+        repeated[i] = np.ones(int(sizes[i]), bool) if later[i] else repeated[int(like[i])]
     cut = np.cumsum([0] + from_block)
     body = [np.packbits(np.concatenate(repeated[a:b])).tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
     return pa.table({"block": table.column("block"), "kind": pa.array([1] * len(body), pa.int32()),
@@ -218,27 +229,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         s = segments(table, got)
         blobs = blobs_of(table)
         told = sketch.answers(got, 1)
-        bits_of: dict[int, np.ndarray] = {}
+        sizes = np.array([len(x) for x in blobs], np.int64)
+        base = np.cumsum(sizes + 1) - (sizes + 1)
+        edge = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
+        begin = base[s.doc] + s.start
+        later = (s.ids[s.doc] != s.ids[s.doc[s.like]]) | (s.start != s.start[s.like])
+        np.add.at(edge, begin[later], 1)
+        np.add.at(edge, begin[later] + (s.size[later] - 1 + length), -1)
+        bits_at, told_bits, n = np.zeros(len(s.size), np.int64), [np.zeros(0, bool)], 0
         for shard, own in s.by_shard():
             size = s.size[own]
-            yes = np.unpackbits(np.frombuffer(told[shard], np.uint8), count=int(size.sum())).astype(bool)
-            bits_of.update(zip(own.tolist(), np.split(yes, np.cumsum(size)[:-1])))
-        edges = [np.zeros(len(b) + 1, np.int32) if len(b) >= length else None for b in blobs]
-        for i, (d, j) in enumerate(zip(s.doc.tolist(), s.like.tolist())):
-            a, n = int(s.start[i]), int(s.size[i])
-            later = j != i and (s.ids[d], a) != (s.ids[s.doc[j]], int(s.start[j]))
-            if later:
-                edges[d][a] += 1
-                edges[d][a + n - 1 + length] -= 1
-            else:
-                hit = np.flatnonzero(bits_of[j])
-                edges[d][a + hit] += 1
-                edges[d][a + hit + length] -= 1
+            bits_at[own] = n + np.cumsum(size) - size
+            told_bits.append(np.unpackbits(np.frombuffer(told[shard], np.uint8), count=int(size.sum())).astype(bool))
+            n += int(size.sum())
+        yes = np.concatenate(told_bits)
+        first = np.flatnonzero(~later)
+        size = s.size[first]
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        hit = yes[np.repeat(bits_at[s.like[first]], size) + place]
+        at = (np.repeat(begin[first], size) + place)[hit]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length, -1)
+        covered = np.cumsum(edge) > 0
         out = {"n_bytes": [], "n_removed": [], "spans": [], "n_spans": [], "kept": []}
-        for blob, edge in zip(blobs, edges):
+        for blob, b in zip(blobs, base.tolist()):
+            gone = covered[b:b + len(blob)]
             spans, kept = np.zeros((0, 2), np.int64), blob
-            if edge is not None and edge.any():
-                gone = np.cumsum(edge[:-1]) > 0
+            if gone.any():
                 spans = np.flatnonzero(np.diff(gone, prepend=False, append=False)).reshape(-1, 2)
                 kept = np.frombuffer(blob, np.uint8)[~gone].tobytes()
             out["n_bytes"].append(len(blob))
