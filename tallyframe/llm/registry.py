@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from . import (fingerprint, mixing, packing, simhash_dedup, substring_dedup, suffix_dedup, token_counts,
-               topk_search, url_filter)
+               topk_search, toxicity, url_filter)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_url_filters": url_filter.op6_url_filters,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
 
