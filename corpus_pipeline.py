@@ -1,4 +1,75 @@
-"""Placeholder until the stages exist."""
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
+as the docs of the next. All but the last return the columns of documents.
+"""
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.llm import mixing, packing, simhash_dedup, suffix_dedup, toxicity
+from tallyframe.llm.common import documents
+from tallyframe.session import ensure_checkpoint_dir
+from tallyframe.sources.tables import read_table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents that it predicts to be toxic go. It learns from the labelled documents of sf_dir."""
+    return toxicity.keep_clean(docs, documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: of each group of linked documents the one with the smallest id stays.
+
+    Rows with one id are one document: one of them stays. So do documents without an id.
+    """
+    groups = simhash_dedup.near_components(docs)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["stays"]), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: bytes that repeat earlier ones go; so do documents of which nothing is left."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = suffix_dedup.remove_repeats(docs, carry=others, as_text=True)
+    out = out.where((F.col("n_removed") == 0) | (F.col("kept_text") != ""))
+    out = out.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")})
+    return out.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents in training order, each as often as its source's target takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: pieces of all documents, placed in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+
+ORACLE_SQL = None  # a trained model, XXH64 and a tokenizer are beyond SQL; tests compare with brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; what is between them is written to the shared folder."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

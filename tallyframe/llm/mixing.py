@@ -46,7 +46,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return docs.select(doc_id.alias("doc_id"), source.alias("source"), n_words(text).alias("size"),
                        F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("s_key"),
                        F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))).alias("place"),
-                       F.xxhash64(text).alias("tie"))
+                       F.xxhash64(text, source).alias("tie"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = RATIO, epochs: int = EPOCHS) -> DataFrame:
@@ -63,7 +63,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float =
     every = Window.partitionBy(F.lit(0))
     w = w.withColumn("level", (F.lit(float(ratio)) * F.sum("source_size").over(every)
                                - F.coalesce(F.sum("cap").over(full), F.lit(0.0))) / F.nullif(F.sum("live").over(rest), F.lit(0.0)))
-    w = w.withColumn("water", F.min(F.when((F.col("live") > 0) & (F.col("level") <= F.col("limit")), F.col("level"))).over(every))
+    w = w.withColumn("water", F.max(F.when((F.col("live") > 0) & (F.col("level") <= F.col("limit")), F.col("level"))).over(every))
     target = F.least("cap", F.coalesce(F.col("live") * F.col("water"), F.col("cap")))
     return w.select("s_key", "source", "number", "weight", "source_size", target.alias("target"))
 
@@ -128,6 +128,20 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
     return copies.orderBy("position", "place", "epoch")
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents in training order, all columns, each as often as the mix takes it.
+
+    Rows that are equal in id, text and source are one another's copies here.
+    """
+    copies = mix(docs).select("doc_id", "tie", F.posexplode("positions").alias("epoch", "position"))
+    tie = F.xxhash64(docs["text"].cast("string"), docs["source"].cast("string"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    texts = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], docs["doc_id"].cast("long").alias("of_id"),
+                        tie.alias("of_tie")).dropDuplicates(["of_id", "of_tie"])
+    out = texts.join(copies, texts.of_id.eqNullSafe(copies.doc_id) & (texts.of_tie == copies.tie))
+    return out.orderBy("position", "tie", "epoch").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -151,7 +165,7 @@ levels AS (
   FROM limits a),
 goals AS (
   SELECT source, source_size,
-         least(cap, coalesce(w * (SELECT min(level) FROM levels WHERE w > 0 AND level <= lim), cap)) AS target FROM levels),
+         least(cap, coalesce(w * (SELECT max(level) FROM levels WHERE w > 0 AND level <= lim), cap)) AS target FROM levels),
 placed AS (
   SELECT doc_id, size, source_size, target,
          coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)

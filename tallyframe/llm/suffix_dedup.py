@@ -26,9 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import ship_package
 from . import sketch
-from .common import blobs_of, documents, id_text, ids_of, n_blocks, total_bytes
+from .common import blobs_of, documents, ids_of, n_blocks, total_bytes
 from .hashing import BYTE_VALUE, U, chunks, mix, rolling, sliding
 from .suffix_family import SuffixFamily
 
@@ -40,7 +42,7 @@ SHARD_BYTES = 1 << 20
 BATCH_BYTES = 1 << 17
 CHUNK = 1 << 16
 PART_SCHEMA = "block long, shard long, text binary, sizes binary, ids binary, starts binary"
-RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, spans binary, n_spans long, kept binary"
+RESULT = (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", T.BinaryType()), ("n_spans", T.LongType()))
 
 
 class _Chunk:
@@ -192,14 +194,23 @@ def _match(table: pa.Table, length: int) -> pa.Table:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
-                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, the removed spans (pairs of int64: start, end), n_spans and the kept bytes."""
-    rows = id_text(docs, id_col, text_col)
+                   block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, the removed spans (pairs of int64: start, end), n_spans and the kept bytes.
+
+    ``carry`` names further columns to return. With ``as_text`` the kept part comes as ``kept_text``, without
+    the rest of characters that were cut.
+    """
+    ship_package(docs.sparkSession)
+    extra = [f"c{i}" for i in range(len(carry))]
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"),
+                       *[docs[c].alias(n) for c, n in zip(carry, extra)])
+    last = T.StructField("kept_text", T.StringType()) if as_text else T.StructField("kept", T.BinaryType())
+    schema = T.StructType([rows.schema["doc_id"], *(rows.schema[n] for n in extra), *(T.StructField(*r) for r in RESULT), last])
     nbytes = total_bytes(rows)
     blocks = n_blocks(nbytes, block_bytes)
     bits = sketch.bits_for(nbytes / 30)
     shards = n_blocks(nbytes, SHARD_BYTES)
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "text")
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "text", *extra)
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         blobs = blobs_of(table)
@@ -263,15 +274,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             out["spans"].append(np.ascontiguousarray(spans, "<i8").tobytes())
             out["n_spans"].append(len(spans))
             out["kept"].append(kept)
-        return pa.table({"doc_id": table.column("doc_id"),
-                         **{c: pa.array(v, pa.binary() if c in ("spans", "kept") else pa.int64()) for c, v in out.items()}})
+        kept = out.pop("kept")
+        kept = {"kept_text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())} if as_text \
+            else {"kept": pa.array(kept, pa.binary())}
+        return pa.table({c: table.column(c) for c in ("doc_id", *extra)}
+                        | {c: pa.array(v, pa.binary() if c == "spans" else pa.int64()) for c, v in out.items()} | kept)
 
     by_block = dealt.groupBy("block")
     estimates = sketch.merged(by_block.applyInArrow(count, sketch.ROWS_SCHEMA), (2, HOT))
     parts = by_block.cogroup(estimates.groupBy("block")).applyInArrow(send, PART_SCHEMA)
     matched = parts.groupBy("shard").applyInArrow(match, sketch.ANSWER_SCHEMA)
     told = estimates.unionByName(matched)
-    return by_block.cogroup(told.groupBy("block")).applyInArrow(remove, RESULT_SCHEMA)
+    out = by_block.cogroup(told.groupBy("block")).applyInArrow(remove, schema)
+    return out.select("doc_id", *[F.col(n).alias(c) for c, n in zip(carry, extra)], *[n for n, _ in RESULT], last.name)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import ship_package
 from ..sources.tables import read_table
 from .common import documents, id_text, saved
 from .noisy_channel import Channel, class_table, count_trigrams
@@ -33,7 +35,6 @@ FEATURES = 2048
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6, 7)
 THRESHOLD = 0.3
-SCORED = "doc_id long, score double"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -151,8 +152,9 @@ def fit(rows: DataFrame, labels: DataFrame, counts: np.ndarray, sample: int = SA
     return b, dict(zip(names, w.tolist()))
 
 
-def score(rows: DataFrame, counts: np.ndarray, b: float, weights: dict[int, float]) -> DataFrame:
-    """(doc_id, score) of every row."""
+def score(rows: DataFrame, counts: np.ndarray, b: float, weights: dict[int, float], carry: list[str]) -> DataFrame:
+    """The carried columns and, last, the score of every row's ``text``."""
+    schema = T.StructType([*(rows.schema[c] for c in carry), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Features(counts)
@@ -171,9 +173,9 @@ def score(rows: DataFrame, counts: np.ndarray, b: float, weights: dict[int, floa
                         found.update(hit)
                 z.append(b + sum(weights[f] * _value(n) for f, n in sorted(found.items())))
             s = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(s, pa.float64())], [*carry, "score"])
 
-    return rows.mapInArrow(run, SCORED)
+    return rows.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,7 +184,18 @@ def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, id_col: st
     known = id_text(labelled, id_col, text_col)
     counts = trigram_counts(rows)
     b, weights = fit(known, labels, counts)
-    return score(rows, counts, b, weights)
+    return score(rows, counts, b, weights, ["doc_id"])
+
+
+def keep_clean(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` (with a column ``text``), all columns, whose score stays below the threshold."""
+    ship_package(docs.sparkSession)
+    counts = trigram_counts(docs)
+    b, weights = fit(id_text(labelled), labels, counts)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], docs["text"])
+    out = score(rows, counts, b, weights, names).where(F.col("score") < threshold)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
