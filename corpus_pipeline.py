@@ -22,14 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each group of linked documents the one with the smallest id stays.
-
-    Rows with one id are one document: one of them stays. So do documents without an id.
-    """
-    groups = simhash_dedup.near_components(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["stays"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Operator 10: of each group of linked documents the one with the smallest id stays."""
+    return simhash_dedup.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from .common import documents, id_text
 
 SHINGLE = 3
 SEEDS = 2
-RUN = 32768
+RUN = 32767
 LANES = 0x0001000100010001
 SPLITS = 256
 
@@ -45,9 +45,7 @@ def _terms(text: Column, shingle: int) -> Column:
 
 def simhash(rows: DataFrame, key: str, text_col: str, out: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
     """(key, out) of every key whose text has words: the fingerprint in lower-case hexadecimal digits.
-
-    Rows that share a key have one text; their votes scale together, so repeats change nothing.
-    """
+    A key stands in one row."""
     terms = rows.select(key, F.posexplode(_terms(F.col(text_col), shingle)).alias("at", "term"))
     names = [f"h{i}" for i in range(shingle)]
     hashes = [F.xxhash64(F.lit(seed), *[F.col(f"term.{n}") for n in names]).alias(f"x{seed}") for seed in range(SEEDS)]
@@ -109,7 +107,7 @@ def near_pairs(prints: DataFrame, radius: int, fp_col: str = "fingerprint") -> D
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, n_chars, fingerprint) of every document; row stands for the id and text together."""
     rows = keyed(docs, id_col, text_col)
-    prints = simhash(rows, "row", "text", "fingerprint", shingle)
+    prints = simhash(rows.dropDuplicates(["row"]), "row", "text", "fingerprint", shingle)
     return rows.select("doc_id", "row", "n_chars").join(prints, "row", "left").withColumn(
         "fingerprint", known(F.col("fingerprint")))
 
@@ -152,7 +150,7 @@ def edited_texts(docs_keyed: DataFrame, order: DataFrame) -> DataFrame:
                         F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
     texts = docs_keyed.select("row", "text", "n_chars")
     donated = texts.join(give, F.col("row") == F.col("donor")).select(
-        "receiver", F.expr("substring(text, 1, half)").alias("prefix")).dropDuplicates(["receiver"])
+        "receiver", F.expr("substring(text, 1, half)").alias("prefix"))
     own = F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) as int))")
     return texts.join(donated, F.col("row") == F.col("receiver")).select("row", F.concat(own, "prefix").alias("edited"))
 
@@ -160,10 +158,11 @@ def edited_texts(docs_keyed: DataFrame, order: DataFrame) -> DataFrame:
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyed(documents(spark, sf_dir))
     order = with_next(rows.select("doc_id", "n_chars", "row").distinct())
-    prints = simhash(rows, "row", "text")
-    edited = edited_texts(rows, order)
+    once = rows.dropDuplicates(["row"])  # one exchange by row, on which all that follows builds
+    prints = simhash(once, "row", "text")
+    edited = edited_texts(once, order)
     edited_prints = simhash(edited, "row", "edited", "edited_fingerprint")
-    digests = edited.select("row", F.sha2("edited", 256).alias("edited_sha256")).distinct()
+    digests = edited.select("row", F.sha2("edited", 256).alias("edited_sha256"))
     next_prints = prints.select(F.col("row").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
     out = rows.select("row", "doc_id", "n_chars").join(order.select("row", "next"), "row")
     out = out.join(digests, "row").join(prints, "row", "left").join(edited_prints, "row", "left").join(next_prints, "next", "left")

@@ -15,8 +15,9 @@ its members, which writes one edge for each fingerprint, not one for each pair.
 ``CAP`` fingerprints are cut into parts, and every two parts meet in a task of their own.
 
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any other; fewer words
-than a shingle count as one shingle; a null id counts as the largest, and its component is null only if
-no other id is in it; rows with one id and different texts keep their own fingerprints but are one document for linking.
+than a shingle count as one shingle; a null id counts as the largest, and a component's id is null only if
+no row in it has one; rows with one id and different texts keep their own fingerprints but are one
+document for linking, and so are rows whose fingerprints no row with an id has.
 """
 from __future__ import annotations
 
@@ -83,16 +84,18 @@ def fingerprints_of(blobs: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, tie, fp): a hash of the text, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = blobs_of(pa.Table.from_batches([batch]))
             fp = np.concatenate([fingerprints_of(blobs[i:i + 64], shingle) for i in range(0, len(blobs), 64)]
                                 or [np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(fp.view(np.int64))],
+                                             ["doc_id", "tie", "fp"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = id_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 def block_widths(n: int, radius: int) -> list[int]:
@@ -220,13 +223,26 @@ def links(distinct: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFram
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id reachable over links, itself included."""
+    """(doc_id, tie, fp, component_id): the smallest id reachable over links, itself included."""
     fps = saved(fingerprints(docs, shingle, id_col, text_col))
     distinct = saved(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(int(LAST_ID)))).alias("rep")))
     roots = components(links(distinct, radius))
     of = distinct.join(roots, F.col("rep") == F.col("node"), "left").select(
         F.col("fp").alias("of_fp"), F.nullif(F.coalesce("root", "rep"), F.lit(int(LAST_ID))).alias("component_id"))
-    return fps.join(of, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
+    return fps.join(of, F.col("fp") == F.col("of_fp")).select("doc_id", "tie", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, one of each component: that with the smallest id (then the smallest text hash)."""
+    groups = near_components(docs, shingle, radius)
+    order = F.struct(F.coalesce("doc_id", F.lit(int(LAST_ID))).alias("id"), "tie")
+    first = groups.groupBy("component_id").agg(F.min(order).alias("first")).select("first.id", "first.tie")
+    own_id = F.coalesce(docs["doc_id"].cast("long"), F.lit(int(LAST_ID)))
+    own_tie = F.xxhash64(docs["text"].cast("string"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(own_id.alias("id"), own_tie.alias("tie"), *[docs[c].alias(n) for c, n in zip(docs.columns, names)])
+    kept = rows.join(first, ["id", "tie"], "left_semi").dropDuplicates(["id", "tie"])
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
