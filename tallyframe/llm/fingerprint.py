@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_text
+from .common import documents, id_text, saved
 
 SHINGLE = 3
 SEEDS = 2
@@ -141,26 +141,26 @@ def with_next(ids: DataFrame) -> DataFrame:
     return rows.join(heads, "part").select("doc_id", "n_chars", "row", F.coalesce("next", "after").alias("next"))
 
 
-def edited_texts(docs_keyed: DataFrame, order: DataFrame) -> DataFrame:
+def edited_texts(texts: DataFrame, order: DataFrame) -> DataFrame:
     """(row, edited): the last half of each text replaced by as much of the start of the next document's.
 
-    Each text goes to the task of its row; from there a prefix goes to the row before it.
+    ``texts`` is (row, text), dealt by row; from there a prefix goes to the row before it.
     """
     give = order.select(F.col("next").alias("donor"), F.col("row").alias("receiver"),
                         F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
-    texts = docs_keyed.select("row", "text", "n_chars")
     donated = texts.join(give, F.col("row") == F.col("donor")).select(
         "receiver", F.expr("substring(text, 1, half)").alias("prefix"))
-    own = F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) as int))")
+    own = F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)")
     return texts.join(donated, F.col("row") == F.col("receiver")).select("row", F.concat(own, "prefix").alias("edited"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyed(documents(spark, sf_dir))
-    order = with_next(rows.select("doc_id", "n_chars", "row").distinct())
-    once = rows.dropDuplicates(["row"])  # one exchange by row, on which all that follows builds
-    prints = simhash(once, "row", "text")
-    edited = edited_texts(once, order)
+    order = saved(with_next(rows.select("doc_id", "n_chars", "row").distinct()))
+    # one exchange of texts by row, the same for all that reads it, so that it is made once
+    texts = rows.select("row", "text").dropDuplicates(["row"])
+    prints = simhash(texts, "row", "text")
+    edited = edited_texts(texts, order)
     edited_prints = simhash(edited, "row", "edited", "edited_fingerprint")
     digests = edited.select("row", F.sha2("edited", 256).alias("edited_sha256"))
     next_prints = prints.select(F.col("row").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
