@@ -8,18 +8,41 @@ the ledger with that per-row table on ``id``. Both sides are keyed by the
 unique row id, so the join has no hot keys.
 
 Requests that touch the same row must see each other's effects in ``seq``
-order; :func:`command_rounds` assigns rounds so that one round never touches a
-row twice, and callers apply round after round (checkpointing between them).
+order. :func:`apply_command_table` applies a mixed table: field edits collapse
+to one update per row, and only splits and merges that share rows run one after
+the other, on the touched rows alone; the ledger is read and joined once.
+
+Rows made by a command get an id that is a hash of the request and the position
+(:func:`child_id`, :func:`merged_row_id`), so any number of parts and any ids of
+the originals are fine, and a later command can name a row before it exists.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.periods import billing_period
+from ..session import ensure_checkpoint_dir
+
+
+
+def _hash_id(kind: str, *parts: Column) -> Column:
+    """A 60-bit id from a hash of the parts."""
+    text = F.concat_ws(":", F.lit(kind), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
 
-CHILD_ID_BASE = 10 ** 12
+def child_id(request_id: Column, pos: Column) -> Column:
+    """Id of the part at ``pos`` (from 0) that a split request makes."""
+    return _hash_id("split", request_id, pos)
+
+
+def merged_row_id(request_id: Column) -> Column:
+    """Id of the row that a merge request makes."""
+    return _hash_id("merge", request_id)
 
 
 # ---- G5 / G6: field edits ----------------------------------------------------------
@@ -64,12 +87,11 @@ def command_validate(requests: DataFrame, categories: DataFrame) -> DataFrame:
 
     ``requests``: (request_id, operation, ids array<bigint>, amounts array<decimal>,
     category). merge/offset need >= 2 ids, void and split exactly one, split
-    >= 2 amounts; a given category must be an active one (broadcast semi-join:
-    the category table is a small dimension).
+    >= 2 amounts; a given category must be an active one.
     """
     active = categories.filter(F.col("active") == 1).select(F.col("name").alias("category"),
                                                            F.lit(True).alias("_known"))
-    r = requests.join(F.broadcast(active), "category", "left")
+    r = requests.join(active, "category", "left")
     op = F.col("operation")
     n_ids = F.coalesce(F.size("ids"), F.lit(0))
     n_amt = F.coalesce(F.size("amounts"), F.lit(0))
@@ -93,7 +115,9 @@ def split_apply(ledger: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFr
     reference). Returns (results, children, new ledger): children inherit card,
     time, currency, direction, action, merchant, channel and source, get
     fingerprint '<parent>#s<i>', status pending and a note; the parent is voided
-    with a note suffix. Child ids are derived from the parent id and position.
+    with a note suffix. Child ids are hashes of the request and the position.
+    Of several valid requests for one parent the first by ``seq`` (if the table
+    has it, then by request id) wins; the others find the parent voided.
     """
     parts = splits.withColumn("amounts", F.transform("amounts", lambda a: F.round(a, 2).cast("decimal(18,2)")))
     p = ledger.select(F.col("id").alias("txn_id"), "voided", F.col("amount").alias("parent_amount"))
@@ -103,13 +127,18 @@ def split_apply(ledger: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFr
            .when(F.col("voided"), F.lit("voided"))
            .when(F.size("amounts") < 2, F.lit("need at least two parts"))
            .when(F.abs(total - F.round(F.col("parent_amount"), 2)) > F.lit(0.01), F.lit("parts do not sum")))
-    results = r.select("request_id", "txn_id", err.isNull().alias("ok"), err.alias("error"),
+    turn = F.struct(*[F.col(c) for c in ("seq", "request_id") if c in splits.columns])
+    r = r.withColumn("_err", err).withColumn("_turn", turn)
+    first = Window.partitionBy("txn_id", F.col("_err").isNull())
+    late = F.col("_err").isNull() & (F.min("_turn").over(first) < F.col("_turn"))
+    r = r.withColumn("_err", F.when(late, F.lit("voided")).otherwise(F.col("_err")))
+    results = r.select("request_id", "txn_id", F.col("_err").isNull().alias("ok"), F.col("_err").alias("error"),
                        F.size("amounts").alias("parts"))
     good = results.filter("ok").join(parts.select("request_id", "amounts"), "request_id")
-    kids = (good.select("txn_id", F.posexplode("amounts").alias("pos", "part"))
+    kids = (good.select("request_id", "txn_id", F.posexplode("amounts").alias("pos", "part"))
             .join(ledger.withColumnRenamed("id", "txn_id"), "txn_id"))
     children = kids.select(
-        (F.lit(CHILD_ID_BASE) + F.col("txn_id") * 100 + F.col("pos")).alias("id"),
+        child_id(F.col("request_id"), F.col("pos")).alias("id"),
         F.concat(F.col("fingerprint"), F.lit("#s"), F.col("pos").cast("string")).alias("fingerprint"),
         "source_msg_id", "card_last4", "card_type", "txn_time", F.col("part").alias("amount"), "currency",
         "direction", "action", "merchant_raw", "merchant_key", "channel",
@@ -160,7 +189,7 @@ def merge_apply(ledger: DataFrame, merge_ids: DataFrame, merges: DataFrame, star
            .when((F.col("expected_operation") == "offset") & (F.abs(F.col("net")) >= F.lit(0.01)),
                  F.lit("net is not zero: cannot offset")))
     is_offset = err.isNull() & (F.abs(F.col("net")) < F.lit(0.01))
-    merged_id = F.lit(CHILD_ID_BASE) * 2 + F.col("first.id")
+    merged_id = merged_row_id(F.col("request_id"))
     results = r.select(
         "request_id", err.isNull().alias("ok"), err.alias("error"), is_offset.alias("offset"),
         F.when(err.isNull() & ~is_offset, merged_id).alias("merged_id"),
@@ -204,9 +233,9 @@ def merge_apply(ledger: DataFrame, merge_ids: DataFrame, merges: DataFrame, star
 def category_rename(ledger: DataFrame, knowledge: DataFrame, renames: DataFrame):
     """Rename categories everywhere (G7). ``renames``: (old_name, new_name).
 
-    The rename map is bounded by the category table, so it is broadcast.
+    Whether the map is broadcast is left to Spark, which sees its size.
     """
-    m = F.broadcast(renames.filter(F.col("new_name").isNotNull() & (F.col("new_name") != F.col("old_name"))))
+    m = renames.filter(F.col("new_name").isNotNull() & (F.col("new_name") != F.col("old_name")))
 
     def apply(df):
         j = df.join(m, df["category"] == m["old_name"], "left")
@@ -229,7 +258,7 @@ def category_delete(ledger: DataFrame, knowledge: DataFrame, categories: DataFra
            .when(F.col("live_n") > 0, F.lit("category still in use")))
     results = r.select("key", "name", err.isNull().alias("ok"), err.alias("error"),
                        F.col("live_n").cast("bigint").alias("live_n"))
-    gone = F.broadcast(results.filter("ok").select(F.col("name").alias("_gone")))
+    gone = results.filter("ok").select(F.col("name").alias("_gone"))
     led = (ledger.join(gone, ledger["category"] == gone["_gone"], "left")
            .withColumn("category", F.when(F.col("_gone").isNotNull() & F.col("voided"), F.lit(None))
                        .otherwise(F.col("category"))).select(*ledger.columns))
@@ -252,119 +281,111 @@ def mark_notified(ledger: DataFrame, sent_ids: DataFrame, now: str) -> DataFrame
             .select(*ledger.columns))
 
 
-# ---- command rounds ----------------------------------------------------------------------
-
-def command_rounds(requests: DataFrame, max_iter: int = 64) -> DataFrame:
-    """Round per request so that a round touches each row at most once and
-    requests sharing a row run in ``seq`` order (SURVEY 7.4, hard part 2).
-
-    ``requests``: (request_id, seq, row_id) in long form. The round of a
-    request is the length of the longest chain of earlier-``seq`` requests
-    connected through shared rows. It is reached by a fix-point: every
-    iteration raises each request to 1 + the round of its predecessor on each
-    of its rows (a ``lag`` per row, then a ``max`` per request). Rounds along a
-    row become strictly increasing, so the immediate predecessor is enough. The
-    loop runs as many distributed iterations as the longest chain (a handful in
-    practice); each iteration is checkpointed to cut the lineage, and the only
-    value brought to the driver is the count of requests that changed.
-    """
-    from pyspark.sql import Window
-
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(requests.sparkSession)
-    ex = requests.select("request_id", "seq", "row_id").dropDuplicates(["request_id", "row_id"])
-    rounds = ex.select("request_id").distinct().withColumn("round", F.lit(1))
-    w = Window.partitionBy("row_id").orderBy("seq", "request_id")
-    for _ in range(max_iter):
-        j = ex.join(rounds, "request_id")
-        prev = j.withColumn("_need", F.coalesce(F.lag("round").over(w) + 1, F.lit(1)))
-        new = (prev.groupBy("request_id").agg(F.max("_need").alias("_need"))
-               .join(rounds, "request_id")
-               .select("request_id", F.greatest("round", "_need").alias("round"), (F.col("_need") > F.col("round"))
-                       .alias("_changed"))
-               .checkpoint(eager=True))
-        changed = new.filter("_changed").count()
-        rounds = new.drop("_changed")
-        if changed == 0:
-            return rounds
-    raise RuntimeError("command rounds did not converge")
-
-
-def apply_in_rounds(ledger: DataFrame, requests: DataFrame, rounds: DataFrame, apply_fn) -> DataFrame:
-    """Apply ``apply_fn(ledger, requests_of_round)`` round after round.
-
-    Each round is one distributed job over the whole ledger; the ledger is
-    checkpointed between rounds so that lineage does not grow with the number
-    of rounds. ``requests`` must carry ``request_id``.
-    """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(ledger.sparkSession)
-    last = rounds.agg(F.max("round")).first()[0] or 0
-    tagged = requests.join(rounds, "request_id")
-    for r in range(1, last + 1):
-        ledger = apply_fn(ledger, tagged.filter(F.col("round") == r).drop("round")).checkpoint(eager=True)
-    return ledger
-
-
-# ---- one command table, applied in rounds -------------------------------------------------
-
-def origin_row(row_id: Column, depth: int = 8) -> Column:
-    """The original row a (possibly derived) id descends from.
-
-    Split children are ``CHILD_ID_BASE + parent * 100 + pos`` and merged rows
-    ``2 * CHILD_ID_BASE + first original``; unwinding those rules maps every id
-    to a row that existed before any command. Two commands whose rows share an
-    origin are ordered, so a command on a row created by an earlier split or
-    merge always runs after it (conservative for siblings, never wrong).
-    """
-    def unwind(acc, _):
-        return (F.when(acc >= F.lit(2 * CHILD_ID_BASE), acc - F.lit(2 * CHILD_ID_BASE))
-                .when(acc >= F.lit(CHILD_ID_BASE), F.floor((acc - F.lit(CHILD_ID_BASE)) / 100))
-                .otherwise(acc).cast("bigint"))
-    # a fold keeps the expression linear in depth (the accumulator is a lambda variable)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), row_id.cast("bigint"), unwind)
-
+# ---- one command table -------------------------------------------------------------------
 
 EDIT_OPS = ("void", "restore", "set_category", "set_note", "confirm")
-
-
-def apply_command_table(ledger: DataFrame, commands: DataFrame, start_day: int = 1):
+#: Edits whose order against a split or merge of the same row matters.
+PLACED_OPS = ("void", "restore", "set_note")
+STRUCTURAL_OPS = ("split", "merge")
+
+
+def command_rows(commands: DataFrame) -> DataFrame:
+    """(request_id, seq, id): rows that split and merge requests touch or make."""
+    c = commands.filter(F.col("op").isin(*STRUCTURAL_OPS))
+    touched = c.select("request_id", "seq", F.col("row_id").alias("id"))
+    parts = (c.filter("op = 'split'").select("request_id", "seq", F.posexplode("amounts").alias("pos", "part"))
+             .select("request_id", "seq", child_id(F.col("request_id"), F.col("pos")).alias("id")))
+    merged = c.filter("op = 'merge'").select("request_id", "seq", merged_row_id(F.col("request_id")).alias("id"))
+    return touched.unionByName(parts).unionByName(merged).distinct()
+
+
+def _placed_edits(edits: DataFrame, rows: DataFrame) -> DataFrame:
+    """Void, restore and note edits of rows that splits or merges touch: of those between two such
+    requests only the last of each field counts, and it becomes a request of its own."""
+    own = edits.filter(F.col("op").isin(*PLACED_OPS)).select(
+        "request_id", "seq", F.col("row_id").alias("id"), "op", "payload")
+    own = own.join(rows.select("id").distinct(), "id", "left_semi")
+    steps = rows.select("request_id", "seq", "id", F.lit(None).cast("string").alias("op"),
+                        F.lit(None).cast("string").alias("payload"))
+    by_row = Window.partitionBy("id").orderBy("seq", "request_id")
+    numbered = own.unionByName(steps).withColumn("segment", F.count(F.when(F.col("op").isNull(), 1)).over(by_row))
+    turn = F.struct("seq", "request_id")
+    field = F.when(F.col("op") == "set_note", "note").otherwise("voided")
+    return (numbered.filter(F.col("op").isNotNull()).groupBy("id", "segment", field.alias("field"))
+            .agg(F.max_by(F.struct("op", "payload", "seq"), turn).alias("x"))
+            .select(F.concat_ws(":", F.lit("edit"), "id", "segment", "field").alias("request_id"),
+                    "x.seq", "x.op", F.col("id").alias("row_id"), "x.payload"))
+
+
+def apply_command_table(ledger: DataFrame, commands: DataFrame, start_day: int = 1, repair: bool = True):
     """Apply a mixed command table in ``seq`` order.
 
-    ``commands`` (long form, one row per touched id): request_id, seq, op, row_id,
-    pos, payload, amounts array<decimal(18,2)>, category, note, month,
-    expected_operation. ``op`` is an edit (void, restore, set_category,
-    set_note, confirm), ``split`` or ``merge``. Rounds come from
-    :func:`command_rounds` over the rows' origins; inside one round every row
-    is touched by at most one request, so the edit, split and merge kinds of
-    that round are applied one after the other on disjoint rows. Returns
-    (ledger, split results, merge results).
+    ``commands`` (long form, one row per touched id): request_id string, seq, op,
+    row_id, pos, payload, amounts array<decimal(18,2)>, category, note, month,
+    expected_operation. ``op`` is an edit (void, restore, set_category, set_note,
+    confirm), ``split`` or ``merge``.
+
+    Only splits and merges depend on what came before. They run on a small
+    working table, the ledger rows they name: in each round every request that is
+    the first one left on all rows it touches or makes, so the number of rounds
+    is the longest chain of splits and merges through shared rows. Void, restore
+    and note edits of those rows take their place among them; all other edits
+    collapse to the last one per row and field. The ledger itself is read once to
+    fetch the working rows and joined once at the end. After a split refunds are
+    paired again (``repair``). Lineage is cut in the shared folder.
+
+    Returns (ledger, split results, merge results); an edit of a row that does
+    not exist (yet) has no effect.
     """
-    from ..session import ensure_checkpoint_dir
-    spark = ledger.sparkSession
-    ensure_checkpoint_dir(spark)
-    keyed = commands.withColumn("_origin", origin_row(F.col("row_id")))
-    rounds = command_rounds(keyed.select("request_id", "seq", F.col("_origin").alias("row_id")))
-    tagged = keyed.join(rounds, "request_id").checkpoint(eager=True)
-    last = rounds.agg(F.max("round")).first()[0] or 0
-    split_res, merge_res = [], []
-    for r in range(1, last + 1):
-        c = tagged.filter(F.col("round") == r)
-        edits = c.filter(F.col("op").isin(*EDIT_OPS)).select(F.col("row_id").alias("txn_id"), "seq", "op", "payload")
-        ledger = apply_edits(ledger, edits)
-        splits = (c.filter(F.col("op") == "split")
-                  .select("request_id", F.col("row_id").alias("txn_id"), "amounts"))
-        res, _, ledger = split_apply(ledger, splits)
-        split_res.append(res)
-        m = c.filter(F.col("op") == "merge")
-        mres, _, ledger = merge_apply(
-            ledger, m.select("request_id", "pos", F.col("row_id").alias("id")),
-            m.groupBy("request_id").agg(F.first("category").alias("category"), F.first("note").alias("note"),
-                                        F.first("month").alias("month"),
-                                        F.first("expected_operation").alias("expected_operation")),
-            start_day)
-        merge_res.append(mres)
-        ledger = ledger.checkpoint(eager=True)
-    from functools import reduce
-    union = lambda xs: reduce(lambda a, b: a.unionByName(b), xs) if xs else None
-    return ledger, union(split_res), union(merge_res)
+    ensure_checkpoint_dir(ledger.sparkSession)
+    rows = command_rows(commands).checkpoint()
+    edits = commands.filter(F.col("op").isin(*EDIT_OPS))
+    placed = _placed_edits(edits, rows).checkpoint()
+    steps = commands.filter(F.col("op").isin(*STRUCTURAL_OPS)).unionByName(placed, allowMissingColumns=True).checkpoint()
+    need = rows.unionByName(placed.select("request_id", "seq", F.col("row_id").alias("id")))
+    work = ledger.join(rows.select("id").distinct(), "id", "left_semi").checkpoint()
+    split_results, merge_results, n_split = [], [], 0
+    while not need.isEmpty():
+        first = need.groupBy("id").agg(F.min(F.struct("seq", "request_id")).alias("first"))
+        ready = (need.join(first, "id").groupBy("request_id")
+                 .agg(F.every(F.col("first.request_id") == F.col("request_id")).alias("ready"))
+                 .filter("ready").select("request_id").checkpoint())
+        now = steps.join(ready, "request_id", "left_semi")
+        work = apply_edits(work, now.filter(F.col("op").isin(*PLACED_OPS))
+                           .select(F.col("row_id").alias("txn_id"), "seq", "op", "payload"))
+        told, _, work = split_apply(work, now.filter("op = 'split'").select(
+            "request_id", "seq", F.col("row_id").alias("txn_id"), "amounts"))
+        merges = now.filter("op = 'merge'")
+        heads = merges.groupBy("request_id").agg(*[F.min_by(c, "pos").alias(c) for c in
+                                                   ("category", "note", "month", "expected_operation")])
+        merged, _, work = merge_apply(work, merges.select("request_id", "pos", F.col("row_id").alias("id")), heads, start_day)
+        split_results.append(told.checkpoint())
+        merge_results.append(merged.checkpoint())
+        n_split += split_results[-1].filter("ok").count()
+        work = work.checkpoint()
+        need = need.join(ready, "request_id", "left_anti").checkpoint()
+    # the working rows replace their originals; the other edits follow, once
+    out = ledger.join(rows.select("id").distinct(), "id", "left_anti").select(*ledger.columns).unionByName(work)
+    made = rows.groupBy("id").agg(F.min("seq").alias("from_seq"))
+    made = made.join(ledger.select("id"), "id", "left_anti")
+    rest = edits.join(rows.select(F.col("id").alias("row_id")).distinct().withColumn("_structural", F.lit(True)), "row_id", "left")
+    rest = rest.filter(F.col("_structural").isNull() | ~F.col("op").isin(*PLACED_OPS))
+    rest = rest.join(made.withColumnRenamed("id", "row_id"), "row_id", "left").filter(
+        F.col("from_seq").isNull() | (F.col("seq") > F.col("from_seq")))
+    out = apply_edits(out, rest.select(F.col("row_id").alias("txn_id"), "seq", "op", "payload"))
+    if repair and n_split:
+        from .matching import apply_pairing
+        out = apply_pairing(out)
+    union = lambda parts, empty: reduce(DataFrame.unionByName, parts) if parts else empty
+    return (out, union(split_results, split_apply(work, _no_splits(ledger))[0]),
+            union(merge_results, merge_apply(work, *_no_merges(ledger))[0]))
+
+
+def _no_splits(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], "request_id string, seq bigint, txn_id bigint, amounts array<decimal(18,2)>")
+
+
+def _no_merges(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    spark = df.sparkSession
+    return (spark.createDataFrame([], "request_id string, pos bigint, id bigint"),
+            spark.createDataFrame([], "request_id string, category string, note string, month string, expected_operation string"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import billing_period, epoch_micros
-from ..session import ensure_checkpoint_dir
+from ..session import ship_package
 
 PAIR_KEY = ["card_last4", "merchant_key", "amt_key"]
 
@@ -57,70 +57,71 @@ def pairing_annotated(ledger: DataFrame) -> DataFrame:
     return cand.withColumn("pair_id", pair).drop("_bal", "_lvl", "amt_key")
 
 
-def pairing_annotated_chunked(ledger: DataFrame, chunk_hours: int = 24) -> DataFrame:
-    """Same result as :func:`pairing_annotated`, with hot keys split into chunks.
+def pair_links(ledger: DataFrame, chunk_hours: int = 24) -> DataFrame:
+    """(id, pair_id) of every paired row, with hot keys split into time chunks.
 
     A chunk is a fixed time bucket of ``chunk_hours`` (deterministic, so every
-    branch of the plan and every retried task sees the same chunk of a row),
-    so one (card, merchant, amount) key spans as many chunks as it has busy
-    buckets. Both windows run per (key, chunk); the chunks are stitched with
-    small per-chunk summaries:
+    branch of the plan and every retried task sees the same chunk of a row).
+    Narrow candidate rows (key, id, time, direction) cross the network once, by
+    (key, chunk); both windows and both summaries are computed on that one
+    exchange. The chunks are stitched with the summaries:
 
     * balance: local running sum + the sum of all earlier chunks of the key
       (a window over one row per (key, chunk));
-    * lag/lead at a level: the first row of a (key, level, chunk) run takes the
-      last row of the same (key, level) in the nearest earlier chunk, and the
-      last row takes the first row in the nearest later chunk (windows over
-      one row per (key, level, chunk)).
+    * neighbour at a level: the last row of a (key, level, chunk) run meets the
+      first row of the same level in the next chunk that has the level, and
+      two runs pair there if an expense meets a refund (a window over one row
+      per (key, level, chunk)).
 
     No window partition holds more than one chunk of raw rows.
     """
-    cand = (ledger.filter(_pair_candidate())
-            .withColumn("amt_key", F.when(_is_refund(), F.abs(F.col("amount"))).otherwise(F.col("amount"))))
-    order_cols = ["txn_time", "direction", "id"]
+    order = ["txn_time", "direction", "id"]
     bucket = F.lit(int(chunk_hours) * 3600 * 1_000_000)
-    u = cand.withColumn("_c", F.floor(epoch_micros("txn_time") / bucket))
-    u = u.withColumn("_s", F.when(_is_refund(), F.lit(-1)).otherwise(F.lit(1)))
-    order = [F.col(c) for c in order_cols]
     kc = [*PAIR_KEY, "_c"]
-    # every large-data window below is partitioned by (key, chunk): one exchange, reused
-    w_local = Window.partitionBy(*kc).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # chunk totals by partial aggregation: one row per (key, chunk, map task) crosses the shuffle
-    sums = u.groupBy(*kc).agg(F.sum("_s").alias("_cs"))
-    u = u.withColumn("_lb", F.sum("_s").over(w_local))
-    w_prev = Window.partitionBy(*PAIR_KEY).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.withColumn("_off", F.coalesce(F.sum("_cs").over(w_prev), F.lit(0))).drop("_cs")
-    u = u.join(offs, kc).withColumn("_bal", F.col("_lb") + F.col("_off"))
-    u = u.withColumn("_lvl", F.when(_is_refund(), F.col("_bal") + 1).otherwise(F.col("_bal")))
     kl = [*PAIR_KEY, "_lvl"]
-    # neighbours at the same level inside the chunk: order the chunk by (level, time)
+    u = (ledger.filter(_pair_candidate())
+         .select("card_last4", "merchant_key",
+                 F.when(_is_refund(), F.abs(F.col("amount"))).otherwise(F.col("amount")).alias("amt_key"),
+                 F.floor(epoch_micros("txn_time") / bucket).alias("_c"), "id", "txn_time", "direction")
+         # said once for all branches: a join would add it to one side only, and the exchanges would differ
+         .filter(F.col("amt_key").isNotNull() & F.col("_c").isNotNull())
+         .repartition(*kc))
+    step = F.when(_is_refund(), F.lit(-1)).otherwise(F.lit(1))
+    w_prev = Window.partitionBy(*PAIR_KEY).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    w_local = Window.partitionBy(*kc).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = u.withColumn("_lb", F.sum(step).over(w_local))
+    # a chunk's sum is its last running sum: the same columns, hence the same exchange, as all else here
+    offs = (u.groupBy(*kc).agg(F.max_by("_lb", F.struct(*order)).alias("_cs"))
+            .select(*kc, F.coalesce(F.sum("_cs").over(w_prev), F.lit(0)).alias("_off")))
+    u = u.join(offs, kc)
+    bal = F.col("_lb") + F.col("_off")
+    u = u.withColumn("_lvl", F.when(_is_refund(), bal + 1).otherwise(bal)).drop("_lb", "_off")
+    # inside a chunk: neighbours of the same level, in order of (level, time)
     w_lvl = Window.partitionBy(*kc).orderBy("_lvl", *order)
-    same_prev = F.lag("_lvl").over(w_lvl) == F.col("_lvl")
-    same_next = F.lead("_lvl").over(w_lvl) == F.col("_lvl")
-    u = (u.withColumn("_pid", F.when(same_prev, F.lag("id").over(w_lvl)))
-         .withColumn("_pdir", F.when(same_prev, F.lag("direction").over(w_lvl)))
-         .withColumn("_nid", F.when(same_next, F.lead("id").over(w_lvl)))
-         .withColumn("_ndir", F.when(same_next, F.lead("direction").over(w_lvl))))
-    ends = (u.groupBy(*kl, "_c")
-            .agg(F.max_by(F.struct(F.col("id").alias("i"), F.col("direction").alias("d")),
-                          F.struct(*order)).alias("_last"),
-                 F.min_by(F.struct(F.col("id").alias("i"), F.col("direction").alias("d")),
-                          F.struct(*order)).alias("_first")))
-    w_c = Window.partitionBy(*kl).orderBy("_c")
-    ends = (ends.withColumn("_before", F.lag("_last").over(w_c))
-            .withColumn("_after", F.lead("_first").over(w_c)).select(*kl, "_c", "_before", "_after"))
-    u = u.join(ends, [*kl, "_c"])
-    prev_id = F.coalesce(F.col("_pid"), F.col("_before.i"))
-    prev_dir = F.when(F.col("_pid").isNotNull(), F.col("_pdir")).otherwise(F.col("_before.d"))
-    next_id = F.coalesce(F.col("_nid"), F.col("_after.i"))
-    next_dir = F.when(F.col("_nid").isNotNull(), F.col("_ndir")).otherwise(F.col("_after.d"))
-    pair = (F.when(_is_refund() & (prev_dir == "expense"), prev_id)
-            .when(~_is_refund() & (next_dir == "refund"), next_id))
-    return u.withColumn("pair_id", pair).select(*ledger.columns, "pair_id")
-
-
-def _annotate(ledger: DataFrame, chunk_hours: int | None) -> DataFrame:
-    return pairing_annotated_chunked(ledger, chunk_hours) if chunk_hours else pairing_annotated(ledger)
+    inside = (u.withColumn("_p", F.lag(F.struct("_lvl", "direction", "id")).over(w_lvl))
+              .filter(_is_refund() & (F.col("_p._lvl") == F.col("_lvl")) & (F.col("_p.direction") == "expense"))
+              .select(F.col("id").alias("_refund"), F.col("_p.id").alias("_expense")))
+    # across chunks: the last row of a level's run and the first of its next one
+    end = F.struct(F.col("id").alias("i"), F.col("direction").alias("d"))
+    ends = u.groupBy(*kl, "_c").agg(F.max_by(end, F.struct(*order)).alias("_last"),
+                                    F.min_by(end, F.struct(*order)).alias("_first"))
+    before = F.lag("_last").over(Window.partitionBy(*kl).orderBy("_c"))
+    across = (ends.withColumn("_before", before)
+              .filter((F.col("_first.d") == "refund") & (F.col("_before.d") == "expense"))
+              .select(F.col("_first.i").alias("_refund"), F.col("_before.i").alias("_expense")))
+    pairs = inside.unionByName(across)
+    return pairs.select(F.explode(F.array(
+        F.struct(F.col("_refund").alias("id"), F.col("_expense").alias("pair_id")),
+        F.struct(F.col("_expense").alias("id"), F.col("_refund").alias("pair_id")))).alias("x")).select("x.*")
+
+
+def _paired(ledger: DataFrame, chunk_hours: int | None) -> DataFrame:
+    """The ledger with ``pair_id`` (null where a row has no partner)."""
+    if not chunk_hours:
+        links = pairing_annotated(ledger).filter(F.col("pair_id").isNotNull()).select("id", "pair_id")
+    else:
+        links = pair_links(ledger, chunk_hours)
+    return ledger.join(links, "id", "left")
 
 
 def refund_pairs(ledger: DataFrame, chunk_hours: int | None = 24) -> DataFrame:
@@ -129,7 +130,11 @@ def refund_pairs(ledger: DataFrame, chunk_hours: int | None = 24) -> DataFrame:
     ``chunk_hours`` bounds every window partition to one key-bucket (default a
     day); ``None`` uses the single-pass two-window plan.
     """
-    a = _annotate(ledger, chunk_hours).filter(_is_refund() & F.col("pair_id").isNotNull())
+    if not chunk_hours:
+        a = pairing_annotated(ledger)
+    else:
+        a = ledger.filter(_pair_candidate() & _is_refund()).join(pair_links(ledger, chunk_hours), "id")
+    a = a.filter(_is_refund() & F.col("pair_id").isNotNull())
     return a.select(F.col("id").alias("refund_id"), F.col("pair_id").alias("expense_id"),
                     "card_last4", "merchant_key", F.abs(F.col("amount")).cast("double").alias("amount"),
                     F.col("txn_time").alias("refund_time"))
@@ -139,79 +144,75 @@ def apply_pairing(ledger: DataFrame, chunk_hours: int | None = 24) -> DataFrame:
     """Ledger after pairing (G1): both sides voided and pointing at each other.
 
     Sticky semantics (Q4): only rows live at the time take part, and earlier
-    links are kept.
+    links are kept. The links of paired rows are joined back on the row id.
     """
-    cols = ledger.columns
-    cand = _annotate(ledger, chunk_hours)
-    paired = (cand.withColumn("voided", F.col("voided") | F.col("pair_id").isNotNull())
-              .withColumn("offset_of", F.coalesce(F.col("pair_id"), F.col("offset_of")))
-              .select(*cols))
-    rest = ledger.filter(~F.coalesce(_pair_candidate(), F.lit(False)))
-    return rest.unionByName(paired)
-
-
-SWEEP_SCHEMA = ("kind string, refund_id bigint, expense_id bigint, card_last4 string, merchant_key string, "
-                "pid int, x long, t long")
-
-
-def _stack_sweep(batches):
-    """Per range partition: latest earlier expense with amount >= refund amount.
-
-    Rows arrive sorted by (card, merchant, time, kind, id) with expenses
-    (kind 0) before refunds (kind 1) at equal times. Per key a monotonic stack
-    keeps the expenses that can still be someone's answer (amounts strictly
-    decreasing from bottom to top, times increasing): an older expense whose
-    amount is not larger than a newer one can never be "the latest with
-    amount >= X". A refund's answer is the topmost entry with amount >= X,
-    found by bisection. Emits resolved pairs ('R'), refunds with no local
-    answer ('U'), and each key's final stack ('S') for the cross-partition
-    step. Linear in the rows of the partition; the stack is the only state.
+    return (_paired(ledger, chunk_hours)
+            .withColumn("voided", F.col("voided") | F.col("pair_id").isNotNull())
+            .withColumn("offset_of", F.coalesce(F.col("pair_id"), F.col("offset_of")))
+            .select(*ledger.columns))
+
+
+SWEEP_SCHEMA = ("kind string, card_last4 string, merchant_key string, refund_id bigint, refund_x long, refund_t long, "
+                "expense_id bigint, expense_x long, expense_t long")
+
+
+def _stack_sweep(group_columns, last):
+    """Per group: latest earlier expense whose amount covers the refund.
+
+    Rows arrive sorted by group and then by (time, expenses first, id): 'S' rows
+    are expenses, 'U' rows open refunds, 'R' rows are answered already and pass.
+    A monotonic stack keeps the expenses that can still be someone's answer
+    (amounts strictly decreasing from bottom to top, times increasing): an older
+    expense whose amount is not larger than a newer one can never be "the latest
+    with amount >= X". A refund's answer is the topmost entry with amount >= X,
+    found by bisection. Emits answered refunds ('R') and, unless this is the
+    ``last`` level, open refunds and each group's remaining stack for the next.
+    Linear in the rows; the stack is the only state.
     """
     import bisect
 
-    import pandas as pd
-
-    cur, neg, ids, ts, pid = None, [], [], [], None
-    out: list[tuple] = []
-
-    def flush():
-        if cur is not None:
-            for a, i_, t_ in zip(neg, ids, ts):
-                out.append(("S", None, i_, cur[0], cur[1], pid, -a, t_))
-
-    for pdf in batches:
-        cols = [pdf[c].tolist() for c in ("card_last4", "merchant_key", "kind", "id", "x", "t", "pid")]
-        for card, merch, kind, id_, x, t, p in zip(*cols):
-            pid = p
-            if (card, merch) != cur:
-                flush()
-                cur, neg, ids, ts = (card, merch), [], [], []
-            if kind == 0:
-                while neg and -neg[-1] <= x:
-                    neg.pop()
-                    ids.pop()
-                    ts.pop()
-                neg.append(-x)
-                ids.append(id_)
-                ts.append(t)
-            else:
-                k = bisect.bisect_right(neg, -x) - 1
-                if k >= 0:
-                    out.append(("R", id_, ids[k], card, merch, p, x, t))
+    import pyarrow as pa
+
+    types = {"string": pa.string(), "bigint": pa.int64(), "long": pa.int64()}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in SWEEP_SCHEMA.split(", ")])
+
+    def table(rows):
+        columns = zip(*rows) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def run(batches):
+        cur, neg, kept, out = None, [], [], []
+        for batch in batches:
+            groups = zip(*[batch.column(c).to_pylist() for c in group_columns])
+            for group, row in zip(groups, zip(*[batch.column(c).to_pylist() for c in schema.names])):
+                if group != cur:
+                    if not last:
+                        out += kept
+                    cur, neg, kept = group, [], []
+                if row[0] == "S":
+                    while neg and -neg[-1] <= row[7]:
+                        neg.pop()
+                        kept.pop()
+                    neg.append(-row[7])
+                    kept.append(row)
+                elif row[0] == "R":
+                    out.append(row)
                 else:
-                    out.append(("U", id_, None, card, merch, p, x, t))
-        if len(out) > 10000:
-            yield pd.DataFrame(out, columns=["kind", "refund_id", "expense_id", "card_last4", "merchant_key",
-                                             "pid", "x", "t"])
+                    k = bisect.bisect_right(neg, -abs(row[4])) - 1
+                    if k >= 0:
+                        out.append(("R", *row[1:6], *kept[k][6:]))
+                    elif not last:
+                        out.append(row)
+            yield table(out)
             out = []
-    flush()
-    if out:
-        yield pd.DataFrame(out, columns=["kind", "refund_id", "expense_id", "card_last4", "merchant_key",
-                                         "pid", "x", "t"])
+        if not last and kept:
+            yield table(kept)
+
+    return run
 
 
 def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float = 10.0,
-                     partitions: int | None = None) -> DataFrame:
+                     chunk_days: int = 30) -> DataFrame:
     """Cross-period (expense, later refund) merge suggestions.
 
     Each live refund with |amount| >= ``min_refund`` takes the latest live
@@ -219,55 +220,38 @@ def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float =
     the refund (ties: larger id). The pick comes first; the result is kept only
     when the two raw billing periods differ. An expense may serve many refunds.
 
-    Plan (exact, no pair emission inside a group): expenses and qualifying
-    refunds are range-partitioned and sorted by (card, merchant, time), so a
-    hot (card, merchant) spans several tasks; each task runs a monotonic-stack
-    sweep (``_stack_sweep``). A refund without a local answer looks up the
-    latest earlier partition of its key whose stack maximum covers it (one
-    row per partition), then only that partition's stack.
+    Plan (exact, one scan, two exchanges, no join, no pair emission): expenses
+    and qualifying refunds are swept per (card, merchant, time chunk) with a
+    monotonic stack (``_stack_sweep``), so a hot (card, merchant) spans as many
+    tasks as it has chunks. What a chunk leaves over (open refunds, and the
+    expenses that can still answer a later one) is swept again per (card,
+    merchant); answered refunds pass through, spread by their id. Chunks are
+    fixed time buckets, so retried tasks see the same ones.
     """
+    ship_package(ledger.sparkSession)
     live = ledger.filter(~F.col("voided") & F.col("card_last4").isNotNull() & F.col("merchant_key").isNotNull())
-    cents = lambda c: (c * 100).cast("bigint")
+    cents = (F.col("amount") * 100).cast("bigint")
+    expense = F.col("direction") == "expense"
+    refund = (F.col("direction") == "refund") & (F.abs(F.col("amount")) >= F.lit(min_refund))
     micros = epoch_micros("txn_time")
-    e = live.filter(F.col("direction") == "expense").select(
-        "card_last4", "merchant_key", F.lit(0).alias("kind"), "id", cents(F.col("amount")).alias("x"),
-        micros.alias("t"))
-    r = live.filter((F.col("direction") == "refund") & (F.abs(F.col("amount")) >= F.lit(min_refund))).select(
-        "card_last4", "merchant_key", F.lit(1).alias("kind"), "id", cents(F.abs(F.col("amount"))).alias("x"),
-        micros.alias("t"))
-    order = ["card_last4", "merchant_key", "t", "kind", "id"]
-    u = e.unionByName(r)
-    u = (u.repartitionByRange(partitions, *order) if partitions else u.repartitionByRange(*order))
-    u = u.sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
-    # The sweep output (one row per refund plus the per-key stack summaries) is
-    # checkpointed once: its branches must all see the same range bounds, and a
-    # re-sampled range partitioner would assign different partition ids.
-    ensure_checkpoint_dir(ledger.sparkSession)
-    swept = u.mapInPandas(_stack_sweep, SWEEP_SCHEMA).checkpoint(eager=True)
-    local = swept.filter(F.col("kind") == "R").select("refund_id", "expense_id")
-    unres = swept.filter(F.col("kind") == "U").select("refund_id", "card_last4", "merchant_key", "pid", "x")
-    summ = swept.filter(F.col("kind") == "S").select(
-        "card_last4", "merchant_key", F.col("pid").alias("s_pid"), F.col("expense_id"), F.col("x").alias("s_x"),
-        F.col("t").alias("s_t"))
-    # The answer of an unresolved refund lies in the latest earlier partition of
-    # its key whose stack maximum (the stack's bottom) covers it: later stacks
-    # hold nothing that large, and what that partition holds above the refund's
-    # amount is never popped by later, smaller expenses. So: find that partition
-    # from one row per (key, partition), then search only its stack.
-    tops = summ.groupBy("card_last4", "merchant_key", "s_pid").agg(F.max("s_x").alias("s_max"))
-    q = (unres.join(tops, ["card_last4", "merchant_key"])
-         .filter((F.col("s_pid") < F.col("pid")) & (F.col("s_max") >= F.col("x")))
-         .groupBy("refund_id", "card_last4", "merchant_key", "x").agg(F.max("s_pid").alias("s_pid")))
-    far = (q.join(summ, ["card_last4", "merchant_key", "s_pid"])
-           .filter(F.col("s_x") >= F.col("x"))
-           .groupBy("refund_id")
-           .agg(F.max_by("expense_id", F.struct("s_t", "expense_id")).alias("expense_id")))
-    picks = local.unionByName(far)
-    rr = ledger.select(F.col("id").alias("refund_id"), "merchant_key", F.col("txn_time").alias("refund_time"),
-                       F.col("amount").alias("refund_amount"))
-    ee = ledger.select(F.col("id").alias("expense_id"), F.col("txn_time").alias("expense_time"),
-                       F.col("amount").alias("expense_amount"))
-    out = picks.join(rr, "refund_id").join(ee, "expense_id")
+    u = live.filter(expense | refund).select(
+        F.when(expense, "S").otherwise("U").alias("kind"), "card_last4", "merchant_key",
+        *[F.when(~expense, c).alias(n) for c, n in ((F.col("id"), "refund_id"), (cents, "refund_x"), (micros, "refund_t"))],
+        *[F.when(expense, c).alias(n) for c, n in ((F.col("id"), "expense_id"), (cents, "expense_x"), (micros, "expense_t"))])
+    t = F.coalesce("refund_t", "expense_t")
+    order = [t, F.coalesce(F.col("kind") == "U", F.lit(False)), F.coalesce("refund_id", "expense_id")]
+    u = u.withColumn("chunk", F.floor(t / F.lit(int(chunk_days) * 86_400_000_000)))
+    by = ["card_last4", "merchant_key", "chunk"]
+    first = u.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(_stack_sweep(by, False), SWEEP_SCHEMA)
+    by = ["card_last4", "merchant_key", "spread"]
+    spread = F.when(F.col("kind") == "R", F.pmod("refund_id", F.lit(1024))).otherwise(F.lit(-1))
+    second = first.withColumn("spread", spread).repartition(*by)
+    picks = second.sortWithinPartitions(*by, *order).mapInArrow(_stack_sweep(by, True), SWEEP_SCHEMA)
+    when = lambda c: F.timestamp_add("MICROSECOND", F.col(c), F.lit("1970-01-01").cast("timestamp_ntz"))
+    amount = lambda c: (F.col(c) / 100).cast("decimal(18,2)")
+    out = picks.select("merchant_key", "expense_id", amount("expense_x").alias("expense_amount"),
+                       when("expense_t").alias("expense_time"), "refund_id", amount("refund_x").alias("refund_amount"),
+                       when("refund_t").alias("refund_time"))
     out = out.filter(billing_period("expense_time", start_day) != billing_period("refund_time", start_day))
     return out.select(
         "merchant_key", "expense_id", F.col("expense_amount").cast("double").alias("expense_amount"),
@@ -275,22 +259,19 @@ def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float =
         "refund_time", F.round(F.col("expense_amount") + F.col("refund_amount"), 2).cast("double").alias("net"))
 
 
-def reimbursement_match(ledger: DataFrame, deposits: DataFrame, window_days: int = 30) -> DataFrame:
+def reimbursement_match(ledger: DataFrame, deposits: DataFrame, window_days: int = 30,
+                        chunk_hours: int = 24) -> DataFrame:
     """Expense -> first deposit of the same amount within ``window_days`` after it.
 
-    An as-of join without materialised pairs, bucketed so that no window
-    partition is larger than one amount in one look-ahead period:
+    An as-of join without materialised pairs. Rows cross the network once, by
+    (amount, time chunk), so a common amount is spread over its busy chunks:
 
-    * time is cut into buckets ``window_days`` wide; an answer at most
-      ``window_days`` after the expense lies in the expense's bucket or the next;
-    * inside (amount, bucket), the first later deposit comes from a window
-      ``first(ignorenulls)`` over the following rows (deposit after expense at
-      equal times);
-    * otherwise the next bucket's first deposit of that amount (one row per
-      (amount, bucket), a plain equi-join).
+    * inside a chunk the first later deposit is the last one seen going back in
+      time (a frame that only grows: linear in the rows);
+    * otherwise the first deposit of the next chunk of that amount that has one,
+      from one row per (amount, chunk).
     """
-    width = F.lit(int(window_days) * 86400 * 1_000_000)
-    bucket = F.floor(epoch_micros("t") / width)
+    chunk = F.floor(epoch_micros("t") / F.lit(int(chunk_hours) * 3600 * 1_000_000))
     e = (ledger.filter(~F.col("voided") & (F.col("direction") == "expense") & (F.col("amount") > 0))
          .select(F.col("id").alias("expense_id"), F.col("txn_time").alias("t"),
                  F.col("amount").alias("amount"), F.lit(0).alias("side"),
@@ -298,16 +279,17 @@ def reimbursement_match(ledger: DataFrame, deposits: DataFrame, window_days: int
     d = deposits.select(F.lit(None).cast("bigint").alias("expense_id"), F.col("txn_time").alias("t"),
                         F.col("amount").cast("decimal(18,2)").alias("amount"), F.lit(1).alias("side"),
                         F.col("id").alias("deposit_id"))
-    u = e.unionByName(d).withColumn("b", bucket)
-    w = (Window.partitionBy("amount", "b").orderBy("t", "side", "deposit_id")
-         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    dep = F.struct(F.col("t").alias("dt"), F.col("deposit_id").alias("did"))
-    local = u.withColumn("nx", F.first(F.when(F.col("side") == 1, dep), ignorenulls=True).over(w)) \
-        .filter(F.col("side") == 0)
-    nxt = (d.withColumn("b", bucket - 1)
-           .groupBy("amount", "b").agg(F.min(F.struct(F.col("t").alias("dt"), F.col("deposit_id").alias("did")))
-                                       .alias("nb")))
-    m = local.join(nxt, ["amount", "b"], "left").withColumn("nx", F.coalesce(F.col("nx"), F.col("nb")))
+    u = e.unionByName(d).withColumn("c", chunk).repartition("amount", "c")
+    dep = F.when(F.col("side") == 1, F.struct(F.col("t").alias("dt"), F.col("deposit_id").alias("did")))
+    # backwards in time the frame only grows, so each row is added once; an
+    # expense comes after the deposits of its own instant
+    back = (Window.partitionBy("amount", "c").orderBy(F.desc("t"), F.desc("side"), F.desc("deposit_id"))
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = u.withColumn("nx", F.last(dep, ignorenulls=True).over(back)).filter(F.col("side") == 0)
+    later = Window.partitionBy("amount").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = u.groupBy("amount", "c").agg(F.min(dep).alias("fd"))
+    nxt = firsts.select("amount", "c", F.last("fd", ignorenulls=True).over(later).alias("nb"))
+    m = local.join(nxt, ["amount", "c"], "left").withColumn("nx", F.coalesce(F.col("nx"), F.col("nb")))
     limit = F.col("t") + F.make_dt_interval(F.lit(window_days))
     return m.select(
         "expense_id", F.col("t").alias("expense_time"), F.col("amount").cast("double").alias("amount"),

@@ -645,7 +645,7 @@ good AS (SELECT * FROM sp WHERE err IS NULL),
 kids AS (
   SELECT g.txn_id, unnest(g.amounts) AS part, generate_subscripts(g.amounts, 1) - 1 AS pos FROM good g),
 children AS (
-  SELECT 1000000000000 + k.txn_id * 100 + k.pos AS id, l.fingerprint || '#s' || CAST(k.pos AS VARCHAR) AS fingerprint,
+  SELECT ('0x' || substr(md5('split:' || k.request_id || ':' || k.pos), 1, 15))::BIGINT AS id, l.fingerprint || '#s' || CAST(k.pos AS VARCHAR) AS fingerprint,
     l.card_last4, l.card_type, l.txn_time, CAST(k.part AS DECIMAL(18,2)) AS amount, l.direction, l.action,
     l.merchant_raw, l.merchant_key, false AS voided, 'pending' AS status, '拆自 #' || CAST(k.txn_id AS VARCHAR) AS note
   FROM kids k JOIN ledger_e l ON l.id = k.txn_id)"""
@@ -675,7 +675,7 @@ res AS (
          WHEN m.expected_operation = 'offset' AND abs(a.net) >= 0.01 THEN 'net is not zero: cannot offset' END AS err
   FROM merges_e m LEFT JOIN agg a ON a.request_id = m.request_id)"""
 ORACLE["merge_net"] = with_views(["ledger_e", "merge_ids_e", "merges_e"], "WITH " + MERGE_SQL + """
-SELECT 2000000000000 + first.id AS id, first.txn_time AS txn_time, CAST(net AS DOUBLE) AS amount,
+SELECT ('0x' || substr(md5('merge:' || request_id), 1, 15))::BIGINT AS id, first.txn_time AS txn_time, CAST(net AS DOUBLE) AS amount,
   CASE WHEN net < 0 THEN 'refund' ELSE 'expense' END AS direction,
   coalesce(month, first_period) AS effective_month,
   CASE WHEN category IS NOT NULL THEN 'confirmed' ELSE 'pending' END AS status, category,

@@ -115,47 +115,95 @@ def test_category_delete_blocked_by_live_rows(spark):
     assert [r["key"] for r in cats2.collect()] == ["ka"]
 
 
-def test_command_rounds_are_transitive(spark):
-    # A(seq1) touches x; B(seq2) touches x,y; C(seq3) touches y; D(seq4) touches z
-    req = spark.createDataFrame([("A", 1, 10), ("B", 2, 10), ("B", 2, 20), ("C", 3, 20), ("D", 4, 30)],
-                                "request_id string, seq int, row_id bigint")
-    got = {r["request_id"]: r["round"] for r in CMD.command_rounds(req).collect()}
-    assert got == {"A": 1, "B": 2, "C": 3, "D": 1}
+CMD_SCHEMA = ("request_id string, seq int, op string, row_id bigint, pos bigint, payload string, "
+              "amounts array<decimal(18,2)>, category string, note string, month string, expected_operation string")
 
 
-def test_apply_in_rounds_respects_seq(spark):
-    df = ledger(spark, [{"txn_time": "2026-07-01 10:00:00", "amount": 1.0}])
-    cmds = spark.createDataFrame([("r1", 1, 1, "set_category", "a"), ("r2", 2, 1, "set_category", "b")],
-                                 "request_id string, seq int, txn_id bigint, op string, payload string")
-    rounds = CMD.command_rounds(cmds.withColumnRenamed("txn_id", "row_id"))
-    out = CMD.apply_in_rounds(df, cmds, rounds, lambda led, c: CMD.apply_edits(led, c.drop("request_id")))
-    assert out.first()["category"] == "b"
+def ids_of(spark, request, n=1):
+    df = spark.createDataFrame([(request, i) for i in range(n)], "r string, p int")
+    return ([r[0] for r in df.orderBy("p").select(CMD.child_id(F.col("r"), F.col("p"))).collect()],
+            df.select(CMD.merged_row_id(F.col("r"))).first()[0])
 
 
-CMD_SCHEMA = ("request_id string, seq int, op string, row_id bigint, pos bigint, payload string, "
-              "amounts array<decimal(18,2)>, category string, note string, month string, expected_operation string")
+def command(request, seq, op, row, pos=0, payload=None, amounts=None, category=None, note=None, month=None, expected=None):
+    from decimal import Decimal as D
+    return (request, seq, op, row, pos, payload, [D(str(a)) for a in amounts] if amounts else None, category, note, month, expected)
 
 
 def test_command_table_orders_derived_rows_after_their_creation(spark):
-    from decimal import Decimal as D
     df = ledger(spark, [{"txn_time": "2026-07-01 10:00:00", "amount": 100.0},
                         {"txn_time": "2026-07-02 10:00:00", "amount": 50.0},
                         {"txn_time": "2026-07-03 10:00:00", "amount": 30.0}])
-    child = CMD.CHILD_ID_BASE + 1 * 100 + 1          # second child of row 1
-    merged = 2 * CMD.CHILD_ID_BASE + 2               # merge of rows 2 and 3 (row 2 is earliest)
-    rows = [("c", 3, "set_category", child, 0, "kid", None, None, None, None, None),
-            ("a", 1, "split", 1, 0, None, [D("40.00"), D("60.00")], None, None, None, None),
-            ("b", 2, "merge", 2, 0, None, None, "x", None, None, None),
-            ("b", 2, "merge", 3, 1, None, None, "x", None, None, None),
-            ("d", 4, "void", merged, 0, None, None, None, None, None, None),
-            ("e", 5, "set_note", 1, 0, "parent note", None, None, None, None, None)]
-    cmds = spark.createDataFrame(rows, CMD_SCHEMA)
-    out, sres, mres = CMD.apply_command_table(df, cmds)
+    child = ids_of(spark, "a", 2)[0][1]
+    merged = ids_of(spark, "b")[1]
+    rows = [command("c", 3, "set_category", child, payload="kid"), command("a", 1, "split", 1, amounts=[40, 60]),
+            command("b", 2, "merge", 2, 0, category="x"), command("b", 2, "merge", 3, 1, category="x"),
+            command("d", 4, "void", merged), command("e", 5, "set_note", 1, payload="parent note"),
+            command("early", 0, "set_category", child, payload="too early"), command("none", 9, "void", 12345)]
+    out, sres, mres = CMD.apply_command_table(df, spark.createDataFrame(rows, CMD_SCHEMA))
     got = {r["id"]: r for r in out.collect()}
     assert got[child]["category"] == "kid" and float(got[child]["amount"]) == 60.0
     assert got[merged]["voided"] is True and float(got[merged]["amount"]) == 80.0
-    assert got[1]["voided"] is True and got[1]["note"] == "parent note"
+    assert got[1]["voided"] is True and got[1]["note"] == "parent note" and len(got) == 6
     assert [r["ok"] for r in sres.collect()] == [True] and [r["ok"] for r in mres.collect()] == [True]
-    rounds = {r["request_id"]: r["round"] for r in CMD.command_rounds(
-        cmds.select("request_id", "seq", CMD.origin_row(F.col("row_id")).alias("row_id"))).collect()}
-    assert rounds["a"] < rounds["c"] and rounds["b"] < rounds["d"] and rounds["a"] < rounds["e"]
+
+
+def test_command_table_without_caps(spark):
+    big, low = 10 ** 17 + 3, -5
+    df = ledger(spark, [{"txn_time": "2026-07-01 10:00:00", "amount": 121.0},
+                        {"txn_time": "2026-07-02 10:00:00", "amount": 120.0, "merchant_key": "n"},
+                        {"id": big, "txn_time": "2026-07-03 10:00:00", "amount": 8.0},
+                        {"id": low, "txn_time": "2026-07-04 10:00:00", "amount": 4.0}])
+    kids, _ = ids_of(spark, "s1", 120)
+    grand, _ = ids_of(spark, "s3", 2)
+    rows = [command(f"e{i}", 10 + i, "set_category", 1, payload=f"c{i}") for i in range(90)]
+    rows += [command(f"v{i}", 10 + i, "void" if i % 2 else "restore", low) for i in range(70)]
+    rows += [command("s1", 1, "split", 2, amounts=[1] * 120), command("s2", 2, "split", 2, amounts=[60, 60]),
+             command("s3", 3, "split", kids[7], amounts=[0.4, 0.6]), command("m", 4, "merge", grand[0], 0),
+             command("m", 4, "merge", big, 1)]
+    out, sres, mres = CMD.apply_command_table(df, spark.createDataFrame(rows, CMD_SCHEMA))
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == out.count() == 4 + 120 + 2 + 1
+    assert got[1]["category"] == "c89" and got[low]["voided"] is True
+    assert {r["request_id"]: r["error"] for r in sres.collect()} == {"s1": None, "s2": "voided", "s3": None}
+    assert got[kids[7]]["voided"] and got[grand[0]]["voided"] and not got[grand[1]]["voided"]
+    assert got[big]["merged_into"] == ids_of(spark, "m")[1] == got[grand[0]]["merged_into"]
+    assert float(got[ids_of(spark, "m")[1]]["amount"]) == 8.4
+    live = sum(float(r["amount"]) for r in got.values() if not r["voided"])
+    assert round(live, 2) == 121.0 + 119.0 + 0.6 + 8.4 and mres.first()["ok"]
+
+
+def test_notes_and_restores_keep_their_place(spark):
+    df = ledger(spark, [{"txn_time": "2026-07-01 10:00:00", "amount": 10.0, "note": "old"},
+                        {"txn_time": "2026-07-02 10:00:00", "amount": 20.0}])
+    rows = [command("n", 1, "set_note", 1, payload="mine"), command("v", 2, "void", 1),
+            command("bad", 3, "split", 1, amounts=[5, 5]), command("r", 4, "restore", 1),
+            command("good", 5, "split", 1, amounts=[4, 6]), command("w", 6, "void", 2), command("x", 7, "restore", 2)]
+    out, sres, _ = CMD.apply_command_table(df, spark.createDataFrame(rows, CMD_SCHEMA))
+    assert {r["request_id"]: r["error"] for r in sres.collect()} == {"bad": "voided", "good": None}
+    got = {r["id"]: r for r in out.collect()}
+    assert got[1]["note"] == "mine [已拆分]" and got[1]["voided"] and not got[2]["voided"]
+
+
+def test_table_pairs_again_after_a_split(spark):
+    df = ledger(spark, [{"txn_time": "2026-06-10 10:00:00", "amount": 100.0, "merchant_key": "s"},
+                        {"txn_time": "2026-06-12 10:00:00", "amount": -30.0, "direction": "refund", "merchant_key": "s"}])
+    out, _, _ = CMD.apply_command_table(df, spark.createDataFrame([command("a", 1, "split", 1, amounts=[30, 70])], CMD_SCHEMA))
+    got = {r["id"]: r for r in out.collect()}
+    kid = ids_of(spark, "a", 2)[0][0]
+    assert got[2]["voided"] and got[2]["offset_of"] == kid and got[kid]["offset_of"] == 2
+
+
+def test_first_split_of_one_parent_wins(spark):
+    df = ledger(spark, [{"txn_time": "2026-06-10 10:00:00", "amount": 100.0}])
+    sp = spark.createDataFrame([(1, 9, 1, [30.0, 70.0]), (2, 3, 1, [50.0, 50.0])],
+                               "request_id bigint, seq bigint, txn_id bigint, amounts array<double>")
+    res, kids, new = CMD.split_apply(df, sp)
+    assert {r["request_id"]: r["error"] for r in res.collect()} == {1: "voided", 2: None}
+    assert new.count() == 3 and kids.count() == 2
+
+
+def test_empty_command_table(spark):
+    df = ledger(spark, [{"txn_time": "2026-06-10 10:00:00", "amount": 100.0}])
+    out, sres, mres = CMD.apply_command_table(df, spark.createDataFrame([], CMD_SCHEMA))
+    assert out.count() == 1 and sres.count() == mres.count() == 0

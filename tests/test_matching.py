@@ -130,9 +130,9 @@ def test_merge_candidates_hot_key_split_across_partitions(spark):
     df = ledger(spark, rows)
     native = [dict(x.asDict(), amount=float(x["amount"])) for x in df.collect()]
     want = brute_candidates(native)
-    for parts in (1, 7, 32, 400):
-        got = {(r["refund_id"], r["expense_id"]) for r in matching.merge_candidates(df, 1, partitions=parts).collect()}
-        assert got == want, parts
+    for days in (1, 7, 30, 4000):
+        got = {(r["refund_id"], r["expense_id"]) for r in matching.merge_candidates(df, 1, chunk_days=days).collect()}
+        assert got == want, days
     assert len(want) >= 10
 
 
@@ -151,9 +151,10 @@ def test_chunked_pairing_equals_plain_on_hot_keys(spark):
     native = [dict(x.asDict(), amount=float(x["amount"])) for x in df.collect()]
     want = greedy_pairs(native)
     assert {(i, p) for i, p in plain if p is not None and i in {a for a, _ in want}} == want
+    linked = {(i, p) for i, p in plain if p is not None}
     for hours in (1, 5, 24, 24 * 40):
-        got = {(r["id"], r["pair_id"]) for r in matching.pairing_annotated_chunked(df, hours).collect()}
-        assert got == plain, hours
+        got = {(r["id"], r["pair_id"]) for r in matching.pair_links(df, hours).collect()}
+        assert got == linked, hours
 
 
 def test_reimbursement_matches_brute_force_across_buckets(spark):
@@ -178,3 +179,28 @@ def test_reimbursement_matches_brute_force_across_buckets(spark):
         want[e["id"]] = first[1] if ok else None
     got = {r["expense_id"]: r["deposit_id"] for r in matching.reimbursement_match(df, dep, 7).collect()}
     assert got == want
+
+
+def test_merge_candidates_keep_large_ids(spark):
+    big = 2 ** 62 + 1
+    rows = [{"id": big, "amount": 120.0, "txn_time": "2026-01-05 10:00:00"},
+            {"id": big + 2, "amount": -20.0, "direction": "refund", "txn_time": "2026-03-05 10:00:00"}]
+    r = matching.merge_candidates(ledger(spark, rows), 1).collect()
+    assert [(x["expense_id"], x["refund_id"], x["net"]) for x in r] == [(big, big + 2, 100.0)]
+
+
+def test_reimbursement_of_one_amount_is_linear(spark):
+    import time
+
+    def run(n):
+        e = spark.range(n).select(F.col("id"), F.lit(False).alias("voided"), F.lit("expense").alias("direction"),
+                                  F.lit(30).cast("decimal(18,2)").alias("amount"),
+                                  F.timestamp_add("SECOND", F.col("id"), F.lit("2026-01-05").cast("timestamp_ntz")).alias("txn_time"))
+        d = e.where("id % 2 = 0").select((F.col("id") + n).alias("id"), "txn_time", "amount")
+        t = time.time()
+        matching.reimbursement_match(e, d, 30).write.format("noop").mode("overwrite").save()
+        return time.time() - t
+
+    run(1000)
+    small, large = run(40_000), run(80_000)
+    assert large < 3 * small + 1  # a frame that is added up anew for every row would take four times as long

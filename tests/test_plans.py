@@ -52,3 +52,21 @@ def test_partitioned_snapshot_prunes_months_and_keeps_results(spark):
     assert "attr_month" in pf and "1997-12" in pf and "1998-01" in pf
     y = listing.ledger_page(snap, year="1998", start_day=15, limit=10 ** 6).drop("attr_month")
     assert y.count() == listing.ledger_page(led, year="1998", start_day=15, limit=10 ** 6).count()
+
+
+def _final(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[0]
+
+
+def test_pairing_and_sweep_read_and_send_rows_once(spark):
+    from tallyframe.operators import matching
+    path = tempfile.mkdtemp(prefix="tf-plan-") + "/ledger"
+    fx.ledger_e(spark, SF).write.parquet(path)
+    led = spark.read.parquet(path)
+    links = _final(matching.pair_links(led))
+    assert links.count("FileScan") == 1 and links.count("ReusedExchange") >= 3
+    assert links.count("REPARTITION_BY_COL") == 1
+    sweep = _final(matching.merge_candidates(led))
+    assert sweep.count("FileScan") == 1 and sweep.count("Exchange hashpartitioning") == 2 and "Join" not in sweep
