@@ -22,6 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.fence import fence
 from .common import documents, id_text, saved
 
 SHINGLE = 3
@@ -31,22 +32,22 @@ LANES = 0x0001000100010001
 SPLITS = 256
 
 
-def _terms(text: Column, shingle: int) -> Column:
-    """Hashes of the words, one array for each place in a shingle."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    shifted = [F.slice(hashes, F.lit(i + 1), F.greatest(F.size(hashes) - (shingle - 1), F.lit(0))) for i in range(shingle)]
-    short = F.array(F.array_join(words, " "))
-    short = F.transform(short, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) == 0, F.lit(None)).when(
-        F.size(words) < shingle, F.arrays_zip(*[short.alias(f"h{i}") for i in range(shingle)])
-    ).otherwise(F.arrays_zip(*[s.alias(f"h{i}") for i, s in enumerate(shifted)]))
+def _terms(rows: DataFrame, key: str, text_col: str, shingle: int) -> DataFrame:
+    """(key, terms): hashes of the words of each shingle, one field for each place in it. Words and their
+    hashes are fenced, so that they are made once and not anew for each place."""
+    words = F.filter(F.split(F.coalesce(text_col, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    rows = fence(rows.select(key, words.alias("words")).where(F.size("words") > 0))
+    whole = F.array_repeat(F.xxhash64(F.array_join("words", " ")), shingle)
+    hashes = F.when(F.size("words") < shingle, whole).otherwise(F.transform("words", lambda w: F.xxhash64(w)))
+    rows = fence(rows.select(key, hashes.alias("hashes")))
+    count = F.size("hashes") - (shingle - 1)
+    return rows.select(key, F.arrays_zip(*[F.slice("hashes", i + 1, count).alias(f"h{i}") for i in range(shingle)]).alias("terms"))
 
 
 def simhash(rows: DataFrame, key: str, text_col: str, out: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
     """(key, out) of every key whose text has words: the fingerprint in lower-case hexadecimal digits.
     A key stands in one row."""
-    terms = rows.select(key, F.posexplode(_terms(F.col(text_col), shingle)).alias("at", "term"))
+    terms = _terms(rows, key, text_col, shingle).select(key, F.posexplode("terms").alias("at", "term"))
     names = [f"h{i}" for i in range(shingle)]
     hashes = [F.xxhash64(F.lit(seed), *[F.col(f"term.{n}") for n in names]).alias(f"x{seed}") for seed in range(SEEDS)]
     terms = terms.select(key, F.floor(F.col("at") / RUN).cast("int").alias("run"), *hashes)

@@ -70,17 +70,22 @@ def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
+def words_in(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and 64-bit hash of every word of a byte array that ends in white space."""
+    space = IS_SPACE[buf]
+    change = np.flatnonzero(np.diff(space, prepend=True))
+    starts, ends = change[0::2], change[1::2]
+    p = prefix(BYTE_VALUE[buf])
+    h = (p[ends] - p[starts]) * powers(len(buf))[1][starts]
+    return starts, ends, mix(h + (ends - starts).astype(np.uint64) * BASES[1])
+
+
 def word_hashes(blobs: list[bytes], most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of every text in order, and the number of words of each text."""
     hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, b in chunks([len(x) for x in blobs], most):
-        buf = np.frombuffer(b" ".join(blobs[a:b]) + b" ", np.uint8)
-        space = IS_SPACE[buf]
-        change = np.flatnonzero(np.diff(space, prepend=True))
-        starts, ends = change[0::2], change[1::2]
-        p = prefix(BYTE_VALUE[buf])
-        h = (p[ends] - p[starts]) * powers(len(buf))[1][starts]
-        hashes.append(mix(h + (ends - starts).astype(np.uint64) * BASES[1]))
+        starts, _, h = words_in(np.frombuffer(b" ".join(blobs[a:b]) + b" ", np.uint8))
+        hashes.append(h)
         edges = np.cumsum([0] + [len(x) + 1 for x in blobs[a:b]])
         counts.append(np.diff(np.searchsorted(starts, edges)))
     return np.concatenate(hashes), np.concatenate(counts)

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blobs_of, documents, id_text, n_blocks, saved, total_bytes
+from .hashing import chunks
 from .local_search import pack
-from .tokens import vocabulary_path, word_ids
+from .tokens import CHUNK, vocabulary_path, word_ids
 
 LENGTH = 4096
 END = 1
@@ -43,9 +44,10 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, group
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = word_ids(path), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = encoder.of(blobs_of(pa.Table.from_batches([part])))
+            blobs = blobs_of(pa.Table.from_batches([batch]))
+            for a, b in chunks([len(x) for x in blobs], CHUNK):
+                part = batch.slice(a, b - a)
+                ids = encoder.of(blobs[a:b])
                 out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
                 for doc, raw in zip(part.column(0).to_pylist(), ids):
                     raw += end

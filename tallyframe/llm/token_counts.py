@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blobs_of, documents, id_text
-from .tokens import vocabulary_path, word_ids
+from .hashing import chunks
+from .tokens import CHUNK, vocabulary_path, word_ids
 
 RANGE = 4096
 
@@ -34,7 +35,7 @@ def lengths(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         encoder = word_ids(path)
         for batch in batches:
             blobs = blobs_of(pa.Table.from_batches([batch]))
-            n = [len(x) // 4 for i in range(0, len(blobs), 256) for x in encoder.of(blobs[i:i + 256])]
+            n = [len(x) // 4 for a, b in chunks([len(x) for x in blobs], CHUNK) for x in encoder.of(blobs[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(n, np.int64))], ["doc_id", "n_tokens"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")

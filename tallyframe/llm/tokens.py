@@ -11,11 +11,15 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
+
+from .hashing import words_in
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT = 1_000_000
+KEPT = 1_600_000
 LONG = 48
 AT_ONCE = 200
+CHUNK = 4 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -54,22 +58,42 @@ class WordIds:
         return out
 
     def of(self, blobs: list[bytes]) -> list[bytes]:
-        texts = [b.split() for b in blobs]
-        words = set().union(*texts)
-        table = {w: self.known[w] for w in words if w in self.known}
-        fresh = {}
-        for w in words.difference(table):
+        """The ids of each text. Equal words of the texts are looked up once, by a 64-bit hash."""
+        if not blobs:
+            return []
+        raw = b" ".join(blobs) + b" "
+        starts, ends, hashes = words_in(np.frombuffer(raw, np.uint8))
+        code, distinct = pd.factorize(hashes)
+        first = np.empty(len(distinct), np.int64)
+        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        ids = list(map(self.known.get, words))
+        made = self._fresh({w for w, i in zip(words, ids) if i is None})
+        ids = [made[w] if i is None else i for w, i in zip(words, ids)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = np.frombuffer(b"".join(ids), "<u4")
+        n = sizes[code]
+        before = np.cumsum(n) - n
+        place = np.repeat((np.cumsum(sizes) - sizes)[code] - before, n)
+        tokens = table[place + np.arange(len(place))].tobytes()
+        edges = np.searchsorted(starts, np.cumsum([0] + [len(b) + 1 for b in blobs]))
+        cut = 4 * np.append(before, len(place))[edges]
+        return [tokens[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+    def _fresh(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not kept yet; they are kept while there is room."""
+        parts = {}
+        for w in words:
             core, tail = (w[:-1], w[-1:]) if w[-1:] in self.tails and w[-2:-1].isalpha() else (w, b"")
-            fresh[w] = (core.lower() if core.isascii() else core, tail)
-        cores = {c for c, _ in fresh.values()}
+            parts[w] = (core.lower() if core.isascii() else core, tail)
+        cores = {c for c, _ in parts.values()}
         ids = {c: self.known[c] for c in cores if c in self.known}
         ids |= self._encode([c for c in cores if c not in ids])
-        for w, (core, tail) in fresh.items():
-            table[w] = ids[core] + self.tails[tail] if tail else ids[core]
+        out = {w: ids[c] + self.tails[t] if t else ids[c] for w, (c, t) in parts.items()}
         if len(self.known) < KEPT:
-            for made in (ids, table):
-                self.known.update((w, made[w]) for w in (cores if made is ids else fresh) if len(w) <= LONG)
-        return [b"".join(map(table.__getitem__, t)) for t in texts]
+            for made in (ids, out):
+                self.known.update((w, i) for w, i in made.items() if len(w) <= LONG)
+        return out
 
 
 @lru_cache(maxsize=2)
