@@ -64,13 +64,13 @@ def advice_pick(merchants: DataFrame, advice: DataFrame) -> DataFrame:
 
 def advice_valid(picked: DataFrame, categories: DataFrame) -> DataFrame:
     """Merchants whose suggested category is an active category (J6, semi-join)."""
-    act = F.broadcast(categories.filter(F.col("active") == 1).select(F.col("name").alias("category")))
+    act = categories.filter(F.col("active") == 1).select(F.col("name").alias("category"))
     return picked.join(act, "category", "left_semi")
 
 
 def advice_uncertain(picked: DataFrame, categories: DataFrame) -> DataFrame:
     """Merchants whose suggestion is missing or not an active category (J6, anti-join)."""
-    act = F.broadcast(categories.filter(F.col("active") == 1).select(F.col("name").alias("category")))
+    act = categories.filter(F.col("active") == 1).select(F.col("name").alias("category"))
     return picked.join(act, "category", "left_anti")
 
 

@@ -81,8 +81,25 @@ def digest_triples(kinds: Column) -> Column:
 def digest_extract(mails: DataFrame, html_col: str = "html", id_col: str = "source_msg_id") -> DataFrame:
     """Digest mails -> transaction rows (C4). Mails without a date line give no rows.
 
+    A transaction whose date or time is no calendar date or time of day is left
+    out here and found by :func:`digest_rejects`; it never stops the job.
+    """
+    rows = digest_rows(mails, html_col, id_col).filter(F.col("txn_time").isNotNull()).drop("time_text")
+    return rows.withColumn("fingerprint", fingerprint("card_last4", "txn_time", "amount", "merchant_raw", "action"))
+
+
+def digest_rejects(mails: DataFrame, html_col: str = "html", id_col: str = "source_msg_id") -> DataFrame:
+    """Quarantine of C4: transactions whose date and time text cannot be a time."""
+    return (digest_rows(mails, html_col, id_col).filter(F.col("txn_time").isNull())
+            .select("source_msg_id", "time_text", "card_last4", "amount", "merchant_raw", "action"))
+
+
+def digest_rows(mails: DataFrame, html_col: str = "html", id_col: str = "source_msg_id") -> DataFrame:
+    """All transactions of digest mails, with the time as text and, where it is one, as a time.
+
     Steps are separate projections so that every per-mail value (lines, line
-    flags, header indexes) is computed once and then referenced.
+    flags, header indexes) is computed once and then referenced. The texts of an
+    accepted transaction travel with it; the mail's lines do not.
     """
     m = fence(mails.select(F.col(id_col).alias("source_msg_id"), html_to_lines(F.col(html_col)).alias("lines")))
     m = fence(m.withColumn("kinds", line_kinds(F.col("lines"))))
@@ -102,18 +119,24 @@ def digest_extract(mails: DataFrame, html_col: str = "html", id_col: str = "sour
         F.concat_ws("-", F.regexp_extract(date_line, K.RE_DATE, 1), F.regexp_extract(date_line, K.RE_DATE, 2),
                     F.regexp_extract(date_line, K.RE_DATE, 3)).alias("date_iso")))
     m = fence(m)
-    t = m.select("source_msg_id", "lines", "h", F.explode(digest_triples(F.col("kinds"))).alias("t"))
-    detail = at("t.jd")
+    lines = F.col("lines")
+    texts = F.transform(digest_triples(F.col("kinds")), lambda x: F.struct(
+        F.element_at(lines, x["i"] + 1).alias("time"), F.element_at(lines, x["ja"] + 1).alias("amount"),
+        F.element_at(lines, x["jd"] + 1).alias("detail")))
+    m = fence(m.select("source_msg_id", "h", texts.alias("texts")))
+    t = m.select("source_msg_id", "h", F.explode("texts").alias("t"))
+    detail = F.col("t.detail")
     raw = strip_ws(F.regexp_extract(detail, K.RE_DETAIL, 3))
     action = F.regexp_extract(detail, K.RE_DETAIL, 2)
     channel, mkey = merchant_split(raw)
-    out = t.select(
+    time_text = F.concat_ws(" ", F.col("h.date_iso"), F.regexp_extract("t.time", K.RE_TIME, 1))
+    return t.select(
         "source_msg_id",
         F.regexp_extract(detail, K.RE_DETAIL, 1).alias("card_last4"),
         F.lit("credit").alias("card_type"),
-        F.to_timestamp_ntz(F.concat_ws(" ", F.col("h.date_iso"), F.regexp_extract(at("t.i"), K.RE_TIME, 1)))
-         .alias("txn_time"),
-        parse_amount(F.regexp_extract(at("t.ja"), K.RE_AMOUNT, 1)).alias("amount"),
+        time_text.alias("time_text"),
+        time_text.try_cast("timestamp_ntz").alias("txn_time"),
+        parse_amount(F.regexp_extract("t.amount", K.RE_AMOUNT, 1)).alias("amount"),
         F.lit("CNY").alias("currency"),
         action.alias("action"),
         direction_of(action).alias("direction"),
@@ -123,7 +146,6 @@ def digest_extract(mails: DataFrame, html_col: str = "html", id_col: str = "sour
         F.col("h.avail_credit").alias("avail_credit"),
         F.col("h.points").alias("points"),
     )
-    return out.withColumn("fingerprint", fingerprint("card_last4", "txn_time", "amount", "merchant_raw", "action"))
 
 
 # ---- AI alert replies ------------------------------------------------------------
@@ -137,8 +159,10 @@ def alert_normalise(replies: DataFrame, received_col: str = "received", reply_co
 
     The JSON object is the text from the first '{' to the last '}'; a type
     outside the taxonomy or a missing amount becomes an ``error`` row (the
-    reference raises); ``ignore`` and amounts <= 0 are dropped; the time falls
-    back to the received minute; strings are trimmed with null -> ''.
+    reference raises); ``ignore`` and amounts <= 0 are dropped; a time that is
+    missing, or that no time can be read from, falls back to the received
+    minute; strings are trimmed with null -> ''. Amounts round half up on their
+    decimal text (2.675 -> 2.68).
     """
     j = F.from_json(json_object_text(F.col(reply_col)), ALERT_JSON)
     r = fence(replies.withColumn("j", j))
@@ -151,7 +175,8 @@ def alert_normalise(replies: DataFrame, received_col: str = "received", reply_co
     def s(c):
         return strip_ws(F.coalesce(F.col(c), F.lit("")))
     received_min = F.date_format(F.col(received_col), "yyyy-MM-dd HH:mm")
-    time_txt = strip_ws(F.coalesce(F.nullif(F.col("j.time"), F.lit("")), received_min))
+    given = strip_ws(F.coalesce(F.nullif(F.col("j.time"), F.lit("")), received_min))
+    time_txt = F.when(given.try_cast("timestamp_ntz").isNotNull(), given).otherwise(received_min)
     return r.filter(keep).select(
         "source_msg_id",
         F.when(err.isNull(), typ).alias("type"),
@@ -163,6 +188,7 @@ def alert_normalise(replies: DataFrame, received_col: str = "received", reply_co
         F.when(err.isNull(), s("j.kind")).alias("kind"),
         F.when(err.isNull(), s("j.note")).alias("note"),
         err.alias("error"),
+        *[F.col(c) for c in ("raw_text",) if c in replies.columns],
     )
 
 
@@ -175,20 +201,20 @@ def alert_route(normalised: DataFrame, card_type: str | None = "debit") -> tuple
     """
     ok = normalised.filter(F.col("error").isNull())
     deposits = ok.filter(F.col("type") == K.ALERT_INCOME).select(
-        "source_msg_id", "card_last4", F.to_timestamp_ntz("txn_time").alias("txn_time"),
+        "source_msg_id", "card_last4", F.col("txn_time").try_cast("timestamp_ntz").alias("txn_time"),
         F.col("amount").cast("decimal(18,2)").alias("amount"), "kind",
-        F.col("counterparty").alias("payer"), "note")
-    if card_type is None:
-        return deposits, ok.limit(0).select("source_msg_id")
+        F.col("counterparty").alias("payer"), "note", *[F.col(c) for c in ("raw_text",) if c in normalised.columns])
     spend = ok.filter(F.col("type").isin(K.ALERT_EXPENSE, K.ALERT_TRANSFER_OUT))
     is_tr = F.col("type") == K.ALERT_TRANSFER_OUT
+    if card_type is None:  # nothing is routed: an empty ledger leg, and alert_totals counts the rows
+        spend = spend.filter(F.lit(False))
     raw = F.when(is_tr, F.col("counterparty")).when(
         F.col("channel") != "", F.concat_ws("-", F.col("channel"), F.col("counterparty"))).otherwise(F.col("counterparty"))
     action = F.when(is_tr, F.lit(K.TRANSFER_ACTION)).otherwise(F.lit(K.EXPENSE_ACTION))
     channel, mkey = merchant_split(raw)
     ledger = spend.select(
-        "source_msg_id", "card_last4", F.lit(card_type).alias("card_type"),
-        F.to_timestamp_ntz("txn_time").alias("txn_time"),
+        "source_msg_id", "card_last4", F.lit(card_type).cast("string").alias("card_type"),
+        F.col("txn_time").try_cast("timestamp_ntz").alias("txn_time"),
         F.col("amount").cast("decimal(18,2)").alias("amount"), F.lit("CNY").alias("currency"),
         action.alias("action"), F.lit("expense").alias("direction"),
         raw.alias("merchant_raw"), mkey.alias("merchant_key"), channel.alias("channel"),
@@ -198,6 +224,13 @@ def alert_route(normalised: DataFrame, card_type: str | None = "debit") -> tuple
     return deposits, ledger.drop("time_text")
 
 
+def alert_totals(normalised: DataFrame, card_type: str | None = "debit") -> DataFrame:
+    """(kind, n): income, expense and transfer_out records, or unrouted ones without a card type."""
+    ok = normalised.filter(F.col("error").isNull())
+    kind = F.when((F.col("type") != K.ALERT_INCOME) & F.lit(card_type is None), F.lit("unrouted")).otherwise(F.col("type"))
+    return ok.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- routing ---------------------------------------------------------------------
 
 # Configured email parsers in priority order (C1): which card type each feeds,

@@ -643,7 +643,7 @@ sp AS (
   FROM splits_e s LEFT JOIN ledger_e p ON p.id = s.txn_id),
 good AS (SELECT * FROM sp WHERE err IS NULL),
 kids AS (
-  SELECT g.txn_id, unnest(g.amounts) AS part, generate_subscripts(g.amounts, 1) - 1 AS pos FROM good g),
+  SELECT g.request_id, g.txn_id, unnest(g.amounts) AS part, generate_subscripts(g.amounts, 1) - 1 AS pos FROM good g),
 children AS (
   SELECT ('0x' || substr(md5('split:' || k.request_id || ':' || k.pos), 1, 15))::BIGINT AS id, l.fingerprint || '#s' || CAST(k.pos AS VARCHAR) AS fingerprint,
     l.card_last4, l.card_type, l.txn_time, CAST(k.part AS DECIMAL(18,2)) AS amount, l.direction, l.action,

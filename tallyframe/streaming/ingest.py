@@ -1,34 +1,47 @@
-"""Streaming ingest (R1-R9): raw mails -> ledger rows -> refund pairing, per micro-batch.
+"""Streaming ingest (R1-R9): raw mails -> ledger rows and deposits, per micro-batch.
 
 The polled mailbox becomes a file stream of raw mails. Progress (the reference's
 UID watermark) is the stream's source offsets in the checkpoint, so a restart
 resumes after the last committed batch. Each micro-batch runs the batch
 operators inside ``foreachBatch``:
 
-1. mail-level dedup against the processing log (A6),
-2. routing (C1) and digest extraction (C4),
-3. insert-or-ignore on fingerprint against the ledger (A8),
+1. mail-level dedup against the processing log (A6), with the mails that an
+   earlier batch could not interpret taken in again,
+2. routing (C1); digest extraction (C4), and alert interpretation by the caller's
+   model, normalisation and routing (C6) to the ledger or to deposits,
+3. insert-or-ignore on fingerprint (A8) and on message id (A9),
 4. refund pairing on the keys the batch touched (J1/R5, sticky: rows paired
    earlier are not reconsidered),
+5. if asked for: category suggestions by the caller's classifier (G11), and the
+   notifier. A failure of these two is logged and never stops the ingest (R7).
 
-and writes its outputs into per-batch folders ``.../batch=<id>``. A replayed
-batch (executor or driver loss between write and commit) overwrites exactly
-its own folder, so the sink is idempotent without any coordination (R3, R8).
+Outputs go to per-batch folders ``.../batch=<id>``. A replayed batch (executor or
+driver loss between write and commit) reads only earlier batches and overwrites
+exactly its own folder, so the sink is idempotent without coordination (R3, R8).
 
-State layout under ``state_dir``: ``mail_log/``, ``rows/`` (ledger rows as
-inserted), ``links/`` (pair edges). :func:`current_ledger` folds rows and links
-into the ledger a report reads. Nothing here reads a machine-local path: the
-state and checkpoint folders are whatever shared storage the caller passes.
+State layout under ``state_dir``: ``mail_log/``, ``retry/`` (mails still to be
+interpreted), ``rows/`` (ledger rows as inserted), ``deposits/``, ``links/`` (pair
+edges), ``decisions/`` (suggested categories), ``notified/``.
+:func:`current_ledger` folds them into the ledger a report reads;
+:func:`compact_state` folds the folders of many batches into one. Nothing here
+reads a machine-local path: the folders are whatever shared storage the caller
+passes. Only a folder that does not exist counts as empty state; any other
+failure to read stops the batch.
 """
 from __future__ import annotations
 
-import os
+import logging
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..fixtures import LEDGER_COLUMNS
-from ..operators import extract, matching
+from ..operators import advice, extract, matching
+from ..operators.classify import classification_batches, interpret_alerts, run_classifier
+from ..functions.text import html_flat_text
+from ..sources.ingest import deposit_insert_ignore
 from ..sources.mail import MAIL_SCHEMA, first_per_key
 
 LEDGER_DDL = (
@@ -41,41 +54,84 @@ LEDGER_DDL = (
 LOG_DDL = "msg_id string, uid bigint, email_type string, status string"
 LINK_DDL = "id bigint, pair_id bigint"
 SENT_DDL = "id bigint, notified_at timestamp_ntz"
+DEPOSIT_DDL = ("id bigint, source_msg_id string, card_last4 string, txn_time timestamp_ntz, amount decimal(18,2), "
+               "kind string, payer string, note string, raw_text string")
+MAIL_DDL = "uid bigint, msg_id string, received timestamp_ntz, sender string, subject string, html string, text string"
+DECISION_DDL = "id bigint, category string, category_src string, status string"
+STATE = {"mail_log": LOG_DDL, "rows": LEDGER_DDL, "deposits": DEPOSIT_DDL, "links": LINK_DDL, "decisions": DECISION_DDL,
+         "notified": SENT_DDL}
+_log = logging.getLogger(__name__)
 
 
-def _read_or_empty(spark: SparkSession, path: str, ddl: str, upto: int | None = None) -> DataFrame:
-    """Read a state table (``batch=<id>`` folders), or an empty one before the first batch.
+def _read_or_empty(spark: SparkSession, path: str, ddl: str, upto: int | None = None, since: int | None = None,
+                   with_batch: bool = False) -> DataFrame:
+    """Read a state table (``batch=<id>`` folders), or an empty one if it does not exist.
 
     ``upto`` keeps only batches with id < upto, so a replayed batch never sees
     its own earlier (partial or complete) output: replays are deterministic.
     """
-    cols = [x.split(" ", 1)[0] for x in ddl.split(", ")]
+    cols = [x.split(" ", 1)[0] for x in ddl.split(", ")] + ["batch"] * with_batch
     try:
         df = spark.read.schema(ddl + ", batch bigint").parquet(path)
-    except Exception:  # noqa: BLE001 - no batch written yet
-        return spark.createDataFrame([], ddl)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl + ", batch bigint").select(*cols)
     if upto is not None:
         df = df.filter(F.col("batch") < F.lit(upto))
+    if since is not None:
+        df = df.filter(F.col("batch") >= F.lit(since))
     return df.select(*cols)
 
 
 def current_ledger(spark: SparkSession, state_dir: str, rows_upto: int | None = None,
-                   links_upto: int | None = None) -> DataFrame:
-    """Ledger = inserted rows with the pair links applied (voided + offset_of)."""
+                   links_upto: int | None = None, marks_upto: int | None = None) -> DataFrame:
+    """Ledger = inserted rows with pair links, the latest suggested categories and notification marks."""
     rows = _read_or_empty(spark, f"{state_dir}/rows", LEDGER_DDL, rows_upto)
     links = _read_or_empty(spark, f"{state_dir}/links", LINK_DDL, links_upto)
     links = links.groupBy("id").agg(F.max("pair_id").alias("_pair"))
-    sent = _read_or_empty(spark, f"{state_dir}/notified", SENT_DDL).groupBy("id").agg(
+    sent = _read_or_empty(spark, f"{state_dir}/notified", SENT_DDL, marks_upto).groupBy("id").agg(
         F.min("notified_at").alias("_sent_at"))
-    j = rows.join(links, "id", "left").join(sent, "id", "left")
+    told = _read_or_empty(spark, f"{state_dir}/decisions", DECISION_DDL, links_upto, with_batch=True)
+    told = told.groupBy("id").agg(F.max_by(F.struct("category", "category_src", "status"), "batch").alias("_told"))
+    j = rows.join(links, "id", "left").join(sent, "id", "left").join(told, "id", "left")
+    was = F.col("_told").isNotNull()
     return (j.withColumn("voided", F.col("voided") | F.col("_pair").isNotNull())
             .withColumn("offset_of", F.coalesce(F.col("_pair"), F.col("offset_of")))
+            .withColumns({c: F.when(was, F.col(f"_told.{c}")).otherwise(F.col(c)) for c in ("category", "category_src", "status")})
             .withColumn("notify_status", F.when(F.col("_sent_at").isNotNull(), F.lit("sent"))
                         .otherwise(F.col("notify_status")))
             .withColumn("notified_at", F.coalesce(F.col("_sent_at"), F.col("notified_at")))
             .select(*LEDGER_COLUMNS))
 
 
+def current_deposits(spark: SparkSession, state_dir: str) -> DataFrame:
+    return _read_or_empty(spark, f"{state_dir}/deposits", DEPOSIT_DDL)
+
+
+def compact_state(spark: SparkSession, state_dir: str, new_dir: str) -> None:
+    """Fold the folders of all batches into one per table, in a new state folder.
+
+    The one folder carries the last batch's id, so the state that later batches
+    see is the same. Run it between batches and go on with ``new_dir``; the old
+    folder stays as it is, so a failure here loses nothing.
+    """
+    last = _read_or_empty(spark, f"{state_dir}/mail_log", LOG_DDL, with_batch=True).agg(F.max("batch")).first()[0]
+    if last is None:
+        return
+    for table, ddl in STATE.items():
+        df = _read_or_empty(spark, f"{state_dir}/{table}", ddl, with_batch=True)
+        if table == "decisions":
+            df = df.groupBy("id").agg(F.max_by(F.struct("category", "category_src", "status"), "batch").alias("x")).select("id", "x.*")
+        elif table == "notified":
+            df = df.groupBy("id").agg(F.min("notified_at").alias("notified_at"))
+        else:
+            df = df.drop("batch")
+        df.write.mode("overwrite").parquet(f"{new_dir}/{table}/batch={last}")
+    waiting = _read_or_empty(spark, f"{state_dir}/retry", MAIL_DDL, since=last)
+    waiting.write.mode("overwrite").parquet(f"{new_dir}/retry/batch={last}")
+
+
 def _ledger_rows(txns: DataFrame) -> DataFrame:
     """Extracted transactions -> ledger rows (new rows: pending, no category)."""
     base = {c: F.lit(None) for c in LEDGER_COLUMNS}
@@ -89,52 +145,118 @@ def _ledger_rows(txns: DataFrame) -> DataFrame:
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_dir: str,
-                  routes=extract.DEFAULT_ROUTES) -> None:
+                  routes=extract.DEFAULT_ROUTES, interpret=None) -> None:
     """One micro-batch of the ingest (callable from ``foreachBatch`` or directly).
 
     Mails routed to a transaction parser go through that route's ``parse``
-    function (the built-in digest parser by default); parsers' outputs are
-    unioned before the fingerprint dedup.
+    function (the built-in digest parser by default). Alert mails go through
+    ``interpret`` (see :func:`classify.interpret_alerts`); without it, or when a
+    reply cannot be used, they stay out of the log and wait for the next batch.
     """
     log = _read_or_empty(spark, f"{state_dir}/mail_log", LOG_DDL, batch_id)
-    mails = first_per_key(batch.join(log.select("msg_id"), "msg_id", "left_anti"), "msg_id", [F.col("uid")])
+    columns = [c.name for c in MAIL_SCHEMA]
+    # the last batch's waiting mails are all that still wait
+    waiting = _read_or_empty(spark, f"{state_dir}/retry", MAIL_DDL, batch_id, since=batch_id - 1).select(*columns)
+    mails = batch.select(*columns).unionByName(waiting)
+    mails = first_per_key(mails.join(log.select("msg_id"), "msg_id", "left_anti"), "msg_id", [F.col("uid")]).persist()
     routed = extract.mail_route(mails, routes)
+    body = mails.select(F.col("msg_id").alias("source_msg_id"), "html", "text", "uid", "received")
     parsed = []
     for r in routes:
         if r["output"] != "transactions":
             continue
         nm = r.get("name", r.get("rule"))
-        mine = (mails.join(routed.filter(F.col("parser_name") == nm).select("uid"), "uid", "left_semi")
-                .select(F.col("msg_id").alias("source_msg_id"), "html", "text", "uid"))
+        mine = body.join(routed.filter(F.col("parser_name") == nm).select("uid"), "uid", "left_semi")
         parse = r.get("parse") or (lambda m: extract.digest_extract(m.select("source_msg_id", "html")))
-        rows = parse(mine)
+        rows = parse(mine.select("source_msg_id", "html", "text", "uid"))
         parsed.append(rows.join(mine.select("source_msg_id", F.col("uid").alias("arrival")), "source_msg_id"))
+    alerts = body.join(routed.filter("parser_output = 'ai_record'").select("uid", "parser_card_type"), "uid")
+    alerts = alerts.withColumn("raw_text", html_flat_text("text", "html"))
+    if interpret is None:
+        replies = alerts.select("source_msg_id", "received", F.lit(None).cast("string").alias("reply"))
+    else:
+        replies = interpret_alerts(alerts.select("source_msg_id", F.col("raw_text").alias("text"), "received"), interpret)
+    normalised = extract.alert_normalise(replies).persist()
+    failed = normalised.filter(F.col("error").isNotNull()).select(F.col("source_msg_id").alias("msg_id"))
+    kept = normalised.filter(F.col("error").isNull())
+    by_card = alerts.select("source_msg_id", "raw_text", "parser_card_type", F.col("uid").alias("arrival"))
+    deposits = None
+    for card_type in sorted({r["card_type"] for r in routes if r["output"] == "ai_record"}, key=str):
+        own = kept.join(by_card.filter(F.col("parser_card_type").eqNullSafe(F.lit(card_type))), "source_msg_id")
+        dep, led = extract.alert_route(own, card_type)
+        arrival = by_card.select("source_msg_id", "arrival")
+        parsed.append(led.join(arrival, "source_msg_id"))
+        dep = dep.join(arrival, "source_msg_id")
+        deposits = dep if deposits is None else deposits.unionByName(dep)
     txns = parsed[0]
     for p in parsed[1:]:
         txns = txns.unionByName(p, allowMissingColumns=True)
+    txns = txns.persist()
+    out = f"batch={batch_id}"
     # insert-or-ignore on fingerprint: first arrival in the batch, then drop fingerprints already stored
     rows = _read_or_empty(spark, f"{state_dir}/rows", LEDGER_DDL, batch_id)
     new = first_per_key(txns, "fingerprint", [F.col("arrival")]).join(
         rows.select("fingerprint"), "fingerprint", "left_anti")
-    new_rows = _ledger_rows(new.drop("arrival"))
-    out = f"batch={batch_id}"
-    new_rows.write.mode("overwrite").parquet(f"{state_dir}/rows/{out}")
+    _ledger_rows(new.drop("arrival")).write.mode("overwrite").parquet(f"{state_dir}/rows/{out}")
+    if deposits is not None:
+        stored = _read_or_empty(spark, f"{state_dir}/deposits", DEPOSIT_DDL, batch_id)
+        fresh = deposit_insert_ignore(stored, deposits)
+        names = [x.split(" ", 1)[0] for x in DEPOSIT_DDL.split(", ")]
+        (fresh.withColumn("id", F.xxhash64("source_msg_id")).select(*names)
+         .write.mode("overwrite").parquet(f"{state_dir}/deposits/{out}"))
 
     counts = txns.groupBy(F.col("source_msg_id").alias("msg_id")).agg(F.count(F.lit(1)).alias("n"))
-    status = (routed.join(counts, "msg_id", "left")
+    used = kept.select(F.col("source_msg_id").alias("msg_id"), F.lit(True).alias("kept"))
+    target = F.col("parser_output")
+    status = (routed.join(failed, "msg_id", "left_anti").join(counts, "msg_id", "left").join(used, "msg_id", "left")
               .select("msg_id", "uid", "email_type",
-                      F.when(F.col("parser_output").isNull(), "skipped")
+                      F.when(target.isNull(), "skipped")
+                      .when(target == "ai_record", F.when(F.col("kept"), "parsed").otherwise("skipped"))
                       .when(F.coalesce(F.col("n"), F.lit(0)) > 0, "parsed").otherwise("error").alias("status")))
     status.write.mode("overwrite").parquet(f"{state_dir}/mail_log/{out}")
+    mails.join(failed, "msg_id", "left_semi").select(*columns).write.mode("overwrite").parquet(f"{state_dir}/retry/{out}")
 
-    # pairing over the keys this batch touched, on the current ledger (sticky)
-    led = current_ledger(spark, state_dir, rows_upto=batch_id + 1, links_upto=batch_id)
-    keys = new_rows.select("card_last4", "merchant_key").distinct()
+    # pairing over the keys this batch touched, on the current ledger (sticky); keys come from the written rows
+    led = current_ledger(spark, state_dir, rows_upto=batch_id + 1, links_upto=batch_id, marks_upto=batch_id)
+    written = _read_or_empty(spark, f"{state_dir}/rows", LEDGER_DDL, batch_id + 1, since=batch_id)
+    keys = written.select("card_last4", "merchant_key").distinct()
     touched = led.join(keys, ["card_last4", "merchant_key"], "left_semi")
     pairs = matching.refund_pairs(touched)
     links = (pairs.select(F.col("refund_id").alias("id"), F.col("expense_id").alias("pair_id"))
              .unionByName(pairs.select(F.col("expense_id").alias("id"), F.col("refund_id").alias("pair_id"))))
     links.write.mode("overwrite").parquet(f"{state_dir}/links/{out}")
+    for df in (txns, normalised, mails):
+        df.unpersist()
+
+
+def run_totals(spark: SparkSession, state_dir: str, batch_id: int, delivered: DataFrame | None = None) -> DataFrame:
+    """Totals of one batch (A13): (total, n) with inserted, pending, income, each 'type:status', and, if the
+    delivered mails are given, already_seen."""
+    rows = _read_or_empty(spark, f"{state_dir}/rows", LEDGER_DDL, batch_id + 1, since=batch_id)
+    deposits = _read_or_empty(spark, f"{state_dir}/deposits", DEPOSIT_DDL, batch_id + 1, since=batch_id)
+    log = _read_or_empty(spark, f"{state_dir}/mail_log", LOG_DDL, batch_id + 1, since=batch_id)
+    waiting = _read_or_empty(spark, f"{state_dir}/retry", MAIL_DDL, batch_id + 1, since=batch_id)
+    one = lambda df, name: df.select(F.lit(name).alias("total"))
+    parts = [one(rows, "inserted"), one(rows, "pending"), one(deposits, "income"), one(waiting, "waiting"),
+             log.select(F.concat_ws(":", "email_type", "status").alias("total"))]
+    if delivered is not None:
+        before = _read_or_empty(spark, f"{state_dir}/mail_log", LOG_DDL, batch_id)
+        parts.append(one(delivered.join(before.select("msg_id"), "msg_id", "left_semi"), "already_seen"))
+    return reduce(DataFrame.unionByName, parts).groupBy("total").agg(F.count(F.lit(1)).alias("n"))
+
+
+def suggest_step(spark: SparkSession, state_dir: str, batch_id: int, classifier, categories: DataFrame,
+                 include_suggested: bool = False) -> None:
+    """Suggest stage (G11, R9): the caller's classifier over open merchants; changed rows go to ``decisions``."""
+    led = current_ledger(spark, state_dir, rows_upto=batch_id + 1, links_upto=batch_id)
+    batches = classification_batches(led, include_suggested=include_suggested).persist()
+    told = run_classifier(led, batches, classifier)
+    after, _ = advice.classify_apply(led, batches, told, categories)
+    was = led.select("id", F.col("category").alias("_c"), F.col("status").alias("_s"))
+    changed = after.join(was, "id").filter(~F.col("category").eqNullSafe(F.col("_c")) | (F.col("status") != F.col("_s")))
+    (changed.select("id", "category", "category_src", "status")
+     .write.mode("overwrite").parquet(f"{state_dir}/decisions/batch={batch_id}"))
+    batches.unpersist()
 
 
 def notify_step(spark: SparkSession, state_dir: str, batch_id: int, send, now: str,
@@ -142,36 +264,63 @@ def notify_step(spark: SparkSession, state_dir: str, batch_id: int, send, now: s
     """Notifier stage (A15, D14, G16, R7, R8): build the digest of un-notified live
     rows, hand it to ``send`` (the caller's delivery function, DataFrame of lines
     -> bool), and only after a successful send record the sent ids under
-    ``notified/batch=<id>``. A failed send records nothing (at-least-once), and a
-    failure here never blocks the ingest query, which runs separately.
+    ``notified/batch=<id>``. A failed send records nothing (at-least-once).
+
+    The queue is derived from the marks of earlier batches only, so a retry of
+    one ``batch_id`` sends and marks the same rows. An empty queue is not sent.
     """
     from ..operators.notify import notify_digest, notify_queue
-    led = current_ledger(spark, state_dir)
+    led = current_ledger(spark, state_dir, marks_upto=batch_id)
     sug = suggestions if suggestions is not None else spark.createDataFrame(
         [], "transaction_id bigint, operation string, related_transaction_ids string, reason string")
-    queue = notify_queue(led, sug)
+    queue = notify_queue(led, sug).persist()
     try:
-        ok = bool(send(notify_digest(queue)))
-    except Exception:  # noqa: BLE001 - delivery failures are retried next cycle
-        ok = False
-    if ok:
-        (queue.select("id", F.lit(now).cast("timestamp_ntz").alias("notified_at"))
-         .write.mode("overwrite").parquet(f"{state_dir}/notified/batch={batch_id}"))
-    return ok
+        if queue.isEmpty():
+            return True
+        try:
+            ok = bool(send(notify_digest(queue)))
+        except Exception:  # noqa: BLE001 - delivery is the caller's; it is tried again next cycle
+            _log.exception("sending the digest failed")
+            ok = False
+        if ok:
+            (queue.select("id", F.lit(now).cast("timestamp_ntz").alias("notified_at"))
+             .write.mode("overwrite").parquet(f"{state_dir}/notified/batch={batch_id}"))
+        return ok
+    finally:
+        queue.unpersist()
 
 
 def start_ingest(spark: SparkSession, mail_dir: str, state_dir: str, checkpoint_dir: str,
-                 trigger: dict | None = None, max_files_per_trigger: int | None = None):
-    """Start the streaming ingest; ``trigger`` defaults to a 90-second processing-time poll."""
+                 trigger: dict | None = None, max_files_per_trigger: int | None = None,
+                 routes=extract.DEFAULT_ROUTES, interpret=None, classifier=None, categories: DataFrame | None = None,
+                 send=None, now=None):
+    """Start the streaming ingest; ``trigger`` defaults to a 90-second processing-time poll.
+
+    ``interpret``, ``classifier`` (with ``categories``) and ``send`` are the caller's
+    alert interpreter, classifier and delivery; ``now`` gives the time of a
+    notification as text. Suggesting and notifying are guarded each: their failure
+    is logged and the ingest goes on.
+    """
+    def guarded(name, step, *args):
+        try:
+            step(*args)
+        except Exception:  # noqa: BLE001 - R7: the stages after the ingest must not stop it
+            _log.exception("%s failed", name)
+
+    def cycle(df: DataFrame, batch_id: int) -> None:
+        process_batch(spark, df, batch_id, state_dir, routes, interpret)
+        if classifier is not None:
+            guarded("suggest", suggest_step, spark, state_dir, batch_id, classifier, categories)
+        if send is not None:
+            at = now() if now else spark.sql("SELECT date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss')").first()[0]
+            guarded("notify", notify_step, spark, state_dir, batch_id, send, at)
+
     reader = spark.readStream.schema(MAIL_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = reader.parquet(mail_dir)
-    w = (stream.writeStream
-         .foreachBatch(lambda df, bid: process_batch(spark, df, bid, state_dir))
+    w = (reader.parquet(mail_dir).writeStream.foreachBatch(cycle)
          .option("checkpointLocation", checkpoint_dir))
-    w = w.trigger(**(trigger or {"processingTime": "90 seconds"}))
-    return w.start()
+    return w.trigger(**(trigger or {"processingTime": "90 seconds"})).start()
 
 
 def streaming_spend_matrix(ledger_stream: DataFrame, start_day: int = 1) -> DataFrame:
@@ -183,8 +332,3 @@ def streaming_spend_matrix(ledger_stream: DataFrame, start_day: int = 1) -> Data
     from ..operators.reports import monthly_matrix
     return monthly_matrix(ledger_stream, start_day)
 
-
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A folder under the session's shared checkpoint folder (tests, demos)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return os.path.join(base.replace("file:", ""), name)

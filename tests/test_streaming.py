@@ -83,8 +83,14 @@ def test_notify_step_marks_only_after_successful_send(spark):
                           "2024-02-01 00:00:00")
     led = ST.current_ledger(spark, f"{root}/state")
     assert led.filter(F.col("notify_status") == "sent").count() == n_live and seen["n"] >= n_live
-    # nothing left to send in the next cycle
-    assert ST.notify_step(spark, f"{root}/state", 2, lambda lines: lines.count() == 0, "2024-02-02 00:00:00")
+    # a retry of the batch sends and marks the same rows again; nothing is lost
+    again = []
+    assert ST.notify_step(spark, f"{root}/state", 1, lambda lines: again.append(lines.count()) is None, "2024-02-01 00:00:00")
+    led = ST.current_ledger(spark, f"{root}/state")
+    assert again == [seen["n"]] and led.filter(F.col("notify_status") == "sent").count() == n_live
+    # nothing left to send in the next cycle: an empty digest is not sent
+    called = []
+    assert ST.notify_step(spark, f"{root}/state", 2, lambda lines: called.append(1), "2024-02-02 00:00:00") and not called
 
 
 def test_plugged_parser_route(spark):
@@ -111,3 +117,103 @@ def test_plugged_parser_route(spark):
     ST.process_batch(spark, mails, 0, f"{root}/state", routes)
     led = ST.current_ledger(spark, f"{root}/state").collect()
     assert [(r["merchant_key"], float(r["amount"])) for r in led] == [("Shop A", 12.5)]
+
+
+ALERT = ("95555@message.cmbchina.com", "一卡通账户变动通知")
+
+
+def _alert_mails(spark, n=6):
+    rows = [(i, f"a{i}", None, *ALERT, None, f"alert {i}") for i in range(n)]
+    return spark.createDataFrame(rows, "uid bigint, msg_id string, received timestamp_ntz, sender string, subject string, "
+                                 "html string, text string").withColumn(
+        "received", F.lit("2026-03-01 08:00:00").cast("timestamp_ntz"))
+
+
+def _interpret(broken=()):
+    def run(pdf):
+        out = []
+        for text in pdf["text"]:
+            i = int(text.split()[1])
+            kind = ("income", "expense", "ignore", "transfer_out", "expense", "income")[i]
+            time = "昨天 12:30" if i == 4 else "2026-03-01 07:30"
+            out.append("no idea" if i in broken else
+                       f'{{"type": "{kind}", "card_last4": "1111", "amount": {10 + i}, "time": "{time}", "counterparty": "c{i}"}}')
+        return out
+    return run
+
+
+def test_alerts_reach_the_ledger_and_deposits(spark):
+    state = tempfile.mkdtemp(prefix="tf-alert-") + "/state"
+    mails = _alert_mails(spark)
+    ST.process_batch(spark, mails, 0, state, interpret=_interpret(broken=(1, 5)))
+    led = {r["source_msg_id"]: r for r in ST.current_ledger(spark, state).collect()}
+    assert set(led) == {"a3", "a4"} and str(led["a4"]["txn_time"]) == "2026-03-01 08:00:00"  # unreadable time: received
+    dep = ST.current_deposits(spark, state).collect()
+    assert [(r["source_msg_id"], r["raw_text"], float(r["amount"])) for r in dep] == [("a0", "alert 0", 10.0)]
+    log = {r["msg_id"]: r["status"] for r in ST._read_or_empty(spark, f"{state}/mail_log", ST.LOG_DDL).collect()}
+    assert log == {"a0": "parsed", "a2": "skipped", "a3": "parsed", "a4": "parsed"}  # failed ones stay out and wait
+    ST.process_batch(spark, mails, 1, state, interpret=_interpret())  # re-delivered, and the waiting ones
+    assert {r[0] for r in ST.current_ledger(spark, state).select("source_msg_id").collect()} == {"a1", "a3", "a4"}
+    assert {r[0] for r in ST.current_deposits(spark, state).select("source_msg_id").collect()} == {"a0", "a5"}
+    totals = {r["total"]: r["n"] for r in ST.run_totals(spark, state, 1, mails).collect()}
+    assert totals == {"inserted": 1, "pending": 1, "income": 1, "debit_event:parsed": 2, "already_seen": 4}
+
+
+def test_corrupt_state_stops_the_batch(spark):
+    import os
+
+    import pytest
+    state = tempfile.mkdtemp(prefix="tf-corrupt-") + "/state"
+    ST.process_batch(spark, _alert_mails(spark), 0, state, interpret=_interpret())
+    folder = f"{state}/rows/batch=0"
+    for name in os.listdir(folder):
+        if name.endswith(".parquet"):
+            with open(f"{folder}/{name}", "wb") as f:
+                f.write(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|magic|corrupt"):
+        ST.process_batch(spark, _alert_mails(spark), 1, state, interpret=_interpret())
+
+
+def test_cycle_suggests_and_notifies_and_survives_their_failure(spark):
+    import pandas as pd
+    root = tempfile.mkdtemp(prefix="tf-cycle-")
+    _alert_mails(spark).coalesce(1).write.parquet(f"{root}/drop/f0")
+    cats = spark.createDataFrame([("food", "k", 1)], "name string, key string, active int")
+
+    def classifier(pdf):
+        keys = sorted(set(pdf["merchant_key"]))
+        return pd.DataFrame({"adv_key": keys, "category": ["food"] * len(keys), "operation": [None] * len(keys),
+                             "related_ids": [None] * len(keys), "reason": [None] * len(keys)})
+
+    sent = []
+    q = ST.start_ingest(spark, f"{root}/drop/*", f"{root}/state", f"{root}/ckpt", trigger={"availableNow": True},
+                        interpret=_interpret(), classifier=classifier, categories=cats,
+                        send=lambda lines: sent.append(lines.count()) is None, now=lambda: "2026-03-01 09:00:00")
+    q.awaitTermination(300)
+    assert q.exception() is None and sent == [3]
+    led = ST.current_ledger(spark, f"{root}/state").collect()
+    assert {(r["category"], r["status"], r["notify_status"]) for r in led} == {("food", "suggested", "sent")}
+
+    def broken(*_):
+        raise RuntimeError("down")
+
+    q = ST.start_ingest(spark, f"{root}/drop/*", f"{root}/state2", f"{root}/ckpt2", trigger={"availableNow": True},
+                        interpret=_interpret(), classifier=broken, categories=cats, send=broken)
+    q.awaitTermination(300)
+    assert q.exception() is None and ST.current_ledger(spark, f"{root}/state2").count() == 3
+
+
+def test_compacted_state_is_the_same(spark):
+    root = tempfile.mkdtemp(prefix="tf-compact-")
+    mails = _alert_mails(spark)
+    for i in range(3):
+        ST.process_batch(spark, mails.filter(F.col("uid") % 3 == i), i, f"{root}/a", interpret=_interpret(broken=(5,)))
+    ST.notify_step(spark, f"{root}/a", 2, lambda lines: True, "2026-03-01 09:00:00")
+    ST.compact_state(spark, f"{root}/a", f"{root}/b")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(ST.current_ledger(spark, f"{root}/a")) == key(ST.current_ledger(spark, f"{root}/b"))
+    for state in ("a", "b"):
+        ST.process_batch(spark, mails, 3, f"{root}/{state}", interpret=_interpret())
+    assert key(ST.current_ledger(spark, f"{root}/a")) == key(ST.current_ledger(spark, f"{root}/b"))
+    assert key(ST.current_deposits(spark, f"{root}/a")) == key(ST.current_deposits(spark, f"{root}/b"))
+    assert ST.current_deposits(spark, f"{root}/b").count() == 2
