@@ -451,3 +451,31 @@ def op_requests_e(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (i % 4 + 1).cast("int"))
     return le.select(i.alias("request_id"), op.alias("operation"), ids.alias("ids"), amounts.alias("amounts"),
                      cat.alias("category"))
+
+
+@memo
+def command_table_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixed command table over ``ledger_e``: a first and a second split of every seventh expense, a void
+    before some of them, an edit of some first parts and of every fifth row, and notes after some splits."""
+    from .operators.commands import child_id
+    le = ledger_e(spark, sf_dir)
+    i, ten = F.col("id"), F.lit(10).cast("decimal(18,2)")
+
+    def table(rows, kind, seq, op, row=i, payload=None, amounts=None):
+        none = F.lit(None).cast("string")
+        return rows.select(
+            F.concat(F.lit(kind), i.cast("string")).alias("request_id"), F.lit(seq).cast("bigint").alias("seq"),
+            F.lit(op).alias("op"), row.alias("row_id"), F.lit(0).cast("bigint").alias("pos"),
+            (payload if payload is not None else none).alias("payload"),
+            (amounts if amounts is not None else F.lit(None).cast("array<decimal(18,2)>")).alias("amounts"),
+            none.alias("category"), none.alias("note"), none.alias("month"), none.alias("expected_operation"))
+
+    split = le.filter((F.col("direction") == "expense") & (i % 7 == 0))
+    parts = F.array(ten, (F.col("amount") - ten).cast("decimal(18,2)"))
+    first = child_id(F.concat(F.lit("s"), i.cast("string")), F.lit(0))
+    return (table(split, "s", 10, "split", amounts=parts)
+            .unionByName(table(split.filter(i % 2 == 0), "t", 20, "split", amounts=parts))
+            .unionByName(table(split.filter(i % 11 == 0), "v", 5, "void"))
+            .unionByName(table(split.filter(i % 3 == 0), "c", 30, "set_category", row=first, payload=F.lit("cat2")))
+            .unionByName(table(split.filter(i % 5 == 0), "n", 40, "set_note", payload=F.lit("after")))
+            .unionByName(table(le.filter(i % 5 == 0), "e", 1, "confirm")))

@@ -164,43 +164,63 @@ def suggestion_requests(picked: DataFrame, ledger: DataFrame) -> DataFrame:
     return ups.unionByName(open_rows)
 
 
-def suggestion_upsert(existing: DataFrame, requests: DataFrame, ledger: DataFrame):
+def suggestion_upsert(existing: DataFrame, requests: DataFrame, ledger: DataFrame, now: str | None = None):
     """Validate and upsert operation advice keyed by transaction id.
 
-    Related ids are de-duplicated in order, the subject id is prepended when
-    missing, and every id must be a live row (explode -> left join -> all()).
-    'none' deletes the subject's advice. Returns (new suggestions, rejected).
-    Related-id lists are JSON text '[1, 2]' as stored by the reference.
+    Each request is checked for itself: its operation must be known, and its
+    related ids (de-duplicated in order, the subject prepended when missing) must
+    all be live rows. Of a subject's valid requests the last by ``seq`` stands (a
+    table without ``seq`` is one instant: the largest operation and ids stand);
+    'none' deletes the subject's advice. A refused request changes nothing.
+    Returns (new suggestions, rejected). Related-id lists are JSON text '[1, 2]'
+    as stored by the reference. If ``existing`` has ``created_at``, an update
+    keeps it and new advice gets ``now``.
     """
-    norm = requests.withColumn(
-        "ids", F.array_distinct(F.when(F.array_contains(F.col("related_ids"), F.col("transaction_id")),
-                                       F.col("related_ids"))
-                                .otherwise(F.array_prepend(F.col("related_ids"), F.col("transaction_id")))))
-    upserts = norm.filter(F.col("operation") != "none")
-    # one request per subject: a deterministic last-writer (largest operation, ids)
-    upserts = (upserts.groupBy("transaction_id")
-               .agg(F.max_by(F.struct("operation", "ids", "reason"), F.struct("operation", "ids")).alias("u"))
-               .select("transaction_id", "u.*"))
+    seq = F.col("seq").cast("bigint") if "seq" in requests.columns else F.lit(0).cast("bigint")
+    own = F.col("transaction_id")
+    norm = requests.select(own, seq.alias("seq"), "operation", "reason", F.array_distinct(
+        F.when(F.array_contains("related_ids", own), F.col("related_ids"))
+        .otherwise(F.array_prepend("related_ids", own))).alias("ids"))
+    known = F.col("operation").isin(*K.VALID_OPERATIONS)
     live = ledger.filter(~F.col("voided")).select(F.col("id").alias("ref"), F.lit(True).alias("_live"))
-    chk = (upserts.select("transaction_id", "operation", "ids", F.explode("ids").alias("ref"))
-           .join(live, "ref", "left")
-           .groupBy("transaction_id", "operation", "ids")
-           .agg(F.every(F.coalesce(F.col("_live"), F.lit(False))).alias("all_live")))
-    good = upserts.join(chk.filter("all_live").select("transaction_id", "operation", "ids"),
-                        ["transaction_id", "operation", "ids"], "left_semi")
-    rejected = chk.filter(~F.col("all_live")).select(
-        "transaction_id", "operation", F.lit("transaction not found or voided").alias("error"))
-    new = good.select(
+    key = ["transaction_id", "seq", "operation", "ids"]
+    checked = (norm.withColumn("ref", F.explode(F.when(known, F.col("ids")).otherwise(F.array(F.lit(None).cast("bigint")))))
+               .join(live, "ref", "left")
+               .groupBy(*key).agg(F.every(F.coalesce("_live", F.lit(False))).alias("all_live"), F.max("reason").alias("reason")))
+    error = (F.when(F.col("operation") == "none", F.lit(None))
+             .when(~known | F.col("operation").isNull(), F.lit("invalid operation"))
+             .when(~F.col("all_live"), F.lit("transaction not found or voided")))
+    checked = checked.withColumn("error", error)
+    rejected = checked.filter(F.col("error").isNotNull()).select("transaction_id", "operation", "error")
+    last = (checked.filter(F.col("error").isNull()).groupBy("transaction_id")
+            .agg(F.max_by(F.struct("operation", "ids", "reason"), F.struct("seq", F.col("operation") != "none", "operation", "ids"))
+                 .alias("u")).select("transaction_id", "u.*"))
+    extra = ["created_at"] if "created_at" in existing.columns else []
+    new = last.filter(F.col("operation") != "none").select(
         "transaction_id", "operation",
         F.concat(F.lit("["), F.array_join(F.transform("ids", lambda x: x.cast("string")), ", "), F.lit("]"))
         .alias("related_transaction_ids"),
         strip_reason(F.col("reason")).alias("reason"))
-    # one request per subject is assumed per run; the latest run's row replaces the old one
-    deletes = norm.filter(F.col("operation") == "none").select("transaction_id")
-    kept = (existing.join(deletes, "transaction_id", "left_anti")
-            .join(new.select("transaction_id"), "transaction_id", "left_anti")
-            .select("transaction_id", "operation", "related_transaction_ids", "reason"))
-    return kept.unionByName(new), rejected
+    if extra:
+        born = existing.select("transaction_id", F.col("created_at").alias("_born"))
+        new = new.join(born, "transaction_id", "left").withColumn("created_at", F.coalesce(
+            "_born", F.lit(now).cast(existing.schema["created_at"].dataType))).drop("_born")
+    kept = existing.join(last.select("transaction_id"), "transaction_id", "left_anti")
+    columns = ["transaction_id", "operation", "related_transaction_ids", "reason", *extra]
+    return kept.select(*columns).unionByName(new.select(*columns)), rejected
+
+
+def amount_hints(ledger: DataFrame) -> DataFrame:
+    """Money hint per merchant (B15): merchant_key, n, hint. Amounts are counted once each before they meet;
+    at most the four smallest of a merchant are ever held together."""
+    from ..functions.text import amount_hint_text
+    live = ledger.filter(~F.col("voided")).groupBy("merchant_key", F.round("amount", 2).alias("a")).agg(F.count(F.lit(1)).alias("c"))
+    rank = F.row_number().over(Window.partitionBy("merchant_key").orderBy("a"))
+    g = (live.withColumn("r", rank).groupBy("merchant_key").agg(
+        F.sum("c").alias("n"), F.count("a").alias("k"), F.max("a").alias("top"),
+        F.array_sort(F.collect_list(F.when(F.col("r") <= 4, F.col("a")))).alias("few")))
+    shown = F.when(F.col("k") <= 4, F.col("few")).otherwise(F.concat("few", F.array("top")))
+    return g.select("merchant_key", "n", amount_hint_text(F.col("n"), shown).alias("hint"))
 
 
 def strip_reason(c):

@@ -14,7 +14,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -26,11 +26,18 @@ ADVICE_SCHEMA = ("batch_id bigint, adv_key string, pos bigint, category string,
 
 def classification_batches(ledger: DataFrame, batch_size: int = K.CLASSIFY_BATCH,
                            include_suggested: bool = True) -> DataFrame:
-    """Open merchants with a batch id (R9: ``include_suggested=False`` only re-evaluates pending)."""
+    """Open merchants with a batch id (R9: ``include_suggested=False`` only re-evaluates pending).
+
+    Merchants are hashed into about n / ``batch_size`` buckets; a bucket that holds more is cut, so no
+    batch exceeds ``batch_size`` merchants (W6).
+    """
     m = open_merchants(ledger, include_suggested)
     n = m.count()  # one number: sizes the batches
     nb = max(1, math.ceil(n / batch_size))
-    return m.withColumn("batch_id", F.pmod(F.xxhash64("merchant_key"), F.lit(nb)).cast("bigint"))
+    m = m.withColumn("bucket", F.pmod(F.xxhash64("merchant_key"), F.lit(nb)).cast("bigint"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("merchant_key")) - 1
+    part = F.floor(place / batch_size).cast("bigint")
+    return m.select("merchant_key", (F.col("bucket") + part * nb).alias("batch_id"))
 
 
 def run_classifier(ledger: DataFrame, batches: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],

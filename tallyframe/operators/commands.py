@@ -344,24 +344,27 @@ def apply_command_table(ledger: DataFrame, commands: DataFrame, start_day: int =
     steps = commands.filter(F.col("op").isin(*STRUCTURAL_OPS)).unionByName(placed, allowMissingColumns=True).checkpoint()
     need = rows.unionByName(placed.select("request_id", "seq", F.col("row_id").alias("id")))
     work = ledger.join(rows.select("id").distinct(), "id", "left_semi").checkpoint()
-    split_results, merge_results, n_split = [], [], 0
+    split_results, merge_results = [], []
+    kinds = {r["op"] for r in commands.select("op").distinct().collect()}
     while not need.isEmpty():
         first = need.groupBy("id").agg(F.min(F.struct("seq", "request_id")).alias("first"))
         ready = (need.join(first, "id").groupBy("request_id")
                  .agg(F.every(F.col("first.request_id") == F.col("request_id")).alias("ready"))
                  .filter("ready").select("request_id").checkpoint())
         now = steps.join(ready, "request_id", "left_semi")
-        work = apply_edits(work, now.filter(F.col("op").isin(*PLACED_OPS))
-                           .select(F.col("row_id").alias("txn_id"), "seq", "op", "payload"))
-        told, _, work = split_apply(work, now.filter("op = 'split'").select(
-            "request_id", "seq", F.col("row_id").alias("txn_id"), "amounts"))
-        merges = now.filter("op = 'merge'")
-        heads = merges.groupBy("request_id").agg(*[F.min_by(c, "pos").alias(c) for c in
-                                                   ("category", "note", "month", "expected_operation")])
-        merged, _, work = merge_apply(work, merges.select("request_id", "pos", F.col("row_id").alias("id")), heads, start_day)
-        split_results.append(told.checkpoint())
-        merge_results.append(merged.checkpoint())
-        n_split += split_results[-1].filter("ok").count()
+        if kinds & set(PLACED_OPS):
+            work = apply_edits(work, now.filter(F.col("op").isin(*PLACED_OPS))
+                               .select(F.col("row_id").alias("txn_id"), "seq", "op", "payload"))
+        if "split" in kinds:
+            told, _, work = split_apply(work, now.filter("op = 'split'").select(
+                "request_id", "seq", F.col("row_id").alias("txn_id"), "amounts"))
+            split_results.append(told.checkpoint())
+        if "merge" in kinds:
+            merges = now.filter("op = 'merge'")
+            heads = merges.groupBy("request_id").agg(*[F.min_by(c, "pos").alias(c) for c in
+                                                       ("category", "note", "month", "expected_operation")])
+            merged, _, work = merge_apply(work, merges.select("request_id", "pos", F.col("row_id").alias("id")), heads, start_day)
+            merge_results.append(merged.checkpoint())
         work = work.checkpoint()
         need = need.join(ready, "request_id", "left_anti").checkpoint()
     # the working rows replace their originals; the other edits follow, once
@@ -373,7 +376,7 @@ def apply_command_table(ledger: DataFrame, commands: DataFrame, start_day: int =
     rest = rest.join(made.withColumnRenamed("id", "row_id"), "row_id", "left").filter(
         F.col("from_seq").isNull() | (F.col("seq") > F.col("from_seq")))
     out = apply_edits(out, rest.select(F.col("row_id").alias("txn_id"), "seq", "op", "payload"))
-    if repair and n_split:
+    if repair and any(not r.filter("ok").isEmpty() for r in split_results):
         from .matching import apply_pairing
         out = apply_pairing(out)
     union = lambda parts, empty: reduce(DataFrame.unionByName, parts) if parts else empty

@@ -59,40 +59,45 @@ def category_stats(df: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n"), money(F.sum("amount")).alias("spend")))
 
 
-def monthly_matrix(df: DataFrame, start_day: int = 1) -> DataFrame:
-    """Attribution month x category -> spend, n (D3)."""
-    return (spend_rows(df)
+def monthly_matrix(df: DataFrame, start_day: int = 1, ordered: bool = True) -> DataFrame:
+    """Attribution month x category -> spend, n (D3), newest month first (streams: ``ordered=False``)."""
+    out = (spend_rows(df)
             .groupBy(attribution_month("txn_time", start_day).alias("m"),
                      F.coalesce(F.col("category"), F.lit(K.UNCAT)).alias("c"))
             .agg(money(F.sum("amount")).alias("spend"), F.count(F.lit(1)).alias("n")))
+    return out.orderBy(F.desc("m"), "c") if ordered else out
 
 
 def annual_matrix(df: DataFrame, start_day: int = 1, annual_from: str = "2026") -> DataFrame:
-    """Attribution year x category for years >= ``annual_from``."""
+    """Attribution year x category for years >= ``annual_from`` (D4), newest year first."""
     y = F.substring(attribution_month("txn_time", start_day), 1, 4)
     return (spend_rows(df).filter(y >= F.lit(annual_from))
             .groupBy(y.alias("y"), F.coalesce(F.col("category"), F.lit(K.UNCAT)).alias("c"))
-            .agg(money(F.sum("amount")).alias("spend"), F.count(F.lit(1)).alias("n")))
+            .agg(money(F.sum("amount")).alias("spend"), F.count(F.lit(1)).alias("n"))
+            .orderBy(F.desc("y"), "c"))
 
 
 def period_list(df: DataFrame, start_day: int = 1) -> DataFrame:
-    """Distinct raw billing periods, voided rows and overrides included."""
-    return df.select(billing_period("txn_time", start_day).alias("m")).distinct()
+    """Distinct raw billing periods, voided rows and overrides included (D6, Q1), newest first."""
+    return df.select(billing_period("txn_time", start_day).alias("m")).distinct().orderBy(F.desc("m"))
 
 
 def monthly_summary(df: DataFrame, start_day: int = 1, month: str | None = None) -> DataFrame:
     """Per-category totals re-aggregated from the month matrix.
 
     Keeps categories whose |spend| > 0.004; the uncategorised bucket gets its label.
+    Largest spend first. A month is cut out before anything is aggregated, by a
+    range of times that reaches the scan.
     """
-    cells = monthly_matrix(df, start_day)
     if month:
-        cells = cells.filter(F.col("m") == F.lit(month))
+        df = df.filter(in_attribution_month(month, start_day))
+    cells = monthly_matrix(df, start_day)
     label = F.when(F.col("c") == K.UNCAT, F.lit(K.UNCAT_LABEL)).otherwise(F.col("c"))
     return (cells.groupBy(label.alias("category"))
             .agg(F.sum(F.col("spend").cast("decimal(18,2)")).alias("s"), F.sum("n").alias("n"))
             .filter(F.abs(F.col("s")) > F.lit(0.004))
-            .select("category", money(F.col("s")).alias("spend"), F.col("n").cast("bigint").alias("n")))
+            .select("category", money(F.col("s")).alias("spend"), F.col("n").cast("bigint").alias("n"))
+            .orderBy(F.desc("spend"), "category"))
 
 
 def _share(cells: DataFrame, period_col: str) -> DataFrame:
@@ -138,7 +143,8 @@ def pending_merchants(df: DataFrame, suggestions: DataFrame) -> DataFrame:
 
     Live rows in pending/suggested with a merchant, left-joined to their advice.
     ``spend`` is gross positive; the advice fields are independent maxima (the
-    ids maximum is a text maximum of the JSON list).
+    ids maximum is a text maximum of the JSON list). Merchants with most rows
+    come first (T3).
     """
     t = live(df).filter(F.col("status").isin(*K.OPEN_STATUSES) & F.col("merchant_key").isNotNull())
     s = suggestions.select(F.col("transaction_id").alias("id"), "operation",
@@ -152,7 +158,8 @@ def pending_merchants(df: DataFrame, suggestions: DataFrame) -> DataFrame:
                  F.max(F.when(F.col("status") == "suggested", F.col("category"))).alias("suggested"),
                  F.max("operation").alias("suggested_operation"),
                  F.max("related_transaction_ids").alias("suggested_related_ids"),
-                 F.max("reason").alias("suggested_operation_reason")))
+                 F.max("reason").alias("suggested_operation_reason"))
+            .orderBy(F.desc("n"), "merchant_key"))
 
 
 def pending_header(pending: DataFrame) -> DataFrame:

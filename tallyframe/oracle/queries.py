@@ -218,7 +218,7 @@ FROM after WHERE NOT v2 AND direction IN {SPEND} GROUP BY 1, 2""")
 # ---- scalar functions ------------------------------------------------------------
 
 from .. import constants as K  # noqa: E402
-from .views import ROUTER_CASE, strip_sql  # noqa: E402
+from .views import ROUTER_CASE, WS, strip_sql  # noqa: E402
 
 
 def _entities(x: str) -> str:
@@ -235,8 +235,9 @@ _t = f"regexp_replace({_t}, '(?is)<br[\\t\\n\\x0b\\x0c\\r ]*/?>', chr(10), 'g')"
 _t = f"regexp_replace({_t}, '(?is)</(td|tr|div|p|table|li|h[1-6])>', chr(10), 'g')"
 _t = f"regexp_replace({_t}, '(?s)<[^>]+>', ' ', 'g')"
 _t = _entities(_t)
+_INLINE = "regexp_replace(x, '[ \t\u00a0]+', ' ', 'g')"
 LINES_SQL = (f"list_transform(list_filter(string_split({_t}, chr(10)), lambda x: {strip_sql('x')} <> ''), "
-             f"lambda x: {strip_sql(chr(114) + 'egexp_replace(x, ' + repr('[ ' + chr(9) + chr(160) + ']+') + ', ' + repr(' ') + ', ' + repr('g') + ')')})")
+             f"lambda x: {strip_sql(_INLINE)})")
 
 ORACLE["html_to_lines"] = f"""
 WITH p AS (SELECT page_id, {LINES_SQL} AS lines FROM pages)
@@ -244,7 +245,7 @@ SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, array_to_string(lines, ch
 
 _flat = "regexp_replace(html, '(?is)<[^>]+>', ' ', 'g')"
 ORACLE["html_flat_text"] = f"""
-SELECT page_id, {strip_sql(f"regexp_replace(coalesce({_flat}, ''), '{__import__('tallyframe.oracle.views', fromlist=['WS']).WS}+', ' ', 'g')")} AS flat
+SELECT page_id, {strip_sql(f"regexp_replace(coalesce({_flat}, ''), '{WS}+', ' ', 'g')")} AS flat
 FROM pages"""
 
 ORACLE["mail_type"] = with_views(["mails_e"], f"SELECT uid, {ROUTER_CASE} AS email_type FROM mails_e")
@@ -699,3 +700,34 @@ SELECT key, name,
   CASE WHEN name IS NULL THEN 'category not found' WHEN live_n > 0 THEN 'category still in use' END AS error,
   CAST(live_n AS BIGINT) AS live_n
 FROM j""")
+
+
+ORACLE["command_table"] = with_views(["ledger_e"], """
+WITH cand AS (SELECT * FROM ledger_e WHERE direction = 'expense' AND id % 7 = 0),
+good AS (SELECT * FROM cand WHERE NOT voided AND id % 11 <> 0),
+kids AS (
+  SELECT g.id AS parent, p.pos, ('0x' || substr(md5('split:s' || g.id || ':' || p.pos), 1, 15))::BIGINT AS id,
+         CASE WHEN p.pos = 0 THEN 10.0 ELSE CAST(g.amount AS DOUBLE) - 10 END AS amount
+  FROM good g, (VALUES (0), (1)) p(pos)),
+base AS (
+  SELECT id, CAST(amount AS DOUBLE) AS amount,
+    voided OR id IN (SELECT id FROM good) OR id IN (SELECT id FROM cand WHERE id % 11 = 0) AS voided, category,
+    CASE WHEN id % 5 = 0 THEN 'confirmed' ELSE status END AS status,
+    CASE WHEN id % 5 = 0 AND id IN (SELECT id FROM cand) THEN 'after'
+         WHEN id IN (SELECT id FROM good) THEN coalesce(note, '') || ' [已拆分]' ELSE note END AS note
+  FROM ledger_e)
+SELECT * FROM base
+UNION ALL
+SELECT id, round(amount, 2), false, CASE WHEN pos = 0 AND parent % 3 = 0 THEN 'cat2' END,
+       CASE WHEN pos = 0 AND parent % 3 = 0 THEN 'confirmed' ELSE 'pending' END, '拆自 #' || parent FROM kids""")
+
+ORACLE["alert_deposits"] = with_views(["alert_kept"], """
+SELECT source_msg_id, card_last4, CAST(strptime(txn_time, '%Y-%m-%d %H:%M') AS TIMESTAMP) AS txn_time,
+       CAST(CAST(amount AS DECIMAL(18,2)) AS DOUBLE) AS amount, kind, counterparty AS payer, note
+FROM alert_kept WHERE error IS NULL AND type = 'income'""")
+ORACLE["alert_totals"] = with_views(["alert_kept"], """
+SELECT CASE WHEN type = 'income' THEN 'income' ELSE 'unrouted' END AS kind, count(*) AS n
+FROM alert_kept WHERE error IS NULL GROUP BY 1""")
+ORACLE["classify_counters"] = with_views(["adv_picked", "categories_v"], f"""
+SELECT (SELECT count(*) FROM ({VALID_DEC})) + (SELECT count(*) FROM ({UNSURE_DEC})) AS merchants,
+       (SELECT count(*) FROM ({VALID_DEC})) AS suggested, (SELECT count(*) FROM ({UNSURE_DEC})) AS uncertain""")

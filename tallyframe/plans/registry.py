@@ -265,11 +265,8 @@ def q_alert_normalise(spark, sf):
 
 @register("amount_hint")
 def q_amount_hint(spark, sf):
-    lv = fx.ledger_e(spark, sf).filter(~F.col("voided"))
-    g = lv.groupBy("merchant_key").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_sort(F.collect_set(F.round("amount", 2))).alias("ds"))
-    return g.select("merchant_key", "n", TX.amount_hint_text(F.col("n"), F.col("ds")).alias("hint"))
+    from ..operators.advice import amount_hints
+    return amount_hints(fx.ledger_e(spark, sf))
 
 
 @register("received_local")
@@ -382,6 +379,17 @@ def q_alert_route(spark, sf):
                          "merchant_raw", "merchant_key", "channel", "fingerprint")
 
 
+@register("alert_deposits")
+def q_alert_deposits(spark, sf):
+    deposits, _ = extract.alert_route(extract.alert_normalise(fx.alerts_e(spark, sf)), "debit")
+    return deposits.withColumn("amount", F.col("amount").cast("double"))
+
+
+@register("alert_totals")
+def q_alert_totals(spark, sf):
+    return extract.alert_totals(extract.alert_normalise(fx.alerts_e(spark, sf)), None)
+
+
 # ---- advice ----------------------------------------------------------------------
 
 from ..operators import advice as ADV  # noqa: E402
@@ -469,6 +477,13 @@ def q_suggestion_upsert(spark, sf):
     return _suggestions(spark, sf)[0]
 
 
+@register("classify_counters")
+def q_classify_counters(spark, sf):
+    _, counters = ADV.classify_apply(fx.ledger_e(spark, sf), fx.advice_merchants(spark, sf), fx.advice_e(spark, sf),
+                                     fx.categories_v(spark))
+    return counters
+
+
 @register("suggestion_invalid")
 def q_suggestion_invalid(spark, sf):
     return _suggestions(spark, sf)[1]
@@ -617,6 +632,12 @@ def q_offset_rejected(spark, sf):
     return res.filter(~F.col("ok")).select("request_id", "error", "count")
 
 
+@register("command_table")
+def q_command_table(spark, sf):
+    out, _, _ = CMD.apply_command_table(fx.ledger_e(spark, sf), fx.command_table_e(spark, sf), repair=False)
+    return out.select("id", F.col("amount").cast("double").alias("amount"), "voided", "category", "status", "note")
+
+
 @register("category_rename")
 def q_category_rename(spark, sf):
     ren = spark.createDataFrame([("cat1", "餐饮"), ("cat3", "cat3")], "old_name string, new_name string")

@@ -54,11 +54,13 @@ def scan_newest_n(mails: DataFrame, last_uid: int, n: int) -> DataFrame:
     return incremental_scan(mails, last_uid).orderBy(F.col("uid").desc()).limit(n)
 
 
-def mail_search(mails: DataFrame, senders: list[str], since: str | None = None) -> DataFrame:
+def mail_search(mails: DataFrame, senders: list[str], since: str | None = None,
+                newer_than_days: int | None = None, as_of: str | None = None) -> DataFrame:
     """Sender/date search (A4, U1): OR over sender tokens, AND received date >= since.
 
     One filter over the scan (no per-sender passes) gives the union-distinct of
-    the per-sender hits; an empty sender list is an error, as in the reference.
+    the per-sender hits, by uid; an empty sender list is an error, as in the
+    reference. ``newer_than_days`` counts back from ``as_of``.
     """
     if not senders:
         raise ValueError("mail search needs at least one sender")
@@ -66,13 +68,16 @@ def mail_search(mails: DataFrame, senders: list[str], since: str | None = None)
     pred = reduce(lambda a, b: a | b, [F.contains(s, F.lit(x.lower())) for x in senders])
     if since:
         pred = pred & (F.to_date("received") >= F.to_date(F.lit(since.replace("/", "-"))))
-    return mails.filter(pred).select("uid").distinct()
+    if newer_than_days is not None:
+        if as_of is None:
+            raise ValueError("newer_than_days counts back from as_of")
+        pred = pred & (F.to_date("received") >= F.date_sub(F.to_date(F.lit(as_of)), int(newer_than_days)))
+    return mails.filter(pred).select("uid").distinct().orderBy("uid")
 
 
 def sender_union(mails: DataFrame, senders: list[str], since: str | None = None) -> DataFrame:
-    """Per-sender searches unioned and de-duplicated (U1), as set operations."""
-    parts = [mail_search(mails, [s], since) for s in senders]
-    return reduce(lambda a, b: a.union(b), parts).distinct()
+    """The union of per-sender searches (U1): a disjunction over one scan, not a scan for each sender."""
+    return mail_search(mails, senders, since)
 
 
 def recent_mail_count(mails: DataFrame, as_of: str, days: int = 7) -> DataFrame:

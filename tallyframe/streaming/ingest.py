@@ -330,5 +330,5 @@ def streaming_spend_matrix(ledger_stream: DataFrame, start_day: int = 1) -> Data
     so this is a plain streaming aggregation; its state is one row per cell.
     """
     from ..operators.reports import monthly_matrix
-    return monthly_matrix(ledger_stream, start_day)
+    return monthly_matrix(ledger_stream, start_day, ordered=False)
 

@@ -87,3 +87,34 @@ def test_notify_digest_prints_advice_once(spark):
     assert texts[0] == " #1 ¥10.00 m → a（AI建议，请确认）"
     assert sum("💡" in t for t in texts) == 1 and texts[1].startswith("   💡 建议合并 #1 #2：same trip")
     assert texts[-1] == " #2 ¥20.00 m → ❓待分类"
+
+
+def test_advice_upsert_takes_the_last_valid_request(spark):
+    from tests_support import advice_ledger
+    led = advice_ledger(spark)
+    have = spark.createDataFrame([(1, "void", "[1]", "old", 111), (2, "void", "[2]", "old", 222), (3, "void", "[3]", "old", 333)],
+                                 "transaction_id bigint, operation string, related_transaction_ids string, reason string, created_at bigint")
+    req = spark.createDataFrame(
+        [(1, 1, "split", [1], "a"), (1, 2, "merge", [2], " b "), (2, 5, "none", [], ""), (2, 4, "merge", [1], "c"),
+         (3, 1, "bogus", [3], "d"), (4, 1, "none", [], ""), (4, 2, "offset", [1, 4, 1], "e"), (1, 3, "merge", [99], "gone")],
+        "transaction_id bigint, seq int, operation string, related_ids array<bigint>, reason string")
+    new, bad = ADV.suggestion_upsert(have, req, led, now="999")
+    got = {r["transaction_id"]: tuple(r)[1:] for r in new.collect()}
+    assert got == {1: ("merge", "[1, 2]", "b", 111), 3: ("void", "[3]", "old", 333), 4: ("offset", "[1, 4]", "e", 999)}
+    assert {(r["transaction_id"], r["error"]) for r in bad.collect()} == {(3, "invalid operation"), (1, "transaction not found or voided")}
+
+
+def test_classification_batches_are_bounded(spark):
+    from tallyframe.operators import classify
+    from tests_support import advice_ledger
+    led = advice_ledger(spark, 500)
+    for size in (1, 7, 40):
+        rows = classify.classification_batches(led, size).groupBy("batch_id").count().collect()
+        assert max(r["count"] for r in rows) <= size and sum(r["count"] for r in rows) == 500
+
+
+def test_amount_hints(spark):
+    from tests_support import advice_ledger
+    led = advice_ledger(spark, 6).union(advice_ledger(spark, 2))
+    hints = {r["merchant_key"]: r["hint"] for r in ADV.amount_hints(led).collect()}
+    assert hints["m1"] == "2笔，金额固定1.00" and hints["m5"] == "1笔，金额固定5.00"

@@ -70,3 +70,24 @@ def test_pairing_and_sweep_read_and_send_rows_once(spark):
     assert sum("REPARTITION_BY_COL" in x and "ReusedExchange" not in x for x in links.split("\n")) == 1
     sweep = _final(matching.merge_candidates(led))
     assert sweep.count("FileScan") == 1 and sweep.count("Exchange hashpartitioning") == 2 and "Join" not in sweep
+
+
+def test_reports_come_in_order(spark):
+    lo, le = fx.ledger_o(spark, SF), fx.ledger_e(spark, SF)
+    periods = [r["m"] for r in reports.period_list(lo, 15).collect()]
+    assert periods == sorted(periods, reverse=True) and len(periods) > 12
+    months = [r["m"] for r in reports.monthly_matrix(lo).collect()]
+    assert months == sorted(months, reverse=True)
+    years = [r["y"] for r in reports.annual_matrix(lo, 1, "1992").collect()]
+    assert years == sorted(years, reverse=True)
+    pending = [(-r["n"], r["merchant_key"]) for r in reports.pending_merchants(le, fx.suggestions_e(spark, SF)).collect()]
+    assert pending == sorted(pending)
+    spend = [r["spend"] for r in reports.monthly_summary(lo, 1, "1996-03").collect()]
+    assert spend == sorted(spend, reverse=True)
+
+
+def test_month_summary_reads_one_month(spark):
+    path = tempfile.mkdtemp(prefix="tf-plan-") + "/ledger"
+    fx.ledger_o(spark, SF).write.parquet(path)
+    plan = _plan(reports.monthly_summary(spark.read.parquet(path), 15, "1997-03"))
+    assert "txn_time" in plan.split("PushedFilters")[1][:600]
