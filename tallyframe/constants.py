@@ -123,6 +123,8 @@ OPERATION_LABELS = {
     "void": "不计入",
     "split": "拆分",
 }
-NOTIFY_CHANNEL = "weixin"
+CARD_LABELS = {"credit": "信用卡", "debit": "借记卡"}
+DIGEST_TITLE = "📒 %s · 新交易 %d 笔"
+DIGEST_FOOTER = "其中 %d 笔需你确认。回复即可改，例：「#%d 改成孩子相关」"
 CATEGORY_SRC_AI = "hermes"
 CATEGORY_SRC_MANUAL = "manual"

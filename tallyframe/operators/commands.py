@@ -231,7 +231,7 @@ def merge_apply(ledger: DataFrame, merge_ids: DataFrame, merges: DataFrame, star
 # ---- G7 / G9: category maintenance ---------------------------------------------------
 
 def category_rename(ledger: DataFrame, knowledge: DataFrame, renames: DataFrame):
-    """Rename categories everywhere (G7). ``renames``: (old_name, new_name).
+    """Rename categories in rows that carry them (G7). ``renames``: (old_name, new_name).
 
     Whether the map is broadcast is left to Spark, which sees its size.
     """
@@ -243,6 +243,31 @@ def category_rename(ledger: DataFrame, knowledge: DataFrame, renames: DataFrame)
     return apply(ledger), apply(knowledge)
 
 
+def category_update(ledger: DataFrame, knowledge: DataFrame, categories: DataFrame, changes: DataFrame):
+    """Edit categories by key (G7): (results, ledger', knowledge', categories').
+
+    ``changes``: (key, name, descr), one row per key; null keeps a field. A new
+    name goes to the category itself and to all rows that carry the old one. An
+    unknown key is reported and changes nothing.
+    """
+    c = changes.select("key", F.nullif("name", F.lit("")).alias("_name"), F.col("descr").alias("_descr"))
+    j = categories.join(c, "key", "left")
+    cats = j.withColumn("name", F.coalesce("_name", "name")).withColumn("descr", F.coalesce("_descr", "descr")).select(*categories.columns)
+    known = changes.select("key").join(categories.select("key", F.lit(True).alias("_known")), "key", "left")
+    results = known.select("key", F.col("_known").isNotNull().alias("ok"),
+                           F.when(F.col("_known").isNull(), F.lit("category not found")).alias("error"))
+    led, kn = category_rename(ledger, knowledge, j.select(F.col("name").alias("old_name"), F.col("_name").alias("new_name")))
+    return results, led, kn, cats
+
+
+def edit_results(ledger: DataFrame, commands: DataFrame) -> DataFrame:
+    """What became of each edit (G6): (txn_id, seq, op, ok, error); an unknown row is 'not found'."""
+    have = ledger.select(F.col("id").alias("txn_id"), F.lit(True).alias("_known"))
+    r = commands.select("txn_id", "seq", "op").join(have, "txn_id", "left")
+    return r.select("txn_id", "seq", "op", F.col("_known").isNotNull().alias("ok"),
+                    F.when(F.col("_known").isNull(), F.lit("not found")).alias("error"))
+
+
 def category_delete(ledger: DataFrame, knowledge: DataFrame, categories: DataFrame, keys: DataFrame):
     """Delete categories by key when no live row uses them.
 

@@ -73,6 +73,32 @@ def notify_digest(queue: DataFrame) -> DataFrame:
     return rows.unionByName(a1).unionByName(a2)
 
 
+def digest_message(queue: DataFrame, name: str = "tallyframe") -> DataFrame:
+    """The whole message (D14): (section, card_type, g, card_last4, txn_time, id, sub, line), in message order.
+
+    A title, per card a heading with its lines, and, if any row needs the user, a
+    footer that shows how to answer. Cards come by type and first appearance.
+    """
+    first = queue.groupBy("card_type", "card_last4").agg(F.min(F.struct("txn_time", "id")).alias("g"))
+    body = notify_digest(queue).join(first, ["card_type", "card_last4"]).select(
+        F.lit(1).alias("section"), "card_type", "g", "card_last4", "txn_time", "id", "sub", "line")
+    kind = F.when(F.col("card_type") == "credit", K.CARD_LABELS["credit"]).otherwise(K.CARD_LABELS["debit"])
+    heads = first.select(F.lit(1).alias("section"), "card_type", "g", "card_last4", F.lit(None).cast("timestamp_ntz").alias("txn_time"),
+                         F.lit(None).cast("bigint").alias("id"), F.lit(-1).alias("sub"),
+                         F.concat(kind, F.coalesce("card_last4", F.lit(""))).alias("line"))
+    total = queue.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin(*K.UNCERTAIN_STATUSES)).alias("open"),
+                      F.min_by("id", F.struct("card_type", "txn_time", "id")).alias("example"))
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (("card_type", "string"), ("g", first.schema["g"].dataType),
+                                                        ("card_last4", "string"), ("txn_time", "timestamp_ntz"), ("id", "bigint"))]
+    title = total.filter("n > 0").select(F.lit(0).alias("section"), *blank, F.lit(0).alias("sub"), F.format_string(
+        K.DIGEST_TITLE, F.lit(name), F.col("n")).alias("line"))
+    footer = total.filter("open > 0").select(F.lit(2).alias("section"), *blank, F.lit(0).alias("sub"), F.format_string(
+        K.DIGEST_FOOTER, F.col("open"), F.col("example")).alias("line"))
+    out = title.unionByName(heads).unionByName(body).unionByName(footer)
+    return out.orderBy("section", F.asc_nulls_first("card_type"), "g", F.asc_nulls_first("card_last4"),
+                       F.asc_nulls_first("txn_time"), F.asc_nulls_first("id"), "sub")
+
+
 def digest_summary(queue: DataFrame) -> DataFrame:
     """Header figures of one digest (D14): rows in the message and rows needing confirmation."""
     return queue.agg(F.count(F.lit(1)).alias("n_rows"),

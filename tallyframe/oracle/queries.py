@@ -521,7 +521,7 @@ SELECT id, card_type, card_last4, txn_time, status, category, merchant_raw, CAST
   suggested_operation, suggested_related_ids, suggested_reason FROM q""")
 
 _labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.OPERATION_LABELS.items())
-ORACLE["notify_digest"] = with_views(["ledger_e", "suggestions_e"], f"""
+DIGEST_SQL = f"""
 WITH q AS ({QUEUE_SQL}),
 rows AS (
   SELECT card_type, card_last4, txn_time, id, 0 AS sub,
@@ -546,10 +546,23 @@ o2 AS (
     CASE suggested_operation {_labels} END AS label,
     array_to_string(list_transform(ids, lambda v: '#' || CAST(v AS VARCHAR)), ' ') AS id_text,
     coalesce(nullif(r.reason, ''), '识别到可能的账务操作') AS reason
-  FROM once)
+  FROM once),
+digest_lines AS (
 SELECT * FROM rows
 UNION ALL SELECT card_type, card_last4, txn_time, id, 1, '   💡 建议' || label || ' ' || id_text || '：' || reason, false FROM o2
-UNION ALL SELECT card_type, card_last4, txn_time, id, 2, '   如需执行，请回复“确认' || label || ' ' || id_text || '”', false FROM o2""")
+UNION ALL SELECT card_type, card_last4, txn_time, id, 2, '   如需执行，请回复“确认' || label || ' ' || id_text || '”', false FROM o2)"""
+ORACLE["notify_digest"] = with_views(["ledger_e", "suggestions_e"], DIGEST_SQL + "\nSELECT * FROM digest_lines")
+ORACLE["digest_message"] = with_views(["ledger_e", "suggestions_e"], DIGEST_SQL + """,
+total AS (
+  SELECT count(*) AS n, count(*) FILTER (WHERE status IN ('pending', 'suggested')) AS open,
+         arg_min(id, {'a': card_type, 'b': txn_time, 'c': id}) AS example FROM q)
+SELECT 0 AS section, NULL AS card_type, NULL AS card_last4, NULL::BIGINT AS id, 0 AS sub,
+       '📒 tallyframe · 新交易 ' || n || ' 笔' AS line FROM total WHERE n > 0
+UNION ALL SELECT 1, card_type, card_last4, NULL, -1,
+       CASE WHEN card_type = 'credit' THEN '信用卡' ELSE '借记卡' END || card_last4 FROM g
+UNION ALL SELECT 1, card_type, card_last4, id, sub, line FROM digest_lines
+UNION ALL SELECT 2, NULL, NULL, NULL, 0, '其中 ' || open || ' 笔需你确认。回复即可改，例：「#' || example || ' 改成孩子相关」'
+FROM total WHERE open > 0""")
 
 ORACLE["ledger_after_notify"] = with_views(["ledger_e", "suggestions_e"], f"""
 WITH q AS ({QUEUE_SQL})
@@ -731,3 +744,9 @@ FROM alert_kept WHERE error IS NULL GROUP BY 1""")
 ORACLE["classify_counters"] = with_views(["adv_picked", "categories_v"], f"""
 SELECT (SELECT count(*) FROM ({VALID_DEC})) + (SELECT count(*) FROM ({UNSURE_DEC})) AS merchants,
        (SELECT count(*) FROM ({VALID_DEC})) AS suggested, (SELECT count(*) FROM ({UNSURE_DEC})) AS uncertain""")
+ORACLE["category_update"] = with_views(["ledger_e"], """
+SELECT CASE WHEN category = 'cat1' THEN '餐饮' ELSE category END AS category, count(*) AS n FROM ledger_e GROUP BY 1""")
+ORACLE["edit_results"] = with_views(["ledger_o", "commands_o"], """
+SELECT c.txn_id, c.seq, c.op, l.id IS NOT NULL AS ok, CASE WHEN l.id IS NULL THEN 'not found' END AS error
+FROM commands_o c LEFT JOIN ledger_o l ON l.id = c.txn_id AND l.id % 2 = 1""")
+ORACLE["mail_scan"] = with_views(["mails_e"], f"SELECT *, {ROUTER_CASE} AS email_type FROM mails_e")

@@ -502,6 +502,12 @@ def q_notify_digest(spark, sf):
     return NT.notify_digest(NT.notify_queue(fx.ledger_e(spark, sf), fx.suggestions_e(spark, sf)))
 
 
+@register("digest_message")
+def q_digest_message(spark, sf):
+    m = NT.digest_message(NT.notify_queue(fx.ledger_e(spark, sf), fx.suggestions_e(spark, sf)))
+    return m.select("section", "card_type", "card_last4", "id", "sub", "line")
+
+
 @register("ledger_after_notify")
 def q_ledger_after_notify(spark, sf):
     le = fx.ledger_e(spark, sf)
@@ -645,6 +651,22 @@ def q_category_rename(spark, sf):
     return led.select("id", "category")
 
 
+def _category_update(spark, sf):
+    changes = spark.createDataFrame([("k1", "餐饮", None), ("k2", None, "new words"), ("kX", "none", None)],
+                                    "key string, name string, descr string")
+    return CMD.category_update(fx.ledger_e(spark, sf), fx.knowledge_v(spark), fx.categories_v(spark), changes)
+
+
+@register("category_update")
+def q_category_update(spark, sf):
+    return _category_update(spark, sf)[1].groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("edit_results")
+def q_edit_results(spark, sf):
+    return CMD.edit_results(fx.ledger_o(spark, sf).filter("id % 2 = 1"), fx.commands_o(spark, sf))
+
+
 @register("category_delete")
 def q_category_delete(spark, sf):
     keys = spark.createDataFrame([("k1",), ("k4",), ("k9",), ("kX",)], "key string")
