@@ -243,7 +243,8 @@ ORACLE["html_to_lines"] = f"""
 WITH p AS (SELECT page_id, {LINES_SQL} AS lines FROM pages)
 SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, array_to_string(lines, chr(10)) AS text FROM p"""
 
-_flat = "regexp_replace(html, '(?is)<[^>]+>', ' ', 'g')"
+_flat = ("nullif(CASE WHEN page_id % 9 = 0 THEN '' WHEN page_id % 3 = 0 THEN ' plain ' || chr(10) || chr(9) || url END, ''), "
+         "regexp_replace(html, '(?is)<[^>]+>', ' ', 'g')")
 ORACLE["html_flat_text"] = f"""
 SELECT page_id, {strip_sql(f"regexp_replace(coalesce({_flat}, ''), '{WS}+', ' ', 'g')")} AS flat
 FROM pages"""
@@ -364,9 +365,12 @@ SELECT uid, msg_id, email_type,
        WHEN parser_output = 'transactions' THEN 'error'
        WHEN uid IN (SELECT event_id FROM ok) THEN 'parsed' ELSE 'skipped' END AS status,
   CASE WHEN parser_output = 'transactions' THEN 'digest yielded 0 transactions' END AS error
-FROM r"""
-ORACLE["mail_status"] = with_views(["mails_typed", "alert_kept"], MAIL_STATUS_SQL)
-ORACLE["ingest_stats"] = with_views(["mails_typed", "alert_kept"], f"""
+FROM r
+UNION ALL SELECT ('0x' || substr(md5(m), 1, 12))::BIGINT, m, 'credit_daily', 'parsed', NULL
+FROM (SELECT DISTINCT 'g' || CAST(user_id AS VARCHAR) || '-' || strftime(digest_date, '%Y%m%d') || '-' || CAST(part AS VARCHAR) AS m
+      FROM digest_src)"""
+ORACLE["mail_status"] = with_views(["mails_typed", "alert_kept", "digest_src"], MAIL_STATUS_SQL)
+ORACLE["ingest_stats"] = with_views(["mails_typed", "alert_kept", "digest_src"], f"""
 WITH st AS ({MAIL_STATUS_SQL.strip()})
 SELECT email_type || ':' || status AS type_status, count(*) AS n FROM st GROUP BY 1""")
 

@@ -196,7 +196,9 @@ def q_html_to_lines(spark, sf):
 @register("html_flat_text")
 def q_html_flat_text(spark, sf):
     p = read_table(spark, sf, "pages")
-    return p.select("page_id", TX.html_flat_text(F.lit(None).cast("string"), F.col("html")).alias("flat"))
+    # every third page has a plain part, every ninth an empty one
+    plain = F.when(F.col("page_id") % 9 == 0, F.lit("")).when(F.col("page_id") % 3 == 0, F.concat(F.lit(" plain \n\t"), F.col("url")))
+    return p.select("page_id", TX.html_flat_text(plain, F.col("html")).alias("flat"))
 
 
 @register("mail_type")
@@ -348,13 +350,15 @@ def q_digest_extract(spark, sf):
 
 
 def _mail_status(spark, sf):
-    mails = fx.mails_e(spark, sf)
+    # raw mails without a body (a claimed digest yields 0 rows), and the rendered digest mails
+    raw = fx.mails_e(spark, sf).select("uid", "msg_id", "sender", "subject", F.lit(None).cast("string").alias("html"))
+    uid = F.conv(F.substring(F.md5("source_msg_id"), 1, 12), 16, 10).cast("bigint")
+    digests = fx.digests_e(spark, sf).select(uid.alias("uid"), F.col("source_msg_id").alias("msg_id"), "sender", "subject", "html")
+    mails = raw.unionByName(digests)
     routed = extract.mail_route(mails)
-    # mails of the raw log carry no digest body: a claimed digest yields 0 rows
-    counts = extract.digest_extract(mails.select(F.col("msg_id").alias("source_msg_id"),
-                                                 F.lit(None).cast("string").alias("html"))) \
-        .groupBy(F.col("source_msg_id").alias("msg_id")).agg(F.count(F.lit(1)).alias("n"))
-    counts = routed.select("uid", "msg_id").join(counts, "msg_id").select("uid", "n")
+    bodies = mails.join(routed.filter("parser_output = 'transactions'").select("uid"), "uid", "left_semi")
+    counts = extract.digest_extract(bodies.select(F.col("uid").cast("string").alias("source_msg_id"), "html"))
+    counts = counts.groupBy(F.col("source_msg_id").cast("bigint").alias("uid")).agg(F.count(F.lit(1)).alias("n"))
     norm = extract.alert_normalise(fx.alerts_e(spark, sf))
     ai = norm.select(F.substring("source_msg_id", 2, 20).cast("bigint").alias("uid"),
                      F.col("error").isNull().alias("kept"))
