@@ -33,27 +33,30 @@ SPLITS = 256
 
 
 def _terms(rows: DataFrame, key: str, text_col: str, shingle: int) -> DataFrame:
-    """(key, terms): hashes of the words of each shingle, one field for each place in it. Words and their
+    """(key, copy, terms): hashes of the words of each shingle, one field for each place in it. Words and their
     hashes are fenced, so that they are made once and not anew for each place."""
     words = F.filter(F.split(F.coalesce(text_col, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    rows = fence(rows.select(key, words.alias("words")).where(F.size("words") > 0))
+    rows = rows.select(key, F.monotonically_increasing_id().alias("copy"), words.alias("words"))
+    rows = fence(rows).where(F.size("words") > 0)
     whole = F.array_repeat(F.xxhash64(F.array_join("words", " ")), shingle)
     hashes = F.when(F.size("words") < shingle, whole).otherwise(F.transform("words", lambda w: F.xxhash64(w)))
-    rows = fence(rows.select(key, hashes.alias("hashes")))
+    rows = fence(rows.select(key, "copy", hashes.alias("hashes")))
     count = F.size("hashes") - (shingle - 1)
-    return rows.select(key, F.arrays_zip(*[F.slice("hashes", i + 1, count).alias(f"h{i}") for i in range(shingle)]).alias("terms"))
+    return rows.select(key, "copy", F.arrays_zip(*[F.slice("hashes", i + 1, count).alias(f"h{i}") for i in range(shingle)]).alias("terms"))
 
 
 def simhash(rows: DataFrame, key: str, text_col: str, out: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
     """(key, out) of every key whose text has words: the fingerprint in lower-case hexadecimal digits.
-    A key stands in one row."""
-    terms = _terms(rows, key, text_col, shingle).select(key, F.posexplode("terms").alias("at", "term"))
+    Rows that share a key have one text; ``copy`` counts them apart, so that lanes cannot overflow, and
+    their votes scale together.
+    """
+    terms = _terms(rows, key, text_col, shingle).select(key, "copy", F.posexplode("terms").alias("at", "term"))
     names = [f"h{i}" for i in range(shingle)]
     hashes = [F.xxhash64(F.lit(seed), *[F.col(f"term.{n}") for n in names]).alias(f"x{seed}") for seed in range(SEEDS)]
-    terms = terms.select(key, F.floor(F.col("at") / RUN).cast("int").alias("run"), *hashes)
+    terms = terms.select(key, "copy", F.floor(F.col("at") / RUN).cast("int").alias("run"), *hashes)
     lanes = {f"l{seed}_{j}": F.sum(F.shiftrightunsigned(f"x{seed}", j).bitwiseAND(F.lit(LANES)))
              for seed in range(SEEDS) for j in range(16)}
-    runs = terms.groupBy(key, "run").agg(F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in lanes.items()])
+    runs = terms.groupBy(key, "copy", "run").agg(F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in lanes.items()])
     bit = lambda seed, b: F.shiftrightunsigned(f"l{seed}_{b % 16}", 16 * (b // 16)).bitwiseAND(F.lit(0xFFFF))
     longs = []
     one = runs.groupBy(key).agg(F.sum("n").alias("n"), *[F.sum(bit(s, b)).alias(f"b{s}_{b}")
@@ -108,7 +111,7 @@ def near_pairs(prints: DataFrame, radius: int, fp_col: str = "fingerprint") -> D
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, n_chars, fingerprint) of every document; row stands for the id and text together."""
     rows = keyed(docs, id_col, text_col)
-    prints = simhash(rows.dropDuplicates(["row"]), "row", "text", "fingerprint", shingle)
+    prints = simhash(rows, "row", "text", "fingerprint", shingle)
     return rows.select("doc_id", "row", "n_chars").join(prints, "row", "left").withColumn(
         "fingerprint", known(F.col("fingerprint")))
 
@@ -158,10 +161,11 @@ def edited_texts(texts: DataFrame, order: DataFrame) -> DataFrame:
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyed(documents(spark, sf_dir))
     order = saved(with_next(rows.select("doc_id", "n_chars", "row").distinct()))
+    prints = saved(simhash(rows, "row", "text"))
     # one exchange of texts by row, the same for all that reads it, so that it is made once
-    texts = rows.select("row", "text").dropDuplicates(["row"])
-    prints = simhash(texts, "row", "text")
-    edited = edited_texts(texts, order)
+    same = Window.partitionBy("row").orderBy("row")
+    once = rows.select("row", "text", F.lag(F.lit(1)).over(same).alias("again")).where("again IS NULL").drop("again")
+    edited = edited_texts(once, order)
     edited_prints = simhash(edited, "row", "edited", "edited_fingerprint")
     digests = edited.select("row", F.sha2("edited", 256).alias("edited_sha256"))
     next_prints = prints.select(F.col("row").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
