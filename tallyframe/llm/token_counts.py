@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blobs_of, documents, id_text
+from .common import blobs_of, documents, give_back, id_text
 from .hashing import chunks
 from .tokens import CHUNK, vocabulary_path, word_ids
 
-RANGE = 4096
+RANGE = 256
 
 
 def lengths(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,6 +37,7 @@ def lengths(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             blobs = blobs_of(pa.Table.from_batches([batch]))
             n = [len(x) // 4 for a, b in chunks([len(x) for x in blobs], CHUNK) for x in encoder.of(blobs[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(n, np.int64))], ["doc_id", "n_tokens"])
+        give_back()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
 
