@@ -128,3 +128,25 @@ DIGEST_TITLE = "📒 %s · 新交易 %d 笔"
 DIGEST_FOOTER = "其中 %d 笔需你确认。回复即可改，例：「#%d 改成孩子相关」"
 CATEGORY_SRC_AI = "hermes"
 CATEGORY_SRC_MANUAL = "manual"
+
+# ---- fixed values: HTML patterns of the text flattener ---------------------------
+RE_SCRIPT_STYLE = r"(?is)<script.*?</script>|<style.*?</style>"
+RE_BR = r"(?is)<br[\t\n\x0b\x0c\r ]*/?>"
+RE_BLOCK_CLOSE = r"(?is)</(td|tr|div|p|table|li|h[1-6])>"
+RE_ANY_TAG = r"(?s)<[^>]+>"
+RE_INLINE_WS = "[ \t\u00a0]+"
+
+# ---- fixed values: texts of the amount hint ---------------------------------------
+HINT_FIXED = "笔，金额固定"
+HINT_AMOUNTS = "笔，金额"
+HINT_VARIES = "不等"
+
+# ---- fixed values: texts of the digest lines ---------------------------------------
+TAG_CATEGORY = "→ "
+TAG_CONFIRM = "（AI建议，请确认）"
+TAG_OPEN = "→ ❓待分类"
+ADVICE_REASON = "识别到可能的账务操作"
+ADVICE_LEAD = "   💡 建议"
+ADVICE_REPLY = "   如需执行，请回复“确认"
+ADVICE_COLON = "："
+ADVICE_CLOSE = "”"

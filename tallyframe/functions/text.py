@@ -19,13 +19,6 @@ from .. import constants as K
 WS_CLASS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}"
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
-RE_SCRIPT_STYLE = r"(?is)<script.*?</script>|<style.*?</style>"
-RE_BR = r"(?is)<br[\t\n\x0b\x0c\r ]*/?>"
-RE_BLOCK_CLOSE = r"(?is)</(td|tr|div|p|table|li|h[1-6])>"
-RE_ANY_TAG = r"(?s)<[^>]+>"
-RE_INLINE_WS = "[ \t\u00a0]+"
-
-
 # The standard library's entity table: names with their ';', and those valid without it.
 _NAMED = dict(html5)
 _BARE = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
@@ -82,14 +75,14 @@ def strip_ws(c: Column) -> Column:
 def html_to_lines(html: Column | str) -> Column:
     """Visible text of an HTML body as an array of trimmed, non-empty lines (B1)."""
     t = _c(html)
-    t = F.regexp_replace(t, F.lit(RE_SCRIPT_STYLE), F.lit(" "))
-    t = F.regexp_replace(t, F.lit(RE_BR), F.lit("\n"))
-    t = F.regexp_replace(t, F.lit(RE_BLOCK_CLOSE), F.lit("\n"))
-    t = F.regexp_replace(t, F.lit(RE_ANY_TAG), F.lit(" "))
+    t = F.regexp_replace(t, F.lit(K.RE_SCRIPT_STYLE), F.lit(" "))
+    t = F.regexp_replace(t, F.lit(K.RE_BR), F.lit("\n"))
+    t = F.regexp_replace(t, F.lit(K.RE_BLOCK_CLOSE), F.lit("\n"))
+    t = F.regexp_replace(t, F.lit(K.RE_ANY_TAG), F.lit(" "))
     t = unescape_entities(t)
     lines = F.split(t, "\n")
     kept = F.filter(lines, lambda ln: strip_ws(ln) != F.lit(""))
-    return F.transform(kept, lambda ln: strip_ws(F.regexp_replace(ln, F.lit(RE_INLINE_WS), F.lit(" "))))
+    return F.transform(kept, lambda ln: strip_ws(F.regexp_replace(ln, F.lit(K.RE_INLINE_WS), F.lit(" "))))
 
 
 def html_flat_text(text: Column | str, html: Column | str) -> Column:
@@ -200,7 +193,7 @@ def amount_hint_text(n: Column, distinct_sorted: Column) -> Column:
     as_txt = F.transform(distinct_sorted, lambda x: x.cast("decimal(18,2)").cast("string"))
     first = F.element_at(as_txt, 1)
     last = F.element_at(as_txt, -1)
-    return (F.when(k == 1, F.concat(n.cast("string"), F.lit("笔，金额固定"), first))
-            .when(k <= 4, F.concat(n.cast("string"), F.lit("笔，金额"), F.array_join(as_txt, "/")))
-            .otherwise(F.concat(n.cast("string"), F.lit("笔，金额"), first, F.lit("~"), last,
-                                F.lit("不等"))))
+    return (F.when(k == 1, F.concat(n.cast("string"), F.lit(K.HINT_FIXED), first))
+            .when(k <= 4, F.concat(n.cast("string"), F.lit(K.HINT_AMOUNTS), F.array_join(as_txt, "/")))
+            .otherwise(F.concat(n.cast("string"), F.lit(K.HINT_AMOUNTS), first, F.lit("~"), last,
+                                F.lit(K.HINT_VARIES))))

@@ -42,9 +42,9 @@ def notify_digest(queue: DataFrame) -> DataFrame:
     """
     uncertain = F.col("status").isin(*K.UNCERTAIN_STATUSES)
     tag = F.when(F.col("category").isNotNull() & (F.col("category") != ""),
-                 F.concat(F.lit("→ "), F.col("category"),
-                          F.when(uncertain, F.lit("（AI建议，请确认）")).otherwise(F.lit(""))))\
-        .otherwise(F.lit("→ ❓待分类"))
+                 F.concat(F.lit(K.TAG_CATEGORY), F.col("category"),
+                          F.when(uncertain, F.lit(K.TAG_CONFIRM)).otherwise(F.lit(""))))\
+        .otherwise(F.lit(K.TAG_OPEN))
     line = F.concat(F.lit(" #"), F.col("id").cast("string"), F.lit(" ¥"), F.col("amount").cast("string"),
                     F.lit(" "), F.substring(F.coalesce(F.col("merchant_raw"), F.lit("")), 1, 18), F.lit(" "), tag)
     rows = queue.select("card_type", "card_last4", "txn_time", "id", F.lit(0).alias("sub"),
@@ -61,14 +61,14 @@ def notify_digest(queue: DataFrame) -> DataFrame:
                           F.struct("card_type", "g", "txn_time", "id")).alias("r")))
     id_text = F.array_join(F.transform("ids", lambda v: F.concat(F.lit("#"), v.cast("string"))), " ")
     label = F.element_at(labels, F.col("suggested_operation"))
-    reason = F.coalesce(F.nullif(F.col("r.suggested_reason"), F.lit("")), F.lit("识别到可能的账务操作"))
+    reason = F.coalesce(F.nullif(F.col("r.suggested_reason"), F.lit("")), F.lit(K.ADVICE_REASON))
     a1 = once.select(F.col("r.card_type").alias("card_type"), F.col("r.card_last4").alias("card_last4"),
                      F.col("r.txn_time").alias("txn_time"), F.col("r.id").alias("id"), F.lit(1).alias("sub"),
-                     F.concat(F.lit("   💡 建议"), label, F.lit(" "), id_text, F.lit("："), reason).alias("line"),
+                     F.concat(F.lit(K.ADVICE_LEAD), label, F.lit(" "), id_text, F.lit(K.ADVICE_COLON), reason).alias("line"),
                      F.lit(False).alias("need_confirm"))
     a2 = once.select(F.col("r.card_type").alias("card_type"), F.col("r.card_last4").alias("card_last4"),
                      F.col("r.txn_time").alias("txn_time"), F.col("r.id").alias("id"), F.lit(2).alias("sub"),
-                     F.concat(F.lit("   如需执行，请回复“确认"), label, F.lit(" "), id_text, F.lit("”")).alias("line"),
+                     F.concat(F.lit(K.ADVICE_REPLY), label, F.lit(" "), id_text, F.lit(K.ADVICE_CLOSE)).alias("line"),
                      F.lit(False).alias("need_confirm"))
     return rows.unionByName(a1).unionByName(a2)
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import constants as K
 from .. import fixtures as fx
 from ..operators import listing, matching, reports
 
@@ -279,7 +280,7 @@ def q_received_local(spark, sf):
 
 # ---- mail sources ----------------------------------------------------------------
 
-SENDERS = ["ccsvc@message.cmbchina.com", "95555@message.cmbchina.com"]
+SENDERS = [K.CREDIT_DAILY_SENDER, K.DEBIT_SENDER]
 
 
 @register("mail_scan")
