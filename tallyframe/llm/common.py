@@ -1,6 +1,8 @@
 """What several operators share: table access, word rules, shared-folder checkpoints, id order."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 
 import numpy as np
@@ -53,3 +55,12 @@ def ids_of(table: pa.Table, name: str = "doc_id") -> np.ndarray:
 def blobs_of(table: pa.Table, name: str = "text") -> list[bytes]:
     """Texts as UTF-8 bytes; null is empty."""
     return [b or b"" for b in table.column(name).cast(pa.binary()).to_pylist()]
+
+
+def give_back() -> None:
+    """Returns memory that a task has freed to the system; a Python worker lives on after its task and would
+    keep it. Where the C library has no such call nothing happens."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -37,7 +37,7 @@ def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
             a[0] = 1
             made.append(np.multiply.accumulate(a))
         have = (made[0], made[1])
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _POWERS[base] = have
     return have[0][:n], have[1][:n]
 

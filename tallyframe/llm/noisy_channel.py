@@ -20,6 +20,8 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 #: Channel costs: a look-alike, a drawn-out letter, a gap closed; a gap kept, a sign or digit meant as such.
 SWAP, DRAWN, CLOSED, KEPT_GAP, KEPT_SIGN = 1.0, 0.7, 0.3, 2.0, 4.0
 MARKS = ".-_*~'·,"
+#: Words that a task remembers, at most.
+KEPT = 150_000
 EDGE = ".,;:!?\"'()[]{}<>«»…"
 _letters = "[^\\W\\d_]"
 _swapped = "[" + re.escape("".join(LOOKALIKES)) + "]"
@@ -106,7 +108,7 @@ class Channel:
                 if not plain.isalpha() or DISGUISED.search(plain):
                     bare = word.strip(EDGE.replace("!", "").replace("(", ""))
                     plain = f"{plain} {self.restore(bare).strip(EDGE)}" if DISGUISED.search(bare) else plain
-                if len(word) <= 40 and len(self.kept) < 400_000:
+                if len(word) <= 40 and len(self.kept) < KEPT:
                     self.kept[word] = plain
             out.update(plain.split(" "))
         for run in SPACED.finditer(text):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs_of, documents, id_text, n_blocks, saved, total_bytes
+from .common import blobs_of, documents, give_back, id_text, n_blocks, saved, total_bytes
 from .hashing import chunks
 from .local_search import pack
 from .tokens import CHUNK, vocabulary_path, word_ids
@@ -63,6 +63,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, group
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
                     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                     ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("grp", pa.int64())]))
+        give_back()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, PIECES)
 

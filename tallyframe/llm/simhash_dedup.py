@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, blobs_of, documents, id_text, saved
+from .common import LAST_ID, blobs_of, documents, give_back, id_text, saved
 from .components import components
 from .hashing import U
 
@@ -93,6 +93,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
                                 or [np.zeros(0, np.uint64)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(fp.view(np.int64))],
                                              ["doc_id", "tie", "fp"])
+        give_back()
 
     rows = id_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     return rows.mapInArrow(run, "doc_id long, tie long, fp long")

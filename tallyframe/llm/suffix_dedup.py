@@ -30,14 +30,14 @@ from pyspark.sql import types as T
 
 from ..session import ship_package
 from . import sketch
-from .common import blobs_of, documents, ids_of, n_blocks, total_bytes
+from .common import blobs_of, documents, give_back, ids_of, n_blocks, total_bytes
 from .hashing import BYTE_VALUE, U, chunks, mix, rolling, sliding
 from .suffix_family import SuffixFamily
 
 LENGTH = 100
 GRAM = 32
 HOT = 128
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 1 << 20
 BATCH_BYTES = 1 << 17
 CHUNK = 1 << 16
@@ -230,6 +230,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             out["sizes"].append(sketch.squeeze(s.size[own]))
             out["ids"].append(sketch.squeeze(s.ids[s.doc[own]]))
             out["starts"].append(sketch.squeeze(s.start[own]))
+        del s
+        give_back()
         kinds = [("block", pa.int64()), ("shard", pa.int64()), *((c, pa.binary()) for c in ("text", "sizes", "ids", "starts"))]
         return pa.table(out, schema=pa.schema(kinds))
 
@@ -275,6 +277,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             out["n_spans"].append(len(spans))
             out["kept"].append(kept)
         kept = out.pop("kept")
+        del s, covered, edge
+        give_back()
         kept = {"kept_text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())} if as_text \
             else {"kept": pa.array(kept, pa.binary())}
         return pa.table({c: table.column(c) for c in ("doc_id", *extra)}

@@ -16,10 +16,10 @@ import pandas as pd
 from .hashing import words_in
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT = 1_600_000
+KEPT = 300_000
 LONG = 48
 AT_ONCE = 200
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from .common import documents, id_text, saved
-from .noisy_channel import Channel, class_table, count_trigrams
+from .common import documents, give_back, id_text, saved
+from .noisy_channel import KEPT, Channel, class_table, count_trigrams
 
 SAMPLE = 20_000
 FEATURES = 2048
@@ -54,6 +54,7 @@ def trigram_counts(rows: DataFrame) -> np.ndarray:
         if total is not None:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
+        give_back()
 
     sums = rows.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     got = sums.toPandas()
@@ -63,10 +64,10 @@ def trigram_counts(rows: DataFrame) -> np.ndarray:
 
 
 class Features:
-    """Hashed features of a text: its restored words and their beginnings."""
+    """Hashed features of a text: its restored words and their beginnings. With ``only``, no others."""
 
-    def __init__(self, counts: np.ndarray):
-        self.channel = Channel(counts)
+    def __init__(self, counts: np.ndarray, only: Container[int] | None = None):
+        self.channel, self.only = Channel(counts), only
         self.of_word: dict[str, tuple[int, ...]] = {}
 
     def word(self, w: str) -> tuple[int, ...]:
@@ -74,7 +75,9 @@ class Features:
         if got is None:
             names = ["=" + w] + [w[:n] for n in PREFIXES if len(w) > n]
             got = tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names)
-            if len(self.of_word) < 300_000 and len(w) <= 40:
+            if self.only is not None:
+                got = tuple(f for f in got if f in self.only)
+            if len(self.of_word) < KEPT and len(w) <= 40:
                 self.of_word[w] = got
         return got
 
@@ -139,9 +142,9 @@ def fit(rows: DataFrame, labels: DataFrame, counts: np.ndarray, sample: int = SA
     place = {f: i for i, f in enumerate(names)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Features(counts)
+        model = Features(counts, place)
         for batch in batches:
-            found = [sorted((place[f], k) for f, k in model.text(t).items() if f in place)
+            found = [sorted((place[f], k) for f, k in model.text(t).items())
                      for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([[f for f, _ in x] for x in found], pa.list_(pa.int32())),
                                               pa.array([[k for _, k in x] for x in found], pa.list_(pa.int32())),
@@ -157,23 +160,16 @@ def score(rows: DataFrame, counts: np.ndarray, b: float, weights: dict[int, floa
     schema = T.StructType([*(rows.schema[c] for c in carry), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Features(counts)
-        hits: dict[str, tuple[int, ...]] = {}
+        model = Features(counts, weights)
         for batch in batches:
             z = []
             for text in batch.column("text").to_pylist():
-                found: Counter = Counter()
-                for w in model.channel.words(text or ""):
-                    hit = hits.get(w)
-                    if hit is None:
-                        hit = tuple(f for f in model.word(w) if f in weights)
-                        if len(hits) < 300_000 and len(w) <= 40:
-                            hits[w] = hit
-                    if hit:
-                        found.update(hit)
+                found = model.text(text)
                 z.append(b + sum(weights[f] * _value(n) for f, n in sorted(found.items())))
             s = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(s, pa.float64())], [*carry, "score"])
+        del model
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
