@@ -41,8 +41,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: pieces of all documents, placed in sequences."""
-    return packing.pack_documents(docs)
+    """Operator 3: pieces of all documents, placed in sequences. Its word table is kept small, as the workers
+    serve the other stages too."""
+    return packing.pack_documents(docs, kept=300_000)
 
 
 STAGES = [

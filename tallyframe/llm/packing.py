@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import blobs_of, documents, give_back, id_text, n_blocks, saved, total_bytes
 from .hashing import chunks
 from .local_search import pack
-from .tokens import CHUNK, vocabulary_path, word_ids
+from .tokens import CHUNK, KEPT, vocabulary_path, word_ids
 
 LENGTH = 4096
 END = 1
@@ -36,13 +36,13 @@ PACKED = ("doc_id long, piece int, start long, length long, ids_crc32 long, grp
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, groups: int = 1, with_ids: bool = False,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
     """Encoded documents in pieces of up to ``length`` ids, dealt into groups."""
     path = path or vocabulary_path()
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = word_ids(path), 0
+        encoder, seen = word_ids(path, kept), 0
         for batch in batches:
             blobs = blobs_of(pa.Table.from_batches([batch]))
             for a, b in chunks([len(x) for x in blobs], CHUNK):
@@ -91,13 +91,16 @@ def _packer(length: int, level: int):
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = None, id_col: str = "doc_id",
-                   text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
+                   text_col: str = "text", group_bytes: int = GROUP_BYTES, kept: int = KEPT) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
+
+    ``kept`` bounds the words whose ids a Python worker remembers: memory against time, same result.
+    """
     rows = id_text(docs, id_col, text_col)
     groups = n_blocks(total_bytes(rows), group_bytes)
     level = 0
     done = None
-    todo = pieces(rows, length, path, groups).drop("ids")
+    todo = pieces(rows, length, path, groups, kept=kept).drop("ids")
     while True:
         packed = todo.groupBy("grp").applyInArrow(_packer(length, level), PACKED)
         if groups > 1:

@@ -2,7 +2,7 @@
 
 The vocabulary used here cuts at white space before anything else, so the ids of a text are the ids of
 its words between ASCII white space, one after the other. A word is encoded once while it is kept; at
-most ``KEPT`` words are. Upper case and one closing stop or comma are no words of their own: this
+most ``kept`` words are. Upper case and one closing stop or comma are no words of their own: this
 vocabulary lowers case, and a stop after a letter is a piece of its own.
 """
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 from .hashing import words_in
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT = 300_000
+KEPT = 1_600_000
 LONG = 48
 AT_ONCE = 200
 CHUNK = 1 << 20
@@ -30,7 +30,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class WordIds:
     """Little-endian unsigned 32-bit ids of texts, through a table of words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
+        self.kept = kept
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -90,13 +91,13 @@ class WordIds:
         ids = {c: self.known[c] for c in cores if c in self.known}
         ids |= self._encode([c for c in cores if c not in ids])
         out = {w: ids[c] + self.tails[t] if t else ids[c] for w, (c, t) in parts.items()}
-        if len(self.known) < KEPT:
+        if len(self.known) < self.kept:
             for made in (ids, out):
                 self.known.update((w, i) for w, i in made.items() if len(w) <= LONG)
         return out
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    """The worker's own table; it lives on from task to task."""
-    return WordIds(path)
+def word_ids(path: str, kept: int = KEPT) -> WordIds:
+    """The worker's own table of up to ``kept`` words (about 200 bytes each); it lives on from task to task."""
+    return WordIds(path, kept)
