@@ -16,8 +16,8 @@ its members, which writes one edge for each fingerprint, not one for each pair.
 
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any other; fewer words
 than a shingle count as one shingle; a null id counts as the largest, and a component's id is null only if
-no row in it has one; rows with one id and different texts keep their own fingerprints but are one
-document for linking, and so are rows whose fingerprints no row with an id has.
+no row in it has one. Fingerprints alone link rows: rows with one id and different texts, or without ids,
+are documents of their own. Two components may thus have one id, or both none; ``component`` tells them apart.
 """
 from __future__ import annotations
 
@@ -224,20 +224,23 @@ def links(distinct: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFram
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(doc_id, tie, fp, component_id): the smallest id reachable over links, itself included."""
+    """(doc_id, tie, fp, component_id, component): the smallest id and the smallest fingerprint (as a signed
+    long) reachable over links, the row's own included."""
     fps = saved(fingerprints(docs, shingle, id_col, text_col))
-    distinct = saved(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(int(LAST_ID)))).alias("rep")))
-    roots = components(links(distinct, radius))
-    of = distinct.join(roots, F.col("rep") == F.col("node"), "left").select(
-        F.col("fp").alias("of_fp"), F.nullif(F.coalesce("root", "rep"), F.lit(int(LAST_ID))).alias("component_id"))
-    return fps.join(of, F.col("fp") == F.col("of_fp")).select("doc_id", "tie", "fp", "component_id")
+    distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(distinct.select("fp", F.col("fp").alias("rep")), radius))
+    of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+        F.col("fp").alias("of_fp"), "least", F.coalesce("root", "fp").alias("component"))
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = of.join(ids, "component").select("of_fp", "component_id", "component")
+    return fps.join(of, F.col("fp") == F.col("of_fp")).select("doc_id", "tie", "fp", "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, one of each component: that with the smallest id (then the smallest text hash)."""
     groups = near_components(docs, shingle, radius)
     order = F.struct(F.coalesce("doc_id", F.lit(int(LAST_ID))).alias("id"), "tie")
-    first = groups.groupBy("component_id").agg(F.min(order).alias("first")).select("first.id", "first.tie")
+    first = groups.groupBy("component").agg(F.min(order).alias("first")).select("first.id", "first.tie")
     own_id = F.coalesce(docs["doc_id"].cast("long"), F.lit(int(LAST_ID)))
     own_tie = F.xxhash64(docs["text"].cast("string"))
     names = [f"c{i}" for i in range(len(docs.columns))]

@@ -161,6 +161,34 @@ def test_simhash_null_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "z y x w v u t"), (4, "a b c d e")]
 
 
+def test_simhash_unrelated_rows_without_own_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (7, e), (None, e), (9, f), (None, f)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash_dedup.near_components(df).collect()
+    assert collections.Counter(r.component_id for r in got) == {None: 3, 5: 2, 7: 2, 9: 2}
+    assert len({r.component for r in got}) == 6
+    kept = [(r.doc_id, r.text) for r in simhash_dedup.one_of_each(df).collect()]
+    assert collections.Counter(kept) == collections.Counter([(None, a), (None, b), (5, c), (5, d), (7, e), (9, f)])
+
+
+def test_simhash_rows_without_ids_do_not_join_others(spark):
+    rng = random.Random(1)
+    near = []
+    for _ in range(2):  # two unrelated families: a text with an id, and another within the radius that has none
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        near.append((" ".join(words), " ".join(words[:-1])))
+    blobs = [t.encode() for pair in near for t in pair]
+    fp = [int(x) for x in simhash_dedup.fingerprints_of(blobs)]
+    assert len(set(fp)) == 4 and all((fp[i] ^ fp[i + 1]).bit_count() <= simhash_dedup.RADIUS for i in (0, 2))
+    df = spark.createDataFrame([(1, near[0][0]), (None, near[0][1]), (2, near[1][0]), (None, near[1][1])],
+                               "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash_dedup.near_components(df).collect()} == {
+        (1, 1), (None, 1), (2, 2), (None, 2)}
+    assert {r.doc_id for r in simhash_dedup.one_of_each(df).collect()} == {1, 2}
+
+
 @pytest.mark.parametrize("cap", [5, 1 << 16])
 def test_links_of_dense_groups(spark, cap):
     rng = np.random.default_rng(0)
