@@ -3,7 +3,8 @@
 Lists change over time: an entry says that from a day on, a key (a host, a domain, or a host with a path
 prefix) is blocked, allowed, or off the list. Sorted by day, the entries of one list and key become
 validity intervals [from, until). A capture offers its own keys, from the most to the least specific: host
-with path prefixes, host, parent domains, and is evaluated against the entries that were active when it
+with path prefixes, host, parent domains of two or more labels, as far as the lists hold keys of that many
+steps or labels, and is evaluated against the entries that were active when it
 was fetched. That is an as-of join: intervals are cut at months, captures know their month, and the join
 is an equi-join on key and month that keeps the one interval of each list that holds the fetch time. A
 key that never changes costs one row a month; a host with a third of all captures is a skewed join key,
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 
-PATH_STEPS = 2
-PARENTS = 4
 FOREVER = "9999-12-31"
 DAYS = 730
 START = "2023-01-01"
@@ -42,19 +41,25 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(url: Column) -> Column:
-    """Array of (key, weight): path prefixes, host and parent domains; more specific ones weigh more."""
+def keys_of(url: Column, steps_most: Column | None = None, labels_least: Column | None = None) -> Column:
+    """Array of (key, weight): path prefixes, host and parent domains; more specific ones weigh more.
+
+    Prefixes of more than ``steps_most`` steps and parents of fewer than ``labels_least`` labels may be left
+    out, when no list has such keys; by default none is.
+    """
     host = host_of(url)
     steps = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    prefixes = [F.when((F.size(steps) >= n) & host.isNotNull(), F.struct(
-        F.concat_ws("/", F.array(host), F.slice(steps, 1, n)).alias("key"), F.lit(100 + n).alias("weight")))
-        for n in range(PATH_STEPS, 0, -1)]
     labels = F.split(host, "\\.")
-    parents = [F.when(F.size(labels) - n >= 2, F.struct(
-        F.array_join(F.slice(labels, n + 1, F.greatest(F.size(labels) - n, F.lit(0))), ".").alias("key"),
-        F.lit(50 - n).alias("weight"))) for n in range(1, PARENTS + 1)]
-    own = F.when(host.isNotNull(), F.struct(host.alias("key"), F.lit(50).alias("weight")))
-    return F.filter(F.array(*prefixes, own, *parents), lambda k: k.isNotNull())
+    deepest = F.size(steps) if steps_most is None else F.least(F.size(steps), steps_most)
+    highest = F.size(labels) - (F.lit(2) if labels_least is None else F.greatest(F.lit(2), labels_least))
+    up_to = lambda n: F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    prefixes = F.transform(up_to(deepest), lambda n: F.struct(
+        F.concat_ws("/", F.array(host), F.slice(steps, 1, n)).alias("key"), n.alias("weight")))
+    parents = F.transform(up_to(highest), lambda n: F.struct(
+        F.array_join(F.slice(labels, n + 1, F.size(labels) - n), ".").alias("key"), (-n).alias("weight")))
+    own = F.array(F.struct(host.alias("key"), F.lit(0).alias("weight")))
+    none = F.array().cast("array<struct<key:string,weight:int>>")
+    return F.when(host.isNotNull(), F.concat(prefixes, own, parents)).otherwise(none)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -80,7 +85,11 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     valid = valid.withColumns({"first": first, "last": last}).where("first <= last")
     valid = valid.select("list", "key", "action", "active_from", "active_until",
                          F.explode(F.sequence("first", "last")).alias("month"))
-    asked = captures.select("capture_id", "url", "fetched", F.explode(keys_of(F.col("url"))).alias("k"))
+    # keys beyond the lists' own depth match nothing; what the lists need is one row of two numbers
+    parts = F.split("key", "/")
+    need = entries.agg(F.max(F.size(parts) - 1).alias("steps"), F.min(F.size(F.split(parts[0], "\\."))).alias("labels")).first()
+    keys = keys_of(F.col("url"), F.lit(need["steps"] or 0), F.lit(need["labels"] or 2))
+    asked = captures.select("capture_id", "url", "fetched", F.explode(keys).alias("k"))
     asked = asked.select("capture_id", "url", "fetched", "k.key", "k.weight", month_of(F.col("fetched")).alias("month"))
     met = asked.join(valid, ["key", "month"]).where("fetched >= active_from AND fetched < active_until")
     rank = F.struct("weight", (F.col("action") == "allow").alias("allowed"), "list")

@@ -107,6 +107,23 @@ def test_url_judgement(spark):
     assert url_filter.judge(captures.drop("key"), entries.where("false")).where("keep").count() == len(asked)
 
 
+def test_url_keys_of_any_depth(spark):
+    d = dt.date(2023, 1, 1)
+    entries = spark.createDataFrame([
+        ("p", "h.example.org/a/b/c/d", "block", d), ("p", "h.example.org/a/b", "allow", d), ("d", "example.com", "block", d),
+        ("d", "d.e.example.com", "allow", d), ("d", "net", "block", d)], "list string, key string, action string, day date")
+    asked = [("http://h.example.org/a/b/c/d/e", "h.example.org/a/b/c/d", False), ("http://h.example.org/a/b/c", "h.example.org/a/b", True),
+             ("http://h.example.org/a//b/c/d", "h.example.org/a/b/c/d", False), ("http://h.example.org/a", None, True),
+             ("http://a.b.c.x.y.z.example.com/q", "example.com", False), ("http://1.2.3.4.5.6.d.e.example.com", "d.e.example.com", True),
+             ("http://example.com", "example.com", False), ("http://a.b.c.d.e.f.net", None, True), ("http://net/x/y/z", "net", False)]
+    captures = spark.createDataFrame([(i, u, d) for i, (u, _, _) in enumerate(asked)], "capture_id long, url string, fetched date")
+    got = {r.capture_id: (r.key, r.keep) for r in url_filter.judge(captures, entries).collect()}
+    assert got == {i: (k, keep) for i, (_, k, keep) in enumerate(asked)}
+    all_keys = captures.select(F.explode(url_filter.keys_of(F.col("url"))).alias("k")).select("k.key").distinct()
+    assert {"a.b.c.x.y.z.example.com/q", "c.x.y.z.example.com", "example.com", "h.example.org/a/b/c/d/e"} <= {
+        r.key for r in all_keys.collect()}
+
+
 def test_native_operators_run_no_python(spark):
     for q in (url_filter.op6_url_filters, mixing.op7_mix_sources):
         plan = q(spark, SF)._jdf.queryExecution().executedPlan().toString()
