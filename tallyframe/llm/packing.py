@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, group
                             out[name].append(value)
                 n = len(out["piece"])
                 # by turns: any run of a task's pieces is spread evenly, equal ids too
-                out["grp"] = (np.arange(seen, seen + n) * 0x9E3779B1 + (out["doc_id"][0] or 0) * 31) % groups if n else []
+                out["grp"] = (np.arange(seen, seen + n) * 0x9E3779B1 + (out["doc_id"][0] or 0) % groups * 31) % groups if n else []
                 seen += n
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
                     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),

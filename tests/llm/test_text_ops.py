@@ -143,6 +143,13 @@ def test_packing_odd_rows(spark):
     assert packing.pack_documents(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("first", [2**63 - 1, -2**63, 3 * 10**17])
+def test_packing_of_large_ids(spark, first):
+    df = spark.createDataFrame([(first, "one two three"), (None, "four"), (5, "")], "doc_id long, text string").coalesce(1)
+    check_packing(packing.pack_documents(df, length=64).collect(), pairs(df), 64)
+    assert all(0 <= r.grp < 7 for r in packing.pieces(df, 64, groups=7).select("grp").collect())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), min_size=1, max_size=60))
 def test_local_search_keeps_a_valid_packing(sizes):
