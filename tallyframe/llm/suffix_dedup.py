@@ -2,17 +2,19 @@
 
 Every string of ``length`` bytes is dealt by its minimizer, the smallest hash of the ``GRAM``-byte
 grams in it: equal strings have the same one, and neighbouring strings mostly share it, so they travel
-together as one segment of text. Three passes over blocks of documents:
+together as one segment of text. Four passes over blocks of documents:
 
 1. Each block counts its minimizer places in a sharded Count-min sketch (:mod:`sketch`); a string whose
    minimizer is estimated to stand in one place only cannot repeat. The estimate is never too low.
-2. The other segments go to the shard of their minimizer. A block sends equal segments once. A
-   minimizer found in ``HOT`` places or more, such as a common line with ever other text around it, is
-   split over many shards by two further hashes of the same string.
-   A shard takes its segments in the order of their documents, in batches, through a
+2. A minimizer found in ``HOT`` places or more, such as a common line with ever other text around it, is
+   split by two further hashes of the same string. Strings that reach a little over the edge of a common
+   passage share these too, so each block counts its different segments for each such code in a second sketch.
+3. The other segments go to the shard of their minimizer or code. A block sends equal segments once. Where a
+   code stands for ``HOT`` segments or more, and more than one for each block, its strings are dealt one by one
+   by a hash of all their bytes. A shard takes its segments in the order of their documents, in batches, through a
    :class:`SuffixFamily`: each batch gets a suffix array, is scanned against the levels for matches of
    the full length, and equal-sized levels merge. The shard answers with one bit for each string.
-3. Each block removes the bytes that repeated strings cover.
+4. Each block removes the bytes that repeated strings cover.
 
 Defined cases: a null text is empty; matches never cross documents; "earlier" is a smaller id, or the
 same id and an earlier start, so of rows with one and the same id and text neither is earlier at the
@@ -84,36 +86,63 @@ class _Chunk:
 
     def finer(self, at: np.ndarray) -> np.ndarray:
         """For strings with a very common minimizer: a hash of the largest gram and of a second smallest."""
-        out = np.empty(len(at), np.uint64)
-        around = np.arange(self.width)
-        for a in range(0, len(at), 4096):
-            g = self.grams[at[a:a + 4096, None] + around]
-            out[a:a + 4096] = mix(g.max(axis=1) + mix((g * U(0x5851F42D4C957F2D)).min(axis=1)))
-        return out
+        second = sliding(self.grams * U(0x5851F42D4C957F2D), self.width)
+        return mix(sliding(self.grams, self.width, np.maximum)[at] + mix(second[at]))
+
+    def whole(self, at: np.ndarray) -> np.ndarray:
+        """A hash of all bytes of each string."""
+        return rolling(BYTE_VALUE[self.buf], self.length)[at]
+
+
+def _coded(blobs: list[bytes], got: dict[int, bytes], length: int, bits: int):
+    """Of a block's chunks that may repeat: the first document, the chunk, each string's code, which strings
+    may repeat, and the places of those with a very common minimizer."""
+    parts = [(a, _Chunk(blobs[a:b], length)) for a, b in chunks([len(x) for x in blobs], CHUNK)]
+    keys = np.concatenate([np.zeros(0, np.uint64), *(c.minimizer_hashes() for _, c in parts)])
+    distinct = np.unique(keys)
+    repeated, hot = sketch.ask(distinct, got, bits, n_levels=2)
+    repeated, hot = distinct[repeated], distinct[hot]
+    member = lambda values, among: (
+        among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+        if len(among) else np.zeros(len(values), bool))
+    for a, c in parts:
+        if not len(c.least) or not len(repeated):
+            continue
+        change = np.concatenate([[True], c.least[1:] != c.least[:-1]])
+        of = np.cumsum(change) - 1
+        wanted = member(c.least[change], repeated)[of] & c.valid
+        code = c.least.copy()
+        common = np.flatnonzero(member(c.least[change], hot)[of] & wanted)
+        if len(common):
+            code[common] = mix(code[common] + c.finer(common))
+        yield a, c, code, wanted, common
+
+
+def _finer_codes(blobs: list[bytes], got: dict[int, bytes], length: int, bits: int) -> np.ndarray:
+    """Codes of a block's strings with very common minimizers, one for each different segment."""
+    seen: set[tuple[int, bytes]] = set()
+    for _, c, code, _, common in _coded(blobs, got, length, bits):
+        hot = np.zeros(len(code), bool)
+        hot[common] = True
+        first, last = c.runs(code, hot)
+        raw = c.buf.tobytes()
+        seen.update((k, raw[x:y]) for k, x, y in zip(code[first].tolist(), first.tolist(), (last + (length - 1)).tolist()))
+    return np.array([k for k, _ in seen], np.uint64)
 
 
 class _Segments:
     """Segments of a block that may repeat, in a fixed order; equal ones stand in for each other."""
 
-    def __init__(self, blobs: list[bytes], ids: np.ndarray, got: dict[int, bytes], length: int, bits: int, shards: int):
+    def __init__(self, blobs: list[bytes], ids: np.ndarray, got: dict[int, bytes], got_finer: dict[int, bytes], length: int,
+                 bits: int, finer_bits: int, shards: int):
         doc, start, size, shard, text = [], [], [], [], []
-        parts = [(a, _Chunk(blobs[a:b], length)) for a, b in chunks([len(x) for x in blobs], CHUNK)]
-        keys = np.concatenate([np.zeros(0, np.uint64), *(c.minimizer_hashes() for _, c in parts)])
-        distinct = np.unique(keys)
-        repeated, hot = sketch.ask(distinct, got, bits, n_levels=2)
-        repeated, hot = distinct[repeated], distinct[hot]
-        member = lambda values, among: (
-            among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
-            if len(among) else np.zeros(len(values), bool))
-        for a, c in parts:
-            if not len(c.least) or not len(repeated):
-                continue
-            change = np.concatenate([[True], c.least[1:] != c.least[:-1]])
-            of = np.cumsum(change) - 1
-            wanted = member(c.least[change], repeated)[of] & c.valid
-            code = c.least.copy()
-            common = np.flatnonzero(member(c.least[change], hot)[of] & wanted)
-            code[common] = mix(code[common] + c.finer(common))
+        parts = list(_coded(blobs, got, length, bits))
+        finer = np.unique(np.concatenate([np.zeros(0, np.uint64), *(code[common] for _, _, code, _, common in parts)]))
+        crowded = finer[sketch.ask(finer, got_finer, finer_bits)[0]]
+        for a, c, code, wanted, common in parts:
+            common = common[np.isin(code[common], crowded)]
+            if len(common):
+                code[common] = mix(code[common] + c.whole(common))
             first, last = c.runs(code, wanted)
             d = np.searchsorted(c.ends, first, side="right")
             doc.append(a + d)
@@ -209,6 +238,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     nbytes = total_bytes(rows)
     blocks = n_blocks(nbytes, block_bytes)
     bits = sketch.bits_for(nbytes / 30)
+    finer_bits = max(sketch.SHARD_BITS, bits - 6)
     shards = n_blocks(nbytes, SHARD_BYTES)
     dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "text", *extra)
 
@@ -218,7 +248,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return sketch.fill(key[0].as_py(), np.concatenate([np.zeros(0, np.uint64), *keys]), bits)
 
     def segments(table: pa.Table, got: pa.Table) -> _Segments:
-        return _Segments(blobs_of(table), ids_of(table), sketch.answers(got, 0), length, bits, shards)
+        return _Segments(blobs_of(table), ids_of(table), sketch.answers(got, 0), sketch.answers(got, 2), length, bits,
+                         finer_bits, shards)
+
+    def count_finer(key, table: pa.Table, got: pa.Table) -> pa.Table:
+        codes = _finer_codes(blobs_of(table), sketch.answers(got, 0), length, bits)
+        give_back()
+        return sketch.fill(key[0].as_py(), codes, finer_bits)
 
     def send(key, table: pa.Table, got: pa.Table) -> pa.Table:
         s = segments(table, got)
@@ -286,6 +322,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     by_block = dealt.groupBy("block")
     estimates = sketch.merged(by_block.applyInArrow(count, sketch.ROWS_SCHEMA), (2, HOT))
+    finer = by_block.cogroup(estimates.groupBy("block")).applyInArrow(count_finer, sketch.ROWS_SCHEMA)
+    finer = sketch.merged(finer, (max(HOT, blocks),)).withColumn("kind", F.lit(2))
+    estimates = estimates.unionByName(finer)
     parts = by_block.cogroup(estimates.groupBy("block")).applyInArrow(send, PART_SCHEMA)
     matched = parts.groupBy("shard").applyInArrow(match, sketch.ANSWER_SCHEMA)
     told = estimates.unionByName(matched)

@@ -145,6 +145,36 @@ def test_common_line_with_other_context_is_split(spark, monkeypatch):
     assert got == {r[0]: r[1:] for r in suffix_dedup.brute_force([(d, t.encode()) for d, t in docs], 100)}
 
 
+def test_edges_of_a_common_passage_are_spread(spark, monkeypatch):
+    rng = random.Random(2)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(180)
+    docs = [(i, noise(80) + passage + noise(80)) for i in range(150)] + [(200 + i, passage[40:] + "x" * i) for i in range(60)]
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    blobs, ids = [t.encode() for _, t in docs], np.array([d for d, _ in docs])
+    keys = suffix_dedup._Chunk(blobs, 100).minimizer_hashes()
+    got = {r["shard"]: r for r in sketch.fill(0, keys, 20).to_pylist()}
+
+    def answer(rows, levels):
+        out = {}
+        for k, r in rows.items():
+            n = sketch.expand(r["counts"], np.uint32)
+            out[k] = b"".join(np.packbits(n >= x).tobytes() for x in levels)
+        return out
+
+    told = answer(got, (2, 5))
+    codes = suffix_dedup._finer_codes(blobs, told, 100, 20)
+    told_finer = answer({r["shard"]: r for r in sketch.fill(0, codes, 20).to_pylist()}, (48,))
+    assert np.unique(codes, return_counts=True)[1].max() > 100
+    s = suffix_dedup._Segments(blobs, ids, told, told_finer, 100, 20, 20, 10_000)
+    sent = [len(own) for _, own in s.by_shard()]
+    assert max(sent) < 40
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest())
+           for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {r[0]: r[1:] for r in suffix_dedup.brute_force([(d, t.encode()) for d, t in docs], 100)}
+
+
 def test_simhash_near_components(spark):
     df = odd_docs(spark)
     rows = simhash_dedup.near_components(df).collect()
