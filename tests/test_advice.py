@@ -1,7 +1,7 @@
 """Advice lookup, validation and merchant-level updates; deposits; notify."""
 from pyspark.sql import functions as F
 
-from conftest import ledger
+from tests_support import ledger
 from tallyframe.operators import advice as ADV
 from tallyframe.operators import listing, notify
 from tallyframe.sources import ingest

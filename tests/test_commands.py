@@ -1,7 +1,7 @@
 """Void/restore, merge, split and edits (golden rows + quirks)."""
 from pyspark.sql import functions as F
 
-from conftest import ledger
+from tests_support import ledger
 from tallyframe.operators import commands as CMD
 from tallyframe.operators import matching, reports
 

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import ledger
+from tests_support import ledger
 from tallyframe.operators import matching
 
 

@@ -1,7 +1,7 @@
 """Billing periods, reports and the start-day setting (golden rows)."""
 from pyspark.sql import functions as F
 
-from conftest import ledger, ts
+from tests_support import ledger, ts
 from tallyframe.functions.periods import billing_period, clamp_start_day, period_bounds
 from tallyframe.operators import reports
 

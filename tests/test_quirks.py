@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import ledger
+from tests_support import ledger
 from tallyframe.operators import advice as ADV
 from tallyframe.operators import commands as CMD
 from tallyframe.operators import extract, listing, matching, notify

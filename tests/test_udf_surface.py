@@ -2,7 +2,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import ledger
+from tests_support import ledger
 from tallyframe.functions.sql import register_sql_functions
 from tallyframe.operators import advice as ADV
 from tallyframe.operators import classify
