@@ -1,7 +1,7 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from . import (fingerprint, mixing, packing, simhash_dedup, substring_dedup, suffix_dedup, token_counts,
+from . import (filter_audit, fingerprint, mixing, packing, simhash_dedup, substring_dedup, suffix_dedup, token_counts,
                topk_search, toxicity, url_filter)
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op4_topk_search": topk_search.ORACLE_SQL,
     "op6_url_filters": url_filter.ORACLE_SQL,
     "op7_mix_sources": mixing.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
 }
