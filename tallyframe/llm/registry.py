@@ -1,8 +1,8 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from . import (filter_audit, fingerprint, mixing, packing, simhash_dedup, substring_dedup, suffix_dedup, token_counts,
-               topk_search, toxicity, url_filter)
+from . import (filter_audit, fingerprint, html_extract, mixing, packing, simhash_dedup, substring_dedup, suffix_dedup, token_counts,
+               topk_search, toxicity, url_filter, vector_codes)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_html_extract": html_extract.op12_html_extract,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 SQL = {
@@ -24,4 +26,5 @@ SQL = {
     "op6_url_filters": url_filter.ORACLE_SQL,
     "op7_mix_sources": mixing.ORACLE_SQL,
     "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
 }
