@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
+from . import hashing
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 LAST_ID = np.iinfo(np.int64).max
@@ -59,7 +60,8 @@ def blobs_of(table: pa.Table, name: str = "text") -> list[bytes]:
 
 def give_back() -> None:
     """Returns memory that a task has freed to the system; a Python worker lives on after its task and would
-    keep it. Where the C library has no such call nothing happens."""
+    keep it, tables of powers too. Where the C library has no such call nothing happens."""
+    hashing.forget_powers()
     gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

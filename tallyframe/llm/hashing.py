@@ -42,6 +42,10 @@ def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+def forget_powers() -> None:
+    _POWERS.clear()
+
+
 def prefix(values: np.ndarray, base: int = 0) -> np.ndarray:
     """Prefix sums P with P[i] = sum of values[j] * base**j over j < i."""
     out = np.zeros(len(values) + 1, np.uint64)

@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, documents, n_words
+from .common import LAST_ID, documents, n_words, saved
 
 RATIO = 1.5
 EPOCHS = 2
@@ -109,7 +109,7 @@ def _pieces(schedule) -> Column:
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = RATIO, epochs: int = EPOCHS,
         schedules=SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, place, source_size, target, taken and positions (one for each copy taken)."""
-    sizes = sized(docs, id_col, text_col, source_col)
+    sizes = saved(sized(docs, id_col, text_col, source_col))  # words are counted once
     goal = targets(sizes, weights, ratio, epochs).select("s_key", "number", "source_size", "target")
     rows = along_sources(sizes).join(goal, "s_key")
     schedule = F.element_at(F.array(*[_pieces(s) for s in schedules]), (F.col("number") % len(schedules) + 1).cast("int"))
@@ -148,8 +148,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order of their first place in training, those that are not taken last."""
     mixed = mix(documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    rows = mixed.select("doc_id", "size", "source_size", "target", "taken", "place", F.size("positions").alias("copies"),
+                        F.get("positions", F.lit(0)).alias("first_position"), F.get("positions", F.lit(1)).alias("second_position"))
+    return rows.orderBy(F.asc_nulls_last("first_position"), "place").drop("place")
 
 
 ORACLE_SQL = r"""
@@ -169,15 +172,26 @@ levels AS (
          / nullif((SELECT sum(b.w) FROM limits b WHERE (b.lim, b.number) >= (a.lim, a.number)), 0) AS level
   FROM limits a),
 goals AS (
-  SELECT source, source_size,
+  SELECT source, source_size, number,
          least(cap, coalesce(w * (SELECT max(level) FROM levels WHERE w > 0 AND level <= lim), cap)) AS target FROM levels),
 placed AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, size, source_size, target, number,
          coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
          AS before
-  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+middles AS (
+  SELECT *, CASE WHEN size > 0 AND before + size / 2.0::DOUBLE < target THEN before + size / 2.0::DOUBLE END AS m1,
+         CASE WHEN size > 0 AND before + source_size + size / 2.0::DOUBLE < target
+              THEN before + source_size + size / 2.0::DOUBLE END AS m2 FROM placed),
+-- demand per unit of time: 2 falling to 0.5, level, or 0.5 up to half time and then rising to 2
+timed AS (
+  SELECT *, list_transform([m1, m2], lambda m: CASE
+           WHEN number % 3 = 0 THEN (2 - sqrt(4 - 3 * (m / target * 1.25))) / 1.5
+           WHEN number % 3 = 1 THEN m / target
+           WHEN m / target * 0.875 < 0.25 THEN m / target * 0.875 / 0.5
+           ELSE 0.5 + (sqrt(0.25 + 6 * (m / target * 0.875 - 0.25)) - 0.5) / 3 END) AS times FROM middles)
 SELECT doc_id, size, source_size, target,
-       (size * ((CASE WHEN size > 0 AND before + size / 2.0::DOUBLE < target THEN 1 ELSE 0 END)
-              + (CASE WHEN size > 0 AND before + source_size + size / 2.0::DOUBLE < target THEN 1 ELSE 0 END)))::BIGINT AS taken
-FROM placed
+       (size * ((m1 IS NOT NULL)::INT + (m2 IS NOT NULL)::INT))::BIGINT AS taken,
+       (m1 IS NOT NULL)::INT + (m2 IS NOT NULL)::INT AS copies, times[1] AS first_position, times[2] AS second_position
+FROM timed
 """

@@ -2,10 +2,12 @@
 
 Documents are encoded and end in id 1; only those longer than a sequence are cut, into full pieces and a
 last shorter one. Pieces are dealt into groups; each group is packed best-fit decreasing and then
-improved by swaps (:mod:`local_search`) until it has as few sequences as its tokens allow or no exchange
-helps. What lies in sequences that are not full goes up to a level with ``FAN`` times fewer groups and is
-packed anew with its neighbours' rest, so in the end one group's rest is all that is wasted. Only ids and
-lengths travel; a level is written to the shared folder.
+improved by swaps (:mod:`local_search`) until it has as few sequences as a lower bound or no exchange empties
+one. What groups can save only together is about a sequence each: of every group the ``OPEN`` emptiest sequences,
+or those that have the room of one sequence in all, go up to a level with ``FAN`` times fewer groups, are packed
+anew with their neighbours', and so on up to one group; the others are closed where they stand. So no task of a
+higher level holds more than ``FAN * OPEN`` sequences, whatever the lengths. Only ids and lengths travel; a level
+is written to the shared folder.
 
 Defined cases: a null or empty text is the single id 1; repeated rows are packed one by one; a row with a
 null id keeps it. An empty table gives an empty result.
@@ -22,21 +24,21 @@ from pyspark.sql import functions as F
 
 from .common import blobs_of, documents, give_back, id_text, n_blocks, saved, total_bytes
 from .hashing import chunks
-from .local_search import pack
-from .tokens import CHUNK, KEPT, vocabulary_path, word_ids
+from .local_search import pack, worth_merging
+from .tokens import CHUNK, KEPT, forget_words, vocabulary_path, word_ids
 
 LENGTH = 4096
 END = 1
 GROUP_BYTES = 64 << 20
 FAN = 64
-FULL_ENOUGH = 1.0
+OPEN = 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, grp long"
 PACKED = ("doc_id long, piece int, start long, length long, ids_crc32 long, grp long, sequence_id long, offset long, "
-          "filled long")
+          "open boolean")
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, groups: int = 1, with_ids: bool = False,
-           id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT, keep_words: bool = True) -> DataFrame:
     """Encoded documents in pieces of up to ``length`` ids, dealt into groups."""
     path = path or vocabulary_path()
     end = np.array([END], "<u4").tobytes()
@@ -63,6 +65,9 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, group
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
                     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                     ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("grp", pa.int64())]))
+        if not keep_words:
+            del encoder
+            forget_words()
         give_back()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, PIECES)
@@ -80,38 +85,41 @@ def _packer(length: int, level: int):
         first = np.flatnonzero(np.diff(bins[by_bin], prepend=-1))
         offset = np.empty(len(sizes), np.int64)
         offset[by_bin] = inside - np.repeat(inside[first], np.diff(np.append(first, len(sizes))))
-        filled = np.bincount(bins, weights=sizes).astype(np.int64)[bins]
+        filled = np.bincount(bins, weights=sizes).astype(np.int64)
+        meets_others = worth_merging(filled, length, OPEN)[bins]
         group = key[0].as_py()
         sequence = (level << 57) | (group << 25) | bins.astype(np.int64)
-        out = table.drop_columns([c for c in ("sequence_id", "offset", "filled", "level") if c in table.column_names])
-        for name, value in (("sequence_id", sequence), ("offset", offset), ("filled", filled)):
-            out = out.append_column(name, pa.array(value, pa.int64()))
+        out = table.drop_columns([c for c in ("sequence_id", "offset", "open") if c in table.column_names])
+        for name, value in (("sequence_id", sequence), ("offset", offset), ("open", meets_others)):
+            out = out.append_column(name, pa.array(value))
         return out.select([x.split()[0] for x in PACKED.split(", ")])
     return run
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = None, id_col: str = "doc_id",
-                   text_col: str = "text", group_bytes: int = GROUP_BYTES, kept: int = KEPT) -> DataFrame:
+                   text_col: str = "text", group_bytes: int = GROUP_BYTES, kept: int = KEPT,
+                   keep_words: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
 
-    ``kept`` bounds the words whose ids a Python worker remembers: memory against time, same result.
+    ``kept`` bounds the words whose ids a Python worker remembers, ``keep_words`` tells whether it does so after
+    a task has ended: memory against time, same result.
     """
     rows = id_text(docs, id_col, text_col)
     groups = n_blocks(total_bytes(rows), group_bytes)
     level = 0
     done = None
-    todo = pieces(rows, length, path, groups, kept=kept).drop("ids")
+    todo = pieces(rows, length, path, groups, kept=kept, keep_words=keep_words).drop("ids")
     while True:
         packed = todo.groupBy("grp").applyInArrow(_packer(length, level), PACKED)
         if groups > 1:
             packed = saved(packed)
-        final = packed if groups == 1 else packed.where(F.col("filled") >= length * FULL_ENOUGH)
+        final = packed if groups == 1 else packed.where(~F.col("open"))
         done = final if done is None else done.unionByName(final)
         if groups == 1:
-            return done.drop("grp", "filled")
+            return done.drop("grp", "open")
         groups = -(-groups // FAN)
         level += 1
-        todo = packed.where(F.col("filled") < length * FULL_ENOUGH).drop("sequence_id", "offset", "filled")
+        todo = packed.where("open").drop("sequence_id", "offset", "open")
         todo = todo.withColumn("grp", F.floor(F.col("grp") / FAN).cast("long"))
 
 

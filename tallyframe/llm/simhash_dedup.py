@@ -40,6 +40,7 @@ SEED = 42
 PIVOTS = np.random.Generator(np.random.PCG64(10)).integers(0, 2**64, 24, dtype=np.uint64)
 SMALL = 8
 CAP = 1 << 16
+SALTS = 16
 LANES = U(0x0101010101010101)
 
 
@@ -229,15 +230,20 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     fps = saved(fingerprints(docs, shingle, id_col, text_col))
     distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp", F.col("fp").alias("rep")), radius))
+    # a component may be a third of all fingerprints: its id meets them in several places
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("of_fp"), "least", F.coalesce("root", "fp").alias("component"))
-    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = of.join(ids, "component").select("of_fp", "component_id", "component")
+        F.col("fp").alias("of_fp"), "least", "root", F.coalesce("root", "fp").alias("component"),
+        F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"))
+    ids = of.where("root IS NOT NULL").groupBy("component").agg(F.min("least").alias("smallest"))
+    ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    of = of.join(ids, ["component", "salt"], "left").select(
+        "of_fp", F.coalesce("smallest", "least").alias("component_id"), "component")
     return fps.join(of, F.col("fp") == F.col("of_fp")).select("doc_id", "tie", "fp", "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, one of each component: that with the smallest id (then the smallest text hash)."""
+    """The rows of ``docs``, one of each component: that with the smallest id, then the smallest hash of its text, then
+    of the whole row."""
     groups = near_components(docs, shingle, radius)
     order = F.struct(F.coalesce("doc_id", F.lit(int(LAST_ID))).alias("id"), "tie")
     first = groups.groupBy("component").agg(F.min(order).alias("first")).select("first.id", "first.tie")
@@ -245,8 +251,9 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     own_tie = F.xxhash64(docs["text"].cast("string"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.select(own_id.alias("id"), own_tie.alias("tie"), *[docs[c].alias(n) for c, n in zip(docs.columns, names)])
-    kept = rows.join(first, ["id", "tie"], "left_semi").dropDuplicates(["id", "tie"])
-    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+    kept = rows.join(first, ["id", "tie"], "left_semi")
+    kept = kept.groupBy("id", "tie").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row"))
+    return kept.select(*[F.col("row")[n].alias(c) for c, n in zip(docs.columns, names)])
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,8 +226,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                    block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, the removed spans (pairs of int64: start, end), n_spans and the kept bytes.
 
-    ``carry`` names further columns to return. With ``as_text`` the kept part comes as ``kept_text``, without
-    the rest of characters that were cut.
+    ``carry`` names further columns to return, as fields of the struct ``carried``, so that they may be named like
+    any of the above. With ``as_text`` the kept part comes as ``kept_text``, without the rest of characters that
+    were cut.
     """
     ship_package(docs.sparkSession)
     extra = [f"c{i}" for i in range(len(carry))]
@@ -329,7 +330,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     matched = parts.groupBy("shard").applyInArrow(match, sketch.ANSWER_SCHEMA)
     told = estimates.unionByName(matched)
     out = by_block.cogroup(told.groupBy("block")).applyInArrow(remove, schema)
-    return out.select("doc_id", *[F.col(n).alias(c) for c, n in zip(carry, extra)], *[n for n, _ in RESULT], last.name)
+    carried = [F.struct(*[F.col(n).alias(c) for c, n in zip(carry, extra)]).alias("carried")] if carry else []
+    return out.select("doc_id", *carried, *[n for n, _ in RESULT], last.name)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blobs_of, documents, give_back, id_text
+from .common import blobs_of, documents, give_back, id_text, saved
 from .hashing import chunks
 from .tokens import CHUNK, vocabulary_path, word_ids
 
@@ -53,6 +53,7 @@ def histogram(counted: DataFrame, length_col: str = "n_tokens") -> DataFrame:
     bins = counted.groupBy(F.col(length_col).alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
     bins = bins.withColumns({"n_tokens": F.col("n_docs") * F.col("length"),
                              "rng": F.floor(F.col("length") / RANGE).cast("long")})
+    bins = saved(bins)  # read twice below; the corpus is encoded once
     totals = bins.groupBy("rng").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     above = Window.orderBy(F.desc("rng")).rowsBetween(Window.unboundedPreceding, -1)
     all_of = Window.partitionBy(F.lit(0))

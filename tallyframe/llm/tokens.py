@@ -3,11 +3,13 @@
 The vocabulary used here cuts at white space before anything else, so the ids of a text are the ids of
 its words between ASCII white space, one after the other. A word is encoded once while it is kept; at
 most ``kept`` words are. Upper case and one closing stop or comma are no words of their own: this
-vocabulary lowers case, and a stop after a letter is a piece of its own.
+vocabulary lowers case, and a stop after a letter is a piece of its own. A text that holds the literal of one of the
+vocabulary's special tokens is encoded whole, by the tokenizer as loaded, which gives that token's id.
 """
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +37,8 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        literals = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.special = re.compile("|".join(map(re.escape, literals)).encode() or b"(?!)", re.I)
         self.known: dict[bytes, bytes] = {}
         (self.bar,) = self._plain(["|"])[0]
         self.tails = {t: np.array(i, "<u4").tobytes() for t, i in zip((b".", b","), self._plain([".", ","]))}
@@ -79,7 +82,12 @@ class WordIds:
         tokens = table[place + np.arange(len(place))].tobytes()
         edges = np.searchsorted(starts, np.cumsum([0] + [len(b) + 1 for b in blobs]))
         cut = 4 * np.append(before, len(place))[edges]
-        return [tokens[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        out = [tokens[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        if self.special.search(raw):
+            whole = [i for i, b in enumerate(blobs) if self.special.search(b)]
+            for i, of in zip(whole, self._plain([blobs[i].decode() for i in whole])):
+                out[i] = np.array(of, "<u4").tobytes()
+        return out
 
     def _fresh(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words that are not kept yet; they are kept while there is room."""
@@ -101,3 +109,8 @@ class WordIds:
 def word_ids(path: str, kept: int = KEPT) -> WordIds:
     """The worker's own table of up to ``kept`` words (about 200 bytes each); it lives on from task to task."""
     return WordIds(path, kept)
+
+
+def forget_words() -> None:
+    """Lets go of this worker's tables, where memory matters more than the time to fill them anew."""
+    word_ids.cache_clear()

@@ -35,6 +35,7 @@ FEATURES = 2048
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6, 7)
 THRESHOLD = 0.3
+ROWS_AT_ONCE = 256
 
 
 def held_out(doc_id: Column) -> Column:
@@ -47,9 +48,8 @@ def trigram_counts(rows: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = class_table(), None
         for batch in batches:
-            texts = [t for t in batch.column("text").to_pylist() if t]
-            for i in range(0, len(texts), 64):
-                part = count_trigrams(texts[i:i + 64], table)
+            for i in range(0, len(batch), 64):
+                part = count_trigrams([t for t in batch.column("text").slice(i, 64).to_pylist() if t], table)
                 total = part if total is None else total + part
         if total is not None:
             at = np.flatnonzero(total)
@@ -127,6 +127,8 @@ def fit(rows: DataFrame, labels: DataFrame, counts: np.ndarray, sample: int = SA
         names = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([found[0][k] for k in names], pa.int64()),
                                           pa.array([found[1][k] for k in names], pa.int64())], ["f", "clean", "toxic"])
+        del model, found, names
+        give_back()
 
     leaning = saved(train.mapInArrow(lean, "f int, clean long, toxic long").groupBy("f").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
@@ -149,25 +151,29 @@ def fit(rows: DataFrame, labels: DataFrame, counts: np.ndarray, sample: int = SA
             yield pa.RecordBatch.from_arrays([pa.array([[f for f, _ in x] for x in found], pa.list_(pa.int32())),
                                               pa.array([[k for _, k in x] for x in found], pa.list_(pa.int32())),
                                               batch.column("y")], ["x", "n", "y"])
+        del model
+        give_back()
 
     got = train.mapInArrow(vectors, "x array<int>, n array<int>, y int").collect()
     b, w = _logistic([r["x"] for r in got], [r["n"] for r in got], np.array([r["y"] for r in got], float), max(1, len(names)))
     return b, dict(zip(names, w.tolist()))
 
 
-def score(rows: DataFrame, counts: np.ndarray, b: float, weights: dict[int, float], carry: list[str]) -> DataFrame:
-    """The carried columns and, last, the score of every row's ``text``."""
+def score(rows: DataFrame, counts: np.ndarray, b: float, weights: dict[int, float], carry: list[str],
+          text_col: str = "text") -> DataFrame:
+    """The carried columns and, last, the score of every row's text. Rows are scored a few at a time."""
     schema = T.StructType([*(rows.schema[c] for c in carry), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Features(counts, weights)
-        for batch in batches:
-            z = []
-            for text in batch.column("text").to_pylist():
-                found = model.text(text)
-                z.append(b + sum(weights[f] * _value(n) for f, n in sorted(found.items())))
-            s = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(s, pa.float64())], [*carry, "score"])
+        for whole in batches:
+            for at in range(0, len(whole), ROWS_AT_ONCE):
+                batch, z = whole.slice(at, ROWS_AT_ONCE), []
+                for text in batch.column(text_col):
+                    found = model.text(text.as_py())
+                    z.append(b + sum(weights[f] * _value(n) for f, n in sorted(found.items())))
+                s = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(s, pa.float64())], [*carry, "score"])
         del model
         give_back()
 
@@ -189,8 +195,8 @@ def keep_clean(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshol
     counts = trigram_counts(docs)
     b, weights = fit(id_text(labelled), labels, counts)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], docs["text"])
-    out = score(rows, counts, b, weights, names).where(F.col("score") < threshold)
+    rows = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)])
+    out = score(rows, counts, b, weights, names, names[docs.columns.index("text")]).where(F.col("score") < threshold)
     return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 

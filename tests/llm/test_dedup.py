@@ -126,9 +126,10 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
 
 def test_suffix_dedup_as_text_carries_columns(spark):
     t = "é" * 120
-    df = spark.createDataFrame([(1, t, "a", "x"), (2, "b" + t[:60], "b", "y")], "doc_id long, text string, lang string, c0 string")
-    rows = suffix_dedup.remove_repeats(df, carry=("c0", "lang"), as_text=True).collect()
-    assert {(r.doc_id, r.c0, r.lang) for r in rows} == {(1, "x", "a"), (2, "y", "b")}
+    df = spark.createDataFrame([(1, t, "a", "x", 7, "s"), (2, "b" + t[:60], "b", "y", 8, "t")],
+                               "doc_id long, text string, lang string, c0 string, n_removed int, kept_text string")
+    rows = suffix_dedup.remove_repeats(df, carry=("c0", "lang", "n_removed", "kept_text"), as_text=True).collect()
+    assert {(r.doc_id, *r.carried) for r in rows} == {(1, "x", "a", 7, "s"), (2, "y", "b", 8, "t")}
     assert {r.doc_id: r.kept_text for r in rows}[2] == "b"
 
 

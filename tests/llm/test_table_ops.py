@@ -35,7 +35,7 @@ def test_queries_agree_with_sql(spark, name):
 
 def test_entry_has_all():
     numbers = {k.split("_")[0] for k in entry.queries() if k.startswith("op")}
-    assert numbers == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert numbers == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
     assert set(registry.SQL) <= set(registry.QUERIES)
 
 
@@ -51,8 +51,8 @@ def brute_top_k(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block,query_block", [(7, 3), (4096, 1024)])
-def test_top_k_with_ties_and_odd_vectors(spark, block, query_block):
+@pytest.mark.parametrize("block", [7, 4096])
+def test_top_k_with_ties_and_odd_vectors(spark, block):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in rng.integers(-3, 4, 5) / 1024]) for i in range(120)]
     vectors += [(200 + i, vectors[5][1]) for i in range(25)]  # many equal vectors
@@ -61,12 +61,43 @@ def test_top_k_with_ties_and_odd_vectors(spark, block, query_block):
            (None, [1.0] * 5)]
     df = spark.createDataFrame([(i, v, 1, 1) for i, v in vectors + odd], "vec_id long, embedding array<float>, dims int, cb int")
     rows = topk_search.integers(df)
-    got = sorted(map(tuple, topk_search.top_k(rows.where("vec_id % 10 = 0"), rows, 4, block, query_block).collect()))
+    got = sorted(map(tuple, topk_search.top_k(rows.where("vec_id % 10 = 0"), rows, 4, block).collect()))
     whole = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in vectors]
     assert got == brute_top_k(whole, 4, 10)
     assert topk_search.top_k(rows.where("false"), rows.where("false")).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Rows that repeat an id ask each; the id's answer is the best of all of them, in any order of rows."""
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [5.0, 0.0]), (2, [0.0, 7.0]), (2, [0.0, 7.0]), (3, [1.0, 1.0])]
+    want = [(100, 1, 2, 7 << 20), (100, 2, 2, 7 << 20), (100, 3, 1, 5 << 20)]
+    for order in (rows, rows[::-1]):
+        df = topk_search.integers(spark.createDataFrame(order, "vec_id long, embedding array<double>"))
+        assert sorted(map(tuple, topk_search.top_k(df.where("vec_id = 100"), df, 3).collect())) == want
+    many = spark.createDataFrame(rows + [(9, [3.0, 0.0])] * 500, "vec_id long, embedding array<double>")
+    df = topk_search.integers(many)
+    got = sorted(map(tuple, topk_search.top_k(df.where("vec_id = 100"), df, 6, 8).collect()))
+    assert [r[2:] for r in got] == [(2, 7 << 20), (2, 7 << 20), (1, 5 << 20), (9, 3 << 20), (9, 3 << 20), (9, 3 << 20)]
+
+
+def test_top_k_of_huge_components(spark):
+    big = 2.0 ** 50
+    rows = [(100, [big, -big]), (1, [2.0, 2.0 - 2 ** -10]), (2, [big, big]), (3, [0.0, 1.0])]
+    df = topk_search.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [tuple(r)[2:] for r in topk_search.top_k(df.where("vec_id = 100"), df, 2).collect()]
+    assert got == [(1, 1 << 60), (2, 0)]
+    df = topk_search.integers(spark.createDataFrame(rows[:1] + [(5, [big, -big])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.top_k(df, df).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.integers(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_top_k_of_empty_tables(spark):
+    df = topk_search.integers(spark.createDataFrame([], "vec_id long, embedding array<double>"))
+    assert topk_search.top_k(df, df).count() == 0
+
+
 def test_search_stops_early():
     rng = np.random.default_rng(0)
     vectors = np.zeros((4000, 6), np.int64)
@@ -257,7 +288,58 @@ def test_run_gives_the_last_stage(spark, stages):
     assert got.select(F.sum("length")).first() == stages[-1][1].select(F.sum("length")).first()
 
 
+def test_run_equals_brute_force_from_end_to_end(spark):
+    """Every stage by its plain definition (the model's scores are the operator's own), over the whole table."""
+    import zlib
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tallyframe.llm import tokens
+    docs = documents(spark, SF)
+    clean = {r.doc_id for r in toxicity.toxicity(docs, docs, spark.read.parquet(SF + "/labels.parquet")).where("score < 0.3").collect()}
+    rows = {r.doc_id: r.asDict() for r in docs.collect() if r.doc_id in clean}
+    firsts = {c for _, _, c in simhash_dedup.brute_force([(d, r["text"]) for d, r in rows.items()])}
+    rows = {d: r for d, r in rows.items() if d in firsts}
+    left = [(d, (r["text"] or "").encode()) for d, r in rows.items()]
+    first_at: dict = {}
+    for d, t in left:
+        for i in range(len(t) - 99):
+            first_at[t[i:i + 100]] = min(first_at.get(t[i:i + 100], (d, i)), (d, i))
+    for d, t in left:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 99):
+            if first_at[t[i:i + 100]] < (d, i):
+                gone[i:i + 100] = b"\1" * 100
+        text = bytes(b for b, g in zip(t, gone) if not g).decode("utf-8", "ignore")
+        if any(gone) and not text:
+            del rows[d]
+        else:
+            rows[d]["text"] = text
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist(list(rows.values())))
+    copies = {d: n for d, n in con.execute(f"SELECT doc_id, copies FROM ({mixing.ORACLE_SQL})").fetchall()}
+    tokenizer = Tokenizer.from_file(tokens.vocabulary_path())
+    want = []
+    for d, r in rows.items():
+        ids = np.array(tokenizer.encode(r["text"], add_special_tokens=False).ids + [1], "<u4")
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            want += [(d, k, at, len(ids[at:at + 4096]), zlib.crc32(ids[at:at + 4096].tobytes()))] * copies[d]
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    used: dict = {}
+    for r in got:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in used.values():
+        assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))]
+        assert sum(n for _, n in places) <= 4096
+    assert len(used) == -(-sum(r.length for r in got) // 4096)
+
+
 def test_odd_documents_pass_all_stages(spark):
+    clashing = odd_docs(spark).withColumns({c: F.lit("x") for c in ("n_removed", "spans", "n_spans", "n_bytes", "kept_text", "carried")})
+    out = corpus_pipeline.cut_repeats(spark, clashing, SF)
+    assert out.columns == clashing.columns and {r.carried for r in out.collect()} == {"x"}
     docs = odd_docs(spark, ids_null=True).select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)

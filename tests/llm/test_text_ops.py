@@ -169,13 +169,73 @@ def test_local_search_empties_a_bin():
     assert local_search.pack(sizes, 100).max() + 1 == 2
 
 
+def fewest_bins(sizes, capacity):
+    """By trying every way."""
+    best = [len(sizes)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for b in {f: k for k, f in enumerate(bins) if f + sizes[i] <= capacity}.values():
+            bins[b] += sizes[i]
+            go(i + 1, bins)
+            bins[b] -= sizes[i]
+        go(i + 1, bins + [sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_against_every_way():
+    rng = np.random.default_rng(0)
+    over = []
+    for _ in range(300):
+        capacity = int(rng.integers(10, 60))
+        sizes = np.sort(rng.integers(1, capacity // int(rng.integers(1, 3)) + 1, int(rng.integers(1, 11))))[::-1]
+        least = fewest_bins(sizes.tolist(), capacity)
+        assert local_search.lower_bound(sizes, capacity) <= least
+        over.append(local_search.pack(sizes, capacity).max() + 1 - least)
+    assert min(over) == 0 and max(over) <= 1 and sum(over) <= 6
+
+
+def test_search_empties_bins_where_best_fit_leaves_room():
+    rng = np.random.default_rng(1)
+    for low, high, n, share in ((1200, 1500, 3000, 0.25), (300, 1400, 3000, 0.5)):
+        sizes = np.sort(rng.integers(low, high, n))[::-1]
+        least, first, found = (local_search.lower_bound(sizes, 4096), local_search.best_fit(sizes, 4096).max() + 1,
+                               local_search.pack(sizes, 4096).max() + 1)
+        assert found - least <= share * (first - least)
+
+
+@pytest.mark.parametrize("low,high", [(2100, 2101), (1500, 4000), (1, 300), (1, 4097)])
+def test_a_group_sends_up_little(low, high):
+    rng = np.random.default_rng(2)
+    sizes = np.sort(rng.integers(low, high, 4000))[::-1]
+    fill = np.bincount(local_search.pack(sizes, 4096), weights=sizes).astype(np.int64)
+    up = local_search.worth_merging(fill, 4096, packing.OPEN)
+    assert up.sum() <= 16 and (4096 - fill[up]).sum() <= 2 * 4096
+    assert up.sum() == 16 or (4096 - fill[~up]).sum() == 0 or (4096 - fill[up]).sum() >= 4096
+
+
+def test_many_groups_meet_in_levels(spark):
+    """Groups of a few sequences each, over two levels: as few sequences as one group has, but for a handful."""
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, "the " * int(n), None) for i, n in enumerate(rng.integers(1, 200, 3000))], "doc_id long, text string, open string")
+    n, least = check_packing(packing.pack_documents(docs, length=256, group_bytes=16_000).collect(), pairs(docs), 256)
+    one, _ = check_packing(packing.pack_documents(docs, length=256).collect(), pairs(docs), 256)
+    assert n <= one * 1.02 + 1
+
+
 def test_word_ids_equal_whole_text_ids():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
     w = tokens.WordIds(tokens.vocabulary_path())
     texts = ["Ab.c, x's. can't, É. é.. … ….. 12.5 a|b | || |. İi ΑΣ. Σ ́a é. <|endoftext|> A B. c, '\t'd \x1c a\x1fb. ǅ.",
-             "", " \n", "日本語。テスト. 🙂, 🙂.", "x" * 200 + ". " + "é" * 90, "The the THE the. the, THE,"]
+             "", " \n", "日本語。テスト. 🙂, 🙂.", "x" * 200 + ". " + "é" * 90, "The the THE the. the, THE,",
+             "hello <|endoftext|> you", "<|startoftext|>A B.<|ENDOFTEXT|> <|endoftext|>", "<|endoftext|>"]
     for _ in range(2):
         got = w.of([x.encode() for x in texts])
         assert got == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
