@@ -31,8 +31,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = suffix_dedup.remove_repeats(docs, carry=others, as_text=True)
     out = out.where((F.col("n_removed") == 0) | (F.col("kept_text") != ""))
-    out = out.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")})
-    return out.select(*docs.columns)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return out.select(*[(new[c] if c in new else F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: pieces of all documents, placed in sequences. Its word table is kept small, as the workers
-    serve the other stages too."""
-    return packing.pack_documents(docs, kept=300_000)
+    """Operator 3: pieces of all documents, placed in sequences. Its word table is kept small, and let go after each
+    task, as the workers serve the other stages too."""
+    return packing.pack_documents(docs, kept=300_000, keep_words=False)
 
 
 STAGES = [
