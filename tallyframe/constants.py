@@ -61,6 +61,7 @@ CREDIT_STATEMENT = "credit_statement"
 HK_STATEMENT = "hk_statement"
 MARKETING = "marketing"
 OTHER = "other"
+MAIL_TYPES = (CREDIT_DAILY, DEBIT_EVENT, CREDIT_STATEMENT, HK_STATEMENT, MARKETING, OTHER)
 
 # ---- fixed values: daily digest line patterns (Java regex, Unicode classes) ---
 RE_AVAIL = r"(?U)^￥\s*([\d,]+\.\d{2})$"

@@ -273,6 +273,43 @@ def alerts_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
+def stream_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw mails for the ingest: every digest, received the morning after its day, and every alert, whose text is what
+    the interpreter replies."""
+    d = digests_e(spark, sf_dir)
+    uid = F.conv(F.substring(F.md5("source_msg_id"), 1, 12), 16, 10).cast("bigint")
+    day = F.to_timestamp_ntz(F.regexp_extract("source_msg_id", r"-(\d{8})-", 1), F.lit("yyyyMMdd"))
+    digests = d.select(uid.alias("uid"), F.col("source_msg_id").alias("msg_id"), day.alias("received"),
+                       "sender", "subject", "html", F.lit(None).cast("string").alias("text"))
+    sender, subject = MAIL_SENDER_SUBJECT["click"]
+    alerts = alerts_e(spark, sf_dir).select(
+        uid.alias("uid"), F.col("source_msg_id").alias("msg_id"), "received", F.lit(sender).alias("sender"),
+        F.lit(subject).alias("subject"), F.lit(None).cast("string").alias("html"), F.col("reply").alias("text"))
+    return digests.unionByName(alerts)
+
+
+@memo
+def wide_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merchants that grow with ``events``: one for each user and kind of event, forty to a classification batch."""
+    ev = read_table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
+    return ev.select(F.concat_ws(" ", F.lit("u"), F.col("user_id").cast("string"), F.col("event_type")).alias("merchant_key"),
+                     F.floor(F.col("user_id") / 8).alias("batch_id"))
+
+
+@memo
+def wide_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key for each of :func:`wide_merchants`: its name, the name and more, the user alone, or nothing like it."""
+    m = wide_merchants(spark, sf_dir)
+    user = F.split("merchant_key", " ")[1].cast("bigint")
+    name = F.col("merchant_key")
+    key = (F.when(user % 4 == 0, name).when(user % 4 == 1, F.concat(name, F.lit(" (2笔)")))
+           .when(user % 4 == 2, F.concat(F.lit("u "), user.cast("string"))).otherwise(F.concat(F.lit("x"), name)))
+    pos = user * 10 + F.length(name)
+    return m.select("batch_id", key.alias("adv_key"), pos.alias("pos"), F.concat(F.lit("cat"), (user % 3).cast("string")).alias("category"),
+                    F.lit("none").alias("operation"), F.array().cast("array<bigint>").alias("related_ids"), F.lit("").alias("reason"))
+
+
 # ---- scalar-function inputs --------------------------------------------------------
 
 # fixed values: merchant texts exercising the channel split (known / unknown
@@ -384,7 +421,7 @@ EDIT_OPS = ("void", "restore", "set_category", "set_note", "confirm")
 
 @memo
 def commands_o(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit commands over ``ledger_o``: one per order, a second and third on some."""
+    """Edit commands over ``ledger_o``: one per order, a second and third on some, and some of rows that do not exist."""
     o = read_table(spark, sf_dir, "orders")
     op = F.element_at(F.array(*[F.lit(x) for x in EDIT_OPS]), (F.col("o_orderkey") % 5 + 1).cast("int"))
     payload = (F.when(op == "set_category", F.concat(F.lit("cat"), (F.col("o_custkey") % 3 + 1).cast("string")))
@@ -398,7 +435,10 @@ def commands_o(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("txn_id"), (F.col("o_orderkey") * 3 + 2).alias("seq"),
         F.when(F.col("o_orderkey") % 2 == 0, "void").otherwise("restore").alias("op"),
         F.lit(None).cast("string").alias("payload"))
-    return first.unionByName(second).unionByName(third)
+    unknown = o.filter(F.col("o_orderkey") % 13 == 0).select(
+        (-F.col("o_orderkey") - 1).alias("txn_id"), (F.col("o_orderkey") * 3).alias("seq"), F.lit("void").alias("op"),
+        F.lit(None).cast("string").alias("payload"))
+    return first.unionByName(second).unionByName(third).unionByName(unknown)
 
 
 @memo
@@ -455,27 +495,53 @@ def op_requests_e(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @memo
 def command_table_e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mixed command table over ``ledger_e``: a first and a second split of every seventh expense, a void
-    before some of them, an edit of some first parts and of every fifth row, and notes after some splits."""
+    """A mixed command table over ``ledger_e``: a first and a second split of every seventh expense, a void before some
+    of them, a split of some second parts, merges of some first parts with the row after their parent, an edit of some
+    first parts and of every fifth row, seventy edits of every 101st row, and notes after some splits."""
     from .operators.commands import child_id
     le = ledger_e(spark, sf_dir)
     i, ten = F.col("id"), F.lit(10).cast("decimal(18,2)")
 
-    def table(rows, kind, seq, op, row=i, payload=None, amounts=None):
+    def table(rows, kind, seq, op, row=i, payload=None, amounts=None, pos=0, request=None):
         none = F.lit(None).cast("string")
         return rows.select(
-            F.concat(F.lit(kind), i.cast("string")).alias("request_id"), F.lit(seq).cast("bigint").alias("seq"),
-            F.lit(op).alias("op"), row.alias("row_id"), F.lit(0).cast("bigint").alias("pos"),
+            (F.concat(F.lit(kind), i.cast("string")) if request is None else request).alias("request_id"),
+            (F.lit(seq) if isinstance(seq, int) else seq).cast("bigint").alias("seq"),
+            F.lit(op).alias("op"), row.alias("row_id"), F.lit(pos).cast("bigint").alias("pos"),
             (payload if payload is not None else none).alias("payload"),
             (amounts if amounts is not None else F.lit(None).cast("array<decimal(18,2)>")).alias("amounts"),
             none.alias("category"), none.alias("note"), none.alias("month"), none.alias("expected_operation"))
 
     split = le.filter((F.col("direction") == "expense") & (i % 7 == 0))
     parts = F.array(ten, (F.col("amount") - ten).cast("decimal(18,2)"))
-    first = child_id(F.concat(F.lit("s"), i.cast("string")), F.lit(0))
+    again = F.array(F.lit(5).cast("decimal(18,2)"), (F.col("amount") - 15).cast("decimal(18,2)"))
+    first, second = (child_id(F.concat(F.lit("s"), i.cast("string")), F.lit(k)) for k in (0, 1))
+    often = le.filter(i % 101 == 0).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(70))))
+    edits = table(often, "", F.lit(100) + F.col("k"), "set_category", payload=F.concat(F.lit("c"), F.col("k").cast("string")),
+                  request=F.concat_ws("-", F.lit("o"), i.cast("string"), F.col("k").cast("string")))
     return (table(split, "s", 10, "split", amounts=parts)
             .unionByName(table(split.filter(i % 2 == 0), "t", 20, "split", amounts=parts))
+            .unionByName(table(split.filter(i % 2 == 1), "u", 15, "split", row=second, amounts=again))
+            .unionByName(table(split.filter(i % 14 == 0), "m", 50, "merge", row=first))
+            .unionByName(table(split.filter(i % 14 == 0), "m", 50, "merge", row=i + 1, pos=1))
             .unionByName(table(split.filter(i % 11 == 0), "v", 5, "void"))
             .unionByName(table(split.filter(i % 3 == 0), "c", 30, "set_category", row=first, payload=F.lit("cat2")))
             .unionByName(table(split.filter(i % 5 == 0), "n", 40, "set_note", payload=F.lit("after")))
-            .unionByName(table(le.filter(i % 5 == 0), "e", 1, "confirm")))
+            .unionByName(table(le.filter(i % 5 == 0), "e", 1, "confirm"))
+            .unionByName(edits))
+
+
+@memo
+def merge_overlaps_e(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(members, requests) of merges that share rows: of every four ids in a row, the first two, the middle two and the
+    last two, to be taken in this order."""
+    le = ledger_e(spark, sf_dir)
+    four, at = F.floor(F.col("id") / 4).cast("string"), F.col("id") % 4
+    member = lambda kind, places: le.filter(at.isin(*places)).select(
+        F.concat(F.lit(kind), four).alias("request_id"), F.col("id").alias("pos"), "id")
+    members = member("a", (0, 1)).unionByName(member("b", (1, 2))).unionByName(member("c", (2, 3)))
+    none = F.lit(None).cast("string")
+    seq = F.element_at(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2), F.lit("c"), F.lit(3)), F.substring("request_id", 1, 1))
+    requests = members.select("request_id").distinct().select(
+        "request_id", seq.cast("bigint").alias("seq"), none.alias("category"), none.alias("note"), none.alias("month"), none.alias("expected_operation"))
+    return members, requests

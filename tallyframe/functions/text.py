@@ -1,11 +1,12 @@
 """Scalar text, money and JSON column functions.
 
 All of them are built from JVM-side expressions (regexp_replace, split,
-higher-order functions, sha1, from_json), so they stay inside whole-stage
-codegen and need no Python worker.
+higher-order functions, sha1, from_json) and need no Python worker. Those with
+higher-order functions are evaluated row by row outside whole-stage codegen.
 """
 from __future__ import annotations
 
+import json
 from functools import reduce
 from html.entities import html5
 
@@ -19,8 +20,11 @@ from .. import constants as K
 WS_CLASS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}"
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
-# The standard library's entity table: names with their ';', and those valid without it.
-_NAMED = dict(html5)
+# The standard library's entity table: names with their ';', and those valid without it. As one text for a plan,
+# names under their first letter, so that a look-up passes over few of them.
+_NAMED = json.dumps({c: {n: v for n, v in html5.items() if n[0] == c} for c in sorted({n[0] for n in html5})})
+#: Looked for first, with their ';': nearly all that pages hold.
+_COMMON = ("amp", "nbsp", "quot", "lt", "gt", "copy", "middot", "apos")
 _BARE = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 # What numeric references 128 to 159 stand for: Windows-1252, where it has a character.
 _WINDOWS_1252 = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160)]
@@ -43,24 +47,34 @@ def unescape_entities(c: Column) -> Column:
     """Decode all named and numeric HTML entities in one pass, as browsers do.
 
     The text is cut at '&'; each piece starts with what may be an entity. The
-    names come from the standard library's table; those that are valid without
-    ';' also match as a prefix, the longest first.
+    few common names are looked at first, then numbers, then the standard library's
+    table; names that are valid without ';' also match as a prefix, the longest first.
     """
-    names = F.create_map(*[F.lit(x) for kv in _NAMED.items() for x in kv])
+    names = F.from_json(F.lit(_NAMED), "map<string,map<string,string>>")
+
+    def value_of(name: Column) -> Column:
+        return F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
 
     def piece(p: Column) -> Column:
         digits = F.regexp_extract(p, "^#([0-9]+);?", 1)
         hexed = F.regexp_extract(p, "^#[xX]([0-9a-fA-F]+);?", 1)
         named = F.regexp_extract(p, "^([0-9A-Za-z]+;)", 1)
         short = F.regexp_extract(p, _BARE, 1)
-        value = F.when(named != "", F.try_element_at(names, named))
         number = F.when(digits != "", digits.try_cast("bigint")).otherwise(
             F.conv(F.substring(F.regexp_replace(hexed, "^0+", ""), 1, 8), 16, 10).try_cast("bigint"))
         head = F.regexp_extract(p, "^(#(?:[0-9]+|[xX][0-9a-fA-F]+);?)", 1)
-        return (F.when(head != "", F.concat(_code_point(number), F.substr(p, F.length(head) + 1)))
-                .when(value.isNotNull(), F.concat(value, F.substr(p, F.length(named) + 1)))
-                .when(short != "", F.concat(F.try_element_at(names, short), F.substr(p, F.length(short) + 1)))
-                .otherwise(F.concat(F.lit("&"), p)))
+        plain = F.concat(F.lit("&"), p)
+        out = None
+        for name in _COMMON:
+            rest = F.concat(F.lit(html5[name + ";"]), F.substr(p, F.lit(len(name) + 2)))
+            on = F.startswith(p, F.lit(name + ";"))
+            out = F.when(on, rest) if out is None else out.when(on, rest)
+        return (out.when(F.startswith(p, F.lit("#")), F.when(head != "", F.concat(_code_point(number), F.substr(p, F.length(head) + 1)))
+                         .otherwise(plain))
+                .when(~F.rlike(p, F.lit("^[0-9A-Za-z]")), plain)
+                .when(value_of(named).isNotNull(), F.concat(value_of(named), F.substr(p, F.length(named) + 1)))
+                .when(F.rlike(p, F.lit(_BARE)), F.concat(value_of(short), F.substr(p, F.length(short) + 1)))
+                .otherwise(plain))
 
     parts = F.split(c, "&")
     tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece)

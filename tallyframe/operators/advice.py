@@ -6,13 +6,12 @@ an advice table with one row per reply key,
     (batch_id, adv_key, pos, category, operation, related_ids array<bigint>, reason)
 
 where ``pos`` is the key's position in the reply. Merchants are grouped into
-classification batches (``batch_id``) of bounded size; the tolerant key lookup
-only compares keys inside one batch, so the prefix join is bounded by the
-batch size squared, never by the data size.
+classification batches (``batch_id``); the tolerant key lookup joins beginnings of
+names within a batch, so it grows with the length of the names, whatever a batch holds.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -39,24 +38,34 @@ def merchant_recent(ledger: DataFrame, merchants: DataFrame, k: int = K.RECENT_P
                     "direction", "card_last4", F.col("rn").cast("bigint").alias("rn")))
 
 
+def _prefixes(text: Column) -> Column:
+    """All beginnings of a text, the empty one and itself included."""
+    return F.transform(F.sequence(F.lit(0), F.length(text)), lambda n: F.substr(text, F.lit(1), n))
+
+
 def advice_pick(merchants: DataFrame, advice: DataFrame) -> DataFrame:
     """Tolerant advice lookup per merchant.
 
     Exact key first; otherwise the first key (by reply position) where either
     string is a prefix of the other. ``merchants``: (merchant_key, batch_id).
-    One equi-join on the batch (bounded: a batch holds at most the batch size
-    of merchants and keys) and one ``min_by`` per merchant ranking an exact
-    match before any prefix match.
+
+    A prefix index: a key begins with a merchant's name if the name is one of the key's beginnings, and the other way
+    round. So there are two equi-joins on (batch, text), one with the keys' beginnings and one with the merchants';
+    of the keys that share a beginning only the first by position is kept, before anything meets. No merchant is
+    compared with a key that it does not match.
     """
-    a = advice.select("batch_id", "adv_key", "pos", "category", "operation", "related_ids", "reason")
+    fields = ["adv_key", "category", "operation", "related_ids", "reason"]
+    a = advice.filter(F.col("adv_key").isNotNull()).select("batch_id", "pos", *fields)
     m = merchants.select("merchant_key", "batch_id")
-    exact = F.col("adv_key") == F.col("merchant_key")
-    prefix = F.startswith(F.col("adv_key"), F.col("merchant_key")) | F.startswith(F.col("merchant_key"),
-                                                                                  F.col("adv_key"))
-    cand = m.join(a, "batch_id").filter(exact | prefix)
-    best = (cand.groupBy("merchant_key")
-            .agg(F.min_by(F.struct("adv_key", "category", "operation", "related_ids", "reason"),
-                          F.struct((~exact).alias("fuzzy"), F.col("pos"))).alias("x"))
+    key = F.struct("pos", F.struct(*fields).alias("x"))
+    begun = a.withColumn("text", F.explode(_prefixes(F.col("adv_key")))).groupBy("batch_id", "text").agg(
+        F.min_by(key, "pos").alias("found"))
+    whole = a.groupBy("batch_id", F.col("adv_key").alias("text")).agg(F.min_by(key, "pos").alias("found"))
+    longer = m.withColumn("text", F.col("merchant_key")).join(begun, ["batch_id", "text"])
+    shorter = m.withColumn("text", F.explode(_prefixes(F.col("merchant_key")))).join(whole, ["batch_id", "text"])
+    fuzzy = F.col("found.x.adv_key") != F.col("merchant_key")
+    best = (longer.unionByName(shorter).groupBy("merchant_key")
+            .agg(F.min_by("found.x", F.struct(fuzzy.alias("fuzzy"), F.col("found.pos").alias("pos"))).alias("x"))
             .select("merchant_key", "x.*"))
     # merchants without any matching key keep an empty advice row
     return m.join(best, "merchant_key", "left")

@@ -9,8 +9,9 @@ unique row id, so the join has no hot keys.
 
 Requests that touch the same row must see each other's effects in ``seq``
 order. :func:`apply_command_table` applies a mixed table: field edits collapse
-to one update per row, and only splits and merges that share rows run one after
-the other, on the touched rows alone; the ledger is read and joined once.
+to one update per row, and only splits, merges and what stands between them are
+taken one after the other, component by component of the requests that share
+rows; the ledger is read and joined once.
 
 Rows made by a command get an id that is a hash of the request and the position
 (:func:`child_id`, :func:`merged_row_id`), so any number of parts and any ids of
@@ -18,15 +19,13 @@ the originals are fine, and a later command can name a row before it exists.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.periods import billing_period
 from ..session import ensure_checkpoint_dir
-
+from .command_fold import STEP, folded
 
 
 def _hash_id(kind: str, *parts: Column) -> Column:
@@ -172,9 +171,16 @@ def merge_apply(ledger: DataFrame, merge_ids: DataFrame, merges: DataFrame, star
     by sign, the given month or the earliest billing period, and status
     confirmed iff a category is given; the originals are voided and point at it.
 
+    Requests are taken in order of ``seq`` (if ``merges`` has it, then of request id): a row that an earlier one has
+    voided is no longer live for a later one, so no money is counted twice. Requests that share no rows, the usual
+    case, are independent and need no order; only where some do, those of their components are taken one by one.
+
     Returns (results, new_rows, new_ledger).
     """
     ex = merge_ids.select("request_id", "pos", "id")
+    shared = ex.groupBy("id").agg(F.count_distinct("request_id").alias("n")).filter("n > 1")
+    if not shared.isEmpty():
+        return _merge_in_order(ledger, ex, merges, start_day)
     live = ledger.filter(~F.col("voided"))
     rows = ex.join(live, "id")
     agg = rows.groupBy("request_id").agg(
@@ -228,6 +234,26 @@ def merge_apply(ledger: DataFrame, merge_ids: DataFrame, merges: DataFrame, star
     return results, new_rows.select(*ledger.columns), upd.unionByName(new_rows.select(*ledger.columns))
 
 
+def _merge_in_order(ledger: DataFrame, ex: DataFrame, merges: DataFrame, start_day: int):
+    ensure_checkpoint_dir(ledger.sparkSession)
+    seq = F.col("seq") if "seq" in merges.columns else F.lit(0)
+    heads = merges.select("request_id", seq.alias("seq"), "category", "note", "month", "expected_operation")
+    asked = ex.join(heads, "request_id").withColumnsRenamed({"id": "row_id"}).withColumns(
+        {"op": F.lit("merge"), "payload": F.lit(None), "amounts": F.lit(None)})
+    made = merges.select(F.col("request_id").cast("string").alias("request_id"), merged_row_id(F.col("request_id")).alias("id"))
+    pairs = ex.select(F.col("request_id").cast("string").alias("request_id"), "id").unionByName(made)
+    rows, _, told = folded(ledger, _long_form(asked), pairs, start_day)
+    # a request that names no rows has taken no part in the order
+    nobody = merges.select(F.col("request_id").cast("string").alias("request_id")).join(told, "request_id", "left_anti")
+    typed = merges.schema["request_id"].dataType
+    results = told.unionByName(nobody.select("request_id", F.lit(False).alias("ok"), F.lit("need at least two live transactions").alias("error"),
+                                             F.lit(False).alias("offset"), F.lit(0).cast("bigint").alias("count")), allowMissingColumns=True)
+    results = results.withColumn("request_id", F.col("request_id").cast(typed))
+    new_rows = rows.join(told.select(F.col("merged_id").alias("id")).filter("id IS NOT NULL"), "id", "left_semi").select(*ledger.columns)
+    led = ledger.join(rows.select("id"), "id", "left_anti").select(*ledger.columns).unionByName(rows.select(*ledger.columns))
+    return results, new_rows, led
+
+
 # ---- G7 / G9: category maintenance ---------------------------------------------------
 
 def category_rename(ledger: DataFrame, knowledge: DataFrame, renames: DataFrame):
@@ -296,14 +322,20 @@ def category_delete(ledger: DataFrame, knowledge: DataFrame, categories: DataFra
 
 # ---- G16: mark notified ----------------------------------------------------------------
 
-def mark_notified(ledger: DataFrame, sent_ids: DataFrame, now: str) -> DataFrame:
-    """After a successful send, mark exactly the sent rows."""
+def mark_notified(ledger: DataFrame, sent_ids: DataFrame, now: str, channel: str | None = None) -> DataFrame:
+    """After a successful send, mark exactly the sent rows (G16), and by what ``channel`` they were sent, if it is
+    given: in the column ``notify_channel``, which is added to a ledger that has none."""
     s = sent_ids.select("id", F.lit(True).alias("_sent"))
+    columns = list(ledger.columns)
+    if channel is not None and "notify_channel" not in columns:
+        ledger = ledger.withColumn("notify_channel", F.lit(None).cast("string"))
+        columns.append("notify_channel")
     j = ledger.join(s, "id", "left")
     hit = F.coalesce(F.col("_sent"), F.lit(False))
-    return (j.withColumn("notify_status", F.when(hit, F.lit("sent")).otherwise(F.col("notify_status")))
-            .withColumn("notified_at", F.when(hit, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("notified_at")))
-            .select(*ledger.columns))
+    marks = {"notify_status": F.lit("sent"), "notified_at": F.lit(now).cast("timestamp_ntz")}
+    if channel is not None:
+        marks["notify_channel"] = F.lit(channel)
+    return j.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in marks.items()}).select(*columns)
 
 
 # ---- one command table -------------------------------------------------------------------
@@ -324,24 +356,6 @@ def command_rows(commands: DataFrame) -> DataFrame:
     return touched.unionByName(parts).unionByName(merged).distinct()
 
 
-def _placed_edits(edits: DataFrame, rows: DataFrame) -> DataFrame:
-    """Void, restore and note edits of rows that splits or merges touch: of those between two such
-    requests only the last of each field counts, and it becomes a request of its own."""
-    own = edits.filter(F.col("op").isin(*PLACED_OPS)).select(
-        "request_id", "seq", F.col("row_id").alias("id"), "op", "payload")
-    own = own.join(rows.select("id").distinct(), "id", "left_semi")
-    steps = rows.select("request_id", "seq", "id", F.lit(None).cast("string").alias("op"),
-                        F.lit(None).cast("string").alias("payload"))
-    by_row = Window.partitionBy("id").orderBy("seq", "request_id")
-    numbered = own.unionByName(steps).withColumn("segment", F.count(F.when(F.col("op").isNull(), 1)).over(by_row))
-    turn = F.struct("seq", "request_id")
-    field = F.when(F.col("op") == "set_note", "note").otherwise("voided")
-    return (numbered.filter(F.col("op").isNotNull()).groupBy("id", "segment", field.alias("field"))
-            .agg(F.max_by(F.struct("op", "payload", "seq"), turn).alias("x"))
-            .select(F.concat_ws(":", F.lit("edit"), "id", "segment", "field").alias("request_id"),
-                    "x.seq", "x.op", F.col("id").alias("row_id"), "x.payload"))
-
-
 def apply_command_table(ledger: DataFrame, commands: DataFrame, start_day: int = 1, repair: bool = True):
     """Apply a mixed command table in ``seq`` order.
 
@@ -350,70 +364,37 @@ def apply_command_table(ledger: DataFrame, commands: DataFrame, start_day: int =
     expected_operation. ``op`` is an edit (void, restore, set_category, set_note,
     confirm), ``split`` or ``merge``.
 
-    Only splits and merges depend on what came before. They run on a small
-    working table, the ledger rows they name: in each round every request that is
-    the first one left on all rows it touches or makes, so the number of rounds
-    is the longest chain of splits and merges through shared rows. Void, restore
-    and note edits of those rows take their place among them; all other edits
-    collapse to the last one per row and field. The ledger itself is read once to
-    fetch the working rows and joined once at the end. After a split refunds are
+    Only splits and merges, and the voids, restores and notes of rows that they touch or make, depend on what came
+    before. They are taken in order within the components of the requests that share rows
+    (:mod:`tallyframe.operators.command_fold`); all other edits collapse to the last one per row and field. The
+    ledger is read once for the rows that the commands name and joined once at the end. After a split refunds are
     paired again (``repair``). Lineage is cut in the shared folder.
 
     Returns (ledger, split results, merge results); an edit of a row that does
     not exist (yet) has no effect.
     """
     ensure_checkpoint_dir(ledger.sparkSession)
-    rows = command_rows(commands).checkpoint()
+    commands = _long_form(commands).checkpoint()  # read for the graph, the steps and the edits
+    rows = command_rows(commands)
     edits = commands.filter(F.col("op").isin(*EDIT_OPS))
-    placed = _placed_edits(edits, rows).checkpoint()
-    steps = commands.filter(F.col("op").isin(*STRUCTURAL_OPS)).unionByName(placed, allowMissingColumns=True).checkpoint()
-    need = rows.unionByName(placed.select("request_id", "seq", F.col("row_id").alias("id")))
-    work = ledger.join(rows.select("id").distinct(), "id", "left_semi").checkpoint()
-    split_results, merge_results = [], []
-    kinds = {r["op"] for r in commands.select("op").distinct().collect()}
-    while not need.isEmpty():
-        first = need.groupBy("id").agg(F.min(F.struct("seq", "request_id")).alias("first"))
-        ready = (need.join(first, "id").groupBy("request_id")
-                 .agg(F.every(F.col("first.request_id") == F.col("request_id")).alias("ready"))
-                 .filter("ready").select("request_id").checkpoint())
-        now = steps.join(ready, "request_id", "left_semi")
-        if kinds & set(PLACED_OPS):
-            work = apply_edits(work, now.filter(F.col("op").isin(*PLACED_OPS))
-                               .select(F.col("row_id").alias("txn_id"), "seq", "op", "payload"))
-        if "split" in kinds:
-            told, _, work = split_apply(work, now.filter("op = 'split'").select(
-                "request_id", "seq", F.col("row_id").alias("txn_id"), "amounts"))
-            split_results.append(told.checkpoint())
-        if "merge" in kinds:
-            merges = now.filter("op = 'merge'")
-            heads = merges.groupBy("request_id").agg(*[F.min_by(c, "pos").alias(c) for c in
-                                                       ("category", "note", "month", "expected_operation")])
-            merged, _, work = merge_apply(work, merges.select("request_id", "pos", F.col("row_id").alias("id")), heads, start_day)
-            merge_results.append(merged.checkpoint())
-        work = work.checkpoint()
-        need = need.join(ready, "request_id", "left_anti").checkpoint()
-    # the working rows replace their originals; the other edits follow, once
-    out = ledger.join(rows.select("id").distinct(), "id", "left_anti").select(*ledger.columns).unionByName(work)
-    made = rows.groupBy("id").agg(F.min("seq").alias("from_seq"))
-    made = made.join(ledger.select("id"), "id", "left_anti")
-    rest = edits.join(rows.select(F.col("id").alias("row_id")).distinct().withColumn("_structural", F.lit(True)), "row_id", "left")
+    steps = commands.filter(F.col("op").isin(*STRUCTURAL_OPS, *PLACED_OPS))
+    done, split_results, merge_results = folded(ledger, steps, rows.select("request_id", "id"), start_day)
+    # the rows taken in hand replace their originals; the other edits follow, once
+    ids = rows.select("id").distinct()
+    out = ledger.join(done.select("id"), "id", "left_anti").select(*ledger.columns).unionByName(done.select(*ledger.columns))
+    made = rows.join(done.filter("made").select("id"), "id", "left_semi").groupBy("id").agg(F.min("seq").alias("from_seq"))
+    rest = edits.join(ids.select(F.col("id").alias("row_id"), F.lit(True).alias("_structural")), "row_id", "left")
     rest = rest.filter(F.col("_structural").isNull() | ~F.col("op").isin(*PLACED_OPS))
     rest = rest.join(made.withColumnRenamed("id", "row_id"), "row_id", "left").filter(
         F.col("from_seq").isNull() | (F.col("seq") > F.col("from_seq")))
     out = apply_edits(out, rest.select(F.col("row_id").alias("txn_id"), "seq", "op", "payload"))
-    if repair and any(not r.filter("ok").isEmpty() for r in split_results):
+    if repair and not split_results.filter("ok").isEmpty():
         from .matching import apply_pairing
-        out = apply_pairing(out)
-    union = lambda parts, empty: reduce(DataFrame.unionByName, parts) if parts else empty
-    return (out, union(split_results, split_apply(work, _no_splits(ledger))[0]),
-            union(merge_results, merge_apply(work, *_no_merges(ledger))[0]))
-
-
-def _no_splits(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], "request_id string, seq bigint, txn_id bigint, amounts array<decimal(18,2)>")
+        out = apply_pairing(out.checkpoint())
+    return out, split_results, merge_results
 
 
-def _no_merges(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    spark = df.sparkSession
-    return (spark.createDataFrame([], "request_id string, pos bigint, id bigint"),
-            spark.createDataFrame([], "request_id string, category string, note string, month string, expected_operation string"))
+def _long_form(commands: DataFrame) -> DataFrame:
+    """The columns of a command table in their types."""
+    types = {"seq": "bigint", "row_id": "bigint", "pos": "bigint", "amounts": "array<decimal(18,2)>"}
+    return commands.select(*[F.col(c).cast(types.get(c, "string")).alias(c) for c in STEP])

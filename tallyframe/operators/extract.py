@@ -1,16 +1,15 @@
 """Extraction jobs (C1, C3-C6, B14): mails -> transactions / deposits.
 
 The daily digest parser is a greedy line scan in the reference. Here it is two
-column expressions over the array of visible lines, evaluated per mail inside
-whole-stage codegen (no Python):
+column expressions over the array of visible lines, evaluated per mail (no Python):
 
 1. for every time line i, its candidate: the first amount line among the next
    three lines and the first detail line after that amount, still inside the
    three-line look-ahead (``filter`` over an index ``sequence``);
-2. one ``aggregate`` fold over the candidates in line order with state
-   (next_free, accepted[]): a candidate is accepted iff i >= next_free, and then
+2. a fold over the candidates in line order that accepts one iff i >= next_free, and then
    next_free = detail + 1. This is exactly the greedy scan, including time
-   lines that the look-ahead steps over.
+   lines that the look-ahead steps over. Where no candidate overlaps the one before it, as in every
+   well-formed digest, all are accepted and nothing is folded.
 """
 from __future__ import annotations
 
@@ -28,16 +27,26 @@ def _first_index_or_null(seq: Column, pred) -> Column:
     return F.when(F.size(hits) > 0, F.element_at(hits, 1))
 
 
+#: One bit for each digest pattern.
+TIME, AMOUNT, DETAIL, DATE, AVAIL, POINTS = (1 << i for i in range(6))
+
+
 def line_kinds(lines: Column) -> Column:
-    """Classify every line once against each digest pattern (array of flag structs)."""
-    return F.transform(lines, lambda ln: F.struct(
-        ln.rlike(K.RE_TIME).alias("time"), ln.rlike(K.RE_AMOUNT).alias("amount"),
-        ln.rlike(K.RE_DETAIL).alias("detail"), ln.rlike(K.RE_DATE).alias("date"),
-        ln.rlike(K.RE_AVAIL).alias("avail"), ln.rlike(K.RE_POINTS).alias("points")))
+    """Classify every line once (array of bit sets). A pattern is tried only on lines that begin as it must."""
+    def bits(ln: Column) -> Column:
+        def bit(guard: Column, pattern: str, value: int) -> Column:
+            return F.when(guard & F.rlike(ln, F.lit(pattern)), F.lit(value)).otherwise(F.lit(0))
+
+        clock = (F.length(ln) == 8) & (F.substring(ln, 3, 1) == ":")
+        return (bit(clock, K.RE_TIME, TIME) + bit(F.startswith(ln, F.lit("CNY")), K.RE_AMOUNT, AMOUNT)
+                + bit(F.startswith(ln, F.lit("尾号")), K.RE_DETAIL, DETAIL) + bit(F.contains(ln, F.lit("您的消费明细")), K.RE_DATE, DATE)
+                + bit(F.startswith(ln, F.lit("￥")), K.RE_AVAIL, AVAIL) + bit(~clock, K.RE_POINTS, POINTS))
+
+    return F.transform(lines, bits)
 
 
-def _kind(kinds: Column, i, flag: str) -> Column:
-    return F.try_element_at(kinds, i + 1)[flag]
+def _kind(kinds: Column, i, kind: int) -> Column:
+    return F.coalesce(F.get(kinds, i).bitwiseAND(F.lit(kind)) != 0, F.lit(False))
 
 
 def _indices(arr: Column) -> Column:
@@ -47,9 +56,14 @@ def _indices(arr: Column) -> Column:
 
 
 def digest_triples(kinds: Column) -> Column:
-    """Accepted (time, amount, detail) line-index triples of a digest body.
+    """Accepted (time, amount, detail) line-index triples of a digest body."""
+    return accepted(candidates(kinds))
 
-    Works on the per-line flags, so each look-up inside the look-ahead window is
+
+def candidates(kinds: Column) -> Column:
+    """For every time line that has an amount and then a detail within the look-ahead: the three lines' indexes.
+
+    Works on the per-line bits, so each look-up inside the look-ahead window is
     an array access, not a regex evaluation.
     """
     idx = _indices(kinds)
@@ -58,24 +72,26 @@ def digest_triples(kinds: Column) -> Column:
 
     def candidate(i):
         # the look-ahead window is lines i+1 .. i+3: unrolled into plain lookups
-        a = [_kind(kinds, i + d, "amount") for d in (1, 2, 3)]
-        dt = [_kind(kinds, i + d, "detail") for d in (1, 2, 3)]
+        a = [_kind(kinds, i + d, AMOUNT) for d in (1, 2, 3)]
+        dt = [_kind(kinds, i + d, DETAIL) for d in (1, 2, 3)]
         ja = F.when(a[0], i + 1).when(a[1], i + 2).when(a[2], i + 3)
-        jd = (F.when(ja == i + 1, F.when(dt[1], i + 2).when(dt[2], i + 3))
-              .when(ja == i + 2, F.when(dt[2], i + 3)))
+        jd = F.when(a[0], F.when(dt[1], i + 2).when(dt[2], i + 3)).when(a[1], F.when(dt[2], i + 3))
         return F.struct(i.alias("i"), ja.cast("int").alias("ja"), jd.cast("int").alias("jd"))
 
-    times = F.filter(idx, lambda i: _kind(kinds, i, "time"))
-    cands = F.filter(F.transform(times, candidate), lambda c: c["ja"].isNotNull() & c["jd"].isNotNull())
-    init = F.struct(F.lit(0).alias("free"),
-                    F.array().cast("array<struct<i:int,ja:int,jd:int>>").alias("out"))
+    times = F.filter(idx, lambda i: _kind(kinds, i, TIME))
+    return F.filter(F.transform(times, candidate), lambda c: c["ja"].isNotNull() & c["jd"].isNotNull())
+
+
+def accepted(cands: Column) -> Column:
+    """The candidates that the greedy scan takes. Those whose time line lies behind the one before's detail line
+    begin anew, whatever was taken before; only within a run of overlapping ones does a choice depend on the last."""
+    clear = F.forall(F.sequence(F.lit(1), F.greatest(F.size(cands) - 1, F.lit(1))),
+                     lambda k: F.coalesce(F.get(cands, k)["i"] > F.get(cands, k - 1)["jd"], F.lit(True)))
     folded = F.aggregate(
-        cands, init,
-        lambda acc, c: F.when(c["i"] >= acc["free"],
-                              F.struct((c["jd"] + 1).alias("free"),
-                                       F.concat(acc["out"], F.array(c)).alias("out")))
-        .otherwise(acc))
-    return folded["out"]
+        cands, F.struct(F.lit(0).alias("free"), F.slice(cands, 1, 0).alias("out")),
+        lambda acc, c: F.when(c["i"] >= acc["free"], F.struct((c["jd"] + 1).alias("free"), F.array_append(acc["out"], c).alias("out")))
+        .otherwise(acc))["out"]
+    return F.when(clear, cands).otherwise(folded)
 
 
 def digest_extract(mails: DataFrame, html_col: str = "html", id_col: str = "source_msg_id") -> DataFrame:
@@ -105,12 +121,12 @@ def digest_rows(mails: DataFrame, html_col: str = "html", id_col: str = "source_
     m = fence(m.withColumn("kinds", line_kinds(F.col("lines"))))
     idx = _indices(F.col("kinds"))
     kinds = F.col("kinds")
-    m = fence(m.withColumn("date_i", _first_index_or_null(idx, lambda i: _kind(kinds, i, "date"))))
+    m = fence(m.withColumn("date_i", _first_index_or_null(idx, lambda i: _kind(kinds, i, DATE))))
     m = m.filter(F.col("date_i").isNotNull())
     m = m.withColumn("avail_i", _first_index_or_null(
-        idx, lambda i: (i < F.col("date_i")) & _kind(kinds, i, "avail")))
+        idx, lambda i: (i < F.col("date_i")) & _kind(kinds, i, AVAIL)))
     m = fence(m.withColumn("points_i", _first_index_or_null(
-        idx, lambda i: (i > F.col("avail_i")) & (i < F.col("date_i")) & _kind(kinds, i, "points"))))
+        idx, lambda i: (i > F.col("avail_i")) & (i < F.col("date_i")) & _kind(kinds, i, POINTS))))
     at = lambda c: F.element_at(F.col("lines"), F.col(c) + 1)
     date_line = at("date_i")
     m = m.withColumn("h", F.struct(
@@ -119,8 +135,9 @@ def digest_rows(mails: DataFrame, html_col: str = "html", id_col: str = "source_
         F.concat_ws("-", F.regexp_extract(date_line, K.RE_DATE, 1), F.regexp_extract(date_line, K.RE_DATE, 2),
                     F.regexp_extract(date_line, K.RE_DATE, 3)).alias("date_iso")))
     m = fence(m)
+    m = fence(m.select("source_msg_id", "h", "lines", candidates(F.col("kinds")).alias("cands")))
     lines = F.col("lines")
-    texts = F.transform(digest_triples(F.col("kinds")), lambda x: F.struct(
+    texts = F.transform(accepted(F.col("cands")), lambda x: F.struct(
         F.element_at(lines, x["i"] + 1).alias("time"), F.element_at(lines, x["ja"] + 1).alias("amount"),
         F.element_at(lines, x["jd"] + 1).alias("detail")))
     m = fence(m.select("source_msg_id", "h", texts.alias("texts")))
@@ -254,8 +271,8 @@ def _route_match(rule: str) -> Column:
     raise ValueError(f"unknown route rule {rule!r}")
 
 
-def mail_route(mails: DataFrame, routes=DEFAULT_ROUTES) -> DataFrame:
-    """First matching configured parser per mail.
+def mail_route(mails: DataFrame, routes=DEFAULT_ROUTES, keep: list[str] | None = None) -> DataFrame:
+    """First matching configured parser per mail (C1, C3, W7), with the columns in ``keep``.
 
     The configured routes compile into one ordered CASE expression, so the
     first match wins without a join or a window: a map-only projection.
@@ -268,7 +285,27 @@ def mail_route(mails: DataFrame, routes=DEFAULT_ROUTES) -> DataFrame:
         out = F.when(m, F.lit(r["output"])) if out is None else out.when(m, F.lit(r["output"]))
         name = F.when(m, F.lit(nm)) if name is None else name.when(m, F.lit(nm))
     return mails.select("uid", "msg_id", mail_type("sender", "subject").alias("email_type"),
-                        card.alias("parser_card_type"), out.alias("parser_output"), name.alias("parser_name"))
+                        card.alias("parser_card_type"), out.alias("parser_output"), name.alias("parser_name"), *(keep or []))
+
+
+def mail_outcomes(mails: DataFrame, ai_results: DataFrame, html_col: str = "html") -> DataFrame:
+    """Routing, extraction and outcome of every mail in one pass (C1, C4, C5): uid, msg_id, email_type, status, error.
+
+    For the built-in routes: the number of transactions is a property of the mail's own lines, so digests are neither
+    set apart nor joined back, and nothing is exploded. ``ai_results`` as in :func:`mail_status`.
+    """
+    routed = mail_route(mails.select("uid", "msg_id", "sender", "subject", html_col), DEFAULT_ROUTES, keep=[html_col])
+    digest = F.col("parser_output") == "transactions"
+    m = fence(routed.withColumn("lines", F.when(digest, html_to_lines(F.col(html_col)))).drop(html_col))
+    m = fence(m.withColumn("kinds", line_kinds(F.col("lines"))))
+    idx, kinds, lines = _indices(F.col("kinds")), F.col("kinds"), F.col("lines")
+    date_line = F.element_at(lines, _first_index_or_null(idx, lambda i: _kind(kinds, i, DATE)) + 1)
+    date = F.concat_ws("-", *[F.regexp_extract(date_line, K.RE_DATE, g) for g in (1, 2, 3)])
+    m = fence(m.withColumns({"date": F.when(date_line.isNotNull(), date), "cands": candidates(kinds)}).drop("kinds"))
+    valid = lambda x: F.concat_ws(" ", "date", F.regexp_extract(F.element_at(lines, x["i"] + 1), K.RE_TIME, 1)).try_cast("timestamp_ntz").isNotNull()
+    n = F.when(F.col("date").isNotNull(), F.size(F.filter(accepted(F.col("cands")), valid)))
+    counted = m.withColumn("n", n.cast("bigint")).drop("lines", "date", "cands")
+    return _outcome(counted.join(ai_results, "uid", "left"))
 
 
 def mail_status(routed: DataFrame, txn_counts: DataFrame, ai_results: DataFrame) -> DataFrame:
@@ -278,7 +315,10 @@ def mail_status(routed: DataFrame, txn_counts: DataFrame, ai_results: DataFrame)
     says whether the alert produced a record. A digest with zero rows is an
     error; a mail no parser claims is skipped.
     """
-    j = routed.join(txn_counts, "uid", "left").join(ai_results, "uid", "left")
+    return _outcome(routed.join(txn_counts, "uid", "left").join(ai_results, "uid", "left"))
+
+
+def _outcome(j: DataFrame) -> DataFrame:
     out = F.col("parser_output")
     status = (F.when(out.isNull(), F.lit("skipped"))
               .when(out == "transactions", F.when(F.coalesce(F.col("n"), F.lit(0)) > 0, "parsed").otherwise("error"))

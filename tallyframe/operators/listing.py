@@ -90,7 +90,7 @@ def deposit_list(deposits: DataFrame, *, amount: float | None = None, since_days
         d = d.filter(F.col("txn_time") >= since)
     return (d.orderBy(F.col("txn_time").desc(), F.col("id").desc()).limit(limit)
             .select("id", "source_msg_id", "card_last4", "txn_time",
-                    F.col("amount").cast("double").alias("amount"), "kind", "payer", "note"))
+                    F.col("amount").cast("double").alias("amount"), "kind", "payer", "note", "raw_text"))
 
 
 def pending_count(df: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import billing_period, epoch_micros
-from ..session import ship_package
+from ..session import ensure_checkpoint_dir, ship_package
 
 PAIR_KEY = ["card_last4", "merchant_key", "amt_key"]
 
@@ -211,6 +211,31 @@ def _stack_sweep(group_columns, last):
     return run
 
 
+FAN = 256        # chunks of a node of the time tree, and nodes of its top
+SALTS = 16       # places in which a node's summary meets the refunds that ask it
+ASKS = 1 << 16   # refunds that one task answers from one chunk
+
+
+def _latest(nodes: Column, covers: Column, before: Column | None = None) -> Column:
+    """The last node, of those sorted in ``nodes``, with an expense that covers the amount (null if there is none)."""
+    hits = F.filter(nodes, lambda n: (n["top"] >= covers) & (F.lit(True) if before is None else n["node"] < before))
+    return F.when(F.size(hits) > 0, F.element_at(hits, -1)["node"])
+
+
+def _summaries(tops: DataFrame, node: str) -> DataFrame:
+    """One row for each node above: its children with their largest expenses, in order of time, and its own largest."""
+    return tops.groupBy("card_last4", "merchant_key", F.floor(F.col(node) / FAN).alias("above")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(node).alias("node"), "top"))).alias("nodes"), F.max("top").alias("top"))
+
+
+def _ask(asks: DataFrame, summaries: DataFrame, above: Column) -> DataFrame:
+    """Refunds with the children of the node each of them asks; a node may be asked by a third of all refunds."""
+    copies = summaries.select("card_last4", "merchant_key", "above", "nodes",
+                              F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    asks = asks.withColumns({"above": above, "salt": F.pmod("refund_id", F.lit(SALTS)).cast("int")})
+    return asks.join(copies, ["card_last4", "merchant_key", "above", "salt"])
+
+
 def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float = 10.0,
                      chunk_days: int = 30) -> DataFrame:
     """Cross-period (expense, later refund) merge suggestions.
@@ -220,15 +245,19 @@ def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float =
     the refund (ties: larger id). The pick comes first; the result is kept only
     when the two raw billing periods differ. An expense may serve many refunds.
 
-    Plan (exact, one scan, two exchanges, no join, no pair emission): expenses
+    Plan (exact, one scan of the ledger, no pair emission): expenses
     and qualifying refunds are swept per (card, merchant, time chunk) with a
-    monotonic stack (``_stack_sweep``), so a hot (card, merchant) spans as many
-    tasks as it has chunks. What a chunk leaves over (open refunds, and the
-    expenses that can still answer a later one) is swept again per (card,
-    merchant); answered refunds pass through, spread by their id. Chunks are
-    fixed time buckets, so retried tasks see the same ones.
+    monotonic stack (``_stack_sweep``). What a chunk leaves over is its open refunds, and the
+    expenses that can still answer a later one. Time is a tree: ``FAN`` chunks make a node, ``FAN`` nodes the
+    whole of it, and a node's summary is the largest expense of each child. An open refund asks its node for the
+    latest earlier chunk that can answer it, failing that the top for the latest earlier node, and that one for its
+    latest chunk; there the chunk's stack answers it in a second sweep. So no task ever holds a
+    (card, merchant): first a chunk's rows, then a summary of ``FAN`` entries, last a chunk's stack with up to
+    ``ASKS`` refunds. Chunks are fixed time buckets, so retried tasks see the same ones; what the first sweep leaves
+    is cut from its lineage in the shared folder.
     """
     ship_package(ledger.sparkSession)
+    ensure_checkpoint_dir(ledger.sparkSession)
     live = ledger.filter(~F.col("voided") & F.col("card_last4").isNotNull() & F.col("merchant_key").isNotNull())
     cents = (F.col("amount") * 100).cast("bigint")
     expense = F.col("direction") == "expense"
@@ -240,13 +269,30 @@ def merge_candidates(ledger: DataFrame, start_day: int = 1, min_refund: float =
         *[F.when(expense, c).alias(n) for c, n in ((F.col("id"), "expense_id"), (cents, "expense_x"), (micros, "expense_t"))])
     t = F.coalesce("refund_t", "expense_t")
     order = [t, F.coalesce(F.col("kind") == "U", F.lit(False)), F.coalesce("refund_id", "expense_id")]
-    u = u.withColumn("chunk", F.floor(t / F.lit(int(chunk_days) * 86_400_000_000)))
+    # counted from the middle of the tree, so that all chunks of the calendar lie in it
+    chunk = F.floor(t / F.lit(int(chunk_days) * 86_400_000_000)) + F.lit(FAN * FAN // 2)
     by = ["card_last4", "merchant_key", "chunk"]
-    first = u.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(_stack_sweep(by, False), SWEEP_SCHEMA)
-    by = ["card_last4", "merchant_key", "spread"]
-    spread = F.when(F.col("kind") == "R", F.pmod("refund_id", F.lit(1024))).otherwise(F.lit(-1))
-    second = first.withColumn("spread", spread).repartition(*by)
-    picks = second.sortWithinPartitions(*by, *order).mapInArrow(_stack_sweep(by, True), SWEEP_SCHEMA)
+    first = (u.withColumn("chunk", chunk).repartition(*by).sortWithinPartitions(*by, *order)
+             .mapInArrow(_stack_sweep(by, False), SWEEP_SCHEMA).checkpoint())
+    left = first.filter("kind = 'S'").withColumn("chunk", chunk)
+    asks = first.filter("kind = 'U'").select("card_last4", "merchant_key", "refund_id", "refund_x", "refund_t", chunk.alias("own"))
+    nodes = _summaries(left.groupBy("card_last4", "merchant_key", "chunk").agg(F.max("expense_x").alias("top")), "chunk")
+    top = _summaries(nodes.withColumnRenamed("above", "at"), "at")
+    covers, own_node = F.abs(F.col("refund_x")), F.floor(F.col("own") / FAN)
+    columns = asks.columns
+    near = _ask(asks, nodes, own_node).select(*columns, _latest(F.col("nodes"), covers, F.col("own")).alias("chunk"))
+    near = near.filter(F.col("chunk").isNotNull())
+    far = asks.join(near.select("refund_id"), "refund_id", "left_anti")
+    far = _ask(far, top, F.floor(own_node / FAN)).select(*columns, _latest(F.col("nodes"), covers, own_node).alias("node"))
+    far = _ask(far.filter(F.col("node").isNotNull()), nodes, F.col("node")).select(*columns, _latest(F.col("nodes"), covers).alias("chunk"))
+    placed = near.unionByName(far)
+    tasks = placed.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("tasks"))
+    stacks = left.join(tasks, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    placed = placed.join(tasks, by).withColumn("part", F.pmod("refund_id", "tasks").cast("int")).drop("tasks", "own")
+    second = stacks.unionByName(placed.withColumn("kind", F.lit("U")), allowMissingColumns=True)
+    by = [*by, "part"]
+    answered = second.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(_stack_sweep(by, True), SWEEP_SCHEMA)
+    picks = first.filter("kind = 'R'").unionByName(answered)
     when = lambda c: F.timestamp_add("MICROSECOND", F.col(c), F.lit("1970-01-01").cast("timestamp_ntz"))
     amount = lambda c: (F.col(c) / 100).cast("decimal(18,2)")
     out = picks.select("merchant_key", "expense_id", amount("expense_x").alias("expense_amount"),

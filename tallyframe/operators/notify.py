@@ -1,14 +1,13 @@
 """Notification queue and digest.
 
 Selection is a filter plus a left join to the advice table. The digest is
-returned as lines (one row per line with its sort key) instead of one text per
-card, so no card's rows are ever gathered into one value; the caller's sender
-concatenates the lines of one message. "Advice printed once" is a global
+returned as lines (one row per line with its sort key), as a message in order, or as texts of
+bounded length per card (:func:`digest_text`). "Advice printed once" is a global
 first-occurrence, computed as a ``min_by`` aggregate per advice key.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -99,6 +98,34 @@ def digest_message(queue: DataFrame, name: str = "tallyframe") -> DataFrame:
                        F.asc_nulls_first("txn_time"), F.asc_nulls_first("id"), "sub")
 
 
+MESSAGE_CHARS = 4000
+
+
+def digest_text(queue: DataFrame, most: int = MESSAGE_CHARS) -> DataFrame:
+    """One text per card (D14): (card_type, card_last4, part, n_lines, text), lines in message order under a heading.
+
+    A text ends with the line that reaches ``most`` characters; what follows is the card's next part. Where a line
+    falls is known from the characters before it: those of its day, and of the card's earlier days, so neither a
+    window nor a text ever holds a whole card that is large.
+    """
+    card = ["card_type", "card_last4"]
+    lines = notify_digest(queue).withColumns({"day": F.to_date("txn_time"), "chars": F.char_length("line") + 1})
+    inside = Window.partitionBy(*card, "day").orderBy("txn_time", "id", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("before", F.coalesce(F.sum("chars").over(inside), F.lit(0)))
+    earlier = Window.partitionBy(*card).orderBy(F.asc_nulls_first("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = lines.groupBy(*card, "day").agg(F.sum("chars").alias("chars")).select(
+        F.col("card_type").alias("of_type"), F.col("card_last4").alias("of_card"), F.col("day").alias("of_day"),
+        F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("earlier"))
+    same = (F.col("card_type").eqNullSafe(F.col("of_type")) & F.col("card_last4").eqNullSafe(F.col("of_card"))
+            & F.col("day").eqNullSafe(F.col("of_day")))
+    parts = lines.join(days, same).withColumn("part", F.floor((F.col("earlier") + F.col("before")) / most).cast("int"))
+    kind = F.when(F.col("card_type") == "credit", K.CARD_LABELS["credit"]).otherwise(K.CARD_LABELS["debit"])
+    texts = parts.groupBy(*card, "part").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY txn_time, id, sub)").alias("body"))
+    heading = F.concat(kind, F.coalesce("card_last4", F.lit("")))
+    return texts.select(*card, "part", "n_lines", F.concat(heading, F.lit("\n"), "body").alias("text")).orderBy(*card, "part")
+
+
 def digest_summary(queue: DataFrame) -> DataFrame:
     """Header figures of one digest (D14): rows in the message and rows needing confirmation."""
     return queue.agg(F.count(F.lit(1)).alias("n_rows"),

@@ -77,6 +77,19 @@ def annual_matrix(df: DataFrame, start_day: int = 1, annual_from: str = "2026")
             .orderBy(F.desc("y"), "c"))
 
 
+def spend_rollup(df: DataFrame, start_day: int = 1) -> DataFrame:
+    """Spend of every year, month and category, of every year and month, of every year, and of all (D3, D4 and the
+    total) as grouping sets of one aggregation over one scan.
+
+    ``level``: 0 a cell, 1 a month, 3 a year, 7 the total; columns below a row's level are null.
+    """
+    rows = spend_rows(df).select(attribution_month("txn_time", start_day).alias("m"),
+                                 F.coalesce(F.col("category"), F.lit(K.UNCAT)).alias("c"), "amount")
+    cells = rows.rollup(F.substring("m", 1, 4).alias("y"), "m", "c").agg(
+        F.grouping_id().cast("int").alias("level"), money(F.sum("amount")).alias("spend"), F.count(F.lit(1)).alias("n"))
+    return cells.orderBy(F.desc_nulls_last("y"), F.desc_nulls_last("m"), F.asc_nulls_last("c"))
+
+
 def period_list(df: DataFrame, start_day: int = 1) -> DataFrame:
     """Distinct raw billing periods, voided rows and overrides included (D6, Q1), newest first."""
     return df.select(billing_period("txn_time", start_day).alias("m")).distinct().orderBy(F.desc("m"))

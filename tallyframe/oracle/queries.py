@@ -186,7 +186,7 @@ ORACLE["ledger_search"] = page(
     "ledger_e", "NOT voided AND translate(merchant_raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
     "'abcdefghijklmnopqrstuvwxyz') LIKE '%宝-shop_%'")
 
-DEP_COLS = "id, source_msg_id, card_last4, txn_time, CAST(amount AS DOUBLE) AS amount, kind, payer, note"
+DEP_COLS = "id, source_msg_id, card_last4, txn_time, CAST(amount AS DOUBLE) AS amount, kind, payer, note, raw_text"
 ORACLE["deposit_list"] = with_views(["deposits_e"], f"""
 SELECT {DEP_COLS} FROM deposits_e
 WHERE txn_time >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY
@@ -312,7 +312,8 @@ SELECT merchant_key, n,
 FROM g""")
 
 ORACLE["received_local"] = with_views(["mails_e"], """
-SELECT uid, received + INTERVAL 8 HOUR AS received_local FROM mails_e""")
+SELECT uid, CASE WHEN uid % 10 <> 7 THEN received + INTERVAL 8 HOUR ELSE TIMESTAMP '2024-01-31 00:00:00' END AS received_local
+FROM mails_e""")
 
 # ---- mail sources ----------------------------------------------------------------
 
@@ -571,7 +572,8 @@ FROM total WHERE open > 0""")
 ORACLE["ledger_after_notify"] = with_views(["ledger_e", "suggestions_e"], f"""
 WITH q AS ({QUEUE_SQL})
 SELECT l.id, CASE WHEN q.id IS NOT NULL THEN 'sent' ELSE l.notify_status END AS notify_status,
-  CASE WHEN q.id IS NOT NULL THEN TIMESTAMP '2024-01-31 00:00:00' ELSE l.notified_at END AS notified_at
+  CASE WHEN q.id IS NOT NULL THEN TIMESTAMP '2024-01-31 00:00:00' ELSE l.notified_at END AS notified_at,
+  CASE WHEN q.id IS NOT NULL THEN 'mail' END AS notify_channel
 FROM ledger_e l LEFT JOIN q ON q.id = l.id""")
 
 ORACLE["freshness"] = with_views(["ledger_e", "deposits_e", "mails_typed", "categories_v", "knowledge_v"], """
@@ -719,24 +721,66 @@ SELECT key, name,
 FROM j""")
 
 
-ORACLE["command_table"] = with_views(["ledger_e"], """
-WITH cand AS (SELECT * FROM ledger_e WHERE direction = 'expense' AND id % 7 = 0),
-good AS (SELECT * FROM cand WHERE NOT voided AND id % 11 <> 0),
+ORACLE["command_table"] = with_views(["ledger_e"], f"""
+WITH asked AS (SELECT * FROM ledger_e WHERE direction = 'expense' AND id % 7 = 0),
+good AS (SELECT * FROM asked WHERE NOT voided AND id % 11 <> 0),
+mg AS (
+  SELECT g.id, n.id AS other, 10 + n.amount AS net, least(g.txn_time, n.txn_time) AS txn_time,
+    CASE WHEN n.txn_time < g.txn_time THEN n.card_last4 ELSE g.card_last4 END AS card_last4,
+    CASE WHEN n.txn_time < g.txn_time THEN n.merchant_key ELSE g.merchant_key END AS merchant_key,
+    ('0x' || substr(md5('merge:m' || g.id), 1, 15))::BIGINT AS into_id
+  FROM good g JOIN ledger_e n ON n.id = g.id + 1 AND NOT n.voided WHERE g.id % 14 = 0),
 kids AS (
-  SELECT g.id AS parent, p.pos, ('0x' || substr(md5('split:s' || g.id || ':' || p.pos), 1, 15))::BIGINT AS id,
-         CASE WHEN p.pos = 0 THEN 10.0 ELSE CAST(g.amount AS DOUBLE) - 10 END AS amount
+  SELECT g.*, p.pos, ('0x' || substr(md5('split:s' || g.id || ':' || p.pos), 1, 15))::BIGINT AS kid,
+         CASE WHEN p.pos = 0 THEN 10 ELSE g.amount - 10 END AS part
   FROM good g, (VALUES (0), (1)) p(pos)),
-base AS (
-  SELECT id, CAST(amount AS DOUBLE) AS amount,
-    voided OR id IN (SELECT id FROM good) OR id IN (SELECT id FROM cand WHERE id % 11 = 0) AS voided, category,
-    CASE WHEN id % 5 = 0 THEN 'confirmed' ELSE status END AS status,
-    CASE WHEN id % 5 = 0 AND id IN (SELECT id FROM cand) THEN 'after'
-         WHEN id IN (SELECT id FROM good) THEN coalesce(note, '') || ' [已拆分]' ELSE note END AS note
-  FROM ledger_e)
-SELECT * FROM base
-UNION ALL
-SELECT id, round(amount, 2), false, CASE WHEN pos = 0 AND parent % 3 = 0 THEN 'cat2' END,
-       CASE WHEN pos = 0 AND parent % 3 = 0 THEN 'confirmed' ELSE 'pending' END, '拆自 #' || parent FROM kids""")
+grand AS (
+  SELECT k.*, p.pos AS pos2, ('0x' || substr(md5('split:u' || k.id || ':' || p.pos), 1, 15))::BIGINT AS grandkid,
+         CASE WHEN p.pos = 0 THEN 5 ELSE k.amount - 15 END AS part2
+  FROM kids k, (VALUES (0), (1)) p(pos) WHERE k.pos = 1 AND k.id % 2 = 1),
+merged_note AS (SELECT CASE WHEN net = 0 THEN '{K.NOTE_OFFSET}' ELSE '{K.NOTE_MERGED}' END AS suffix, * FROM mg),
+all_rows AS (
+  SELECT l.id, l.card_last4, l.merchant_key, l.txn_time, l.direction, l.amount,
+    l.voided OR g.id IS NOT NULL OR (c.id IS NOT NULL AND l.id % 11 = 0) OR m.id IS NOT NULL AS voided,
+    CASE WHEN l.id % 101 = 0 THEN 'c70' ELSE l.category END AS category,
+    CASE WHEN l.id % 5 = 0 OR l.id % 101 = 0 THEN 'confirmed' ELSE l.status END AS status,
+    CASE WHEN c.id IS NOT NULL AND l.id % 5 = 0 THEN 'after'
+         WHEN g.id IS NOT NULL THEN coalesce(l.note, '') || '{K.NOTE_SPLIT}'
+         WHEN m.id IS NOT NULL THEN coalesce(l.note, '') || m.suffix ELSE l.note END AS note,
+    CASE WHEN m.net <> 0 THEN m.into_id END AS merged_into
+  FROM ledger_e l LEFT JOIN asked c ON c.id = l.id LEFT JOIN good g ON g.id = l.id LEFT JOIN merged_note m ON m.other = l.id
+  UNION ALL
+  SELECT k.kid, k.card_last4, k.merchant_key, k.txn_time, k.direction, k.part,
+    (k.pos = 1 AND k.id % 2 = 1) OR (k.pos = 0 AND m.id IS NOT NULL),
+    CASE WHEN k.pos = 0 AND k.id % 3 = 0 THEN 'cat2' END, CASE WHEN k.pos = 0 AND k.id % 3 = 0 THEN 'confirmed' ELSE 'pending' END,
+    '{K.NOTE_SPLIT_FROM}' || k.id || CASE WHEN k.pos = 1 AND k.id % 2 = 1 THEN '{K.NOTE_SPLIT}'
+                                          WHEN k.pos = 0 AND m.id IS NOT NULL THEN m.suffix ELSE '' END,
+    CASE WHEN k.pos = 0 AND m.net <> 0 THEN m.into_id END
+  FROM kids k LEFT JOIN merged_note m ON m.id = k.id
+  UNION ALL
+  SELECT grandkid, card_last4, merchant_key, txn_time, direction, part2, false, NULL, 'pending', '{K.NOTE_SPLIT_FROM}' || kid, NULL FROM grand
+  UNION ALL
+  SELECT into_id, card_last4, merchant_key, txn_time, CASE WHEN net < 0 THEN 'refund' ELSE 'expense' END, net, false, NULL, 'pending', NULL, NULL
+  FROM mg WHERE net <> 0),""" + PAIRS_SQL.format(view="all_rows") + """
+SELECT r.id, CAST(r.amount AS DOUBLE) AS amount, r.voided OR a.pair_id IS NOT NULL AS voided, r.category, r.status, r.note,
+  r.merged_into, a.pair_id AS offset_of
+FROM all_rows r LEFT JOIN ann a ON a.id = r.id""")
+
+ORACLE["merge_overlap"] = with_views(["ledger_e"], """
+WITH r AS (
+  SELECT id // 4 AS four, max(CASE WHEN id % 4 = 0 AND NOT voided THEN amount END) AS r0, max(CASE WHEN id % 4 = 1 AND NOT voided THEN amount END) AS r1,
+    max(CASE WHEN id % 4 = 2 AND NOT voided THEN amount END) AS r2, max(CASE WHEN id % 4 = 3 AND NOT voided THEN amount END) AS r3,
+    count(*) FILTER (WHERE id % 4 IN (0, 1)) AS na, count(*) FILTER (WHERE id % 4 IN (1, 2)) AS nb, count(*) FILTER (WHERE id % 4 IN (2, 3)) AS nc
+  FROM ledger_e GROUP BY 1),
+a AS (SELECT *, r0 IS NOT NULL AND r1 IS NOT NULL AS ok_a FROM r),
+b AS (SELECT *, NOT ok_a AND r1 IS NOT NULL AND r2 IS NOT NULL AS ok_b FROM a),
+c AS (SELECT *, NOT ok_b AND r2 IS NOT NULL AND r3 IS NOT NULL AS ok_c FROM b),
+res AS (
+  SELECT 'a' || four AS request_id, ok_a AS ok, CASE WHEN ok_a THEN r0 + r1 END AS net, (r0 IS NOT NULL)::INT + (r1 IS NOT NULL)::INT AS n FROM c WHERE na > 0
+  UNION ALL SELECT 'b' || four, ok_b, CASE WHEN ok_b THEN r1 + r2 END, (r1 IS NOT NULL AND NOT ok_a)::INT + (r2 IS NOT NULL)::INT FROM c WHERE nb > 0
+  UNION ALL SELECT 'c' || four, ok_c, CASE WHEN ok_c THEN r2 + r3 END, (r2 IS NOT NULL AND NOT ok_b)::INT + (r3 IS NOT NULL)::INT FROM c WHERE nc > 0)
+SELECT request_id, ok, CASE WHEN NOT ok THEN 'need at least two live transactions' END AS error, ok AND net = 0 AS offset,
+  CAST(net AS DOUBLE) AS net, CAST(n AS BIGINT) AS count FROM res""")
 
 ORACLE["alert_deposits"] = with_views(["alert_kept"], """
 SELECT source_msg_id, card_last4, CAST(strptime(txn_time, '%Y-%m-%d %H:%M') AS TIMESTAMP) AS txn_time,
@@ -752,5 +796,97 @@ ORACLE["category_update"] = with_views(["ledger_e"], """
 SELECT CASE WHEN category = 'cat1' THEN '餐饮' ELSE category END AS category, count(*) AS n FROM ledger_e GROUP BY 1""")
 ORACLE["edit_results"] = with_views(["ledger_o", "commands_o"], """
 SELECT c.txn_id, c.seq, c.op, l.id IS NOT NULL AS ok, CASE WHEN l.id IS NULL THEN 'not found' END AS error
-FROM commands_o c LEFT JOIN ledger_o l ON l.id = c.txn_id AND l.id % 2 = 1""")
+FROM commands_o c LEFT JOIN ledger_o l ON l.id = c.txn_id""")
 ORACLE["mail_scan"] = with_views(["mails_e"], f"SELECT *, {ROUTER_CASE} AS email_type FROM mails_e")
+
+# ---- JSON output: nulls are left out, times with milliseconds ---------------------------
+_json_fields = [
+    ("id", "id::VARCHAR"), ("card_last4", "to_json(card_last4)::VARCHAR"), ("card_type", "to_json(card_type)::VARCHAR"),
+    ("txn_time", """'"' || strftime(txn_time, '%Y-%m-%dT%H:%M:%S.%g') || '"'"""), ("amount", "amount::VARCHAR"),
+    *[(c, f"to_json({c})::VARCHAR") for c in ("direction", "merchant_raw", "merchant_key", "category", "status")],
+    ("voided", "voided::VARCHAR"), ("offset_of", "offset_of::VARCHAR"), ("merged_into", "merged_into::VARCHAR"),
+    ("effective_month", "to_json(effective_month)::VARCHAR"), ("note", "to_json(note)::VARCHAR")]
+_json_parts = ", ".join(f"""CASE WHEN {c} IS NOT NULL THEN '"{c}":' || {v} END""" for c, v in _json_fields)
+ORACLE["ledger_json_export"] = with_views(["ledger_e"], f"""
+WITH l AS (SELECT {LIST_COLS} FROM ledger_e)
+SELECT '{{' || array_to_string(list_filter([{_json_parts}], lambda x: x IS NOT NULL), ',') || '}}' AS json FROM l""")
+
+ORACLE["spend_rollup"] = with_views(["ledger_o"], f"""
+WITH r AS (SELECT {month_expr(15)} AS m, substr({month_expr(15)}, 1, 4) AS y, coalesce(category, '__uncat__') AS c, amount
+           FROM ledger_o WHERE NOT voided AND direction IN {SPEND})
+SELECT y, m, c, CAST(grouping(y, m, c) AS INTEGER) AS level, {money('sum(amount)')} AS spend, count(*) AS n
+FROM r GROUP BY ROLLUP (y, m, c)""")
+
+ORACLE["digest_text"] = with_views(["ledger_e", "suggestions_e"], DIGEST_SQL + """,
+cum AS (
+  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY card_type, card_last4 ORDER BY txn_time, id, sub
+                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM digest_lines),
+parts AS (SELECT *, CAST(floor(before / 4000) AS INTEGER) AS part FROM cum)
+SELECT card_type, card_last4, part, count(*) AS n_lines,
+  CASE WHEN card_type = 'credit' THEN '信用卡' ELSE '借记卡' END || card_last4 || chr(10) ||
+  string_agg(line, chr(10) ORDER BY txn_time, id, sub) AS text
+FROM parts GROUP BY 1, 2, 3""")
+
+ORACLE["txn_batch_stats"] = with_views(["ledger_e"], """
+WITH b AS (
+  SELECT fingerprint FROM ledger_e WHERE txn_time >= TIMESTAMP '2024-01-15 00:00:00'
+  UNION ALL SELECT fingerprint FROM ledger_e WHERE txn_time >= TIMESTAMP '2024-01-25 00:00:00'),
+f AS (SELECT DISTINCT fingerprint FROM b
+      WHERE fingerprint NOT IN (SELECT fingerprint FROM ledger_e WHERE txn_time < TIMESTAMP '2024-01-20 00:00:00'))
+SELECT (SELECT count(*) FROM f) AS inserted, (SELECT count(*) FROM f) AS pending, (SELECT count(*) FROM b) - (SELECT count(*) FROM f) AS dup""")
+
+WIDE_SQL = """
+m AS (SELECT DISTINCT 'u ' || user_id || ' ' || event_type AS merchant_key, user_id, user_id // 8 AS batch_id FROM events),
+a AS (
+  SELECT batch_id, CASE user_id % 4 WHEN 0 THEN merchant_key WHEN 1 THEN merchant_key || ' (2笔)' WHEN 2 THEN 'u ' || user_id
+                        ELSE 'x' || merchant_key END AS adv_key,
+    user_id * 10 + length(merchant_key) AS pos, 'cat' || user_id % 3 AS category FROM m)"""
+ORACLE["advice_prefix_wide"] = f"""
+WITH {WIDE_SQL},
+c AS (
+  SELECT m.merchant_key, a.adv_key, a.category, row_number() OVER (PARTITION BY m.merchant_key ORDER BY a.adv_key <> m.merchant_key, a.pos) AS r
+  FROM m JOIN a ON a.batch_id = m.batch_id AND (starts_with(a.adv_key, m.merchant_key) OR starts_with(m.merchant_key, a.adv_key)))
+SELECT m.merchant_key, c.adv_key, c.category FROM m LEFT JOIN c ON c.merchant_key = m.merchant_key AND c.r = 1"""
+ORACLE["classification_batches"] = f"""
+WITH {WIDE_SQL} SELECT count(*) AS merchants, true AS each_once, true AS bounded FROM m"""
+ORACLE["sql_functions"] = with_views(["ledger_o"], f"""
+SELECT id, {period(15)} AS p15, {month_expr(15)} AS m, CAST(greatest(1, least(28, id % 40)) AS INTEGER) AS d, direction IN {SPEND} AS spend
+FROM ledger_o""")
+
+# ---- streams ---------------------------------------------------------------------
+STREAM_ROWS = """
+dx AS ({digest}), al AS ({alert}),
+every AS (
+  SELECT fingerprint, card_last4, 'credit' AS card_type, txn_time, amount, direction, merchant_key, channel FROM dx
+  UNION ALL SELECT fingerprint, card_last4, card_type, txn_time, amount, direction, merchant_key, channel FROM al),
+inserted AS (SELECT DISTINCT ON (fingerprint) *, fingerprint AS id, false AS voided FROM every)"""
+
+
+ORACLE["stream_ledger"] = "WITH " + STREAM_ROWS.format(digest=ORACLE["digest_extract"], alert=ORACLE["alert_route"]) + "," + \
+    PAIRS_SQL.format(view="inserted") + """
+SELECT i.fingerprint, i.card_last4, i.card_type, i.txn_time, i.amount, i.direction, i.merchant_key, i.channel, 'pending' AS status,
+  a.pair_id IS NOT NULL AS voided, a.pair_id AS pair_fingerprint
+FROM inserted i LEFT JOIN ann a ON a.id = i.id"""
+ORACLE["stream_deposits"] = ORACLE["alert_deposits"]
+_digest_mails = """SELECT DISTINCT 'g' || CAST(user_id AS VARCHAR) || '-' || strftime(digest_date, '%Y%m%d') || '-' || CAST(part AS VARCHAR) AS msg_id,
+  digest_date FROM digest_src"""
+STREAM_LOG = f"""
+dm AS ({_digest_mails}),
+log AS (
+  SELECT msg_id, 'credit_daily' AS email_type, 'parsed' AS status FROM dm
+  UNION ALL SELECT s.source_msg_id, 'debit_event', CASE WHEN k.source_msg_id IS NOT NULL THEN 'parsed' ELSE 'skipped' END
+  FROM alert_src s LEFT JOIN alert_kept k ON k.source_msg_id = s.source_msg_id WHERE k.error IS NULL)"""
+ORACLE["stream_mail_log"] = with_views(["digest_src", "alert_src", "alert_kept"], f"WITH {STREAM_LOG} SELECT * FROM log")
+ORACLE["run_totals"] = with_views(["digest_src", "alert_src", "alert_kept"], "WITH " + STREAM_LOG + "," + STREAM_ROWS.format(
+    digest=ORACLE["digest_extract"], alert=ORACLE["alert_route"]) + """,
+t AS (
+  SELECT 'inserted' AS total, count(*) AS n FROM inserted UNION ALL SELECT 'pending', count(*) FROM inserted
+  UNION ALL SELECT 'dup', (SELECT count(*) FROM every) - (SELECT count(*) FROM inserted)
+  UNION ALL SELECT 'income', count(*) FROM alert_kept WHERE error IS NULL AND type = 'income'
+  UNION ALL SELECT 'waiting', count(*) FROM alert_kept WHERE error IS NOT NULL
+  UNION ALL SELECT 'already_seen', count(*) FROM dm WHERE day(digest_date) <= 3
+  UNION ALL SELECT email_type || ':' || status, count(*) FROM log GROUP BY 1)
+SELECT * FROM t WHERE n > 0""")
+ORACLE["stream_pairs"] = ORACLE["refund_pairs"]
+ORACLE["stream_dedup"] = with_views(["mails_e"], "SELECT DISTINCT msg_id FROM mails_e")
+ORACLE["stream_incremental"] = ORACLE["incremental_scan"]

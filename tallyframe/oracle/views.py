@@ -276,6 +276,7 @@ FROM orders
 UNION ALL SELECT o_orderkey, o_orderkey * 3 + 1, 'set_category', '2-HIGH' FROM orders WHERE o_orderkey % 7 = 0
 UNION ALL SELECT o_orderkey, o_orderkey * 3 + 2, CASE WHEN o_orderkey % 2 = 0 THEN 'void' ELSE 'restore' END, NULL
 FROM orders WHERE o_orderkey % 11 = 0
+UNION ALL SELECT -o_orderkey - 1, o_orderkey * 3, 'void', NULL FROM orders WHERE o_orderkey % 13 = 0
 """)
 
 VIEWS["splits_e"] = (["ledger_e"], """

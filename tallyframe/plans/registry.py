@@ -58,6 +58,11 @@ def q_annual_matrix(spark, sf):
     return reports.annual_matrix(fx.ledger_o(spark, sf), start_day=1, annual_from="1998")
 
 
+@register("spend_rollup")
+def q_spend_rollup(spark, sf):
+    return reports.spend_rollup(fx.ledger_o(spark, sf), start_day=15)
+
+
 @register("period_list")
 def q_period_list(spark, sf):
     return reports.period_list(fx.ledger_o(spark, sf), start_day=15)
@@ -275,7 +280,9 @@ def q_amount_hint(spark, sf):
 @register("received_local")
 def q_received_local(spark, sf):
     m = fx.mails_e(spark, sf)
-    return m.select("uid", TX.received_local("received").alias("received_local"))
+    # every tenth mail has no time of receipt: the time of the batch stands in
+    received = F.when(F.col("uid") % 10 != 7, F.col("received"))
+    return m.select("uid", TX.received_local(received, F.lit(fx.AS_OF).cast("timestamp_ntz")).alias("received_local"))
 
 
 # ---- mail sources ----------------------------------------------------------------
@@ -356,14 +363,10 @@ def _mail_status(spark, sf):
     uid = F.conv(F.substring(F.md5("source_msg_id"), 1, 12), 16, 10).cast("bigint")
     digests = fx.digests_e(spark, sf).select(uid.alias("uid"), F.col("source_msg_id").alias("msg_id"), "sender", "subject", "html")
     mails = raw.unionByName(digests)
-    routed = extract.mail_route(mails)
-    bodies = mails.join(routed.filter("parser_output = 'transactions'").select("uid"), "uid", "left_semi")
-    counts = extract.digest_extract(bodies.select(F.col("uid").cast("string").alias("source_msg_id"), "html"))
-    counts = counts.groupBy(F.col("source_msg_id").cast("bigint").alias("uid")).agg(F.count(F.lit(1)).alias("n"))
     norm = extract.alert_normalise(fx.alerts_e(spark, sf))
     ai = norm.select(F.substring("source_msg_id", 2, 20).cast("bigint").alias("uid"),
                      F.col("error").isNull().alias("kept"))
-    return extract.mail_status(routed, counts, ai)
+    return extract.mail_outcomes(mails, ai)
 
 
 @register("mail_status")
@@ -430,6 +433,11 @@ def q_advice_prefix_join(spark, sf):
     return _pick_cols(_picked(spark, sf))
 
 
+@register("advice_prefix_wide")
+def q_advice_prefix_wide(spark, sf):
+    return ADV.advice_pick(fx.wide_merchants(spark, sf), fx.wide_advice(spark, sf)).select("merchant_key", "adv_key", "category")
+
+
 @register("advice_valid")
 def q_advice_valid(spark, sf):
     return _pick_cols(ADV.advice_valid(_picked(spark, sf), fx.categories_v(spark)))
@@ -494,6 +502,23 @@ def q_suggestion_invalid(spark, sf):
     return _suggestions(spark, sf)[1]
 
 
+@register("classification_batches")
+def q_classification_batches(spark, sf):
+    from ..operators.classify import classification_batches
+    m = fx.wide_merchants(spark, sf).select(F.lit("pending").alias("status"), F.lit(False).alias("voided"), "merchant_key")
+    sizes = classification_batches(m).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("merchant_key").alias("d"))
+    return sizes.agg(F.sum("n").alias("merchants"), (F.sum("d") == F.sum("n")).alias("each_once"), (F.max("n") <= 40).alias("bounded"))
+
+
+@register("sql_functions")
+def q_sql_functions(spark, sf):
+    from ..functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    lo = fx.ledger_o(spark, sf).select("id", "txn_time", "direction", "effective_month")
+    return spark.sql("SELECT id, billing_period(txn_time, 15) AS p15, attribution_month(effective_month, txn_time, 15) AS m, "
+                     "clamp_start_day(CAST(id % 40 AS STRING)) AS d, is_spend(direction) AS spend FROM {lo}", lo=lo)
+
+
 # ---- notify ----------------------------------------------------------------------
 
 @register("notify_queue")
@@ -513,11 +538,16 @@ def q_digest_message(spark, sf):
     return m.select("section", "card_type", "card_last4", "id", "sub", "line")
 
 
+@register("digest_text")
+def q_digest_text(spark, sf):
+    return NT.digest_text(NT.notify_queue(fx.ledger_e(spark, sf), fx.suggestions_e(spark, sf)))
+
+
 @register("ledger_after_notify")
 def q_ledger_after_notify(spark, sf):
     le = fx.ledger_e(spark, sf)
     sent = NT.notify_queue(le, fx.suggestions_e(spark, sf)).select("id")
-    return CMD.mark_notified(le, sent, fx.AS_OF).select("id", "notify_status", "notified_at")
+    return CMD.mark_notified(le, sent, fx.AS_OF, "mail").select("id", "notify_status", "notified_at", "notify_channel")
 
 
 @register("freshness")
@@ -550,6 +580,13 @@ def q_txn_insert_ignore(spark, sf):
     return ins.select("id", "fingerprint", "status", "category")
 
 
+@register("txn_batch_stats")
+def q_txn_batch_stats(spark, sf):
+    le = fx.ledger_e(spark, sf)
+    batch = _redelivered(le)
+    return ING.batch_stats(batch, ING.txn_insert_ignore(_cut(le, hi="2024-01-20 00:00:00"), batch))
+
+
 @register("deposit_insert_ignore")
 def q_deposit_insert_ignore(spark, sf):
     d = fx.deposits_e(spark, sf)
@@ -645,8 +682,14 @@ def q_offset_rejected(spark, sf):
 
 @register("command_table")
 def q_command_table(spark, sf):
-    out, _, _ = CMD.apply_command_table(fx.ledger_e(spark, sf), fx.command_table_e(spark, sf), repair=False)
-    return out.select("id", F.col("amount").cast("double").alias("amount"), "voided", "category", "status", "note")
+    out, _, _ = CMD.apply_command_table(fx.ledger_e(spark, sf), fx.command_table_e(spark, sf))
+    return out.select("id", F.col("amount").cast("double").alias("amount"), "voided", "category", "status", "note", "merged_into", "offset_of")
+
+
+@register("merge_overlap")
+def q_merge_overlap(spark, sf):
+    res, _, _ = CMD.merge_apply(fx.ledger_e(spark, sf), *fx.merge_overlaps_e(spark, sf))
+    return res.select("request_id", "ok", "error", "offset", "net", "count")
 
 
 @register("category_rename")
@@ -669,7 +712,7 @@ def q_category_update(spark, sf):
 
 @register("edit_results")
 def q_edit_results(spark, sf):
-    return CMD.edit_results(fx.ledger_o(spark, sf).filter("id % 2 = 1"), fx.commands_o(spark, sf))
+    return CMD.edit_results(fx.ledger_o(spark, sf), fx.commands_o(spark, sf))
 
 
 @register("category_delete")
@@ -677,3 +720,6 @@ def q_category_delete(spark, sf):
     keys = spark.createDataFrame([("k1",), ("k4",), ("k9",), ("kX",)], "key string")
     res, _, _, _ = CMD.category_delete(fx.ledger_e(spark, sf), fx.knowledge_v(spark), fx.categories_v(spark), keys)
     return res
+
+
+from . import streams  # noqa: E402,F401 - registers the stream queries

@@ -155,7 +155,7 @@ def test_alerts_reach_the_ledger_and_deposits(spark):
     ST.process_batch(spark, mails, 1, state, interpret=_interpret())  # re-delivered, and the waiting ones
     assert {r[0] for r in ST.current_ledger(spark, state).select("source_msg_id").collect()} == {"a1", "a3", "a4"}
     assert {r[0] for r in ST.current_deposits(spark, state).select("source_msg_id").collect()} == {"a0", "a5"}
-    totals = {r["total"]: r["n"] for r in ST.run_totals(spark, state, 1, mails).collect()}
+    totals = {r["total"]: r["n"] for r in ST.run_totals(spark, state, 1).collect()}
     assert totals == {"inserted": 1, "pending": 1, "income": 1, "debit_event:parsed": 2, "already_seen": 4}
 
 
@@ -165,11 +165,11 @@ def test_corrupt_state_stops_the_batch(spark):
     import pytest
     state = tempfile.mkdtemp(prefix="tf-corrupt-") + "/state"
     ST.process_batch(spark, _alert_mails(spark), 0, state, interpret=_interpret())
-    folder = f"{state}/rows/batch=0"
-    for name in os.listdir(folder):
-        if name.endswith(".parquet"):
-            with open(f"{folder}/{name}", "wb") as f:
-                f.write(b"not parquet")
+    for folder, _, names in os.walk(f"{state}/rows/batch=0"):
+        for name in names:
+            if name.endswith(".parquet"):
+                with open(f"{folder}/{name}", "wb") as f:
+                    f.write(b"not parquet")
     with pytest.raises(Exception, match="(?i)parquet|footer|magic|corrupt"):
         ST.process_batch(spark, _alert_mails(spark), 1, state, interpret=_interpret())
 
