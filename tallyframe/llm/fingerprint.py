@@ -6,13 +6,19 @@ sums are the fingerprint. Votes are counted without Python and without a row for
 shifted and masked into 16 words of four 16-bit lanes each, so that one long addition counts four bits;
 lanes cannot overflow, as a document is counted in runs of ``RUN`` terms before lanes are taken apart.
 
-Search (:func:`near_pairs`): fingerprints within ``radius`` bits of each other agree in all but ``radius``
-of n blocks, so there is a table for each choice of agreeing blocks, with these blocks moved to the front
-as its key; equal keys meet and are verified by the whole distance. n grows with the number of distinct
-fingerprints, so that keys stay nearly unique.
+Search (:func:`near_counts`, :func:`near_pairs`): fingerprints within ``radius`` bits of each other agree in all
+but ``radius`` of n blocks, so there is a table for each choice of agreeing blocks, with these blocks moved to the
+front as its key; equal keys meet and are verified by the whole distance. n grows with the number of distinct
+fingerprints, so that keys stay nearly unique. A key that many share, as a large family of near copies does, is cut
+into parts of about ``CAP`` fingerprints, packed in arrays; each fingerprint meets each part of its key, and what it
+finds there is counted inside the array, in the first table only in which a pair agrees. So nothing is sent for a
+pair that is not within the radius, and for counts nothing for any pair.
 
 Defined cases: null, empty and blank texts have no terms and the fingerprint of zeros; fewer words than
-a shingle are one term; equal texts have equal fingerprints, whatever the id.
+a shingle are one term; equal texts have equal fingerprints, whatever the id. A null id comes after all ids; rows
+equal in id and text are one row in the order of documents but as many in the result, each with the same next
+document; rows that share an id but not the text follow each other by the hash of the text. A single document is its
+own next. An empty table gives no rows. Other columns are not looked at.
 """
 from __future__ import annotations
 
@@ -30,6 +36,8 @@ SEEDS = 2
 RUN = 32767
 LANES = 0x0001000100010001
 SPLITS = 256
+RADIUS = 4
+CAP = 256
 
 
 def _terms(rows: DataFrame, key: str, text_col: str, shingle: int) -> DataFrame:
@@ -90,8 +98,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - distance(a, b) / F.lit(64.0 * SEEDS)
 
 
-def near_pairs(prints: DataFrame, radius: int, fp_col: str = "fingerprint") -> DataFrame:
-    """(a, b, bits): all pairs a < b of distinct fingerprints that differ in up to ``radius`` bits."""
+def _signed(word: int) -> int:
+    return word - (1 << 64) if word >> 63 else word
+
+
+def _mask(first: int, last: int) -> tuple[int, int]:
+    """The bits first .. last - 1 of a fingerprint, counted from its front, as two signed words."""
+    bits = sum(1 << (64 * SEEDS - 1 - i) for i in range(first, last))
+    return _signed(bits >> 64), _signed(bits & ((1 << 64) - 1))
+
+
+def _met(prints: DataFrame, radius: int, fp_col: str) -> DataFrame:
+    """(fp, near): for each fingerprint and each part of a key of one of its tables, the array of those others in the
+    part that are within the radius and agree in no earlier table."""
     distinct = prints.select(F.col(fp_col).alias("fp")).distinct()
     width = 64 * SEEDS
     need = max(8, distinct.count().bit_length() + 4)
@@ -99,13 +118,40 @@ def near_pairs(prints: DataFrame, radius: int, fp_col: str = "fingerprint") -> D
     edges = [width * i // n for i in range(n + 1)]
     # the bits as text: a block is a substring, a table's key is its blocks put together
     digits = F.concat(*[F.lpad(F.bin(_word(F.col("fp"), i)), 64, "0") for i in range(SEEDS)])
-    rows = distinct.withColumn("digits", digits)
-    keys = [F.concat(F.lit(f"{t}:"), *[F.substring("digits", edges[i] + 1, edges[i + 1] - edges[i]) for i in choice])
-            for t, choice in enumerate(combinations(range(n), n - radius))]
-    tables = rows.select("fp", F.explode(F.array(*keys)).alias("key"))
-    other = tables.select(F.col("fp").alias("b"), "key")
-    met = tables.withColumnRenamed("fp", "a").join(other, "key").where("a < b").select("a", "b").distinct()
-    return met.withColumn("bits", distance(F.col("a"), F.col("b"))).where(F.col("bits") <= radius)
+    rows = distinct.withColumns({"digits": digits, **{f"w{i}": _word(F.col("fp"), i) for i in range(SEEDS)}})
+    keys = []
+    for t, choice in enumerate(combinations(range(n), n - radius)):
+        # a pair agrees in an earlier table if it agrees in a block that this one passes over
+        passed = [_mask(edges[j], edges[j + 1]) for j in range(choice[-1] if choice else 0) if j not in choice]
+        masks = F.array(*[F.struct(F.lit(a).cast("long").alias("m0"), F.lit(b).cast("long").alias("m1")) for a, b in passed]) \
+            if passed else F.array().cast("array<struct<m0:bigint,m1:bigint>>")
+        text = F.concat(F.lit(f"{t}:"), *[F.substring("digits", edges[i] + 1, edges[i + 1] - edges[i]) for i in choice])
+        keys.append(F.struct(text.alias("key"), masks.alias("masks")))
+    tables = rows.select("fp", "w0", "w1", F.inline(F.array(*keys)))
+    shared = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    tables = tables.join(shared.select("key", F.ceil(F.col("n") / CAP).cast("int").alias("parts")), "key")
+    own = F.pmod(F.xxhash64("fp"), "parts").cast("int")
+    parts = tables.groupBy("key", own.alias("part")).agg(F.collect_list(F.struct("fp", "w0", "w1")).alias("others"))
+    asked = tables.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def close(o: Column) -> Column:
+        x0, x1 = F.col("w0").bitwiseXOR(o["w0"]), F.col("w1").bitwiseXOR(o["w1"])
+        apart = F.forall("masks", lambda m: (x0.bitwiseAND(m["m0"]) != 0) | (x1.bitwiseAND(m["m1"]) != 0))
+        return (F.bit_count(x0) + F.bit_count(x1) <= radius) & (o["fp"] != F.col("fp")) & apart
+
+    return asked.join(parts, ["key", "part"]).select("fp", F.filter("others", close).alias("near"))
+
+
+def near_pairs(prints: DataFrame, radius: int, fp_col: str = "fingerprint") -> DataFrame:
+    """(a, b, bits): all pairs a < b of distinct fingerprints that differ in up to ``radius`` bits."""
+    met = _met(prints, radius, fp_col).select(F.col("fp").alias("a"), F.explode("near.fp").alias("b")).where("a < b")
+    return met.withColumn("bits", distance(F.col("a"), F.col("b")))
+
+
+def near_counts(prints: DataFrame, radius: int, fp_col: str = "fingerprint") -> DataFrame:
+    """(fp, n): for every distinct fingerprint that has any, how many others differ in up to ``radius`` bits."""
+    found = _met(prints, radius, fp_col).select("fp", F.size("near").alias("n")).where("n > 0")
+    return found.groupBy("fp").agg(F.sum("n").alias("n"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,6 +217,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     next_prints = prints.select(F.col("row").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
     out = rows.select("row", "doc_id", "n_chars").join(order.select("row", "next"), "row")
     out = out.join(digests, "row").join(prints, "row", "left").join(edited_prints, "row", "left").join(next_prints, "next", "left")
+    blank = order.join(prints, "row", "left_anti").limit(1).select(F.lit("0" * 16 * SEEDS).alias("fingerprint"))
+    near = near_counts(prints.select("fingerprint").unionByName(blank), RADIUS)
+    near = saved(near)  # few rows, one for each fingerprint that has others near it
+    out = out.join(near.withColumnsRenamed({"fp": "of", "n": "n_near"}), known(F.col("fingerprint")) == F.col("of"), "left")
     a, b, c = (known(F.col(x)) for x in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
     return out.select("doc_id", "n_chars", "edited_sha256", a.alias("fingerprint"), b.alias("edited_fingerprint"),
-                      likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
+                      likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"),
+                      F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))

@@ -43,6 +43,7 @@ def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forget_powers() -> None:
+    """Lets go of the kept tables, for tasks that have no use for them and need the worker's memory."""
     _POWERS.clear()
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blobs_of, documents, give_back, id_text, n_blocks, saved, total_bytes
-from .hashing import chunks
+from .hashing import chunks, forget_powers
 from .local_search import pack, worth_merging
 from .tokens import CHUNK, KEPT, forget_words, vocabulary_path, word_ids
 
@@ -68,6 +68,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, group
         if not keep_words:
             del encoder
             forget_words()
+            forget_powers()
         give_back()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, PIECES)

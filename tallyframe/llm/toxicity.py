@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from ..session import ship_package
 from ..sources.tables import read_table
+from . import hashing
 from .common import documents, give_back, id_text, saved
 from .noisy_channel import KEPT, Channel, class_table, count_trigrams
 
@@ -46,6 +47,7 @@ def trigram_counts(rows: DataFrame) -> np.ndarray:
     """Class trigrams of all texts. Each task sends its non-zero counts; their sum has a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashing.forget_powers()  # a worker may have served other operators before
         table, total = class_table(), None
         for batch in batches:
             for i in range(0, len(batch), 64):
@@ -165,6 +167,7 @@ def score(rows: DataFrame, counts: np.ndarray, b: float, weights: dict[int, floa
     schema = T.StructType([*(rows.schema[c] for c in carry), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashing.forget_powers()
         model = Features(counts, weights)
         for whole in batches:
             for at in range(0, len(whole), ROWS_AT_ONCE):

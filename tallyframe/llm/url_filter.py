@@ -168,10 +168,10 @@ daily AS (SELECT list, key, day, max(action) AS action FROM entries WHERE day <
 spans AS (SELECT *, coalesce(lead(day) OVER (PARTITION BY list, key ORDER BY day), DATE '9999-12-31') AS until FROM daily),
 asked AS (
   SELECT page_id, fetched, host || '/' || array_to_string(steps[1:n], '/') AS key, 100 + n AS weight
-  FROM parsed, (VALUES (1), (2)) t(n) WHERE host IS NOT NULL AND len(steps) >= n
+  FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS n FROM parsed) WHERE host IS NOT NULL
   UNION ALL SELECT page_id, fetched, host, 50 FROM parsed WHERE host IS NOT NULL
   UNION ALL SELECT page_id, fetched, array_to_string(string_split(host, '.')[n + 1:], '.'), 50 - n
-  FROM parsed, (VALUES (1), (2), (3), (4)) t(n) WHERE len(string_split(host, '.')) - n >= 2),
+  FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) - 1)) AS n FROM parsed)),
 met AS (
   SELECT a.page_id, a.key, s.list, s.action, s.day,
          row_number() OVER (PARTITION BY a.page_id ORDER BY a.weight DESC, s.action = 'allow' DESC, s.list DESC) AS r,

@@ -217,6 +217,12 @@ def test_positions_follow_the_schedule(spark):
     assert max(abs(area(t) / 1.5 - (i + 0.5) / 300) for i, t in enumerate(late)) < 1e-9
 
 
+def test_url_filters_of_empty_tables(spark):
+    captures = spark.createDataFrame([], "page_id long, url string")
+    out = url_filter.judge(url_filter.page_captures(captures), url_filter.page_lists(captures))
+    assert out.count() == 0
+
+
 # ---- the pipeline --------------------------------------------------------------------------
 
 

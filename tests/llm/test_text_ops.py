@@ -100,6 +100,31 @@ def test_near_pairs_finds_all(spark):
     assert got == {(a, b, d(a, b)) for i, a in enumerate(fps) for b in fps[i + 1:] if d(a, b) <= 3}
 
 
+def test_near_counts_of_a_large_family(spark, monkeypatch):
+    """Many near copies share a key, cut into parts: counts as by comparing all, and no pair leaves the arrays."""
+    monkeypatch.setattr(fingerprint, "CAP", 16)
+    rng = np.random.default_rng(4)
+    base = int.from_bytes(rng.bytes(16), "big")
+    fps = {base ^ sum(1 << int(b) for b in rng.choice(128, rng.integers(0, 4), replace=False)) for _ in range(200)}
+    fps |= {int.from_bytes(rng.bytes(16), "big") for _ in range(50)} | {0, (1 << 128) - 1, 1 << 127}
+    fps = sorted(f"{f:032x}" for f in fps)
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(fps + fps[:5])], "doc_id long, fingerprint string")
+    d = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    want = {a: sum(a != b and d(a, b) <= 3 for b in fps) for a in fps}
+    got = {r.fp: r.n for r in fingerprint.near_counts(df, 3).collect()}
+    assert got == {a: n for a, n in want.items() if n} and max(got.values()) > 20
+    none = df.where("false")
+    assert fingerprint.near_counts(none, 3).count() == 0 and fingerprint.near_pairs(none, 3).count() == 0
+
+
+def test_fingerprint_query_counts_near_prints(spark):
+    rows = fingerprint.op2_fingerprints(spark, SF).collect()
+    fps = sorted({r.fingerprint for r in rows})
+    d = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    want = {a: sum(a != b and d(a, b) <= fingerprint.RADIUS for b in fps) for a in fps}
+    assert all(r.n_near == want[r.fingerprint] for r in rows)
+
+
 def test_fingerprints_run_no_python(spark):
     plan = fingerprint.op2_fingerprints(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -337,3 +362,34 @@ def test_held_out_rows_are_not_learnt_from(spark):
     a = sorted(toxicity.toxicity(docs, docs, labels).collect())
     b = sorted(toxicity.toxicity(docs, docs, flipped).collect())
     assert a == b
+
+
+def test_viterbi_finds_the_cheapest_of_all_paths():
+    """Against every path through the lattice, with costs added up one by one."""
+    import itertools
+    counts = noisy_channel.count_trigrams(["the cat sat on the mat and the idiot hates the stupid dog"] * 5, noisy_channel.class_table())
+    channel = noisy_channel.Channel(counts)
+
+    def cost(path):
+        text, total = "".join(shown for shown, _ in path) + " ", sum(price for _, price in path)
+        a = b = 0
+        for c in text:
+            k = noisy_channel.char_class(c)
+            total += channel.cost[a][b][k] if k or b else 0.5
+            a, b = b, k
+        return total
+
+    for word in ("1d10t", "st@pid", "c4t", "i d i o t", "h.a.t.e", "d00000g", "5tup1d", "m|t", "aaa", "x1"):
+        lattice = channel.lattice(word)
+        best = min(itertools.product(*lattice), key=lambda p: (cost(p), "".join(s for s, _ in p)))
+        got = channel.restore(word)
+        assert got == "".join(s for s, _ in best).strip(), word
+
+
+def test_very_long_texts_are_scored(spark):
+    import time
+    channel = noisy_channel.Channel(np.ones(64 ** 3, np.int64))
+    start = time.perf_counter()
+    assert channel.words("1d1ot " * 40_000 + "a b c d " * 20_000 + "x" * 100_000)
+    assert channel.restore("a1" * 20_000)
+    assert time.perf_counter() - start < 60
