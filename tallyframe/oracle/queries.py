@@ -106,27 +106,30 @@ FROM ledger_e WHERE NOT voided AND merchant_key IS NOT NULL GROUP BY 1""")
 
 # ---- matching ------------------------------------------------------------------
 
+# The greedy rule as it is told: each key's rows are walked in order with a stack of open expenses.
 PAIRS_SQL = """
 cand AS (
   SELECT *, CASE WHEN direction = 'refund' THEN abs(amount) ELSE amount END AS amt_key
   FROM {view}
   WHERE NOT voided AND card_last4 IS NOT NULL AND merchant_key IS NOT NULL
     AND (direction = 'refund' OR (direction = 'expense' AND amount >= 0))),
-bal AS (
-  SELECT *, sum(CASE WHEN direction = 'refund' THEN -1 ELSE 1 END) OVER (
-      PARTITION BY card_last4, merchant_key, amt_key ORDER BY txn_time, direction, id
-      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b
-  FROM cand),
-lv AS (SELECT *, CASE WHEN direction = 'refund' THEN b + 1 ELSE b END AS lvl FROM bal),
-nb AS (
-  SELECT *,
-    lag(id) OVER w AS prev_id, lag(direction) OVER w AS prev_dir,
-    lead(id) OVER w AS next_id, lead(direction) OVER w AS next_dir
-  FROM lv WINDOW w AS (PARTITION BY card_last4, merchant_key, amt_key, lvl ORDER BY txn_time, direction, id)),
+walk_rows AS (
+  SELECT id, direction, card_last4, merchant_key, amt_key,
+    row_number() OVER (PARTITION BY card_last4, merchant_key, amt_key ORDER BY txn_time, direction, id) AS seq FROM cand),
+walk AS (
+  SELECT card_last4, merchant_key, amt_key, seq, id, list_filter([id], lambda x: direction <> 'refund') AS stack,
+    CASE WHEN false THEN id END AS taken
+  FROM walk_rows WHERE seq = 1
+  UNION ALL
+  SELECT e.card_last4, e.merchant_key, e.amt_key, e.seq, e.id,
+    CASE WHEN e.direction <> 'refund' THEN list_append(w.stack, e.id) ELSE w.stack[:-2] END,
+    CASE WHEN e.direction = 'refund' THEN w.stack[-1] END
+  FROM walk w JOIN walk_rows e ON e.card_last4 = w.card_last4 AND e.merchant_key = w.merchant_key
+    AND e.amt_key = w.amt_key AND e.seq = w.seq + 1),
+pr AS (SELECT id AS refund, taken AS expense FROM walk WHERE taken IS NOT NULL),
 ann AS (
-  SELECT *, CASE WHEN direction = 'refund' AND prev_dir = 'expense' THEN prev_id
-                 WHEN direction <> 'refund' AND next_dir = 'refund' THEN next_id END AS pair_id
-  FROM nb)"""
+  SELECT c.*, coalesce(r.expense, x.refund) AS pair_id
+  FROM cand c LEFT JOIN pr r ON r.refund = c.id LEFT JOIN pr x ON x.expense = c.id)"""
 
 ORACLE["refund_pairs"] = with_views(["ledger_e"], "WITH " + PAIRS_SQL.format(view="ledger_e") + """
 SELECT id AS refund_id, pair_id AS expense_id, card_last4, merchant_key,
@@ -243,6 +246,10 @@ ORACLE["html_to_lines"] = f"""
 WITH p AS (SELECT page_id, {LINES_SQL} AS lines FROM pages)
 SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, array_to_string(lines, chr(10)) AS text FROM p"""
 
+ORACLE["html_entities"] = with_views(["text_inputs"], """
+SELECT event_id, 'a' || chr(CAST(k + 200 AS INTEGER)) || 'b' || chr(CAST(k + 8000 AS INTEGER)) || ' ' || CASE WHEN k % 2 = 0 THEN '‘' ELSE '’' END
+  || chr(65533) || 'é…© &x &nosuch; & &lt;' || merchant_raw AS text FROM text_inputs""")
+
 _flat = ("nullif(CASE WHEN page_id % 9 = 0 THEN '' WHEN page_id % 3 = 0 THEN ' plain ' || chr(10) || chr(9) || url END, ''), "
          "regexp_replace(html, '(?is)<[^>]+>', ' ', 'g')")
 ORACLE["html_flat_text"] = f"""
@@ -862,7 +869,7 @@ every AS (
 inserted AS (SELECT DISTINCT ON (fingerprint) *, fingerprint AS id, false AS voided FROM every)"""
 
 
-ORACLE["stream_ledger"] = "WITH " + STREAM_ROWS.format(digest=ORACLE["digest_extract"], alert=ORACLE["alert_route"]) + "," + \
+ORACLE["stream_ledger"] = "WITH RECURSIVE " + STREAM_ROWS.format(digest=ORACLE["digest_extract"], alert=ORACLE["alert_route"]) + "," + \
     PAIRS_SQL.format(view="inserted") + """
 SELECT i.fingerprint, i.card_last4, i.card_type, i.txn_time, i.amount, i.direction, i.merchant_key, i.channel, 'pending' AS status,
   a.pair_id IS NOT NULL AS voided, a.pair_id AS pair_fingerprint

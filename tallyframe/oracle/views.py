@@ -140,8 +140,8 @@ def with_views(names: list[str], body: str) -> str:
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1].strip()})" for n in order)
     body = body.strip()
     if body[:4].upper() == "WITH":
-        return f"WITH {ctes},\n{body[4:].lstrip()}"
-    return f"WITH {ctes}\n{body}"
+        return f"WITH RECURSIVE {ctes},\n{body[4:].lstrip()}"
+    return f"WITH RECURSIVE {ctes}\n{body}"
 
 # White space as Python's str.isspace() sees it (RE2 syntax).
 WS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}"

@@ -199,6 +199,16 @@ def q_html_to_lines(spark, sf):
                     F.array_join("lines", "\n").alias("text"))
 
 
+@register("html_entities")
+def q_html_entities(spark, sf):
+    """Numeric entities (decimal, hexadecimal, Windows-1252, none), named ones with and without ';', and plain '&'."""
+    k = F.col("k")
+    t = fx.text_inputs(spark, sf).select("event_id", F.concat(
+        F.lit("a&#"), (k + 200).cast("string"), F.lit(";b&#x"), F.hex(k + 8000), F.lit("; &#"), (k % 2 + 145).cast("string"),
+        F.lit(";&#0;&eacute;&hellip;&copy &ampx &nosuch; & &amp;lt;"), "merchant_raw").alias("text"))
+    return t.select("event_id", TX.unescape_entities(F.col("text")).alias("text"))
+
+
 @register("html_flat_text")
 def q_html_flat_text(spark, sf):
     p = read_table(spark, sf, "pages")

@@ -194,7 +194,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_di
     rows = _read_or_empty(spark, f"{state_dir}/rows", LEDGER_DDL, batch_id, touched=touched_parts(txns, ["fingerprint"]))
     new = first_per_key(txns, "fingerprint", [F.col("arrival")]).join(
         rows.select("fingerprint"), "fingerprint", "left_anti")
-    seen_rows, seen_deposits, seen_mails = Observation(), Observation(), Observation()
+    seen_rows, seen_deposits, seen_mails, seen_waiting = (Observation() for _ in range(4))
     write_state(_ledger_rows(new.drop("arrival")), f"{state_dir}/rows", LEDGER_DDL, batch_id, ["fingerprint"], observed=(
         seen_rows, [F.count(F.lit(1)).alias("inserted"), F.count_if(F.col("status") == "pending").alias("pending")]))
     if deposits is not None:
@@ -216,13 +216,13 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_di
     write_state(status, f"{state_dir}/mail_log", LOG_DDL, batch_id, ["msg_id"], observed=(seen_mails, [
         F.coalesce(F.sum("n"), F.lit(0)).alias("transactions"), F.count_if(unrouted).alias("unrouted"),
         *[F.count_if((F.col("email_type") == t) & (F.col("status") == s)).alias(f"{t}:{s}") for t in K.MAIL_TYPES for s in STATUSES]]))
-    write_state(mails.join(failed, "msg_id", "left_semi"), f"{state_dir}/retry", MAIL_DDL, batch_id, ["msg_id"])
+    write_state(mails.join(failed, "msg_id", "left_semi"), f"{state_dir}/retry", MAIL_DDL, batch_id, ["msg_id"],
+                observed=(seen_waiting, [F.count(F.lit(1)).alias("waiting")]))
     _pair_batch(spark, state_dir, batch_id)
 
-    totals = {**seen_rows.get, **(seen_deposits.get if deposits is not None else {}), **seen_mails.get, "already_seen": already_seen}
+    totals = {**seen_rows.get, **(seen_deposits.get if deposits is not None else {}), **seen_mails.get, **seen_waiting.get,
+              "already_seen": already_seen}
     totals["dup"] = totals.pop("transactions") - totals["inserted"]
-    waiting_now = _read_or_empty(spark, f"{state_dir}/retry", MAIL_DDL, batch_id + 1, since=batch_id)
-    totals["waiting"] = waiting_now.count()
     write_state(spark.createDataFrame([(k, int(n)) for k, n in sorted(totals.items())], TOTAL_DDL), f"{state_dir}/totals",
                 TOTAL_DDL, batch_id, ["total"])
     for df in (txns, normalised, mails, delivered):
