@@ -109,49 +109,56 @@ def _mask(first: int, last: int) -> tuple[int, int]:
 
 
 def _met(prints: DataFrame, radius: int, fp_col: str) -> DataFrame:
-    """(fp, near): for each fingerprint and each part of a key of one of its tables, the array of those others in the
-    part that are within the radius and agree in no earlier table."""
-    distinct = prints.select(F.col(fp_col).alias("fp")).distinct()
+    """(w0, w1, near): for each fingerprint, as two words, and each part of a key of one of its tables, the array of those
+    others in the part that are within the radius and agree in no earlier table."""
+    distinct = prints.select(*[_word(F.col(fp_col), i).alias(f"w{i}") for i in range(SEEDS)]).distinct()
     width = 64 * SEEDS
     need = max(8, distinct.count().bit_length() + 4)
     n = next((n for n in range(radius + 1, width + 1) if (n - radius) * (width // n) >= need), width)
     edges = [width * i // n for i in range(n + 1)]
-    # the bits as text: a block is a substring, a table's key is its blocks put together
-    digits = F.concat(*[F.lpad(F.bin(_word(F.col("fp"), i)), 64, "0") for i in range(SEEDS)])
-    rows = distinct.withColumns({"digits": digits, **{f"w{i}": _word(F.col("fp"), i) for i in range(SEEDS)}})
-    keys = []
-    for t, choice in enumerate(combinations(range(n), n - radius)):
-        # a pair agrees in an earlier table if it agrees in a block that this one passes over
-        passed = [_mask(edges[j], edges[j + 1]) for j in range(choice[-1] if choice else 0) if j not in choice]
-        masks = F.array(*[F.struct(F.lit(a).cast("long").alias("m0"), F.lit(b).cast("long").alias("m1")) for a, b in passed]) \
-            if passed else F.array().cast("array<struct<m0:bigint,m1:bigint>>")
-        text = F.concat(F.lit(f"{t}:"), *[F.substring("digits", edges[i] + 1, edges[i + 1] - edges[i]) for i in choice])
-        keys.append(F.struct(text.alias("key"), masks.alias("masks")))
-    tables = rows.select("fp", "w0", "w1", F.inline(F.array(*keys)))
-    shared = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    tables = tables.join(shared.select("key", F.ceil(F.col("n") / CAP).cast("int").alias("parts")), "key")
-    own = F.pmod(F.xxhash64("fp"), "parts").cast("int")
-    parts = tables.groupBy("key", own.alias("part")).agg(F.collect_list(F.struct("fp", "w0", "w1")).alias("others"))
+    choices = list(combinations(range(n), n - radius))
+    masks = lambda of: F.array(*[F.struct(F.lit(a).cast("long").alias("m0"), F.lit(b).cast("long").alias("m1")) for a, b in of]) \
+        if of else F.array().cast("array<struct<m0:bigint,m1:bigint>>")
+    block = [_mask(edges[j], edges[j + 1]) for j in range(n)]
+    chosen = F.array(*[masks([block[j] for j in c]) for c in choices])
+    # a pair agrees in an earlier table if it agrees in a block that this one passes over
+    passed = F.array(*[masks([block[j] for j in range(c[-1] if c else 0) if j not in c]) for c in choices])
+    # the blocks of a choice, moved to the front: a hash of their bits is the table's key
+    keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(*[x for j in c for x in (
+        F.col("w0").bitwiseAND(F.lit(block[j][0]).cast("long")), F.col("w1").bitwiseAND(F.lit(block[j][1]).cast("long")))]).alias("key"))
+        for t, c in enumerate(choices)]
+    tables = distinct.select("w0", "w1", F.inline(F.array(*keys)))
+    shared = tables.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    tables = tables.join(shared.select("t", "key", F.ceil(F.col("n") / CAP).cast("int").alias("parts")), ["t", "key"])
+    own = F.pmod(F.xxhash64("w0", "w1"), "parts").cast("int")
+    parts = tables.groupBy("t", "key", own.alias("part")).agg(F.collect_list(F.struct("w0", "w1")).alias("others"))
     asked = tables.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def close(o: Column) -> Column:
         x0, x1 = F.col("w0").bitwiseXOR(o["w0"]), F.col("w1").bitwiseXOR(o["w1"])
-        apart = F.forall("masks", lambda m: (x0.bitwiseAND(m["m0"]) != 0) | (x1.bitwiseAND(m["m1"]) != 0))
-        return (F.bit_count(x0) + F.bit_count(x1) <= radius) & (o["fp"] != F.col("fp")) & apart
+        bits = F.bit_count(x0) + F.bit_count(x1)
+        differs = lambda m: (x0.bitwiseAND(m["m0"]) != 0) | (x1.bitwiseAND(m["m1"]) != 0)
+        return (bits > 0) & (bits <= radius) & ~F.exists(F.get(chosen, F.col("t")), differs) & F.forall(F.get(passed, F.col("t")), differs)
 
-    return asked.join(parts, ["key", "part"]).select("fp", F.filter("others", close).alias("near"))
+    return asked.join(parts, ["t", "key", "part"]).select("w0", "w1", F.filter("others", close).alias("near"))
+
+
+def _digits(w0: Column, w1: Column) -> Column:
+    """A fingerprint from its words."""
+    return F.concat(*[F.lpad(F.lower(F.hex(w)), 16, "0") for w in (w0, w1)])
 
 
 def near_pairs(prints: DataFrame, radius: int, fp_col: str = "fingerprint") -> DataFrame:
     """(a, b, bits): all pairs a < b of distinct fingerprints that differ in up to ``radius`` bits."""
-    met = _met(prints, radius, fp_col).select(F.col("fp").alias("a"), F.explode("near.fp").alias("b")).where("a < b")
+    met = _met(prints, radius, fp_col).select("w0", "w1", F.explode("near").alias("o"))
+    met = met.select(_digits(F.col("w0"), F.col("w1")).alias("a"), _digits(F.col("o.w0"), F.col("o.w1")).alias("b")).where("a < b")
     return met.withColumn("bits", distance(F.col("a"), F.col("b")))
 
 
 def near_counts(prints: DataFrame, radius: int, fp_col: str = "fingerprint") -> DataFrame:
     """(fp, n): for every distinct fingerprint that has any, how many others differ in up to ``radius`` bits."""
-    found = _met(prints, radius, fp_col).select("fp", F.size("near").alias("n")).where("n > 0")
-    return found.groupBy("fp").agg(F.sum("n").alias("n"))
+    found = _met(prints, radius, fp_col).select("w0", "w1", F.size("near").alias("n")).where("n > 0")
+    return found.groupBy("w0", "w1").agg(F.sum("n").alias("n")).select(_digits(F.col("w0"), F.col("w1")).alias("fp"), "n")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
