@@ -101,7 +101,7 @@ def q_stream_dedup(spark, sf):
 def q_stream_incremental(spark, sf):
     folder = _folder(spark, "mailbox")
     mails = fx.mails_e(spark, sf)
-    spark.dataSource.register(mailbox.Mailbox)
+    mailbox.register_mailbox(spark)
     path = folder.removeprefix("file://") if folder.startswith("file:///") else folder
     stream = spark.readStream.format("mailbox").option("path", f"{path}/in").option("start_uid", "500").load()
     for condition in ("_day <= 15", "_day > 15"):  # the mailbox grows; the stream goes on where it stopped

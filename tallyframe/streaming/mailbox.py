@@ -7,7 +7,7 @@ rewritten by a compaction, without a mail being seen again).
 
 Register and use it::
 
-    spark.dataSource.register(Mailbox)
+    register_mailbox(spark)
     spark.readStream.format("mailbox").option("path", folder).load()
 
 Options: ``path`` (a folder of Parquet files in the raw-mail schema, on any file system that pyarrow opens: a local
@@ -19,9 +19,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..session import ship_package
+
 MAIL_DDL = "uid long, msg_id string, received timestamp_ntz, sender string, subject string, html string, text string"
 
 
@@ -92,3 +95,9 @@ class MailboxReader(DataSourceStreamReader):
 
     def commit(self, end: dict) -> None:
         """Nothing to release: the table is the mailbox's own."""
+
+
+def register_mailbox(spark: SparkSession) -> None:
+    """Makes the format "mailbox" known to the session, and this package to the workers that read it."""
+    ship_package(spark)
+    spark.dataSource.register(Mailbox)

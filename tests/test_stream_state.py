@@ -145,7 +145,7 @@ def test_a_time_column_forgets_and_drops_late_mails(spark):
 
 def test_mailbox_goes_on_after_its_last_uid(spark):
     root = tempfile.mkdtemp(prefix="tf-mailbox-")
-    spark.dataSource.register(mailbox.Mailbox)
+    mailbox.register_mailbox(spark)
     stream = spark.readStream.format("mailbox").option("path", f"{root}/in").option("start_uid", "10").option("split_uids", "7").load()
 
     def run():
@@ -166,7 +166,7 @@ def test_mailbox_goes_on_after_its_last_uid(spark):
 
 def test_ingest_from_the_mailbox_with_dedup(spark):
     root = tempfile.mkdtemp(prefix="tf-mailbox-ingest-")
-    spark.dataSource.register(mailbox.Mailbox)
+    mailbox.register_mailbox(spark)
     reply = '{"type": "expense", "card_last4": "1111", "amount": 12, "time": "2026-03-01 07:30", "counterparty": "c"}'
     rows = [(i, f"a{i % 3}", None, "95555@message.cmbchina.com", "一卡通账户变动通知", None, reply) for i in range(1, 7)]
     spark.createDataFrame(rows, "uid bigint, msg_id string, received timestamp_ntz, sender string, subject string, html string, text string") \
