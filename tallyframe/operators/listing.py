@@ -88,9 +88,10 @@ def deposit_list(deposits: DataFrame, *, amount: float | None = None, since_days
     if since_days is not None:
         since = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(int(since_days)))
         d = d.filter(F.col("txn_time") >= since)
+    raw = F.col("raw_text") if "raw_text" in deposits.columns else F.lit(None).cast("string").alias("raw_text")
     return (d.orderBy(F.col("txn_time").desc(), F.col("id").desc()).limit(limit)
             .select("id", "source_msg_id", "card_last4", "txn_time",
-                    F.col("amount").cast("double").alias("amount"), "kind", "payer", "note", "raw_text"))
+                    F.col("amount").cast("double").alias("amount"), "kind", "payer", "note", raw))
 
 
 def pending_count(df: DataFrame) -> DataFrame:

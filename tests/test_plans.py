@@ -69,7 +69,8 @@ def test_pairing_and_sweep_read_and_send_rows_once(spark):
     assert links.count("FileScan") == 1 and links.count("ReusedExchange") >= 3
     assert sum("REPARTITION_BY_COL" in x and "ReusedExchange" not in x for x in links.split("\n")) == 1
     sweep = _final(matching.merge_candidates(led))
-    assert sweep.count("FileScan") == 1 and sweep.count("Exchange hashpartitioning") == 2 and "Join" not in sweep
+    # the ledger was read by the first sweep; what that left is asked by equi-joins only
+    assert "FileScan" not in sweep and "NestedLoop" not in sweep and "Cartesian" not in sweep
 
 
 def test_reports_come_in_order(spark):
