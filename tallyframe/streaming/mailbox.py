@@ -17,24 +17,17 @@ whose statistics meet its range. The largest UID is read from the files' footers
 """
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..session import ship_package
-
 MAIL_DDL = "uid long, msg_id string, received timestamp_ntz, sender string, subject string, html string, text string"
 
 
-class UidRange(InputPartition):
-    """Mails with ``after`` < uid <= ``upto``."""
-
-    def __init__(self, after: int, upto: int):
-        self.after, self.upto = after, upto
-
-
 class Mailbox(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -76,16 +69,18 @@ class MailboxReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         after, upto = int(start["uid"]), int(end["uid"])
-        return [UidRange(a, min(a + self.split, upto)) for a in range(after, upto, self.split)]
+        return [InputPartition((a, min(a + self.split, upto))) for a in range(after, upto, self.split)]
 
-    def read(self, partition: UidRange) -> Iterator:
+    def read(self, partition: InputPartition) -> Iterator:
+        """Mails of one range of UIDs: above its first number, up to its second."""
         import pyarrow as pa
         import pyarrow.compute as pc
         files = self._files()
         if files is None:
             return
         uid = pc.field("uid")
-        wanted = (uid > partition.after) & (uid <= partition.upto)
+        after, upto = partition.value
+        wanted = (uid > after) & (uid <= upto)
         names = [c.split()[0] for c in MAIL_DDL.split(", ")]
         columns = {n: pc.field(n) if n in files.schema.names else pc.scalar(pa.scalar(None, pa.string())) for n in names}
         types = {"uid": pa.int64(), "received": pa.timestamp("us")}
@@ -98,6 +93,7 @@ class MailboxReader(DataSourceStreamReader):
 
 
 def register_mailbox(spark: SparkSession) -> None:
-    """Makes the format "mailbox" known to the session, and this package to the workers that read it."""
-    ship_package(spark)
+    """Makes the format "mailbox" known to the session. The source goes to the workers that plan and read it with its
+    code, as those on the driver do not see shipped packages."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(Mailbox)

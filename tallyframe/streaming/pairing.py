@@ -12,16 +12,17 @@ it is open are one row; one that repeats a paired id is for the ingest to keep o
 """
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.periods import epoch_micros
 from ..operators.matching import _is_refund, _pair_candidate
-from ..session import ship_package
 
 KEY = ["card_last4", "merchant_key", "cents"]
 OPEN_ROW = "t long, refund boolean, id long"
@@ -79,7 +80,8 @@ def pair_stream(ledger_stream: DataFrame, opened: DataFrame | None = None) -> Da
     ``opened``: a ledger whose open rows the state starts with, for a stream that goes on where batches ended. The
     session must use the RocksDB state store (:func:`start_pairing` sees to that).
     """
-    ship_package(ledger_stream.sparkSession)
+    # the processor goes to its workers with its code: the one on the driver does not see shipped packages
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     start = None if opened is None else open_candidates(opened).groupBy(*KEY)
     pairs = open_candidates(ledger_stream).groupBy(*KEY).transformWithStateInPandas(
         statefulProcessor=OpenRows(), outputStructType=PAIR_DDL, outputMode="Append", timeMode="None", initialState=start)
