@@ -94,9 +94,8 @@ def html_to_lines(html: Column | str) -> Column:
     t = F.regexp_replace(t, F.lit(K.RE_BLOCK_CLOSE), F.lit("\n"))
     t = F.regexp_replace(t, F.lit(K.RE_ANY_TAG), F.lit(" "))
     t = unescape_entities(t)
-    lines = F.split(t, "\n")
-    kept = F.filter(lines, lambda ln: strip_ws(ln) != F.lit(""))
-    return F.transform(kept, lambda ln: strip_ws(F.regexp_replace(ln, F.lit(K.RE_INLINE_WS), F.lit(" "))))
+    trimmed = F.transform(F.split(t, "\n"), lambda ln: strip_ws(F.regexp_replace(ln, F.lit(K.RE_INLINE_WS), F.lit(" "))))
+    return F.filter(trimmed, lambda ln: ln != F.lit(""))
 
 
 def html_flat_text(text: Column | str, html: Column | str) -> Column:
