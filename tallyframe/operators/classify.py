@@ -11,11 +11,12 @@ by :mod:`tallyframe.operators.advice`.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from .advice import merchant_recent, open_merchants
@@ -61,19 +62,23 @@ def run_classifier(ledger: DataFrame, batches: DataFrame, fn: Callable[[pd.DataF
     return hist.groupBy("batch_id").applyInPandas(per_batch, ADVICE_SCHEMA)
 
 
-def interpret_alerts(mails: DataFrame, fn: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+def interpret_alerts(mails: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], keep: Sequence[str] = ()) -> DataFrame:
     """Run the caller's alert interpreter over debit-alert mails (UDF surface, C6 input).
 
     ``fn`` maps a batch (columns source_msg_id, text, received) to the reply
     texts, one per row; the result feeds :func:`extract.alert_normalise`. It is
-    called per Arrow batch through ``mapInPandas``: no grouping, no shuffle.
+    called per Arrow batch through ``mapInPandas``: no grouping, no shuffle. The columns in ``keep`` go around ``fn``,
+    beside its replies.
     """
-    src = mails.select("source_msg_id", "text", "received")
+    seen = ["source_msg_id", "text", "received"]
+    src = mails.select(*seen, *[c for c in keep if c not in seen])
+    out = T.StructType([T.StructField("source_msg_id", T.StringType()), T.StructField("received", T.TimestampNTZType()),
+                        T.StructField("reply", T.StringType()), *[T.StructField(c, src.schema[c].dataType) for c in keep]])
 
     def per_batch(batches):
         for pdf in batches:
-            out = pdf[["source_msg_id", "received"]].copy()
-            out["reply"] = list(fn(pdf.reset_index(drop=True)))
-            yield out
+            told = pdf[["source_msg_id", "received", *keep]].copy()
+            told.insert(2, "reply", list(fn(pdf[seen].reset_index(drop=True))))
+            yield told
 
-    return src.mapInPandas(per_batch, "source_msg_id string, received timestamp_ntz, reply string")
+    return src.mapInPandas(per_batch, out)

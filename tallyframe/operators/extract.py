@@ -13,6 +13,8 @@ column expressions over the array of visible lines, evaluated per mail (no Pytho
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,13 +96,14 @@ def accepted(cands: Column) -> Column:
     return F.when(clear, cands).otherwise(folded)
 
 
-def digest_extract(mails: DataFrame, html_col: str = "html", id_col: str = "source_msg_id") -> DataFrame:
+def digest_extract(mails: DataFrame, html_col: str = "html", id_col: str = "source_msg_id", keep: Sequence[str] = ()) -> DataFrame:
     """Digest mails -> transaction rows (C4). Mails without a date line give no rows.
 
     A transaction whose date or time is no calendar date or time of day is left
-    out here and found by :func:`digest_rejects`; it never stops the job.
+    out here and found by :func:`digest_rejects`; it never stops the job. ``keep``: columns of the mail that its
+    transactions carry.
     """
-    rows = digest_rows(mails, html_col, id_col).filter(F.col("txn_time").isNotNull()).drop("time_text")
+    rows = digest_rows(mails, html_col, id_col, keep).filter(F.col("txn_time").isNotNull()).drop("time_text")
     return rows.withColumn("fingerprint", fingerprint("card_last4", "txn_time", "amount", "merchant_raw", "action"))
 
 
@@ -110,14 +113,14 @@ def digest_rejects(mails: DataFrame, html_col: str = "html", id_col: str = "sour
             .select("source_msg_id", "time_text", "card_last4", "amount", "merchant_raw", "action"))
 
 
-def digest_rows(mails: DataFrame, html_col: str = "html", id_col: str = "source_msg_id") -> DataFrame:
+def digest_rows(mails: DataFrame, html_col: str = "html", id_col: str = "source_msg_id", keep: Sequence[str] = ()) -> DataFrame:
     """All transactions of digest mails, with the time as text and, where it is one, as a time.
 
     Steps are separate projections so that every per-mail value (lines, line
     flags, header indexes) is computed once and then referenced. The texts of an
     accepted transaction travel with it; the mail's lines do not.
     """
-    m = fence(mails.select(F.col(id_col).alias("source_msg_id"), html_to_lines(F.col(html_col)).alias("lines")))
+    m = fence(mails.select(F.col(id_col).alias("source_msg_id"), html_to_lines(F.col(html_col)).alias("lines"), *keep))
     m = fence(m.withColumn("kinds", line_kinds(F.col("lines"))))
     idx = _indices(F.col("kinds"))
     kinds = F.col("kinds")
@@ -135,13 +138,13 @@ def digest_rows(mails: DataFrame, html_col: str = "html", id_col: str = "source_
         F.concat_ws("-", F.regexp_extract(date_line, K.RE_DATE, 1), F.regexp_extract(date_line, K.RE_DATE, 2),
                     F.regexp_extract(date_line, K.RE_DATE, 3)).alias("date_iso")))
     m = fence(m)
-    m = fence(m.select("source_msg_id", "h", "lines", candidates(F.col("kinds")).alias("cands")))
+    m = fence(m.select("source_msg_id", "h", "lines", candidates(F.col("kinds")).alias("cands"), *keep))
     lines = F.col("lines")
     texts = F.transform(accepted(F.col("cands")), lambda x: F.struct(
         F.element_at(lines, x["i"] + 1).alias("time"), F.element_at(lines, x["ja"] + 1).alias("amount"),
         F.element_at(lines, x["jd"] + 1).alias("detail")))
-    m = fence(m.select("source_msg_id", "h", texts.alias("texts")))
-    t = m.select("source_msg_id", "h", F.explode("texts").alias("t"))
+    m = fence(m.select("source_msg_id", "h", texts.alias("texts"), *keep))
+    t = m.select("source_msg_id", "h", F.explode("texts").alias("t"), *keep)
     detail = F.col("t.detail")
     raw = strip_ws(F.regexp_extract(detail, K.RE_DETAIL, 3))
     action = F.regexp_extract(detail, K.RE_DETAIL, 2)
@@ -162,6 +165,7 @@ def digest_rows(mails: DataFrame, html_col: str = "html", id_col: str = "source_
         channel.alias("channel"),
         F.col("h.avail_credit").alias("avail_credit"),
         F.col("h.points").alias("points"),
+        *keep,
     )
 
 
@@ -171,7 +175,7 @@ ALERT_JSON = ("struct<type:string,card_last4:string,amount:string,time:string,co
               "channel:string,kind:string,note:string>")
 
 
-def alert_normalise(replies: DataFrame, received_col: str = "received", reply_col: str = "reply") -> DataFrame:
+def alert_normalise(replies: DataFrame, received_col: str = "received", reply_col: str = "reply", keep: Sequence[str] = ()) -> DataFrame:
     """Normalise AI alert replies (B13 + B14).
 
     The JSON object is the text from the first '{' to the last '}'; a type
@@ -179,7 +183,7 @@ def alert_normalise(replies: DataFrame, received_col: str = "received", reply_co
     reference raises); ``ignore`` and amounts <= 0 are dropped; a time that is
     missing, or that no time can be read from, falls back to the received
     minute; strings are trimmed with null -> ''. Amounts round half up on their
-    decimal text (2.675 -> 2.68).
+    decimal text (2.675 -> 2.68). ``keep``: columns carried along.
     """
     j = F.from_json(json_object_text(F.col(reply_col)), ALERT_JSON)
     r = fence(replies.withColumn("j", j))
@@ -187,14 +191,14 @@ def alert_normalise(replies: DataFrame, received_col: str = "received", reply_co
     amount = F.round(F.col("j.amount").try_cast("double"), 2)
     err = (F.when(~F.coalesce(typ.isin(*K.ALERT_TYPES), F.lit(False)), F.lit("invalid type"))
            .when((typ != K.ALERT_IGNORE) & amount.isNull(), F.lit("missing amount")))
-    keep = err.isNotNull() | ((typ != K.ALERT_IGNORE) & (amount > 0))
+    wanted = err.isNotNull() | ((typ != K.ALERT_IGNORE) & (amount > 0))
 
     def s(c):
         return strip_ws(F.coalesce(F.col(c), F.lit("")))
     received_min = F.date_format(F.col(received_col), "yyyy-MM-dd HH:mm")
     given = strip_ws(F.coalesce(F.nullif(F.col("j.time"), F.lit("")), received_min))
     time_txt = F.when(given.try_cast("timestamp_ntz").isNotNull(), given).otherwise(received_min)
-    return r.filter(keep).select(
+    return r.filter(wanted).select(
         "source_msg_id",
         F.when(err.isNull(), typ).alias("type"),
         F.when(err.isNull(), s("j.card_last4")).alias("card_last4"),
@@ -206,21 +210,22 @@ def alert_normalise(replies: DataFrame, received_col: str = "received", reply_co
         F.when(err.isNull(), s("j.note")).alias("note"),
         err.alias("error"),
         *[F.col(c) for c in ("raw_text",) if c in replies.columns],
+        *keep,
     )
 
 
-def alert_route(normalised: DataFrame, card_type: str | None = "debit") -> tuple[DataFrame, DataFrame]:
+def alert_route(normalised: DataFrame, card_type: str | None = "debit", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Route normalised alerts (C6): income -> deposits; expense / transfer_out -> ledger.
 
     transfer_out keeps action 'transfer' text but is booked with
     direction='expense' (Q7); an expense's merchant is 'channel-counterparty'
-    when a channel is given. Without a card type nothing goes to the ledger.
+    when a channel is given. Without a card type nothing goes to the ledger. ``keep``: columns that both carry along.
     """
     ok = normalised.filter(F.col("error").isNull())
     deposits = ok.filter(F.col("type") == K.ALERT_INCOME).select(
         "source_msg_id", "card_last4", F.col("txn_time").try_cast("timestamp_ntz").alias("txn_time"),
         F.col("amount").cast("decimal(18,2)").alias("amount"), "kind",
-        F.col("counterparty").alias("payer"), "note", *[F.col(c) for c in ("raw_text",) if c in normalised.columns])
+        F.col("counterparty").alias("payer"), "note", *[F.col(c) for c in ("raw_text",) if c in normalised.columns], *keep)
     spend = ok.filter(F.col("type").isin(K.ALERT_EXPENSE, K.ALERT_TRANSFER_OUT))
     is_tr = F.col("type") == K.ALERT_TRANSFER_OUT
     if card_type is None:  # nothing is routed: an empty ledger leg, and alert_totals counts the rows
@@ -235,7 +240,7 @@ def alert_route(normalised: DataFrame, card_type: str | None = "debit") -> tuple
         F.col("amount").cast("decimal(18,2)").alias("amount"), F.lit("CNY").alias("currency"),
         action.alias("action"), F.lit("expense").alias("direction"),
         raw.alias("merchant_raw"), mkey.alias("merchant_key"), channel.alias("channel"),
-        F.col("txn_time").alias("time_text"))
+        F.col("txn_time").alias("time_text"), *keep)
     ledger = ledger.withColumn(
         "fingerprint", fingerprint("card_last4", "txn_time", "amount", "merchant_raw", "action"))
     return deposits, ledger.drop("time_text")

@@ -1,7 +1,8 @@
 """Registered queries that run a stream to its end and return its final state.
 
 The stand-in mailbox is derived from the driver tables, written as files in order of receipt into the shared folder,
-and read by the library's own streaming jobs with an ``availableNow`` trigger, some batches after each other.
+and read by the library's own streaming jobs with an ``availableNow`` trigger: after each drop of files the stream goes
+on where it stopped, so a drop is a batch, in however many files its tasks write it.
 """
 from __future__ import annotations
 
@@ -17,36 +18,36 @@ from ..streaming.dedup import first_deliveries
 from .registry import register
 
 ONCE = {"availableNow": True}
+THIRDS = ["_day <= 10", "_day > 10 AND _day <= 20", "_day > 20"]
 
 
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
-def _drop(df: DataFrame, folder: str, conditions: list[str], day: str) -> str:
-    """One folder of files for each condition on ``day``, written in this order."""
-    for i, condition in enumerate(conditions):
-        part = df.withColumn("_day", F.dayofmonth(day)).filter(condition).drop("_day")
-        part.coalesce(2).write.parquet(f"{folder}/in/drop{i}")
-    return f"{folder}/in"
-
-
 def _finish(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
 
 
+def _deliver(df: DataFrame, folder: str, conditions: list[str], day: str, start) -> None:
+    """One folder of files for each condition on ``day``, in this order; the stream that ``start`` starts runs to its
+    end after each."""
+    for i, condition in enumerate(conditions):
+        df.withColumn("_day", F.dayofmonth(day)).filter(condition).drop("_day").write.parquet(f"{folder}/in/drop{i}")
+        _finish(start())
+
+
 @fx.memo
 def ingested(spark: SparkSession, sf: str) -> str:
     """The state folder of an ingest of digests and alerts in two batches, and a third that delivers some digests
     again. The queries below read this one run's tables."""
     folder = _folder(spark, "ingest")
     mails = fx.stream_mails(spark, sf)
-    _drop(mails, folder, ["_day <= 15", "_day > 15", "_day <= 3 AND msg_id LIKE 'g%'"], "received")
-    stream = (spark.readStream.schema(ingest.MAIL_SCHEMA).option("maxFilesPerTrigger", "2").parquet(f"{folder}/in/*"))
-    _finish(ingest.start_ingest(spark, stream, f"{folder}/state", f"{folder}/checkpoint", trigger=ONCE,
-                                interpret=lambda pdf: pdf["text"]))
+    _deliver(mails, folder, ["_day <= 15", "_day > 15", "_day <= 3 AND msg_id LIKE 'g%'"], "received",
+             lambda: ingest.start_ingest(spark, f"{folder}/in/*", f"{folder}/state", f"{folder}/checkpoint", trigger=ONCE,
+                                         interpret=lambda pdf: pdf["text"]))
     return f"{folder}/state"
 
 
@@ -80,9 +81,8 @@ def q_run_totals(spark, sf):
 def q_stream_pairs(spark, sf):
     folder = _folder(spark, "pairs")
     ledger = fx.ledger_e(spark, sf)
-    _drop(ledger, folder, ["_day <= 10", "_day > 10 AND _day <= 20", "_day > 20"], "txn_time")
-    stream = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", "2").parquet(f"{folder}/in/*")
-    _finish(pairing.start_pairing(stream, f"{folder}/out", f"{folder}/checkpoint", ONCE))
+    stream = spark.readStream.schema(ledger.schema).parquet(f"{folder}/in/*")
+    _deliver(ledger, folder, THIRDS, "txn_time", lambda: pairing.start_pairing(stream, f"{folder}/out", f"{folder}/checkpoint", ONCE))
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -90,10 +90,9 @@ def q_stream_pairs(spark, sf):
 def q_stream_dedup(spark, sf):
     folder = _folder(spark, "dedup")
     mails = fx.mails_e(spark, sf).select("uid", "msg_id", "received", "sender", "subject")
-    _drop(mails, folder, ["_day <= 10", "_day > 10 AND _day <= 20", "_day > 20"], "received")
-    stream = spark.readStream.schema(mails.schema).option("maxFilesPerTrigger", "2").parquet(f"{folder}/in/*")
-    _finish(first_deliveries(stream).writeStream.format("parquet").option("path", f"{folder}/out")
-            .option("checkpointLocation", f"{folder}/checkpoint").trigger(**ONCE).start())
+    stream = spark.readStream.schema(mails.schema).parquet(f"{folder}/in/*")
+    _deliver(mails, folder, THIRDS, "received", lambda: first_deliveries(stream).writeStream.format("parquet")
+             .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(**ONCE).start())
     return spark.read.parquet(f"{folder}/out").select("msg_id")
 
 

@@ -156,35 +156,35 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_di
     log = _read_or_empty(spark, f"{state_dir}/mail_log", LOG_DDL, batch_id, touched=touched_parts(delivered, ["msg_id"]))
     known = log.select("msg_id").distinct()
     already_seen = delivered.join(known, "msg_id", "left_semi").count()
-    mails = first_per_key(delivered.join(known, "msg_id", "left_anti"), "msg_id", [F.col("uid")]).persist()
-    routed = extract.mail_route(mails, routes)
-    body = mails.select(F.col("msg_id").alias("source_msg_id"), "html", "text", "uid", "received")
+    mails = first_per_key(delivered.join(known, "msg_id", "left_anti"), "msg_id", [F.col("uid")])
+    # what is known of a mail goes along with it through the parsers; nothing is joined back
+    mails = extract.mail_route(mails, routes, keep=[c for c in columns if c not in ("uid", "msg_id")]).persist()
+    body = mails.filter("uid IS NOT NULL AND msg_id IS NOT NULL").withColumnsRenamed({"msg_id": "source_msg_id"})
     parsed = []
     for r in routes:
         if r["output"] != "transactions":
             continue
-        nm = r.get("name", r.get("rule"))
-        mine = body.join(routed.filter(F.col("parser_name") == nm).select("uid"), "uid", "left_semi")
-        parse = r.get("parse") or (lambda m: extract.digest_extract(m.select("source_msg_id", "html")))
-        rows = parse(mine.select("source_msg_id", "html", "text", "uid"))
-        parsed.append(rows.join(mine.select("source_msg_id", F.col("uid").alias("arrival")), "source_msg_id"))
-    alerts = body.join(routed.filter("parser_output = 'ai_record'").select("uid", "parser_card_type"), "uid")
-    alerts = alerts.withColumn("raw_text", html_flat_text("text", "html"))
+        mine = body.filter(F.col("parser_name") == r.get("name", r.get("rule"))).withColumn("arrival", F.col("uid"))
+        if r.get("parse"):
+            rows = r["parse"](mine.select("source_msg_id", "html", "text", "uid"))
+            parsed.append(rows.join(mine.select("source_msg_id", "arrival"), "source_msg_id"))
+        else:
+            parsed.append(extract.digest_extract(mine, keep=["arrival"]))
+    beside = ["raw_text", "parser_card_type", "arrival"]
+    alerts = body.filter("parser_output = 'ai_record'").select(
+        "source_msg_id", "received", "parser_card_type", F.col("uid").alias("arrival"), html_flat_text("text", "html").alias("raw_text"))
     if interpret is None:
-        replies = alerts.select("source_msg_id", "received", F.lit(None).cast("string").alias("reply"))
+        replies = alerts.select("source_msg_id", "received", F.lit(None).cast("string").alias("reply"), *beside)
     else:
-        replies = interpret_alerts(alerts.select("source_msg_id", F.col("raw_text").alias("text"), "received"), interpret)
-    normalised = extract.alert_normalise(replies).persist()
-    failed = normalised.filter(F.col("error").isNotNull()).select(F.col("source_msg_id").alias("msg_id"))
+        replies = interpret_alerts(alerts.withColumn("text", F.col("raw_text")), interpret, keep=beside)
+    normalised = extract.alert_normalise(replies, keep=beside[1:])
+    # only a deposit keeps its text
+    normalised = normalised.withColumn("raw_text", F.when(F.col("type") == K.ALERT_INCOME, F.col("raw_text"))).persist()
     kept = normalised.filter(F.col("error").isNull())
-    by_card = alerts.select("source_msg_id", "raw_text", "parser_card_type", F.col("uid").alias("arrival"))
     deposits = None
     for card_type in sorted({r["card_type"] for r in routes if r["output"] == "ai_record"}, key=str):
-        own = kept.join(by_card.filter(F.col("parser_card_type").eqNullSafe(F.lit(card_type))), "source_msg_id")
-        dep, led = extract.alert_route(own, card_type)
-        arrival = by_card.select("source_msg_id", "arrival")
-        parsed.append(led.join(arrival, "source_msg_id"))
-        dep = dep.join(arrival, "source_msg_id")
+        dep, led = extract.alert_route(kept.filter(F.col("parser_card_type").eqNullSafe(F.lit(card_type))), card_type, keep=["arrival"])
+        parsed.append(led)
         deposits = dep if deposits is None else deposits.unionByName(dep)
     txns = parsed[0]
     for p in parsed[1:]:
@@ -205,9 +205,9 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_di
                     observed=(seen_deposits, [F.count(F.lit(1)).alias("income")]))
 
     counts = txns.groupBy(F.col("source_msg_id").alias("msg_id")).agg(F.count(F.lit(1)).alias("n"))
-    used = kept.select(F.col("source_msg_id").alias("msg_id"), F.lit(True).alias("kept"), F.col("type").alias("alert_type"))
-    target = F.col("parser_output")
-    status = (routed.join(failed, "msg_id", "left_anti").join(counts, "msg_id", "left").join(used, "msg_id", "left")
+    used = normalised.select(F.col("source_msg_id").alias("msg_id"), F.col("error").isNull().alias("kept"), F.col("type").alias("alert_type"))
+    target, failed = F.col("parser_output"), F.col("kept").isNotNull() & ~F.col("kept")
+    status = (mails.join(used, "msg_id", "left").filter(~failed).join(counts, "msg_id", "left")
               .select("msg_id", "uid", "email_type", "n", "alert_type", "parser_card_type",
                       F.when(target.isNull(), "skipped")
                       .when(target == "ai_record", F.when(F.col("kept"), "parsed").otherwise("skipped"))
@@ -216,7 +216,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_di
     write_state(status, f"{state_dir}/mail_log", LOG_DDL, batch_id, ["msg_id"], observed=(seen_mails, [
         F.coalesce(F.sum("n"), F.lit(0)).alias("transactions"), F.count_if(unrouted).alias("unrouted"),
         *[F.count_if((F.col("email_type") == t) & (F.col("status") == s)).alias(f"{t}:{s}") for t in K.MAIL_TYPES for s in STATUSES]]))
-    write_state(mails.join(failed, "msg_id", "left_semi"), f"{state_dir}/retry", MAIL_DDL, batch_id, ["msg_id"],
+    write_state(mails.join(used.filter(failed), "msg_id", "left_semi"), f"{state_dir}/retry", MAIL_DDL, batch_id, ["msg_id"],
                 observed=(seen_waiting, [F.count(F.lit(1)).alias("waiting")]))
     _pair_batch(spark, state_dir, batch_id)
 
