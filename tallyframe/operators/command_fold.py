@@ -133,9 +133,31 @@ class Fold:
         return out
 
 
+def _steps(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[dict, tuple | None]]:
+    """(step, values of the ledger row it names or None): column by column, so that a row becomes a dict only where the
+    fold takes it up."""
+    names = [n for n in batch.schema.names if n != "row"]
+    row = batch.column("row")
+    values = zip(*[row.field(c).to_pylist() for c in columns])
+    for step, there, found in zip(zip(*[batch.column(n).to_pylist() for n in names]), row.is_valid().to_pylist(), values):
+        yield dict(zip(names, step)), found if there else None
+
+
+def _struct(rows: list[dict | None], kind: pa.StructType) -> pa.StructArray:
+    """An array of these dicts, made field by field."""
+    fields = [kind.field(i) for i in range(kind.num_fields)]
+    arrays = [pa.array([None if r is None else r.get(f.name) for r in rows], f.type) for f in fields]
+    return pa.StructArray.from_arrays(arrays, fields=fields, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
 def _folder(columns: list[str], schema: pa.Schema, start_day: int):
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        kinds, rows, results = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(kinds, schema.field("kind").type), _struct(rows, schema.field("row").type),
+                                           _struct(results, schema.field("result").type)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[dict] = []
+        out: list[tuple] = []  # (kind, row, result)
         component, fold, request = None, None, []
 
         def take() -> None:
@@ -144,10 +166,10 @@ def _folder(columns: list[str], schema: pa.Schema, start_day: int):
                 return
             head = request[0]
             if head["op"] == "split":
-                out.append({"kind": "split", "result": fold.split(head["request_id"], head["row_id"], head["amounts"])})
+                out.append(("split", None, fold.split(head["request_id"], head["row_id"], head["amounts"])))
             elif head["op"] == "merge":
                 members = [(s["pos"], s["row_id"]) for s in request]
-                out.append({"kind": "merge", "result": fold.merge(head["request_id"], members, head)})
+                out.append(("merge", None, fold.merge(head["request_id"], members, head)))
             else:
                 fold.edit(head["op"], head["row_id"], head["payload"])
             request.clear()
@@ -155,25 +177,25 @@ def _folder(columns: list[str], schema: pa.Schema, start_day: int):
         def finish() -> None:
             if fold is not None:
                 take()
-                out.extend({"kind": "row" if i in fold.named else "made", "row": r} for i, r in fold.rows.items())
+                out.extend(("row" if i in fold.named else "made", r, None) for i, r in fold.rows.items())
 
         for batch in batches:
-            for step in batch.to_pylist():
+            for step, row in _steps(batch, columns):
                 if step["component"] != component:
                     finish()
                     component, fold = step["component"], Fold(columns, start_day)
                 if request and (step["op"] != "merge" or request[0]["op"] != "merge" or request[0]["request_id"] != step["request_id"]):
                     take()
-                if step["row"] is not None and step["row_id"] not in fold.rows:
-                    fold.rows[step["row_id"]] = step["row"]
+                if row is not None and step["row_id"] not in fold.rows:
+                    fold.rows[step["row_id"]] = dict(zip(columns, row))
                     fold.named.add(step["row_id"])
                 request.append(step)
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                yield told(out)
                 out.clear()
         finish()
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            yield told(out)
 
     return run
 
