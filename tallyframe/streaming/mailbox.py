@@ -26,6 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.types import StructType
 
 MAIL_DDL = "uid long, msg_id string, received timestamp_ntz, sender string, subject string, html string, text string"
+#: Mails that a task holds at a time.
+BATCH_ROWS = 8192
 
 
 class Mailbox(DataSource):
@@ -75,18 +77,33 @@ class MailboxReader(DataSourceStreamReader):
         """Mails of one range of UIDs: above its first number, up to its second."""
         import pyarrow as pa
         import pyarrow.compute as pc
+        from pyarrow import parquet
         files = self._files()
         if files is None:
             return
-        uid = pc.field("uid")
         after, upto = partition.value
-        wanted = (uid > after) & (uid <= upto)
         names = [c.split()[0] for c in MAIL_DDL.split(", ")]
-        columns = {n: pc.field(n) if n in files.schema.names else pc.scalar(pa.scalar(None, pa.string())) for n in names}
         types = {"uid": pa.int64(), "received": pa.timestamp("us")}
-        for batch in files.to_batches(columns=columns, filter=wanted):
-            if len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(i).cast(types.get(n, pa.string())) for i, n in enumerate(names)], names=names)
+        for fragment in files.get_fragments():
+            groups = [g.id for g in fragment.row_groups if self._meets(g.statistics, after, upto)]
+            if not groups:
+                continue
+            # pages are decoded as they are asked for: neither a row group nor batches read ahead stand in memory
+            with fragment.filesystem.open_input_file(fragment.path) as f:
+                file = parquet.ParquetFile(f, metadata=fragment.metadata, buffer_size=1 << 20, pre_buffer=False)
+                there = [n for n in names if n in file.schema_arrow.names]
+                for batch in file.iter_batches(BATCH_ROWS, groups, there, use_threads=False):
+                    uid = batch.column("uid")
+                    batch = batch.filter(pc.and_(pc.greater(uid, after), pc.less_equal(uid, upto)))
+                    if len(batch):
+                        yield pa.RecordBatch.from_arrays([
+                            (batch.column(n) if n in there else pa.nulls(len(batch))).cast(types.get(n, pa.string())) for n in names], names=names)
+
+    @staticmethod
+    def _meets(statistics: dict | None, after: int, upto: int) -> bool:
+        """Whether a row group may hold UIDs of the range; without statistics it may."""
+        seen = (statistics or {}).get("uid")
+        return not seen or (seen["max"] > after and seen["min"] <= upto)
 
     def commit(self, end: dict) -> None:
         """Nothing to release: the table is the mailbox's own."""
